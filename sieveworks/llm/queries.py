@@ -5,13 +5,27 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import licenses, quality, secrets
+from . import leaks, licenses, quality, secrets, shared, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_warc_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = shared.folder(spark)
+    warc.write_archives(_table(spark, sf_dir, "pages"), path)
+    return warc.with_revisits(warc.read_archives(spark, path, with_payload=False))
+
+
+def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = leaks.benchmark_hits(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), with_text=False)
+    items = F.array_sort(F.array_distinct("items"))
+    return found.select(
+        "doc_id", "n_words", "n_hit", F.size(items).cast("bigint").alias("n_items"), F.sha2(F.array_join(items, ",").cast("binary"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"), "spans"
+    )
+
+
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.license_scan(_table(spark, sf_dir, "documents"))
 
@@ -40,4 +54,4 @@ def oracle_sql() -> dict[str, str]:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op4_license_scan, op8_secret_scan, op9_quality_rules)}
+    return {f.__name__: f for f in (op1_warc_salvage, op3_benchmark_decontamination, op4_license_scan, op8_secret_scan, op9_quality_rules)}
