@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import leaks, licenses, quality, secrets, shared, warc
+from . import counts, leaks, licenses, pieces, quality, secrets, shared, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,6 +34,23 @@ def _joined(spans):
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
+def op6_edit_aware_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three edits of every document: a deletion at a quarter of it, an insertion in the middle of
+    what is then there, a replacement near the end."""
+    docs = _table(spark, sf_dir, "documents")
+    n = F.length(F.coalesce("text", F.lit("")))
+
+    def edit(start, length, text):
+        return F.struct(start.cast("bigint").alias("start"), (start + length).cast("bigint").alias("end"), F.lit(text).alias("text"))
+
+    edits = F.array(edit(F.floor(n / 4), 7, ""), edit(F.floor(n / 2), 0, " an inserted passage, isn't it? "), edit(F.floor(n * 3 / 4), 5, "12 \n"))
+    return counts.edited_counts(docs, edits)
+
+
+def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encode_pieces(_table(spark, sf_dir, "documents"), with_ids=False).drop("ids")
+
+
 def _count_kind(spans: str, kind: str):
     return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("bigint")
 
@@ -54,4 +71,4 @@ def oracle_sql() -> dict[str, str]:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_warc_salvage, op3_benchmark_decontamination, op4_license_scan, op8_secret_scan, op9_quality_rules)}
+    return {f.__name__: f for f in (op1_warc_salvage, op3_benchmark_decontamination, op4_license_scan, op6_edit_aware_counts, op7_sentencepiece, op8_secret_scan, op9_quality_rules)}
