@@ -27,7 +27,7 @@ MARK = "▁"
 #: a U+2581 of the text itself, which must not turn into a blank; no valid text holds it
 _OWN_MARK = "\udc81"
 _WORD = re.compile(r" *[^ ]+| +")
-_CACHE_WORDS = 200_000
+_CACHE_WORDS = 400_000
 
 SCHEMA = pa.schema([
     ("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_pieces", pa.int64()), ("n_byte_pieces", pa.int64()), ("ids_sha256", pa.string()),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import counts, leaks, licenses, pieces, quality, secrets, shared, warc
+from . import counts, leaks, licenses, near_dups, pieces, quality, secrets, shared, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,6 +34,10 @@ def _joined(spans):
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
+def op5_minhash_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dups.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def op6_edit_aware_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three edits of every document: a deletion at a quarter of it, an insertion in the middle of
     what is then there, a replacement near the end."""
@@ -71,4 +75,4 @@ def oracle_sql() -> dict[str, str]:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_warc_salvage, op3_benchmark_decontamination, op4_license_scan, op6_edit_aware_counts, op7_sentencepiece, op8_secret_scan, op9_quality_rules)}
+    return {f.__name__: f for f in (op1_warc_salvage, op3_benchmark_decontamination, op4_license_scan, op5_minhash_near_dups, op6_edit_aware_counts, op7_sentencepiece, op8_secret_scan, op9_quality_rules)}
