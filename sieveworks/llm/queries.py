@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import counts, leaks, licenses, near_dups, pieces, quality, secrets, shared, warc
+from . import counts, leaks, licenses, near_dups, pieces, quality, repeats, secrets, shared, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -70,9 +70,13 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(_table(spark, sf_dir, "documents"), with_text=False).drop("clean_text")
 
 
+def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.repeated_passages(_table(spark, sf_dir, "documents"), with_text=False).drop("removed", "clean_text")
+
+
 def oracle_sql() -> dict[str, str]:
     return {}
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_warc_salvage, op3_benchmark_decontamination, op4_license_scan, op5_minhash_near_dups, op6_edit_aware_counts, op7_sentencepiece, op8_secret_scan, op9_quality_rules)}
+    return {f.__name__: f for f in (op1_warc_salvage, op3_benchmark_decontamination, op4_license_scan, op5_minhash_near_dups, op6_edit_aware_counts, op7_sentencepiece, op8_secret_scan, op9_quality_rules, op10_suffix_array_dedup)}
