@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import counts, leaks, licenses, near_dups, pieces, quality, repeats, secrets, shared, warc
+from . import counts, leaks, licenses, near_dups, pieces, pii, quality, repeats, secrets, shared, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +18,21 @@ def op1_warc_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.with_revisits(warc.read_archives(spark, path, with_payload=False))
 
 
+def _joined(spans):
+    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+
+
+def _count_kind(spans: str, kind: str):
+    return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("bigint")
+
+
+def op2_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.personal_data(_table(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda s: s["base"])
+    counts = [_count_kind("spans", k).alias(f"n_{k}") for k in pii.BASE_KINDS]
+    return found.select("doc_id", *counts, F.sha2(_joined(base).cast("binary"), 256).alias("base_sha256"), _joined(F.col("spans")).alias("spans"))
+
+
 def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = leaks.benchmark_hits(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), with_text=False)
     items = F.array_sort(F.array_distinct("items"))
@@ -30,10 +45,6 @@ def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.license_scan(_table(spark, sf_dir, "documents"))
 
 
-def _joined(spans):
-    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
-
-
 def op5_minhash_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dups.near_duplicates(_table(spark, sf_dir, "documents"))
 
@@ -55,10 +66,6 @@ def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode_pieces(_table(spark, sf_dir, "documents"), with_ids=False).drop("ids")
 
 
-def _count_kind(spans: str, kind: str):
-    return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("bigint")
-
-
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.secret_scan(_table(spark, sf_dir, "documents"))
     base = F.filter("spans", lambda s: s["kind"].isin(*secrets.BASE_KINDS))
@@ -79,4 +86,4 @@ def oracle_sql() -> dict[str, str]:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_warc_salvage, op3_benchmark_decontamination, op4_license_scan, op5_minhash_near_dups, op6_edit_aware_counts, op7_sentencepiece, op8_secret_scan, op9_quality_rules, op10_suffix_array_dedup)}
+    return {f.__name__: f for f in (op1_warc_salvage, op2_personal_data, op3_benchmark_decontamination, op4_license_scan, op5_minhash_near_dups, op6_edit_aware_counts, op7_sentencepiece, op8_secret_scan, op9_quality_rules, op10_suffix_array_dedup)}
