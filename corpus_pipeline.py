@@ -9,25 +9,57 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sieveworks.llm import quality
+from sieveworks.llm import leaks, near_dups, pieces, pii, quality, shared
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+_OTHERS = ("lang", "source")
 
 
-def _with_text(rows: DataFrame) -> DataFrame:
-    """n_chars follows the text."""
-    return rows.withColumn("n_chars", F.length("text").cast("bigint")).select(*COLUMNS)
+def _with_text(rows: DataFrame, text: str) -> DataFrame:
+    """The columns of `documents`; n_chars follows the text."""
+    return rows.withColumn("text", F.col(text)).withColumn("n_chars", F.length("text").cast("bigint")).select(*COLUMNS)
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the line rules keep, without the lines that they remove."""
-    verdicts = quality.quality_rules(docs)
-    return verdicts.where("kept")
+    return _with_text(quality.quality_rules(docs, carry=_OTHERS).where("kept"), "clean_text")
 
 
-STAGES = [("quality rules", quality_stage)]
+def near_dups_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the least id of each group of near-duplicates."""
+    kept = near_dups.near_duplicates(docs).where("kept").select(F.col("doc_id").alias("kept_id")).distinct()
+    return docs.join(kept.hint("merge"), F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi").select(*COLUMNS)
+
+
+def leaks_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the passages of the benchmark; one of which nothing is left goes."""
+    found = leaks.benchmark_hits(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), carry=_OTHERS)
+    return _with_text(found.where((F.col("n_hit") == 0) | (F.col("n_hit") < F.col("n_words"))), "clean_text")
+
+
+def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with the kinds of personal data in their places."""
+    return _with_text(pii.masked(docs.select(*COLUMNS)), "text")
+
+
+def pieces_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The piece ids of every document, and whether they decode to its text."""
+    return pieces.encode_pieces(docs)
+
+
+STAGES = [
+    ("quality rules", quality_stage),
+    ("near-duplicates", near_dups_stage),
+    ("benchmark decontamination", leaks_stage),
+    ("personal data", pii_stage),
+    ("sentencepiece encoding", pieces_stage),
+]
+#: SQL can't express the pieces; the tests hold run() against a brute-force version
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for _, stage in STAGES[:-1]:
+        docs = shared.written(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -139,10 +139,22 @@ def rows_of_text(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[pa.RecordB
         yield part, [raw[a:b].decode("utf-8", "replace") for a, b in zip(block.off[:-1].tolist(), block.off[1:].tolist(), strict=True)]
 
 
-def text_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The id and the text alone, whatever else the table holds."""
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+def text_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    """The id, the text and the columns to pass on, whatever else the table holds."""
+    return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *(docs[c] for c in carry))
 
 
 def batch(schema: pa.Schema, *columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+
+
+def carried_ddl(docs: DataFrame, names: tuple[str, ...]) -> str:
+    """The columns that an operator passes on as they are, as they follow its own in a schema."""
+    return "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in names)
+
+
+def carried(made: pa.RecordBatch, part: pa.RecordBatch, names: tuple[str, ...], at: int = 2) -> pa.RecordBatch:
+    """What was made of a slice, and the slice's own columns from `at` on."""
+    if not names:
+        return made
+    return pa.RecordBatch.from_arrays([*made.columns, *(part.column(at + k) for k in range(len(names)))], names=[*made.schema.names, *names])

@@ -238,7 +238,7 @@ def _shard_hits(shard: list[_Pending], windows: Windows, hit: list[np.ndarray],
         items[k].setdefault(doc, set()).update(windows.items[windows.first_item[w] : windows.first_item[w + 1]].tolist())
 
 
-def _results(shard: list[_Pending], passes, with_text: bool):
+def _results(shard: list[_Pending], passes, with_text: bool, carry: tuple[str, ...]):
     hit = [np.zeros(len(p.starts), bool) for p in shard]
     names: list[dict[int, set]] = [{} for _ in shard]
     for load in passes:
@@ -267,12 +267,13 @@ def _results(shard: list[_Pending], passes, with_text: bool):
                     chars, last = chars + n, e
             spans.append(out)
             clean.append(b"".join([*rest, raw[last:end]]).decode("utf-8", "replace") if with_text else None)
-        yield B.batch(SCHEMA, p.part.column(0), np.diff(p.firsts), hits, found, spans, clean)
+        yield B.carried(B.batch(SCHEMA, p.part.column(0), np.diff(p.firsts), hits, found, spans, clean), p.part, carry)
 
 
-def benchmark_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", with_text: bool = True) -> DataFrame:
+def benchmark_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", with_text: bool = True, carry: tuple[str, ...] = ()) -> DataFrame:
     """One row per document: its words, those inside an occurrence of a benchmark window, the
-    items that occur, the merged removal spans (code points) and the text without them.
+    items that occur, the merged removal spans (code points), the text without them, and the
+    columns named in `carry`.
 
     Null texts have no words, in either table; a null item id is called "null"; repeated
     documents are searched each by itself and repeated items count once; other columns are
@@ -310,9 +311,9 @@ def benchmark_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
             shard.append(_Pending(part, block, starts, stops, firsts, low.hashes(starts, stops)))
             size += len(block.buf)
             if size >= SHARD_BYTES:
-                yield from _results(shard, passes, with_text)
+                yield from _results(shard, passes, with_text, carry)
                 shard, size = [], 0
         if shard:
-            yield from _results(shard, passes, with_text)
+            yield from _results(shard, passes, with_text, carry)
 
-    return B.text_rows(docs, id_col, text_col).selectExpr("cast(doc_id as bigint) doc_id", "text").mapInArrow(run, DDL)
+    return B.text_rows(docs, id_col, text_col, carry).mapInArrow(run, DDL + B.carried_ddl(docs, carry))

@@ -150,4 +150,4 @@ def license_scan(docs: DataFrame, phrases: dict[str, str] = PHRASES, notices: di
             yield B.batch(SCHEMA, part.column(0), *(list(c) for c in zip(*rows, strict=True)))
 
     notices_list = list(notices.items())
-    return B.text_rows(docs, id_col, text_col).selectExpr("cast(doc_id as bigint) doc_id", "text").mapInArrow(run, DDL)
+    return B.text_rows(docs, id_col, text_col).mapInArrow(run, DDL)

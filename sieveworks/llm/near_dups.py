@@ -63,7 +63,7 @@ def super_minhash(elements: np.ndarray, firsts: np.ndarray, m: int = BANDS * ROW
     for a in range(0, len(elements), _CHUNK):
         seed, of = elements[a : a + _CHUNK], sets[a : a + _CHUNK]
         low, high = of[0], of[-1] + 1
-        places = np.broadcast_to(np.arange(m, dtype=np.uint8), (len(seed), m)).copy()
+        places = np.broadcast_to(np.arange(m, dtype=np.uint8 if m <= 256 else np.uint32), (len(seed), m)).copy()
         for j in range(m):
             draw = B.mix(seed + B.U64((j + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1))
             uniform = (draw >> B.U64(11)).astype(np.float64) * 2.0**-53
@@ -148,7 +148,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_
     document with several texts; a null id has a null component and is kept.  Other columns
     are ignored; an empty table gives an empty result.
     """
-    rows = B.text_rows(docs, id_col, text_col).selectExpr("cast(doc_id as bigint) doc_id", "text")
+    rows = B.text_rows(docs, id_col, text_col)
     signed = written(_signed(rows))
     key = ["n_shingles", "set_a", "set_b"]
     # documents with equal sets: one stands for all

@@ -189,4 +189,4 @@ def encode_pieces(docs: DataFrame, model: str = MODEL, id_col: str = "doc_id", t
             same = [encoder.decode(i) == t for i, t in zip(ids, texts, strict=True)]
             yield B.batch(SCHEMA, part.column(0), [n for n, _ in found], [len(i) for i in ids], [int(encoder.is_byte[i].sum()) for i in ids], [hashlib.sha256(i.tobytes()).hexdigest() for i in ids], same, lists)
 
-    return B.text_rows(docs, id_col, text_col).selectExpr("cast(doc_id as bigint) doc_id", "text").mapInArrow(run, DDL)
+    return B.text_rows(docs, id_col, text_col).mapInArrow(run, DDL)

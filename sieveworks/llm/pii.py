@@ -145,20 +145,19 @@ def _judged(kind: str, s: Column) -> Column:
     return F.struct(F.lit(KINDS.index(kind)).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), votes.alias("votes"), size.alias("size"))
 
 
-def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, base, loose): the spans of every text, with votes; loose ones that meet base ones are left out."""
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    out = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"))
+def candidates(docs: DataFrame, row: Column, text_col: str = "text") -> DataFrame:
+    """(row, base, loose): the spans of every text, with votes; loose ones that meet base ones are left out."""
+    out = docs.select(row.alias("row"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     shapes = BASE | LOOSE
-    out = out.select("doc_id", "text", *(_matches(F.col("text"), p).alias(f"m_{k}") for k, p in shapes.items()))
-    out = out.select("doc_id", *(_spans(F.col("text"), F.col(f"m_{k}"), p).alias(f"s_{k}") for k, p in shapes.items()))
+    out = out.select("row", "text", *(_matches(F.col("text"), p).alias(f"m_{k}") for k, p in shapes.items()))
+    out = out.select("row", *(_spans(F.col("text"), F.col(f"m_{k}"), p).alias(f"s_{k}") for k, p in shapes.items()))
 
     def kept(kind):
         return F.transform(F.filter(f"s_{kind}", lambda s: _passes(kind, s)), lambda s: _judged(kind, s))
 
-    out = out.select("doc_id", F.concat(*(kept(k) for k in BASE)).alias("base"), F.concat(*(kept(k) for k in LOOSE)).alias("loose"))
+    out = out.select("row", F.concat(*(kept(k) for k in BASE)).alias("base"), F.concat(*(kept(k) for k in LOOSE)).alias("loose"))
     apart = F.filter("loose", lambda c: ~F.exists("base", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])))
-    return out.select("doc_id", "base", apart.alias("loose"))
+    return out.select("row", "base", apart.alias("loose"))
 
 
 def reliabilities(votes: np.ndarray, weight: np.ndarray, rounds: int = 50, smooth: float = 1.0) -> tuple[np.ndarray, np.ndarray, float]:
@@ -223,32 +222,39 @@ def _score(weights: np.ndarray, s: Column) -> Column:
     return score + F.when(s["size"] == 1, w[k]).when(s["size"] == 2, w[k + 1]).otherwise(0.0)
 
 
-def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: `spans`, an array of (start, kind, end, base, score) by start, then kind.
-
-    Starts and ends are in code points, ends exclusive; score is null for base spans.  Null
-    text counts as empty.  Repeated rows and ids are judged each by itself, but all rows count
-    in training; other columns are ignored; an empty table gives an empty result.
-    """
-    found = written(candidates(docs, id_col, text_col))
-    weights = train(found)
+def _judged_spans(weights: np.ndarray) -> Column:
+    """Base spans and the loose ones that the classifier accepts, by start, then kind."""
 
     def named(s, base):
         score = F.lit(None).cast("double") if base else _score(weights, s)
         return F.struct(s["start"].alias("start"), s["kind"].alias("rank"), s["end"].alias("end"), F.element_at(F.array(*map(F.lit, KINDS)), s["kind"] + 1).alias("kind"), F.lit(base).alias("base"), score.alias("score"))
 
     loose = F.filter(F.transform("loose", lambda s: named(s, False)), lambda s: s["score"] > 0)
-    return found.select("doc_id", F.array_sort(F.concat(F.transform("base", lambda s: named(s, True)), loose)).alias("spans"))
+    return F.array_sort(F.concat(F.transform("base", lambda s: named(s, True)), loose))
 
 
-def masked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents with [KIND] in place of each span; ids must not repeat.
+def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per document: `spans`, an array of (start, rank, end, kind, base, score) by start, then kind.
 
-    Of spans that meet, the text of all is replaced by the first one's name.  A row without
-    an id, or without text, stays as it is."""
-    found = personal_data(docs, id_col, text_col).where("size(spans) > 0 and doc_id is not null").withColumnRenamed("doc_id", id_col)
+    Starts and ends are in code points, ends exclusive; score is null for base spans.  Null
+    text counts as empty.  Repeated rows and ids are judged each by itself, but all rows count
+    in training; other columns are ignored; an empty table gives an empty result.
+    """
+    found = written(candidates(docs, F.col(id_col), text_col))
+    return found.select(F.col("row").alias("doc_id"), _judged_spans(train(found)).alias("spans"))
+
+
+def masked(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """The same rows with [KIND] in place of each span.  Null text stays null.
+
+    Of spans that meet, the text of all is replaced by the first one's name.  One pass over
+    the texts counts the patterns for training, a second one masks; nothing is shuffled but
+    the counts.
+    """
+    weights = train(candidates(docs, F.lit(None).cast("int"), text_col))
+    found = candidates(docs, F.struct(*(docs[c] for c in docs.columns)), text_col).select("row", _judged_spans(weights).alias("spans"))
+    text = F.col(f"row.`{text_col}`")
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
-    text = F.col(text_col)
 
     def step(acc, s):
         piece = F.substr(text, acc["at"] + 1, F.greatest(s["start"] - acc["at"], F.lit(0)))
@@ -256,4 +262,5 @@ def masked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
         return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(s["start"] < acc["at"], acc["out"]).otherwise(F.concat(acc["out"], new)).alias("out"))
 
     clean = F.aggregate("spans", start, step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substr(text, acc["at"] + 1, F.length(text))))
-    return docs.join(found.hint("merge"), id_col, "left").withColumn(text_col, F.when(F.col("spans").isNotNull() & text.isNotNull(), clean).otherwise(text)).drop("spans")
+    clean = F.when(text.isNotNull() & (F.size("spans") > 0), clean).otherwise(text)
+    return found.select(*(clean.alias(c) if c == text_col else F.col(f"row.`{c}`").alias(c) for c in docs.columns))

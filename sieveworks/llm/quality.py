@@ -110,8 +110,9 @@ def _repeated_lines(block: B.Block, word_starts: np.ndarray) -> np.ndarray:
     return np.bincount(of, minlength=len(block)) - np.bincount(of[one], minlength=len(block))
 
 
-def quality_rules(docs: DataFrame, rules: Rules = Rules(), id_col: str = "doc_id", text_col: str = "text", with_text: bool = True) -> DataFrame:
-    """One row per document: counts, the lines removed, the verdict and the cleaned text.
+def quality_rules(docs: DataFrame, rules: Rules = Rules(), id_col: str = "doc_id", text_col: str = "text", with_text: bool = True, carry: tuple[str, ...] = ()) -> DataFrame:
+    """One row per document: counts, the lines removed, the verdict, the cleaned text, and the
+    columns named in `carry`.
 
     Null text counts as empty: no words, base_failed, not kept.  Repeated rows are judged
     each by itself, ids may be null or repeat, other columns are ignored, an empty table
@@ -143,6 +144,7 @@ def quality_rules(docs: DataFrame, rules: Rules = Rules(), id_col: str = "doc_id
                 left.append(words)
                 clean.append("\n".join(keep) if with_text else None)
             kept = ~failed & (100 * np.array(left) >= rules.min_kept_percent * n)
-            yield B.batch(SCHEMA, part.column(0), n, chars, block.count(SYMBOLS), _repeated_lines(block, starts), again, failed, lines, removed, left, kept, clean)
+            made = B.batch(SCHEMA, part.column(0), n, chars, block.count(SYMBOLS), _repeated_lines(block, starts), again, failed, lines, removed, left, kept, clean)
+            yield B.carried(made, part, carry)
 
-    return B.text_rows(docs, id_col, text_col).selectExpr("cast(doc_id as bigint) doc_id", "text").mapInArrow(run, DDL)
+    return B.text_rows(docs, id_col, text_col, carry).mapInArrow(run, DDL + B.carried_ddl(docs, carry))

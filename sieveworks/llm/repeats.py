@@ -215,7 +215,7 @@ def repeated_passages(docs: DataFrame, size: int = SIZE, id_col: str = "doc_id",
     """
     if size < 2 * GRAM:
         raise ValueError(f"size must be {2 * GRAM} at least")
-    rows = B.text_rows(docs, id_col, text_col).selectExpr("cast(doc_id as bigint) doc_id", "text")
+    rows = B.text_rows(docs, id_col, text_col)
     odd = rows.groupBy("doc_id").agg(F.count("*").alias("c")).where("c > 1 or doc_id is null").limit(1).count()
     part = F.xxhash64("text") if odd else F.lit(0).cast("bigint")
     rows = rows.select(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("doc"), "text", part.alias("part"))

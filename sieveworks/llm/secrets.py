@@ -152,7 +152,7 @@ def secret_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         for part, texts in B.rows_of_text(batches):
             yield B.batch(SCHEMA, part.column(0), [[{"kind": k, "start": a, "end": b} for k, a, b in secret_spans(t)] for t in texts])
 
-    return B.text_rows(docs, id_col, text_col).selectExpr("cast(doc_id as bigint) doc_id", "text").mapInArrow(run, DDL)
+    return B.text_rows(docs, id_col, text_col).mapInArrow(run, DDL)
 
 
 def joined(spans) -> str:

@@ -89,7 +89,8 @@ def test_estimation_finds_the_reliable_labeler():
 
 
 def test_masking_and_empty(spark):
-    rows = [(1, "mail a@b.com now", 3), (2, "nothing", 4), (3, None, 5)]
-    got = {r.doc_id: r.text for r in pii.masked(spark.createDataFrame(rows, "doc_id bigint, text string, base int")).collect()}
-    assert got == {1: "mail [EMAIL] now", 2: "nothing", 3: None}
+    rows = [(1, "mail a@b.com now", 3), (2, "nothing", 4), (3, None, 5), (1, "1.2.3.4", 6), (None, "a@b.co +1 (017) 555-7713.", 7)]
+    got = pii.masked(spark.createDataFrame(rows, "doc_id bigint, text string, base int")).collect()
+    want = {(1, "mail [EMAIL] now", 3), (2, "nothing", 4), (3, None, 5), (1, "[IP]", 6), (None, "[EMAIL] [PHONE].", 7)}
+    assert {tuple(r) for r in got} == want
     assert pii.personal_data(spark.createDataFrame([], "doc_id bigint, text string")).count() == 0
