@@ -242,7 +242,7 @@ def one_hop_callers(t):
     one AS (SELECT callee, min(caller) AS caller FROM {source_edges} GROUP BY callee HAVING count(*) = 1),
     m AS (SELECT b.id, b.finding_id, b.ev, o.caller FROM one o JOIN f b ON b.id = o.callee JOIN f a ON a.id = o.caller WHERE a.id <> b.id AND a.source = b.source AND a.sink = b.sink AND a.source <> '' AND a.sink <> '' AND list_has_any(a.ev, b.ev)),
     g AS (SELECT caller, list_sort(list(id)) AS ids, list(finding_id) AS fs, flatten(list(ev)) AS evs FROM m GROUP BY caller)
-    SELECT f.id, coalesce(array_to_string(g.ids, ','), '') AS merged_from, coalesce(array_to_string(list_sort(list_distinct(list_append(g.fs, f.finding_id))), ','), '') AS merged_finding_ids,
+    SELECT f.id, coalesce(array_to_string(g.ids, ','), '') AS merged_from, CASE WHEN g.caller IS NULL THEN '' ELSE array_to_string(list_sort(list_distinct(list_append(g.fs, f.finding_id))), ',') END AS merged_finding_ids,
     array_to_string(list_sort(list_distinct(list_concat(f.ev, coalesce(g.evs, [])))), ',') AS evidence_ids FROM f LEFT JOIN g ON g.caller = f.id WHERE f.id NOT IN (SELECT id FROM m)"""
 )
 def caller_callee_dedup(t):
