@@ -195,12 +195,14 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_
     mixed = placed.groupBy("band", "bucket").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b").select("band", "bucket")
     sizes = placed.join(mixed, ["band", "bucket"]).groupBy("band", "bucket", "component").agg(F.count("*").alias("n"))
     main = written(sizes.groupBy("band", "bucket").agg(F.max_by("component", F.struct("n", "component")).alias("main")))
-    open_ = written(placed.join(main, ["band", "bucket"]).join(sets.select("rep", "sketch").hint("merge"), "rep"))
-    rest = open_.where("component <> main").select("band", "bucket", F.col("rep").alias("x"), F.col("component").alias("cx"), F.col("n_shingles").alias("nx"), F.col("sketch").alias("sx"))
-    other = open_.select("band", "bucket", F.col("rep").alias("y"), F.col("component").alias("cy"), F.col("n_shingles").alias("ny"), F.col("main").alias("my"), F.col("sketch").alias("sy"))
+    open_ = written(placed.join(main, ["band", "bucket"]).join(sets.select("rep", "sketch", "bands").hint("merge"), "rep"))
+    rest = open_.where("component <> main").select("band", "bucket", F.col("rep").alias("x"), F.col("component").alias("cx"), F.col("n_shingles").alias("nx"), F.col("sketch").alias("sx"), F.col("bands").alias("bx"))
+    other = open_.select("band", "bucket", F.col("rep").alias("y"), F.col("component").alias("cy"), F.col("n_shingles").alias("ny"), F.col("main").alias("my"), F.col("sketch").alias("sy"), F.col("bands").alias("by"))
     fits = (100 * F.least("nx", "ny") >= percent * F.greatest("nx", "ny")) & (F.col("cx") != F.col("cy")) & ((F.col("cy") == F.col("my")) | (F.col("x") < F.col("y")))
     # sketches rule out most pairs whose similarity is clearly too low
     fits &= differing_places(F.col("sx"), F.col("sy")) <= int((1 - (percent / 100 - SKETCH_SLACK)) * BANDS * ROWS * 15 / 16)
+    # a pair that meets in several bands counts in the first of them
+    fits &= ~F.exists(F.slice(F.zip_with("bx", "by", lambda a, b: a == b), F.lit(1), F.col("band")), lambda same: same)
     cross = rest.join(other, ["band", "bucket"]).where(fits).select(F.greatest("x", "y").alias("u"), F.least("x", "y").alias("v")).distinct()
     second = written(_confirmed(cross.join(tried, ["u", "v"], "left_anti"), texts, percent))
     # links between components join these
