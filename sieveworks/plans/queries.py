@@ -9,20 +9,9 @@ from pyspark.sql import functions as F
 
 from ..functions import html, texts, verdicts
 from ..operators import graph, matching, records, stages
-from .derived import Tables, duckdb_sql
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def add(f: Callable[[Tables], DataFrame]):
-        QUERIES[f.__name__] = lambda spark, sf_dir: f(Tables(spark, sf_dir))
-        if sql:
-            ORACLES[f.__name__] = duckdb_sql(sql)
-        return f
-
-    return add
+from . import checked, summed  # noqa: F401  they register theirs
+from .derived import Tables
+from .registry import ORACLES, QUERIES, query
 
 
 def _joined(c) -> F.Column:
