@@ -25,12 +25,13 @@ from .shared import written
 
 SHINGLE = 5
 PERCENT = 75
-#: 64 bands of 8: a pair at the threshold is missed with a probability of 0.0012, one at 0.8 of
-#: 8 in a million; pairs that share half of their shingles meet in a fifth of the cases
-BANDS, ROWS = 64, 8
+PLACES = 512
+#: 85 bands of 6 of the signature's places: a pair at the threshold is missed with a probability
+#: of 5.8e-8; pairs that share half of their shingles meet in three quarters of the cases
+BANDS, ROWS = 85, 6
 #: four bits of each place make a sketch; it estimates a similarity of 0.75 with a deviation of
-#: 0.0204, so that one at the threshold falls this much below in one of 30,000 cases
-SKETCH_SLACK = 0.082
+#: 0.0204, so that one at the threshold falls six of these below in one of a billion cases
+SKETCH_SLACK = 0.123
 _CHUNK = 1 << 14
 
 SIGNED = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set_a", pa.int64()), ("set_b", pa.int64()), ("bands", pa.list_(pa.int64())), ("sketch", pa.list_(pa.int64()))])
@@ -59,7 +60,7 @@ def shingle_sets(block: B.Block, size: int = SHINGLE) -> tuple[np.ndarray, np.nd
     return value, np.searchsorted(of, np.arange(len(n) + 1))
 
 
-def super_minhash(elements: np.ndarray, firsts: np.ndarray, m: int = BANDS * ROWS) -> np.ndarray:
+def super_minhash(elements: np.ndarray, firsts: np.ndarray, m: int = PLACES) -> np.ndarray:
     """A signature of m places for each set of elements; a set without elements has m in all."""
     sets = np.repeat(np.arange(len(firsts) - 1), np.diff(firsts))
     out = np.full((len(firsts) - 1, m), float(m))
@@ -85,7 +86,7 @@ def super_minhash(elements: np.ndarray, firsts: np.ndarray, m: int = BANDS * ROW
 
 
 def band_keys(signatures: np.ndarray) -> np.ndarray:
-    bits = np.ascontiguousarray(signatures).view(np.uint64).reshape(len(signatures), BANDS, ROWS)
+    bits = np.ascontiguousarray(signatures).view(np.uint64)[:, : BANDS * ROWS].reshape(len(signatures), BANDS, ROWS)
     key = np.broadcast_to(np.arange(BANDS, dtype=np.uint64), (len(signatures), BANDS))
     for k in range(ROWS):
         key = B.mix(key + B.mix(bits[:, :, k]))
@@ -99,7 +100,7 @@ def sketches(signatures: np.ndarray) -> np.ndarray:
     return np.bitwise_or.reduce((bits << shifts).reshape(len(bits), -1, 16), axis=2).view(np.int64)
 
 
-def differing_places(a, b, numbers: int = BANDS * ROWS // 16):
+def differing_places(a, b, numbers: int = PLACES // 16):
     """Places in which two sketches differ."""
     total = F.lit(0)
     for k in range(numbers):
@@ -200,7 +201,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_
     other = open_.select("band", "bucket", F.col("rep").alias("y"), F.col("component").alias("cy"), F.col("n_shingles").alias("ny"), F.col("main").alias("my"), F.col("sketch").alias("sy"), F.col("bands").alias("by"))
     fits = (100 * F.least("nx", "ny") >= percent * F.greatest("nx", "ny")) & (F.col("cx") != F.col("cy")) & ((F.col("cy") == F.col("my")) | (F.col("x") < F.col("y")))
     # sketches rule out most pairs whose similarity is clearly too low
-    fits &= differing_places(F.col("sx"), F.col("sy")) <= int((1 - (percent / 100 - SKETCH_SLACK)) * BANDS * ROWS * 15 / 16)
+    fits &= differing_places(F.col("sx"), F.col("sy")) <= int((1 - (percent / 100 - SKETCH_SLACK)) * PLACES * 15 / 16)
     # a pair that meets in several bands counts in the first of them
     fits &= ~F.exists(F.slice(F.zip_with("bx", "by", lambda a, b: a == b), F.lit(1), F.col("band")), lambda same: same)
     cross = rest.join(other, ["band", "bucket"]).where(fits).select(F.greatest("x", "y").alias("u"), F.least("x", "y").alias("v")).distinct()

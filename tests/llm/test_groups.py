@@ -67,6 +67,15 @@ def test_near_duplicates(spark, sf_dir, tmp_path):
     assert found(queries.op5_minhash_near_dups(spark, str(tmp_path))) == components(rows)
 
 
+def test_near_duplicates_at_the_threshold(spark):
+    # seven words, and the same with one more: 3 of 4 shingles
+    texts = [" ".join(f"p{k}x{j}" for j in range(n)) for k in range(6000) for n in (7, 8)]
+    got = found(near_dups.near_duplicates(spark.createDataFrame(list(enumerate(texts)), DDL).repartition(8)))
+    assert [i for i, (_, component, _) in got.items() if component != i // 2 * 2] == []
+    deviation = (0.75 * 0.25 / near_dups.PLACES) ** 0.5
+    assert near_dups.SKETCH_SLACK >= 6 * deviation
+
+
 def test_near_duplicates_odd_rows(spark):
     rows = [(1, "a b c d e f"), (1, "a b c d e f"), (None, "a b c d e f"), (2, "A b c d e f")]
     got = near_dups.near_duplicates(spark.createDataFrame([(*r, 1) for r in rows], DDL + ", component_id int")).collect()
