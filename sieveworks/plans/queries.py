@@ -91,10 +91,11 @@ def state_per_file_worst(t):
 
 @query("SELECT 'reachability_sum' AS rule, true AS ok UNION ALL SELECT 'stage1_sum', true UNION ALL SELECT 'not_negative', true")
 def metric_checks(t):
-    status = graph.reachability(t["nodes"], t["edges"], t["roots"])
+    # every unit that the graph or the first stage knows is a node
+    units = t["nodes"].select("id").unionAll(t["stage1"].select("unit_id"))
+    status = graph.reachability(units, t["edges"], t["roots"])
     reach = status.agg(F.count("*").alias("total_units"), F.count_if(F.col("status") == "reachable").alias("reachable"), F.count_if(F.col("status") == "unreachable").alias("unreachable"), F.count_if(F.col("status") == "unknown").alias("unknown_reachability"))
-    units = t["stage1"].join(t["nodes"].select(F.col("id").alias("unit_id")), "unit_id", "left_semi")
-    return stages.metric_errors(reach.crossJoin(stages.metrics(units, t["stage2"], t["dynamic"])))  # two single rows
+    return stages.metric_errors(reach.crossJoin(stages.metrics(t["stage1"], t["stage2"], t["dynamic"])))  # two single rows
 
 
 @query(f"SELECT unit_id, 'reproduced_but_rejected' AS rule FROM ({_STATES}) x WHERE final_state = 'reproduced' AND d2 = 'rejected'")

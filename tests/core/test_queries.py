@@ -42,6 +42,16 @@ def test_equals_sql(spark, sf_dir, duck, name):
     assert want or name == "state_violations"
 
 
+def test_metric_checks_count_all_units(spark, sf_dir, duck, monkeypatch):
+    seen, rules = [], queries.stages.metric_errors
+    monkeypatch.setattr(queries.stages, "metric_errors", lambda row: seen.append(row.collect()[0]) or rules(row))
+    queries.QUERIES["metric_checks"](spark, sf_dir)
+    (row,) = seen
+    first, total = duck.execute("SELECT (SELECT count(*) FROM orders), (SELECT count(*) FROM (SELECT p_partkey FROM part UNION SELECT o_orderkey FROM orders) x)").fetchone()
+    assert sum(row[f"stage1_{k}"] for k in ("candidates", "no_finding", "inconclusive", "errors")) == first
+    assert row.total_units == row.reachable + row.unreachable + row.unknown_reachability == total
+
+
 def test_no_core_module_names_the_corpus_folder():
     top = os.path.dirname(queries.__file__) + "/.."
     for folder, _, files in os.walk(top):
