@@ -54,7 +54,7 @@ STAGES = [
     ("personal data", pii_stage),
     ("sentencepiece encoding", pieces_stage),
 ]
-#: SQL can't express the pieces; the tests hold run() against a brute-force version
+#: SQL can't express the pieces; the tests hold the near-duplicate stage against a brute-force version, the others to bounds
 ORACLE_SQL = None
 
 

@@ -25,7 +25,7 @@ BOILERPLATE = (
     "enable javascript", "javascript is disabled", "lorem ipsum", "click here", "read more", "sign up", "log in",
     "subscribe to our newsletter", "share this", "follow us", "back to top", "skip to content", "powered by",
 )
-_FURNITURE = re.compile("|".join(map(re.escape, BOILERPLATE)))
+_FURNITURE = re.compile(rf"(?<!\w)(?:{'|'.join(map(re.escape, BOILERPLATE))})(?!\w)")
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _BARS = re.compile(r"(?<![^\x20\x09-\x0D])[|»›>•·/](?![^\x20\x09-\x0D])")
 _MARKED = re.compile(r"[#*$%&|<>{}\\~^=_+]|!!")

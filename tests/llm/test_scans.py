@@ -126,6 +126,13 @@ def test_lines_are_removed(spark):
     assert row.kept and row.clean_text == body and row.n_lines_removed == 2
 
 
+def test_boilerplate_inside_words_stays():
+    for line in ("Ein Dialog in der Stadt, heute.", "Der Katalog in drei Teilen.", "An analog input of five volts.", "They spread more rumours.", "They log insights."):
+        assert not quality.line_fails(line, False, quality.Rules())[1], line
+    for line in ("Please log in.", "LOG IN", "Read more…", "(sign up)", "All rights reserved."):
+        assert quality.line_fails(line, False, quality.Rules())[1], line
+
+
 def leak_rows(docs, items, window=10):
     patterns = {}
     for i, text in items:
