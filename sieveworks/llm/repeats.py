@@ -4,10 +4,11 @@ Each byte that a `size`-byte string covers which also starts earlier (in a docum
 smaller id, or further up) is removed.  Two equal strings have the same least hash among
 their GRAM-byte pieces, so each string belongs to the anchor with that hash; an anchor's
 strings lie in one stretch of text, its context.  Only anchors whose hash occurs twice go
-on.  Equal contexts collapse to the first; different contexts of one hash are sorted together
-as suffixes (two stages, then adjacent common prefixes), and runs of `size` or more are
-equal strings.  Contexts of a very common hash are dealt to several tasks; the distinct
-strings that are left there meet once more by their hash.
+on.  Equal contexts collapse to the first before anything meets by the anchor's hash alone, so
+a passage that stands in a third of all documents is one row from there on; different contexts
+of one hash are sorted together as suffixes (two stages, then adjacent common prefixes), and
+runs of `size` or more are equal strings.  Contexts of a very common hash are dealt to several
+tasks; the distinct strings that are left there meet once more by their hash.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import blocks as B
-from .shared import written
+from .shared import forget, keyed_join, written
 from .suffixes import common_prefixes, suffix_order
 
 SIZE = 100
@@ -30,6 +31,7 @@ TOGETHER = 4000
 SORT_BYTES = 1 << 20
 _BLOCK = 1 << 19
 _SEPARATOR = np.uint8(0xFF)  # in no UTF-8 text
+_TOP, _SIGN = (1 << 63) - 1, -(1 << 63)
 
 COUNTED = pa.schema([("h", pa.int64()), ("c", pa.int64())])
 ANCHORS = pa.schema([("h", pa.int64()), ("doc", pa.int64()), ("part", pa.int64()), ("a", pa.int64()), ("n", pa.int32())])
@@ -201,7 +203,8 @@ def _cleaned(part: pa.RecordBatch, block: B.Block, size: int, with_text: bool) -
                 at = a + e
         kept = b"".join([*rest, raw[at:b]])
         rows.append((b - a, b - a - len(kept), len(spans), hashlib.sha256(kept).hexdigest(), spans, kept.decode("utf-8", "ignore") if with_text else None))
-    return B.batch(RESULT, part.column(0), *(list(c) for c in zip(*rows, strict=True)))
+    ids, parts = np.asarray(part.column(0)), np.asarray(part.column(2))
+    return B.batch(RESULT, pa.array(ids, pa.int64(), mask=(ids == _TOP) & (parts >= 0)), *(list(c) for c in zip(*rows, strict=True)))
 
 
 def repeated_passages(docs: DataFrame, size: int = SIZE, id_col: str = "doc_id", text_col: str = "text", with_text: bool = True) -> DataFrame:
@@ -217,8 +220,10 @@ def repeated_passages(docs: DataFrame, size: int = SIZE, id_col: str = "doc_id",
         raise ValueError(f"size must be {2 * GRAM} at least")
     rows = B.text_rows(docs, id_col, text_col)
     odd = rows.groupBy("doc_id").agg(F.count("*").alias("c")).where("c > 1 or doc_id is null").limit(1).count()
-    part = F.xxhash64("text") if odd else F.lit(0).cast("bigint")
-    rows = rows.select(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("doc"), "text", part.alias("part"))
+    # rows without an id come last: theirs is the largest id and a part that is not negative
+    own = F.xxhash64("text")
+    part = F.when(F.col("doc_id").isNull(), own.bitwiseAND(F.lit(_TOP))).otherwise(own.bitwiseOR(F.lit(_SIGN))) if odd else F.lit(-1).cast("bigint")
+    rows = rows.select(F.coalesce("doc_id", F.lit(_TOP)).alias("doc"), "text", part.alias("part"))
 
     def count(batches):
         for _, block in B.blocks(batches, limit=_BLOCK):
@@ -242,23 +247,27 @@ def repeated_passages(docs: DataFrame, size: int = SIZE, id_col: str = "doc_id",
         for some, block in B.blocks(batches):
             yield _cleaned(some, block, size, with_text)
 
-    twice = written(rows.mapInArrow(count, "h bigint, c bigint").groupBy("h").agg(F.sum("c").alias("c")).where("c > 1").select("h"))
-    hits = written(rows.mapInArrow(list_, ANCHORS_DDL).join(twice.hint("merge"), "h"))
+    twice = written(rows.mapInArrow(count, "h bigint, c bigint").groupBy("h").agg(F.sum("c").alias("c")).where("c > 1"))
+    hits = written(keyed_join(rows.mapInArrow(list_, ANCHORS_DDL), twice, ["h"], "c").drop("c"))
+    forget(twice)
     listed = hits.groupBy("doc", "part").agg(F.collect_list(F.struct("h", "a", "n")).alias("list"))
     contexts = written(rows.join(listed.hint("merge"), ["doc", "part"]).select("doc", "text", "part", "list").mapInArrow(cut, CONTEXTS_DDL))
+    forget(hits)
     start = F.struct("doc", "part", "a")
+    one = written(contexts.groupBy("h", "x").agg(F.min(F.struct("doc", "part", "a", "n")).alias("first"), F.max("bytes").alias("bytes"), F.count("*").alias("c")))
     # all strings of a context that has an equal one before
-    firsts = written(contexts.groupBy("h", "x").agg(F.min(start).alias("first"), F.count("*").alias("c")).where("c > 1").drop("c"))
-    copies = contexts.drop("bytes").join(firsts.hint("merge"), ["h", "x"]).where(start != F.col("first")).select("doc", "part", "a", "n")
+    again = one.where("c > 1").select("h", "x", F.struct("first.doc", "first.part", "first.a").alias("first"), "c")
+    copies = written(keyed_join(contexts.drop("bytes"), again, ["h", "x"], "c").where(start != F.col("first")).select("doc", "part", "a", "n"))
+    forget(contexts)
     # different contexts of one hash
-    several = written(contexts.groupBy("h").agg(F.min("x").alias("least"), F.max("x").alias("most"), F.count("*").alias("c")).where("least <> most").select("h", F.ceil(F.col("c") / TOGETHER).alias("salts")))
-    dealt = contexts.join(several.hint("merge"), "h").withColumn("salt", F.pmod("x", "salts"))
-    first = dealt.groupBy("h", "salt", "x").agg(F.min(F.struct("doc", "part", "a", "n")).alias("first"), F.max("bytes").alias("bytes"), F.first("salts").alias("salts"))
-    found = written(first.select("h", "salt", "salts", "first.*", "bytes").repartition("h", "salt").sortWithinPartitions("h", "salt").mapInArrow(sort, FOUND_DDL))
+    several = written(one.groupBy("h").agg(F.count("*").alias("k")).where("k > 1").withColumn("salts", F.ceil(F.col("k") / TOGETHER)))
+    dealt = keyed_join(one.select("h", "x", "first", "bytes"), several, ["h"], "k").select("h", F.pmod("x", "salts").alias("salt"), "salts", "first.*", "bytes")
+    found = written(dealt.repartition("h", "salt").sortWithinPartitions("h", "salt").mapInArrow(sort, FOUND_DDL))
+    forget(one, several)
     open_ = found.where("w is not null")
-    best = written(open_.groupBy("h", "w").agg(F.min(start).alias("first")))
+    # a string occurs once in each of its hash's tasks, so these groups are as small as their number
+    best = open_.groupBy("h", "w").agg(F.min(start).alias("first"))
     later = open_.join(best.hint("merge"), ["h", "w"]).where(start != F.col("first")).select("doc", "part", "a", "n")
     removed = copies.union(found.where("w is null").select("doc", "part", "a", "n")).union(later)
     by_doc = removed.groupBy("doc", "part").agg(F.collect_list(F.struct("a", "n")).alias("list"))
-    out = rows.join(by_doc.hint("merge"), ["doc", "part"], "left").select("doc", "text", "part", "list").mapInArrow(clean, RESULT_DDL)
-    return out.withColumn("doc_id", F.when(F.col("doc_id") != (1 << 63) - 1, F.col("doc_id")))
+    return rows.join(by_doc.hint("merge"), ["doc", "part"], "left").select("doc", "text", "part", "list").mapInArrow(clean, RESULT_DDL)

@@ -6,7 +6,7 @@ import random
 import numpy as np
 import pytest
 
-from sieveworks.llm import repeats
+from sieveworks.llm import repeats, shared
 from sieveworks.llm.suffixes import common_prefixes, suffix_order
 
 SCHEMA = "doc_id bigint, text string"
@@ -55,6 +55,31 @@ def test_equals_brute_force(spark, monkeypatch, together):
     assert found(repeats.repeated_passages(df)) == brute(rows)
 
 
+def test_hot_hashes_are_dealt(spark, monkeypatch):
+    monkeypatch.setattr(shared, "HOT_LEAST", 5)
+    monkeypatch.setattr(shared, "HOT_PART", 1 << 40)
+    monkeypatch.setattr(repeats, "TOGETHER", 3)
+    rows = texts(8)
+    assert found(repeats.repeated_passages(spark.createDataFrame(rows, SCHEMA).repartition(5))) == brute(rows)
+
+
+def test_keyed_join(spark, monkeypatch):
+    monkeypatch.setattr(shared, "HOT_LEAST", 3)
+    rows = spark.createDataFrame([(k % 4 if k % 3 else 7, k) for k in range(40)] + [(None, 99)], "h bigint, v int")
+    keyed = spark.createDataFrame([(0, 7, "a"), (1, 2, "b"), (7, 13, "c"), (9, 0, "d")], "h bigint, c bigint, w string")
+    want = sorted(map(tuple, rows.join(keyed, "h").select("h", "v", "c", "w").collect()))
+    assert sorted(map(tuple, shared.keyed_join(rows, keyed, ["h"], "c").select("h", "v", "c", "w").collect())) == want
+
+
+def test_largest_id_and_clashing_columns(spark):
+    top, text = (1 << 63) - 1, "one passage, said again and again, " * 6
+    rows = [(top, text, 1, b"x", "p"), (None, text, 2, b"y", "q"), (5, text, 3, b"z", "r")]
+    got = repeats.repeated_passages(spark.createDataFrame(rows, "doc_id bigint, text string, n int, bytes binary, part string"))
+    assert got.columns == [f.name for f in repeats.RESULT]
+    gone = {r.doc_id: r.n_removed for r in got.collect()}
+    assert gone[top] == gone[None] == len(text) and gone[5] < len(text)
+
+
 def test_whole_table(spark, sf_dir):
     df = spark.read.parquet(f"{sf_dir}/documents.parquet")
     rows = [(r.doc_id, r.text) for r in df.select("doc_id", "text").collect()]
