@@ -1,8 +1,5 @@
-"""Near-duplicates, archives, tokens and the whole pipeline against brute-force versions."""
+"""Near-duplicates, tokens and the whole pipeline against brute-force versions."""
 
-import base64
-import gzip
-import hashlib
 import random
 import re
 
@@ -10,7 +7,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from sieveworks.llm import counts, near_dups, pieces, queries, warc
+from sieveworks.llm import counts, near_dups, pieces, queries
 
 INK = re.compile(r"[^\x20\x09-\x0D]+")
 DDL = "doc_id bigint, text string"
@@ -91,36 +88,6 @@ def test_signatures_estimate_similarity():
     assert abs((sign[0] == sign[1]).mean() - 0.6) < 0.06
 
 
-def test_archives(spark, sf_dir, tmp_path):
-    pages = [(r.page_id, r.url, r.html) for r in spark.read.parquet(f"{sf_dir}/pages.parquet").collect()]
-    pages += [(10**6 + k, u, h) for k, (u, h) in enumerate([(None, None), ("http://x/ y\r\n", ""), ("u", "é" * 1000), ("u", "é" * 1000), ("v", "WARC/1.1\r\n\r\n"), ("w", "\x1f\x8b\x08")])]
-    spark.createDataFrame(pages, "page_id bigint, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
-    got = {r.page_id: (r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in queries.op1_warc_salvage(spark, str(tmp_path)).collect()}
-    best = {}
-    for i, _, h in pages:
-        best[h or ""] = max(best.get(h or "", i), i)
-    want = {}
-    for i, _, h in pages:
-        data, first = (h or "").encode(), best[h or ""]
-        want[i] = (len(data), base64.b32encode(hashlib.sha1(data).digest()).decode(), "response" if first == i else "revisit", None if first == i else first)
-    assert got == want
-
-
-@pytest.mark.parametrize("packed", [True, False])
-def test_salvage(packed):
-    records = [warc.record(k, "http://x", f"body {k}".encode() * 50) + b"\r\n\r\n" for k in range(6)]
-    parts = [warc.member(r) for r in records] if packed else records
-    data = bytearray(b"".join(parts))
-    begins = np.cumsum([0] + [len(p) for p in parts])
-    data[begins[2] + len(parts[2]) // 2] ^= 0xFF
-    broken = bytes(data[: begins[4]]) + b"junk" + bytes(data[begins[4] :])[:-9]
-    found = list(warc.salvage(broken))
-    assert [(f.headers or {}).get("warc-record-id") for f in found if not f.problem] == [f"<urn:page:{k}>" for k in (0, 1, 3, 4)]
-    assert [(f.start, f.end) for f in found if f.problem] == [(begins[2], begins[3]), (begins[4], begins[4] + 4), (begins[5] + 4, len(broken))]
-    if packed:
-        assert gzip.decompress(b"".join(parts)) == b"".join(records)
-
-
 def test_edited_counts(spark):
     import tiktoken
 
