@@ -1,7 +1,7 @@
 """Line-first quality rules.
 
-Each line is judged alone (punctuation, navigation, boilerplate, repetition); lines
-that fail are removed, and a document that loses too many of its words that way is
+Each line is judged alone (terminal punctuation, navigation, boilerplate, marks, repetition);
+lines that fail are removed, and a document that loses too many of its words that way is
 rejected.  Word and repetition counts of the whole text come with each verdict.
 """
 
@@ -19,17 +19,31 @@ from . import blocks as B
 # Characters counted as symbols.
 SYMBOLS = np.zeros(256, bool)
 SYMBOLS[list(b"#*$%&|<>")] = True
-# Phrases of page furniture, in the lower case.
+# Phrases of page furniture, in the lower case, of the corpus's four languages.
 BOILERPLATE = (
-    "all rights reserved", "accept cookies", "cookie policy", "privacy policy", "terms of use", "terms of service",
-    "enable javascript", "javascript is disabled", "lorem ipsum", "click here", "read more", "sign up", "log in",
-    "subscribe to our newsletter", "share this", "follow us", "back to top", "skip to content", "powered by",
+    "all rights reserved", "accept cookies", "accept all cookies", "cookie policy", "privacy policy", "terms of use", "terms of service", "enable javascript", "javascript is disabled",
+    "lorem ipsum", "click here", "read more", "sign up", "log in", "subscribe to our newsletter", "share this", "follow us", "back to top", "skip to content", "powered by",
+    "alle rechte vorbehalten", "cookies akzeptieren", "cookie-richtlinie", "datenschutzerklärung", "allgemeine geschäftsbedingungen", "javascript aktivieren", "hier klicken", "mehr lesen",
+    "weiterlesen", "jetzt anmelden", "jetzt registrieren", "newsletter abonnieren", "folgen sie uns", "nach oben", "zum inhalt springen",
+    "tous droits réservés", "accepter les cookies", "politique de confidentialité", "mentions légales", "conditions d'utilisation", "activer javascript", "cliquez ici", "lire la suite",
+    "en savoir plus", "se connecter", "s'inscrire", "abonnez-vous à notre newsletter", "suivez-nous", "retour en haut", "aller au contenu",
+    "todos los derechos reservados", "aceptar cookies", "política de cookies", "política de privacidad", "aviso legal", "condiciones de uso", "activar javascript", "haga clic aquí", "leer más",
+    "iniciar sesión", "regístrate", "suscríbete a nuestro boletín", "síguenos", "volver arriba", "saltar al contenido",
 )
+# Words that menus are made of, in the lower case.
+MENU_WORDS = frozenset(
+    "home about contact products services blog news login register search faq help support careers shop cart account sitemap archive categories tags menu next previous "
+    "startseite kontakt produkte leistungen impressum anmelden suche hilfe karriere warenkorb konto übersicht weiter zurück "
+    "accueil produits actualités connexion recherche aide panier compte suivant précédent "
+    "inicio contacto productos servicios noticias buscar ayuda carrito cuenta siguiente anterior".split()
+)
 _FURNITURE = re.compile(rf"(?<!\w)(?:{'|'.join(map(re.escape, BOILERPLATE))})(?!\w)")
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _BARS = re.compile(r"(?<![^\x20\x09-\x0D])[|»›>•·/](?![^\x20\x09-\x0D])")
 _MARKED = re.compile(r"[#*$%&|<>{}\\~^=_+]|!!")
-_ENDS = tuple('.!?…。！？:;,"\'”’»)')
+_CLOSERS = "\"'”’»«)]}*"
+_ENDS = tuple(".!?…。！？؟।")
+_SENTENCE_END = re.compile(r"\w[.!?…。！？؟।][\"'”’»)\]]*[\x20\x09-\x0D]+")
 
 SCHEMA = pa.schema([
     ("doc_id", pa.int64()), ("n_words", pa.int64()), ("word_chars", pa.int64()), ("n_symbols", pa.int64()), ("n_dup_lines", pa.int64()),
@@ -45,22 +59,29 @@ DDL = (
 @dataclass(frozen=True)
 class Rules:
     """min_words, max_repeat_percent: the whole text's limits.  min_kept_percent: a document
-    that keeps fewer of its words than this is rejected.  navigation_percent,
-    marked_percent: a line fails with more bars, or more marked words, among its words.
-    furniture_words: boilerplate phrases count in lines of at most so many words.
-    heading_words: an unpunctuated line of fewer words fails unless it is the first."""
+    that keeps fewer of its words than this is rejected.
+
+    Of lines: navigation_percent, marked_percent: one fails with more bars, or more marked words,
+    among its words; menu_percent: or with as many words of menus; furniture_words: boilerplate
+    phrases count in lines of at most so many words; distinct_percent: one of ten words or more
+    fails with fewer different ones.  A line must end in terminal punctuation, but for closing
+    quotes and brackets; exempt are a title (the first line, of at most title_words, with more
+    lines after it) and prose that breaks off (a sentence end inside, and prose_words or more)."""
 
     min_words: int = 50
     max_repeat_percent: int = 50
     min_kept_percent: int = 50
     navigation_percent: int = 25
     marked_percent: int = 40
+    menu_percent: int = 50
     furniture_words: int = 30
-    heading_words: int = 2
+    distinct_percent: int = 20
+    title_words: int = 15
+    prose_words: int = 10
 
 
-def line_fails(line: str, first: bool, rules: Rules) -> tuple[int, bool]:
-    """The line's words, and whether a rule removes it.  A blank line is kept."""
+def line_fails(line: str, title: bool, rules: Rules) -> tuple[int, bool]:
+    """The line's words, and whether a rule removes it.  title: it may be one.  A blank line is kept."""
     words = _WORD.findall(line)
     n = len(words)
     if not n:
@@ -72,7 +93,15 @@ def line_fails(line: str, first: bool, rules: Rules) -> tuple[int, bool]:
         return n, True
     if n <= rules.furniture_words and _FURNITURE.search(line.lower()):
         return n, True
-    return n, n < rules.heading_words and not first and not line.rstrip().endswith(_ENDS)
+    if n >= 10 and 100 * len(set(words)) < rules.distinct_percent * n:
+        return n, True
+    if line.rstrip().rstrip(_CLOSERS).endswith(_ENDS):
+        return n, False
+    if 2 <= n <= rules.furniture_words and 100 * sum(1 for w in words if w.lower() in MENU_WORDS) >= rules.menu_percent * n:
+        return n, True
+    if title and n <= rules.title_words:
+        return n, False
+    return n, n < rules.prose_words or not _SENTENCE_END.search(line)
 
 
 def _repeated_words(block: B.Block, hashes: np.ndarray, firsts: np.ndarray) -> np.ndarray:
@@ -135,7 +164,7 @@ def quality_rules(docs: DataFrame, rules: Rules = Rules(), id_col: str = "doc_id
                 keep, words = [], 0
                 split = raw[a:b].decode("utf-8", "replace").split("\n")
                 for k, line in enumerate(split):
-                    count, bad = line_fails(line, k == 0, rules)
+                    count, bad = line_fails(line, k == 0 and len(split) > 1, rules)
                     if not bad:
                         words += count
                         keep.append(line)

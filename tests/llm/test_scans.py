@@ -133,6 +133,27 @@ def test_boilerplate_inside_words_stays():
         assert quality.line_fails(line, False, quality.Rules())[1], line
 
 
+def test_terminal_punctuation():
+    rules = quality.Rules()
+    for line in ("Home About Contact Products Services", "Startseite Kontakt Impressum", "an unpunctuated run of words that never comes to any end at all", "Heading", "See the list:", "one, two,"):
+        assert quality.line_fails(line, False, rules)[1], line
+    assert quality.line_fails("Home About Contact Products Services", True, rules)[1]
+    for line in ('He said "no."', "Really?!", "(An aside.)", "«Fin.»", "终于。", "Of.", "A long first sentence ends here. The second one of the page breaks off wi"):
+        assert not quality.line_fails(line, False, rules)[1], line
+    assert not quality.line_fails("A title of some words", True, rules)[1]
+    for line in ("Alle Rechte vorbehalten.", "Lire la suite…", "Síguenos.", "La política de privacidad.", "eh " * 30 + "."):
+        assert quality.line_fails(line, False, rules)[1], line
+
+
+def test_verdicts_agree_with_labels(spark):
+    folder = "/root/testdata/sf0.01"
+    docs, labels = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "labels"))
+    rows = quality.quality_rules(docs, with_text=False).where("not base_failed").join(labels, "doc_id").select("kept", "quality", "n_words", "n_words_kept").collect()
+    good, bad = [r for r in rows if r.quality], [r for r in rows if not r.quality]
+    assert sum(r.kept for r in good) >= 0.99 * len(good) and sum(r.kept for r in bad) <= 0.3 * len(bad)
+    assert sum(r.n_words_kept for r in good) >= 0.99 * sum(r.n_words for r in good)
+
+
 def leak_rows(docs, items, window=10):
     patterns = {}
     for i, text in items:
