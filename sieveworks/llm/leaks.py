@@ -10,6 +10,7 @@ positions.
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 import numpy as np
@@ -18,17 +19,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import blocks as B
+from .shared import forget, written
 
 WINDOW = 10
 SAMPLE = 8
 SHARD_BYTES = 8 << 20
-#: text bytes of the benchmark that are searched for at once; more go in further passes
+#: text bytes of the benchmark that are searched for in one pass over the documents
 ITEM_BYTES = 8 << 20
 
 SCHEMA = pa.schema([
     ("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_hit", pa.int64()), ("items", pa.list_(pa.string())),
     ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), ("clean_text", pa.string()),
 ])
+#: what passes before the last one pass on: words hit so far, and items
+STATE_DDL = ", `_hits` array<struct<a:bigint,b:bigint>>, `_items` array<string>"
+STATE = pa.schema([("_hits", pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))), ("_items", pa.list_(pa.string()))])
 DDL = "doc_id bigint, n_words bigint, n_hit bigint, items array<string>, spans array<struct<start:bigint,end:bigint>>, clean_text string"
 
 
@@ -238,17 +243,54 @@ def _shard_hits(shard: list[_Pending], windows: Windows, hit: list[np.ndarray],
         items[k].setdefault(doc, set()).update(windows.items[windows.first_item[w] : windows.first_item[w + 1]].tolist())
 
 
-def _results(shard: list[_Pending], passes, with_text: bool, carry: tuple[str, ...]):
+_built: tuple[str, Windows | None] | None = None
+
+
+def _windows(key: str, items: list[tuple[str, str]], size: int) -> Windows | None:
+    """The windows of a pass's items, built once in each of Spark's Python workers."""
+    global _built
+    if _built is None or _built[0] != key:
+        _built = key, windows_of(items, size)
+    return _built[1]
+
+
+def _runs(marks: np.ndarray) -> list[tuple[int, int]]:
+    """The maximal runs of true marks."""
+    edge = np.flatnonzero(np.diff(np.concatenate([[0], marks.astype(np.int8), [0]])))
+    return list(zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True))
+
+
+def _searched(shard: list[_Pending], windows: Windows | None, at: int | None) -> tuple[list[np.ndarray], list[dict[int, set]]]:
+    """Each block's hit words and the items of each document; at: where the columns of a state begin."""
     hit = [np.zeros(len(p.starts), bool) for p in shard]
     names: list[dict[int, set]] = [{} for _ in shard]
-    for load in passes:
-        windows = load()
-        items: list[dict[int, set]] = [{} for _ in shard]
-        _shard_hits(shard, windows, hit, items)
-        for k, by_doc in enumerate(items):
+    if at is not None:
+        for p, h, name in zip(shard, hit, names, strict=True):
+            for doc, (runs, items) in enumerate(zip(p.part.column(at).to_pylist(), p.part.column(at + 1).to_pylist(), strict=True)):
+                for r in runs:
+                    h[p.firsts[doc] + r["a"] : p.firsts[doc] + r["b"]] = True
+                if items:
+                    name[doc] = set(items)
+    if windows is not None:
+        numbers: list[dict[int, set]] = [{} for _ in shard]
+        _shard_hits(shard, windows, hit, numbers)
+        for name, by_doc in zip(names, numbers, strict=True):
             for doc, found in by_doc.items():
-                names[k].setdefault(doc, set()).update(windows.ids[i] for i in found)
-    for p, h, name in zip(shard, hit, names, strict=True):
+                name.setdefault(doc, set()).update(windows.ids[i] for i in found)
+    return hit, names
+
+
+def _states(shard: list[_Pending], windows: Windows | None, at: int | None, columns: int):
+    for p, h, name in zip(shard, *_searched(shard, windows, at), strict=True):
+        ends = zip(p.firsts[:-1].tolist(), p.firsts[1:].tolist(), strict=True)
+        runs = [[{"a": i, "b": j} for i, j in _runs(h[a:b])] if h[a:b].any() else [] for a, b in ends]
+        own = B.batch(STATE, runs, [sorted(name.get(doc, ())) for doc in range(len(runs))])
+        names = [*p.part.schema.names[:columns], *STATE.names]
+        yield pa.RecordBatch.from_arrays([*(p.part.column(k) for k in range(columns)), *own.columns], names=names)
+
+
+def _results(shard: list[_Pending], windows: Windows | None, at: int | None, with_text: bool, carry: tuple[str, ...]):
+    for p, h, name in zip(shard, *_searched(shard, windows, at), strict=True):
         raw = p.block.buf.tobytes() if with_text or h.any() else b""
         hits, spans, found, clean = [], [], [], []
         for doc, (a, b) in enumerate(zip(p.firsts[:-1].tolist(), p.firsts[1:].tolist(), strict=True)):
@@ -256,15 +298,13 @@ def _results(shard: list[_Pending], passes, with_text: bool, carry: tuple[str, .
             hits.append(int(own.sum()))
             found.append(sorted(name.get(doc, ())))
             out, rest, last, chars = [], [], base, 0
-            if hits[-1]:
-                edge = np.flatnonzero(np.diff(np.concatenate([[0], own.astype(np.int8), [0]])))
-                for i, j in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True):
-                    s, e = int(p.starts[a + i]), int(p.stops[a + j - 1])
-                    rest.append(raw[last:s])
-                    chars += len(rest[-1].decode("utf-8", "replace"))
-                    n = len(raw[s:e].decode("utf-8", "replace"))
-                    out.append({"start": chars, "end": chars + n})
-                    chars, last = chars + n, e
+            for i, j in _runs(own) if hits[-1] else ():
+                s, e = int(p.starts[a + i]), int(p.stops[a + j - 1])
+                rest.append(raw[last:s])
+                chars += len(rest[-1].decode("utf-8", "replace"))
+                n = len(raw[s:e].decode("utf-8", "replace"))
+                out.append({"start": chars, "end": chars + n})
+                chars, last = chars + n, e
             spans.append(out)
             clean.append(b"".join([*rest, raw[last:end]]).decode("utf-8", "replace") if with_text else None)
         yield B.carried(B.batch(SCHEMA, p.part.column(0), np.diff(p.firsts), hits, found, spans, clean), p.part, carry)
@@ -279,41 +319,48 @@ def benchmark_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
     documents are searched each by itself and repeated items count once; other columns are
     ignored; empty tables give an empty result, or documents without hits.
 
-    The benchmark is broadcast in parts of at most about ITEM_BYTES of text (by its measured
-    size) and each shard is searched for one part after another, so memory stays bounded
-    however large it is; documents are never shuffled.
+    The benchmark is dealt, by hash and its measured size, to parts of about ITEM_BYTES of text.
+    Each part is one pass: its texts are broadcast, tasks build its windows and search their shards
+    for them, and the words hit so far are written with the documents for the next pass (one part,
+    as benchmarks usually are, writes nothing).  So driver and tasks hold one part at a time however
+    many there are; documents are never shuffled.
     """
-    spark = docs.sparkSession
     known = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("id"), F.col("text").cast("string").alias("text")).where("text is not null")
     size = known.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     n = max(1, -(-size // ITEM_BYTES))
-    parts = []
+    rows = B.text_rows(docs, id_col, text_col, carry)
+    columns, kept = 2 + len(carry), "doc_id bigint, text string" + B.carried_ddl(docs, carry)
+
+    def one_pass(part, key: str, last: bool, at: int | None):
+        def give(shard):
+            windows = _windows(key, part.value, window)
+            return _results(shard, windows, at, with_text, carry) if last else _states(shard, windows, at, columns)
+
+        def run(batches):
+            shard, held = [], 0
+            for some, block in B.blocks(batches):
+                low = block.lowered()
+                starts, stops, firsts = low.runs(B.ALNUM)
+                shard.append(_Pending(some, block, starts, stops, firsts, low.hashes(starts, stops)))
+                held += len(block.buf)
+                if held >= SHARD_BYTES:
+                    yield from give(shard)
+                    shard, held = [], 0
+            if shard:
+                yield from give(shard)
+
+        return run
+
+    before = None
     for k in range(n):
         some = known.where(F.pmod(F.xxhash64("id", "text"), F.lit(n)) == k) if n > 1 else known
-        if found := windows_of([(r.id, r.text) for r in some.collect()], window):
-            parts.append(spark.sparkContext.broadcast(found))
-
-    def run(batches):
-        def loader(part):
-            def load():
-                value = part.value
-                if len(parts) > 1 and hasattr(part, "_value"):
-                    del part._value  # read again from the executor's disk; one part in memory at a time
-                return value
-
-            return load
-
-        passes = [loader(p) for p in parts]
-        shard, size = [], 0
-        for part, block in B.blocks(batches):
-            low = block.lowered()
-            starts, stops, firsts = low.runs(B.ALNUM)
-            shard.append(_Pending(part, block, starts, stops, firsts, low.hashes(starts, stops)))
-            size += len(block.buf)
-            if size >= SHARD_BYTES:
-                yield from _results(shard, passes, with_text, carry)
-                shard, size = [], 0
-        if shard:
-            yield from _results(shard, passes, with_text, carry)
-
-    return B.text_rows(docs, id_col, text_col, carry).mapInArrow(run, DDL + B.carried_ddl(docs, carry))
+        part = docs.sparkSession.sparkContext.broadcast([(r.id, r.text) for r in some.collect()])
+        last = k == n - 1
+        out = rows.mapInArrow(one_pass(part, uuid.uuid4().hex, last, columns if k else None), DDL + B.carried_ddl(docs, carry) if last else kept + STATE_DDL)
+        if last:
+            return out
+        rows = written(out)
+        part.destroy()
+        if before is not None:
+            forget(before)
+        before = rows
