@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import time
 
 import numpy as np
 
@@ -88,6 +89,50 @@ def test_estimation_finds_the_reliable_labeler():
     assert table[1, 0, 2] > 0.85 and table[1, 0, 2] > table[1, 1, 2] > table[1, 2, 2] and abs(share - 0.4) < 0.06
 
 
+def test_running_values(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(pii, "_CHUNK", 4)
+    rng = np.random.default_rng(2)
+    lists = [rng.integers(-50, 50, n).tolist() for n in (1, 3, 4, 5, 16, 17, 100)]
+    df = spark.createDataFrame([(v,) for v in lists], "v array<int>")
+    got = df.select("v", pii.running(F.col("v"), lambda a, b: a + b, 0).alias("s"), pii.running(F.col("v"), pii._most, -99).alias("m")).collect()
+    for r in got:
+        assert r.s == [sum(r.v[:k]) for k in range(len(r.v))] and r.m == [max([-99, *r.v[:k]]) for k in range(len(r.v))]
+
+
+def test_loose_spans_that_meet_base_ones_are_left_out(spark):
+    # the long number is a card, the local number lies in the phone number; the last ones stand alone
+    rows = [(1, "4111111111111111 and +1 212-555-0188 then 212-555-0188; x@y.de 1984-03-12" + " é" * 300 + " 212-555-0189")]
+    spans = pii.candidates(spark.createDataFrame(rows, "doc_id bigint, text string"), pii.F.lit(1)).first()
+    text = rows[0][1]
+    assert [(pii.KINDS[s.kind], text[s.start : s.end]) for s in sorted(spans.loose, key=lambda s: s.start)] == [("phone_local", "212-555-0188"), ("date", "1984-03-12"), ("phone_local", "212-555-0189")]
+    assert all(text.encode()[s.b0 : s.b1].decode() == text[s.start : s.end] for s in (*spans.base, *spans.loose))
+
+
+def test_a_text_of_many_matches_takes_seconds(spark):
+    text = " ".join(f"é mail user{k}@host{k}.example or 212-555-{k % 10000:04d} now" for k in range(100_000))
+    docs = spark.createDataFrame([(1, text)], "doc_id bigint, text string")
+    began = time.time()
+    row = pii.masked(docs).first()
+    assert row.text.count("[EMAIL]") == 100_000 and time.time() - began < 60
+
+
+def test_training_does_not_depend_on_size(spark):
+    rows = [(k, f"phone 212-555-01{k:02d} or mail jo{k}@mail.com, order 123456789{k:03d} of 2001-02-0{k % 9 + 1}") for k in range(60)]
+    found = [pii.candidates(spark.createDataFrame(rows * n, "doc_id bigint, text string"), pii.F.col("doc_id")) for n in (1, 7)]
+    assert np.allclose(pii.train(found[0]), pii.train(found[1]), atol=1e-6)
+
+
+def test_clashing_columns_and_other_ids(spark):
+    rows = [("a", "x@y.de", 1, "b", 2), ("a", "x@y.de", 1, "b", 2), (None, None, 3, None, 4)]
+    got = pii.personal_data(spark.createDataFrame(rows, "doc_id string, text string, spans int, row string, base int")).collect()
+    assert sorted(((r.doc_id, [s.kind for s in r.spans]) for r in got), key=str) == [("a", ["email"]), ("a", ["email"]), (None, [])]
+    same = pii.masked(spark.createDataFrame(rows, "doc_id string, text string, spans int, row string, base int"))
+    assert sorted(map(tuple, same.collect()), key=str) == sorted([("a", "[EMAIL]", 1, "b", 2)] * 2 + [(None, None, 3, None, 4)], key=str)
+    assert pii.masked(same.limit(0)).count() == 0
+
+
 def test_masking_and_empty(spark):
     rows = [(1, "mail a@b.com now", 3), (2, "nothing", 4), (3, None, 5), (1, "1.2.3.4", 6), (None, "a@b.co +1 (017) 555-7713.", 7)]
     got = pii.masked(spark.createDataFrame(rows, "doc_id bigint, text string, base int")).collect()
