@@ -53,16 +53,18 @@ def op5_minhash_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_edit_aware_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Three edits of every document: a deletion at a quarter of it, an insertion in the middle of
-    what is then there, a replacement near the end."""
-    docs = _table(spark, sf_dir, "documents")
-    n = F.length(F.coalesce("text", F.lit("")))
+    """The trees of all documents are written as a table; then three edits of every document come in:
+    a deletion at a quarter of it, an insertion in the middle of what is then there, a replacement
+    near the end."""
+    trees = shared.written(counts.token_trees(_table(spark, sf_dir, "documents")))
+    n = F.aggregate("leaves", F.lit(0).cast("bigint"), lambda acc, leaf: acc + leaf["chars"])
 
     def edit(start, length, text):
         return F.struct(start.cast("bigint").alias("start"), (start + length).cast("bigint").alias("end"), F.lit(text).alias("text"))
 
     edits = F.array(edit(F.floor(n / 4), 7, ""), edit(F.floor(n / 2), 0, " an inserted passage, isn't it? "), edit(F.floor(n * 3 / 4), 5, "12 \n"))
-    return counts.edited_counts(docs, edits)
+    done = counts.edited_trees(trees, edits)
+    return done.select("doc_id", F.col("n_tokens_before").alias("n_tokens"), "n_edits", F.col("n_tokens").alias("n_tokens_after"), "n_pretokens", "n_reencoded", "n_leaves_opened", "n_chars_after")
 
 
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -97,7 +97,7 @@ def test_edited_counts(spark):
     alphabet = ["a", "bc", " ", "  ", "\n", "12", "'s", "'", "é", "!", "漢字", "the "]
     for _ in range(150):
         text = "".join(rng.choice(alphabet) for _ in range(rng.randint(0, 400)))
-        tree = counts.TokenTree(text, counter)
+        tree = counts.TokenTree.of_text(text, counter)
         assert tree.n_tokens == len(encode(text))
         for _ in range(6):
             a = rng.randint(0, len(text))
@@ -107,9 +107,59 @@ def test_edited_counts(spark):
             assert tree.text == text and tree.n_tokens == len(encode(text)) and "".join(tree.pretokens()) == text
 
 
-def test_edited_counts_query(spark, sf_dir):
-    rows = queries.op6_edit_aware_counts(spark, sf_dir).collect()
-    assert all(r.n_tokens_after > 0 and r.n_edits == 3 and r.n_reencoded < 120 for r in rows)
+def applied(text, edits):
+    for start, end, new in edits:
+        a = max(0, min(start or 0, len(text)))
+        b = max(a, min(a if end is None else end, len(text)))
+        text = text[:a] + (new or "") + text[b:]
+    return text
+
+
+def encoder():
+    import tiktoken
+
+    return tiktoken.Encoding("own", pat_str=counts.PATTERN, mergeable_ranks=counts.load_ranks(), special_tokens={}).encode_ordinary
+
+
+ODD = ["", None, " ", "\n" * 500, "a" * 30_000, "word " * 9_000, "é漢字 " * 300, "x\n \n  y"]
+
+
+def test_edited_counts_query(spark, sf_dir, tmp_path):
+    texts = [r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("text").collect()] + ODD
+    ids = [*range(len(texts) - 2), 0, None]
+    spark.createDataFrame([(i, t, 5) for i, t in zip(ids, texts, strict=True)], DDL + ", leaves int").write.parquet(f"{tmp_path}/documents.parquet")
+    encode, want = encoder(), []
+    for i, text in zip(ids, texts, strict=True):
+        text = text or ""
+        n = len(text)
+        after = applied(text, [(n // 4, n // 4 + 7, ""), (n // 2, n // 2, " an inserted passage, isn't it? "), (n * 3 // 4, n * 3 // 4 + 5, "12 \n")])
+        want.append((i, len(encode(text)), 3, len(encode(after)), len(after)))
+    rows = queries.op6_edit_aware_counts(spark, str(tmp_path)).collect()
+    assert sorted(((r.doc_id, r.n_tokens, r.n_edits, r.n_tokens_after, r.n_chars_after) for r in rows), key=str) == sorted(want, key=str)
+    assert all(r.n_reencoded < 120 and r.n_leaves_opened <= 12 for r in rows)
+
+
+def test_edits_of_a_kept_table(spark):
+    docs = spark.createDataFrame([(k, f"doc {k} has some words in it, " * 40) for k in range(20)], DDL)
+    trees = counts.token_trees(docs)
+    edits = [(3, 1, 10, 12, "XY"), (3, 0, 0, 4, None), (5, 0, None, None, "begin "), (7, 0, 10**9, 10**9, " end"), (9, 0, -5, 10**9, ""), (99, 0, 0, 1, "no such document")]
+    table = spark.createDataFrame(edits, "doc_id bigint, seq int, start bigint, end bigint, text string")
+    chosen = counts.with_edits(trees, table)
+    done = counts.edited_trees(chosen, chosen["edits"])
+    encode, texts = encoder(), {r.doc_id: r.text for r in docs.collect()}
+    for i, a in {3: [(0, 4, None), (10, 12, "XY")], 5: [(None, None, "begin ")], 7: [(10**9, 10**9, " end")], 9: [(-5, 10**9, "")]}.items():
+        texts[i] = applied(texts[i], a)
+    got = {r.doc_id: ("".join(leaf.text for leaf in r.leaves), r.n_tokens) for r in counts.upserted_trees(trees, done).collect()}
+    assert got == {i: (t, len(encode(t))) for i, t in texts.items()}
+    none = counts.edited_trees(trees.limit(2), no_edits()).collect()
+    assert all(r.n_edits == 0 and r.n_tokens == r.n_tokens_before and r.n_leaves_opened == 0 for r in none)
+    assert counts.edited_trees(trees.limit(0), no_edits()).count() == 0 and counts.token_trees(docs.limit(0)).count() == 0
+
+
+def no_edits():
+    from pyspark.sql import functions as F
+
+    return F.lit(None).cast("array<struct<start:bigint,end:bigint,text:string>>")
 
 
 def best_score(word, vocabulary):
