@@ -92,15 +92,20 @@ def looks_truncated(text: Column) -> Column:
 
 
 def is_unsafe_path(path: Column) -> Column:
-    """Absolute (of any system) or with a parent segment."""
+    """Absolute (of any system), under a home folder, or with a parent segment."""
     flat = F.translate(path, "\\", "/")
-    return F.coalesce(flat.startswith("/") | path.rlike(r"^[A-Za-z]:") | F.array_contains(F.split(flat, "/"), ".."), F.lit(False))
+    return F.coalesce(flat.startswith("/") | path.startswith("~") | path.rlike(r"^[A-Za-z]:") | F.array_contains(F.split(flat, "/"), ".."), F.lit(False))
 
 
 def clean_path(path: Column) -> Column:
     return F.regexp_replace(F.translate(path, "\\", "/"), r"^(\./)+", "")
 
 
+def diff_path(path: Column) -> Column:
+    """A path without one leading `./`."""
+    return F.regexp_replace(path, r"^\./", "")
+
+
 def hunk_range(header: Column) -> Column:
     """(start, end) of the new side of `@@ -a,b +c,d @@`; null for a hunk without lines."""
     pattern = r"^@@ -[0-9]+(?:,[0-9]+)? \+([0-9]+)(?:,([0-9]+))? @@"

@@ -5,6 +5,8 @@ nodes: id, and more columns by operator; edges: caller, callee, confidence (null
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -58,13 +60,34 @@ def within(seeds: DataFrame, edges: DataFrame, depth: int = 3, reverse: bool = F
     return found if found is not None else seen.limit(0).withColumn("depth", F.lit(0))
 
 
+#: steps that one round of a closure takes before it is written and compared with what is known
+HOPS = 4
+
+
+def _fixpoint(start: DataFrame, steps: DataFrame) -> DataFrame:
+    """(id, rank): the greatest rank that comes to each node from the start (id, rank) over steps (at, id, top).
+
+    A step passes on its node's rank, but no more than its top.  Each round takes HOPS steps from
+    what the last one raised; only what it raises in turn is written, and what is known is the union of
+    these rounds' rows, so a node is written once for each rank it had."""
+    front = settled(start.groupBy("id").agg(F.max("rank").alias("rank")))
+    rounds = [front]
+    while True:
+        reached = wave = front
+        for _ in range(HOPS):
+            wave = wave.select(F.col("id").alias("at"), "rank").join(steps, "at").groupBy("id").agg(F.max(F.least("rank", "top")).alias("rank"))
+            reached = reached.unionAll(wave)
+        known = reduce(DataFrame.unionAll, rounds)
+        both = reached.select("id", "rank", F.lit(0).alias("old")).unionAll(known.select("id", F.lit(0).alias("rank"), F.col("rank").alias("old")))
+        front = settled(both.groupBy("id").agg(F.max("rank").alias("rank"), F.max("old").alias("old")).where("rank > old").select("id", "rank"))
+        if front.isEmpty():
+            return known.groupBy("id").agg(F.max("rank").alias("rank"))
+        rounds.append(front)
+
+
 def closure(start: DataFrame, steps: DataFrame) -> DataFrame:
-    """(id): all nodes reached from the start over steps (at, id); rounds go on until nothing is new."""
-    seen = front = settled(start.select("id").distinct())
-    while not front.isEmpty():
-        front = settled(front.select(F.col("id").alias("at")).join(steps, "at").select("id").distinct().join(seen, "id", "left_anti"))
-        seen = settled(seen.unionAll(front))
-    return seen
+    """(id): all nodes reached from the start over steps (at, id)."""
+    return _fixpoint(start.select("id", F.lit(1).alias("rank")), steps.select("at", "id", F.lit(1).alias("top"))).select("id")
 
 
 def reachability(nodes: DataFrame, edges: DataFrame, roots: DataFrame, unresolved: DataFrame | None = None) -> DataFrame:
@@ -73,30 +96,28 @@ def reachability(nodes: DataFrame, edges: DataFrame, roots: DataFrame, unresolve
     Exact edges carry `reachable`; other edges from a reachable node, all edges from an unknown
     one, and the candidates (caller, candidates) of a visited node's unresolved calls carry
     `unknown`.  A visited node's unresolved call without candidates makes unknown all that is
-    not reachable; so does a graph without roots.  This is the full fixpoint, so it doesn't
-    depend on the order of visits.
+    not reachable; so does a graph without roots.  This is the full fixpoint of the three values in
+    one pass, so it doesn't depend on the order of visits.
     """
     ids = nodes.select("id").distinct()
-    steps = settled(clean_edges(edges, ids))
     start = roots.select("id").join(ids, "id", "left_semi").distinct()
     if start.isEmpty():
         return ids.select("id", F.lit("unknown").alias("status"))
-    reachable = closure(start, steps.where("exact").select(F.col("caller").alias("at"), "callee").withColumnRenamed("callee", "id"))
-    any_step = steps.select(F.col("caller").alias("at"), F.col("callee").alias("id"))
+    steps = clean_edges(edges, ids).select(F.col("caller").alias("at"), F.col("callee").alias("id"), F.when(F.col("exact"), 2).otherwise(1).alias("top"))
     open_calls = None
     if unresolved is not None:
         open_calls = unresolved.select(F.col("caller").alias("at"), F.coalesce("candidates", F.array().cast(unresolved.schema["candidates"].dataType)).alias("candidates"))
-        maybe = open_calls.select("at", F.explode("candidates").alias("id")).join(ids, "id", "left_semi").select("at", "id")
-        any_step = settled(any_step.unionAll(maybe).distinct())
-    first = reachable.select(F.col("id").alias("at")).join(any_step, "at").select("id").distinct().join(reachable, "id", "left_anti")
-    visited = closure(first, any_step)
-    unknown = visited.join(reachable, "id", "left_anti")
+        maybe = open_calls.select("at", F.explode("candidates").alias("id")).join(ids, "id", "left_semi").select("at", "id", F.lit(1).alias("top"))
+        steps = steps.unionAll(maybe)
+    steps = settled(steps.groupBy("at", "id").agg(F.max("top").alias("top")))
+    state = _fixpoint(start.select("id", F.lit(2).alias("rank")), steps)
+    least = 0
     if open_calls is not None:
-        seen = reachable.unionAll(unknown).select(F.col("id").alias("at"))
-        if not open_calls.where("size(candidates) = 0").join(seen, "at", "left_semi").isEmpty():
-            unknown = ids
-    state = reachable.withColumn("rank", F.lit(2)).unionAll(unknown.withColumn("rank", F.lit(1))).groupBy("id").agg(F.max("rank").alias("rank"))
-    return ids.join(state, "id", "left").select("id", F.when(F.col("rank") == 2, "reachable").when(F.col("rank") == 1, "unknown").otherwise("unreachable").alias("status"))
+        state = settled(state)
+        if not open_calls.where("size(candidates) = 0").join(state.select(F.col("id").alias("at")), "at", "left_semi").isEmpty():
+            least = 1
+    rank = F.greatest(F.coalesce("rank", F.lit(0)), F.lit(least))
+    return ids.join(state, "id", "left").select("id", F.when(rank == 2, "reachable").when(rank == 1, "unknown").otherwise("unreachable").alias("status"))
 
 
 def kept_units(units: DataFrame, status: DataFrame, key: str = "id") -> DataFrame:
@@ -124,25 +145,34 @@ def structural_roots(nodes: DataFrame) -> DataFrame:
     return nodes.select("id", root_kind(*(F.coalesce(F.col(c), F.lit("")) if c == "name" else F.col(c) for c in cols)).alias("kind")).where("kind is not null")
 
 
-def scoped_candidates(unresolved: DataFrame, nodes: DataFrame) -> DataFrame:
+def scoped_candidates(unresolved: DataFrame, nodes: DataFrame, language: str | None = None) -> DataFrame:
     """(caller, callee_name, candidates): nodes that an unresolved name may mean, sorted; those of
-    the caller's file if there are any, else those of its package (Go) or directory.
-
-    unresolved: caller, callee_name; nodes: id, name, qualified_name, file_path, package, language.
-    Both lookups join on the name and the scope together, so a common name doesn't multiply."""
-    scope = F.when(F.col("language") == "go", F.concat(F.lit("p:"), F.nullif("package", F.lit("")))).otherwise(F.concat(F.lit("d:"), F.regexp_extract("file_path", r"^(.*)/[^/]*$", 1)))
-    full = F.coalesce("qualified_name", F.lit(""))
-    keys = F.array_distinct(F.filter(F.array(F.col("name"), full, F.element_at(F.split(full, r"\."), -1)), lambda k: F.coalesce(k != "", F.lit(False))))
-    listed = nodes.select(F.col("id").alias("candidate"), F.col("file_path").alias("file"), scope.alias("scope"), F.explode(keys).alias("key"))
-    wanted = unresolved.where("callee_name <> '' and callee_name not like '<%'").distinct()
-    wanted = wanted.join(nodes.select(F.col("id").alias("caller"), F.col("file_path").alias("file"), scope.alias("scope")), "caller")
+    the caller's file if there are any, else those of its package (Go) or directory; a caller in no
+    directory, or of no package, has none there.
+
+    unresolved: caller, callee_name; nodes: id, name, qualified_name, file_path, package, language
+    (or the graph's language for all).  A node is meant by its name, by its full name, or by the last
+    part of a dotted one.  A caller that the nodes lack, or that has no file, lies in the file that
+    its id begins with.  Names and scopes are joined together, so a common name doesn't multiply."""
+    flat = lambda c: F.translate(F.coalesce(c, F.lit("")), "\\", "/")
+    folder = lambda file: F.nullif(F.regexp_extract(file, r"(?s)^(.*)/[^/]*$", 1), F.lit(""))
+    full, last = F.coalesce("qualified_name", F.lit("")), F.element_at(F.split(F.coalesce("qualified_name", F.lit("")), r"\."), -1)
+    tagged = lambda tag, c: F.concat(F.lit(tag), c)
+    keys = F.filter(F.array(tagged("n:", F.coalesce("name", F.lit(""))), tagged("q:", full), F.when(full.contains("."), tagged("s:", last))), lambda k: F.coalesce(F.length(k) > 2, F.lit(False)))
+    file = flat(F.col("file_path"))
+    scopes = F.array_compact(F.array(tagged("f:", F.nullif(file, F.lit(""))), tagged("p:", F.nullif("package", F.lit(""))), tagged("d:", folder(file))))
+    listed = nodes.select(F.col("id").alias("candidate"), scopes.alias("scopes"), F.explode(keys).alias("key")).select("candidate", "key", F.explode("scopes").alias("scope"))
+    wanted = unresolved.where("callee_name <> '' and callee_name not like '<%'").select("caller", "callee_name").distinct()
+    lang = F.lower(F.coalesce(F.lit(language), F.col("language"), F.lit(""))) if "language" in nodes.columns else F.lit(language or "").cast("string")
+    wanted = wanted.join(nodes.select(F.col("id").alias("caller"), file.alias("file"), F.col("package").alias("own_package"), lang.alias("lang")), "caller", "left")
+    named = F.regexp_extract(F.col("caller").cast("string"), r"(?s)^([^:]*):", 1)
+    wanted = wanted.withColumn("file", F.coalesce(F.nullif("file", F.lit("")), flat(named)))
+    near = F.when(F.coalesce(F.col("lang") == "go", F.lit(False)), tagged("p:", F.nullif("own_package", F.lit("")))).otherwise(tagged("d:", folder(F.col("file"))))
+    places = F.array_compact(F.array(F.struct(F.lit(0).alias("rank"), tagged("f:", F.nullif("file", F.lit(""))).alias("scope")), F.struct(F.lit(1).alias("rank"), near.alias("scope"))))
     simple = F.element_at(F.split("callee_name", r"\."), -1)
-    wanted = wanted.select("caller", "callee_name", "file", "scope", F.explode(F.array_distinct(F.array(simple, F.col("callee_name")))).alias("key"))
-    hits = None
-    for rank, at in enumerate(("file", "scope")):
-        own = listed.select("candidate", at, "key")
-        row = wanted.select("caller", "callee_name", at, "key").join(own, [at, "key"]).where("candidate <> caller").select("caller", "callee_name", F.lit(rank).alias("rank"), "candidate")
-        hits = row if hits is None else hits.unionAll(row)
+    asked = F.array_distinct(F.array(tagged("n:", simple), tagged("n:", F.col("callee_name")), tagged("q:", F.col("callee_name")), tagged("s:", simple)))
+    wanted = wanted.select("caller", "callee_name", F.explode(places).alias("at"), asked.alias("keys")).select("caller", "callee_name", "at.*", F.explode("keys").alias("key")).where("scope is not null")
+    hits = wanted.join(listed, ["scope", "key"]).where("candidate <> caller")
     lists = hits.groupBy("caller", "callee_name", "rank").agg(F.array_sort(F.collect_set("candidate")).alias("candidates"))
     best = lists.groupBy("caller", "callee_name").agg(F.min_by("candidates", "rank").alias("candidates"))
     none = F.array().cast(best.schema["candidates"].dataType)

@@ -7,63 +7,121 @@ from pyspark.sql import functions as F
 
 from ..functions import texts
 
-#: lines that one bucket of a file covers in range joins
-BUCKET = 256
+#: lines that one bucket of a file covers in range joins, and lines of a coarse one, for very long ranges
+BUCKET, COARSE = 256, 1 << 16
 
 
-def overlapping(units: DataFrame, ranges: DataFrame, bucket: int = BUCKET) -> DataFrame:
+def _dealt(rows: DataFrame, lo: str, hi: str, keep: list[str]) -> DataFrame:
+    """The rows with the buckets (level, b) of their lines: fine ones of a short range, coarse ones of a long
+    one, and, so that the two meet, the coarse ones of a short range too (own false)."""
+    low, high = F.least(lo, hi), F.greatest(lo, hi)
+    buckets = lambda size: F.sequence(F.floor(low / size).cast("bigint"), F.floor(high / size).cast("bigint"))
+    made = lambda size, level, own: F.transform(buckets(size), lambda b: F.struct(F.lit(level).alias("level"), b.alias("b"), F.lit(own).alias("own")))
+    short = high - low < COARSE
+    every = F.when(short, F.concat(made(BUCKET, 0, True), made(COARSE, 1, False))).otherwise(made(COARSE, 1, True))
+    return rows.where(F.col(lo).isNotNull() & F.col(hi).isNotNull()).select(*keep, F.explode(every).alias("_d")).select(*keep, "_d.*")
+
+
+def overlapping(units: DataFrame, ranges: DataFrame) -> DataFrame:
     """The units (id, file, lo, hi; ends included) that meet any range (file, start, end).
 
     Both sides are dealt to buckets of lines, so a large file isn't one task and each pair meets
-    in a bucket of either; a unit without lines in a file that has ranges is selected too, since
-    no change may be lost."""
-    span = lambda a, b: F.explode(F.sequence(F.floor(F.col(a) / bucket).cast("bigint"), F.floor(F.col(b) / bucket).cast("bigint")))
-    left = units.where("lo <= hi").select("id", "file", "lo", "hi", span("lo", "hi").alias("b"))
-    right = ranges.where("start <= end").select("file", "start", "end", span("start", "end").alias("b"))
-    met = left.join(right, ["file", "b"]).where("lo <= end and hi >= start").select("id").distinct()
-    blind = units.where("lo is null or hi is null").join(ranges.select("file"), "file", "left_semi").select("id")
-    return units.join(met.unionAll(blind).distinct(), "id", "left_semi")
-
-
-def containing(points: DataFrame, functions: DataFrame, bucket: int = BUCKET) -> DataFrame:
-    """(point_id, id): findings (point_id, path, start, end) with functions (id, file, lo, hi) of
-    the file that their path ends in, either end of the finding inside the function.
-
-    A path's own suffixes are joined with the files' names, so no file is compared with every
-    path; of several files the least counts.  A finding that strictly contains a function has no
-    end inside and doesn't match."""
-    parts = F.split("path", "/")
-    tails = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, k, F.size(parts)), "/"))
-    files = functions.select("file").distinct()
-    found = points.select("point_id", "start", "end", F.explode(tails).alias("file")).join(files, "file")
-    found = found.groupBy("point_id", "start", "end").agg(F.min("file").alias("file"))
-    ends = found.select("point_id", "file", F.explode(F.array_distinct(F.array("start", "end"))).alias("line")).withColumn("b", F.floor(F.col("line") / bucket).cast("bigint"))
-    left = functions.select("id", "file", "lo", "hi", F.explode(F.sequence(F.floor(F.col("lo") / bucket).cast("bigint"), F.floor(F.col("hi") / bucket).cast("bigint"))).alias("b"))
-    return ends.join(left, ["file", "b"]).where("line between lo and hi").select("point_id", "id").distinct()
+    in a bucket of either.  Units or ranges without both lines meet nothing."""
+    left = _dealt(units, "lo", "hi", ["id", "file", "lo", "hi"])
+    right = _dealt(ranges, "start", "end", ["file", "start", "end"]).withColumnRenamed("own", "own_too")
+    met = left.join(right, ["file", "level", "b"]).where("lo <= end and hi >= start and (own or own_too)").select("id").distinct()
+    return units.join(met, "id", "left_semi")
+
+
+def file_matches(paths: DataFrame, files: DataFrame) -> DataFrame:
+    """(path, file): of each distinct path the first file (by pos) that it ends in, or that ends in it.
+
+    Each side's endings are joined with the other side's whole names, so no path is compared with every
+    file; paths and files are distinct ones, not findings and functions."""
+    endings = lambda c: F.explode(F.array_append(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c), F.lit(1))), lambda k: F.substr(F.col(c), k)), F.lit("")))
+    paths = paths.select("path").distinct()
+    one = paths.select("path", endings("path").alias("file")).join(files, "file")
+    two = files.select("file", "pos", endings("file").alias("path")).join(paths, "path")
+    both = one.select("path", "file", "pos").unionAll(two.select("path", "file", "pos"))
+    return both.groupBy("path").agg(F.min_by("file", F.struct("pos", "file")).alias("file"))
+
+
+def containing(points: DataFrame, functions: DataFrame) -> DataFrame:
+    """(point_id, id): findings (point_id, path, start, end) with functions (id, file, lo, hi, pos) of
+    the file that their path matches, either end of the finding inside the function.
+
+    Of several files that match, that of the first function counts (see file_matches).  A finding that
+    strictly contains a function has no end inside and doesn't match."""
+    files = functions.groupBy("file").agg(F.min("pos").alias("pos"))
+    found = points.join(file_matches(points, files), "path")
+    ends = found.select("point_id", "file", F.explode(F.array_distinct(F.array("start", "end"))).alias("line"))
+    left = _dealt(functions, "lo", "hi", ["id", "file", "lo", "hi"]).where("own")
+    level = F.explode(F.array(*(F.struct(F.lit(k).alias("level"), F.floor(F.col("line") / size).cast("bigint").alias("b")) for k, size in enumerate((BUCKET, COARSE)))))
+    dealt = ends.select("point_id", "file", "line", level.alias("_d")).select("point_id", "file", "line", "_d.*")
+    return dealt.join(left, ["file", "level", "b"]).where("line between lo and hi").select("point_id", "id").distinct()
+
+
+def diff_units(units: DataFrame) -> DataFrame:
+    """(id, file, lo, hi, direct_calls) of parsers' units, which tell their place in one of several ways.
+
+    The file is that of code.primary_origin, else of primary_origin, else what the id has before its
+    last colon; the lines are those of the first of code.primary_origin, primary_origin and metadata
+    that has both; calls are metadata.direct_calls, or directCalls.  Columns that a table lacks
+    are skipped."""
+    has = lambda path: _has_field(units, path)
+    origins = [o for o in ("code.primary_origin", "primary_origin") if has(o)]
+    named = [F.nullif(F.col(f"{o}.file_path"), F.lit("")) for o in origins if has(f"{o}.file_path")]
+    by_id = F.when(F.col("id").contains(":"), F.regexp_extract("id", r"(?s)^(.*):", 1))
+    lines = [F.when(F.col(f"{o}.start_line").isNotNull() & F.col(f"{o}.end_line").isNotNull(), F.struct(F.col(f"{o}.start_line").alias("lo"), F.col(f"{o}.end_line").alias("hi"))) for o in [*origins, "metadata"] if has(f"{o}.start_line") and has(f"{o}.end_line")]
+    span = F.coalesce(*lines) if lines else F.struct(F.lit(None).cast("int").alias("lo"), F.lit(None).cast("int").alias("hi"))
+    calls = [F.col(f"metadata.{c}") for c in ("direct_calls", "directCalls") if has(f"metadata.{c}")]
+    none = F.array().cast("array<string>")
+    return units.select("id", texts.diff_path(F.coalesce(*named, by_id)).alias("file"), span["lo"].alias("lo"), span["hi"].alias("hi"), F.coalesce(*calls, none).alias("direct_calls"))
+
+
+def _has_field(df: DataFrame, path: str) -> bool:
+    kind = df.schema
+    for name in path.split("."):
+        if not hasattr(kind, "fieldNames") or name not in kind.fieldNames():
+            return False
+        kind = kind[name].dataType
+    return True
 
 
 def diff_selection(units: DataFrame, manifest: DataFrame, scope: str = "changed_functions") -> DataFrame:
-    """The units with diff_selected and diff_reason, for a scope.
+    """The units with diff_selected and diff_reason (changed, fallback, caller), for a scope.
 
-    units: id, file, lo, hi, direct_calls; manifest: file, start, end (null: the whole file).
-    changed_files takes all units of the files; changed_functions those that meet a range;
-    callers also those that call one of these directly."""
+    units: id, file, lo, hi, direct_calls (see diff_units); manifest: file, start, end, a row with
+    nulls for a changed file without hunks.  changed_files takes all units of the files;
+    changed_functions those that meet a hunk, and, since no change may be lost, those of changed files
+    that have no lines (fallback); callers also those that call one of these directly."""
     if scope not in ("changed_files", "changed_functions", "callers"):
         raise ValueError(f"unknown scope {scope!r}")
     from .graph import one_hop_callers
 
-    clean = units.withColumn("file", texts.clean_path(F.coalesce("file", F.regexp_extract("id", "^(.*):", 1))))
-    changed = manifest.withColumn("file", texts.clean_path(F.col("file")))
-    whole = changed if scope == "changed_files" else changed.where("start is null")
-    taken = clean.join(whole.select("file").distinct(), "file", "left_semi").select("id")
-    if scope != "changed_files":
-        taken = taken.unionAll(overlapping(clean.select("id", "file", "lo", "hi"), changed.where("start is not null")).select("id")).distinct()
-    marked = taken.withColumn("diff_reason", F.lit("changed"))
+    by_id = F.when(F.col("id").contains(":"), F.regexp_extract("id", r"(?s)^(.*):", 1))
+    clean = units.withColumn("file", texts.diff_path(F.coalesce(F.nullif("file", F.lit("")), by_id)))
+    changed = manifest.withColumn("file", texts.diff_path(F.col("file")))
+    in_files = clean.join(changed.select("file").distinct(), "file", "left_semi")
+    reason = lambda rows, why: rows.select("id", F.lit(why).alias("diff_reason"))
+    if scope == "changed_files":
+        marked = reason(in_files, "changed")
+    else:
+        blind = in_files.where("lo is null or hi is null")
+        marked = reason(blind, "fallback").unionAll(reason(overlapping(clean.select("id", "file", "lo", "hi"), changed.select("file", "start", "end")), "changed"))
     if scope == "callers":
-        marked = marked.unionAll(one_hop_callers(clean, taken).withColumn("diff_reason", F.lit("caller")))
+        marked = marked.unionAll(reason(one_hop_callers(clean, marked.select("id")), "caller"))
     return units.join(marked, "id", "left").withColumn("diff_selected", F.col("diff_reason").isNotNull())
 
 
+def diff_statistics(marked: DataFrame, manifest: DataFrame) -> DataFrame:
+    """One row of what diff_selection marked: total, selected, fallback, callers_added, changed_files."""
+    count = lambda test, name: F.count_if(F.coalesce(test, F.lit(False))).alias(name)
+    why = F.col("diff_reason")
+    row = marked.agg(F.count("*").alias("total"), count(F.col("diff_selected"), "selected"), count(why == "fallback", "fallback"), count(why == "caller", "callers_added"))
+    return row.crossJoin(manifest.agg(F.count_distinct(texts.diff_path(F.col("file"))).alias("changed_files")))  # two single rows
+
+
 def selected_only(units: DataFrame) -> DataFrame:
     """The units that a diff selected, where there was a diff at all."""
     return units.where("diff_selected") if "diff_selected" in units.columns else units
@@ -110,10 +168,10 @@ def evidence_errors(evidence: DataFrame) -> DataFrame:
 
 
 def resolved_evidence(findings: DataFrame, index: DataFrame) -> DataFrame:
-    """(finding_id, resolved, missing): the evidence ids that the index has, and those it lacks, in the cited order."""
-    cited = findings.select("finding_id", F.posexplode("evidence_ids").alias("pos", "evidence_id"))
+    """(finding_id, resolved, missing): the evidence ids that the index has, and those it lacks, in the cited order; a finding that cites nothing has two empty lists."""
+    cited = findings.select("finding_id", F.posexplode_outer("evidence_ids").alias("pos", "evidence_id"))
     marked = cited.join(index.select("evidence_id", F.lit(True).alias("known")), "evidence_id", "left").groupBy("finding_id").agg(F.array_sort(F.collect_list(F.struct("pos", "evidence_id", "known"))).alias("all"))
-    ids = lambda known: F.transform(F.filter("all", lambda e: e["known"].isNotNull() if known else e["known"].isNull()), lambda e: e["evidence_id"])
+    ids = lambda known: F.transform(F.filter("all", lambda e: e["pos"].isNotNull() & (e["known"].isNotNull() if known else e["known"].isNull())), lambda e: e["evidence_id"])
     return marked.select("finding_id", ids(True).alias("resolved"), ids(False).alias("missing"))
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -59,8 +60,11 @@ def confusion(rows: DataFrame, truth: Column, predicted: Column) -> DataFrame:
 
 
 def inconsistent_groups(rows: DataFrame, pattern: Column, verdict: Column) -> DataFrame:
-    """(pattern, members, verdicts): groups of two or more whose normalised verdicts differ."""
-    groups = rows.groupBy(pattern.alias("pattern")).agg(F.count("*").alias("members"), F.array_sort(F.collect_set(verdicts.normalized_verdict(verdict))).alias("verdicts"))
+    """(pattern, members, verdicts): groups of two or more whose verdicts differ, in capitals; VULNERABLE
+    stands for BYPASSABLE too, SAFE for PROTECTED, and nothing else is folded."""
+    said = F.upper(F.coalesce(verdict, F.lit("")))
+    folded = F.when(said == "BYPASSABLE", "VULNERABLE").when(said == "PROTECTED", "SAFE").otherwise(said)
+    groups = rows.groupBy(pattern.alias("pattern")).agg(F.count("*").alias("members"), F.array_sort(F.collect_set(folded)).alias("verdicts"))
     return groups.where("members >= 2 and size(verdicts) > 1")
 
 
@@ -82,23 +86,29 @@ def ordered_text(rows: DataFrame, key: str, order: str, text: Column, boundary:
 
 
 def packed(files: DataFrame, group: str, cap: int, overhead: int = 50) -> DataFrame:
-    """The files (id, path, size) with a bin number from 0 in their group, by ascending size; a bin
-    is cut where the next file would take it over the cap.
-
-    The cut depends on all files before, so it is a fold over a group's sorted sizes; a group is
-    one repository's files, of which the reader has already dropped the large ones."""
-    need = F.col("size") + F.length("path") + overhead
-    listed = files.groupBy(group).agg(F.array_sort(F.collect_list(F.struct("size", "id", need.alias("need")))).alias("l"))
-
-    def step(acc, f):
-        new = (acc["used"] + f["need"] > cap) & (acc["used"] > 0)
-        number = acc["bin"] + new.cast("int")
-        row = F.struct(f["id"].alias("id"), number.alias("bin"))
-        return F.struct(F.when(new, f["need"]).otherwise(acc["used"] + f["need"]).alias("used"), number.alias("bin"), F.concat(acc["out"], F.array(row)).alias("out"))
-
-    kind = f"array<struct<id:{files.schema['id'].dataType.simpleString()},bin:int>>"
-    start = F.struct(F.lit(0).cast("bigint").alias("used"), F.lit(0).alias("bin"), F.array().cast(kind).alias("out"))
-    return listed.select(group, F.explode(F.aggregate("l", start, step, lambda acc: acc["out"])).alias("b")).select(group, "b.*")
+    """(group, id, bin): the files (id, path, size) with a bin number from 0 in their group, by ascending
+    size, then id; a bin is cut where the next file would take it over the cap.
+
+    A cut depends on all files before it, so a group is gone through in order; its sorted rows
+    stream through one task with a counter, and are never held together."""
+    need = (F.col("size") + F.length("path") + overhead).cast("bigint")
+    rows = files.select(F.col(group), "size", "id", need.alias("need")).repartition(group).sortWithinPartitions(group, "size", "id")
+
+    def run(batches):
+        last, used, number = object(), 0, 0
+        for batch in batches:
+            bins = []
+            for key, n in zip(batch.column(0).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                if key != last:
+                    last, used, number = key, 0, 0
+                if used and used + n > cap:
+                    used, number = 0, number + 1
+                used += n
+                bins.append(number)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(bins, pa.int32())], names=[group, "id", "bin"])
+
+    kinds = [f"`{c}` {files.schema[c].dataType.simpleString()}" for c in (group, "id")]
+    return rows.mapInArrow(run, ", ".join([*kinds, "bin int"]))
 
 
 def running_summary(rows: DataFrame, keys: list[str], order: list[str], done: Column) -> DataFrame:

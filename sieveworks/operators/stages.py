@@ -9,29 +9,64 @@ from ..functions import texts, verdicts
 from ..tables import numbered
 
 
-def last_of(rows: DataFrame, key: str, order: str = "pos") -> DataFrame:
-    """The last row of each key; rows without a key go.  Ties keep the greatest row."""
-    rest = [c for c in rows.columns if c not in (key, order)]
-    best = rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.max(F.struct(order, *rest)).alias("_last"))
-    return best.select(key, "_last.*")
+# First-stage decisions that make a finding, and states in which a second-stage rejection is a contradiction.
+LISTED = ("candidate", "inconclusive", "error")
+CONFIRMED_STATES = ("reproduced", "confirmed_not_dynamically_tested", "confirmed_not_reproduced")
+_NO_IDS = "array<string>"
+
+
+def _optional(rows: DataFrame, name: str, kind: str) -> Column:
+    return F.col(name).cast(kind) if name in rows.columns else F.lit(None).cast(kind)
+
+
+def _records(rows: DataFrame, stage: str) -> DataFrame:
+    """(key, pos, stage, record): a stage's rows under their unit_id, or their finding_id where that is null
+    or empty; rows without either go."""
+    key = F.coalesce(F.nullif(F.col("unit_id").cast("string"), F.lit("")), F.nullif(F.col("finding_id").cast("string"), F.lit("")))
+    kinds = {"finding_id": "string", "decision": "string", "execution_state": "string", "file": "string", "function": "string", "evidence_ids": _NO_IDS}
+    record = F.struct(F.col("pos").cast("bigint").alias("pos"), *(_optional(rows, c, kind).alias(c) for c, kind in kinds.items()))
+    return rows.select(key.alias("key"), F.lit(stage).alias("stage"), record.alias("record")).where("key is not null")
 
 
 def merged(stage1: DataFrame, stage2: DataFrame, dynamic: DataFrame) -> DataFrame:
-    """One row per unit: decisions and execution states of all stages, the finding's id, and the final state.
+    """The findings: one row for each unit that the stages report on, with what they said and its final state.
+
+    The inputs have unit_id, finding_id, pos, decision, and execution_state but for stage1; file,
+    function and evidence_ids are taken where there are any.  A record's key is its unit_id, or its
+    finding_id without one; the last record of a key counts, in the place of its first.
+
+    Units come in two groups, in the order of pos: those that the first stage lists (candidate,
+    inconclusive or error; if it lists none at all, all but no_finding), and units beyond these that
+    the second stage has a record of, whatever it says.  The dynamic record is that of the key; only
+    in the first group, a unit without one takes the last dynamic record of the second stage's
+    finding_id.
 
-    Records are matched by unit_id, or by finding_id where a record has no unit; the last record
-    of a key counts.  A dynamic record that no unit_id matches is matched by the second stage's
-    finding_id.  Units that only the second stage knows follow.  Columns: unit_id, finding_id,
-    pos, decision, and execution_state but for stage1.
+    Columns: unit_id (the key), finding_id, section (0, 1), pos, s1, s2, s2_run, dyn, dyn_run, file,
+    function, evidence_ids (all stages', each once, in order), final_state.
     """
-    one = last_of(stage1, "unit_id").select("unit_id", F.col("finding_id").alias("f1"), F.col("decision").alias("s1"))
-    two = last_of(stage2, "unit_id").select("unit_id", F.col("finding_id").alias("f2"), F.col("decision").alias("s2"), F.col("execution_state").alias("s2_run"))
-    result = F.struct(F.col("decision").alias("decision"), F.col("execution_state").alias("run"))
-    by_unit = last_of(dynamic, "unit_id").select("unit_id", result.alias("by_unit"))
-    by_finding = last_of(dynamic, "finding_id").select(F.col("finding_id").alias("f2"), result.alias("by_finding"))
-    units = one.withColumn("known", F.lit(True)).join(two, "unit_id", "full_outer").join(by_unit, "unit_id", "left").join(by_finding, "f2", "left")
-    dyn = F.coalesce("by_unit", F.when(F.col("s2_run").isNotNull(), F.col("by_finding")))
-    out = units.select("unit_id", verdicts.first_filled(F.col("f2"), F.col("f1"), F.col("unit_id").cast("string")).alias("finding_id"), "s1", "s2", "s2_run", dyn["decision"].alias("dyn"), dyn["run"].alias("dyn_run"))
+    rows = _records(stage1, "one").unionByName(_records(stage2, "two")).unionByName(_records(dynamic, "dyn"))
+    own = lambda s: F.when(F.col("stage") == s, F.col("record"))
+    units = rows.groupBy("key").agg(*(F.max(own(s)).alias(s) for s in ("one", "two", "dyn")), *(F.min(own(s)["pos"]).alias(f"{s}_at") for s in ("one", "two")))
+    listed = F.coalesce(F.col("one.decision").isin(*LISTED), F.lit(False))
+    any_listed = units.agg(F.coalesce(F.max(listed), F.lit(False)).alias("any_listed"))
+    first = listed | (~F.col("any_listed") & F.col("one").isNotNull() & ~F.coalesce(F.col("one.decision") == "no_finding", F.lit(False)))
+    units = units.crossJoin(F.broadcast(any_listed)).withColumn("first", first).where("first or two is not null")  # with a single row
+    # the few that look for a dynamic record by the second stage's finding
+    looks = F.col("first") & F.col("dyn").isNull() & F.coalesce(F.col("two.finding_id") != "", F.lit(False))
+    by_finding = dynamic.where("finding_id <> ''").groupBy(F.col("finding_id").cast("string").alias("f")).agg(F.max(F.struct("pos", "decision", "execution_state", _optional(dynamic, "evidence_ids", _NO_IDS).alias("evidence_ids"))).alias("found"))
+    some = units.where(looks).withColumn("f", F.col("two.finding_id")).join(by_finding, "f", "left").drop("f")
+    fields = ("decision", "execution_state", "evidence_ids")
+    taken = lambda c: F.struct(*(F.col(f"{c}.{f}").alias(f) for f in fields)).alias("dynamic")
+    both = some.select("key", "first", "one", "two", "one_at", "two_at", taken("found")).unionAll(units.where(~looks).select("key", "first", "one", "two", "one_at", "two_at", taken("dyn")))
+    at = F.when(F.coalesce(F.col("one.file") != "", F.lit(False)), F.struct(F.col("one.file").alias("file"), F.coalesce("one.function", F.lit("")).alias("function")))
+    by_id = F.when(F.col("key").contains(":"), texts.split_id(F.col("key")))
+    place = F.coalesce(at, by_id, F.struct(F.lit("").alias("file"), F.coalesce("one.function", F.lit("")).alias("function")))
+    out = both.select(
+        F.col("key").alias("unit_id"), verdicts.first_filled(F.col("two.finding_id"), F.col("one.finding_id"), F.col("key")).alias("finding_id"), F.when(F.col("first"), 0).otherwise(1).alias("section"),
+        F.when(F.col("first"), F.col("one_at")).otherwise(F.col("two_at")).alias("pos"), F.col("one.decision").alias("s1"), F.col("two.decision").alias("s2"), F.col("two.execution_state").alias("s2_run"),
+        F.col("dynamic.decision").alias("dyn"), F.col("dynamic.execution_state").alias("dyn_run"), place["file"].alias("file"), place["function"].alias("function"),
+        texts.ordered_union(F.col("one.evidence_ids"), F.col("two.evidence_ids"), F.col("dynamic.evidence_ids")).alias("evidence_ids"),
+    )
     return out.withColumn("final_state", verdicts.final_state(*(F.col(c) for c in ("s1", "s2", "s2_run", "dyn", "dyn_run"))))
 
 
@@ -60,6 +95,16 @@ def metrics(stage1: DataFrame, stage2: DataFrame, dynamic: DataFrame) -> DataFra
     return one.crossJoin(two).crossJoin(dyn)  # three single rows
 
 
+def full_metrics(reach: DataFrame, stage1: DataFrame, stage2: DataFrame, dynamic: DataFrame) -> DataFrame:
+    """The one row of all eighteen counters: reach's (total_units, reachable, unreachable, unknown_reachability) and the stages'."""
+    return reach.select("total_units", "reachable", "unreachable", "unknown_reachability").crossJoin(metrics(stage1, stage2, dynamic))  # two single rows
+
+
+def reach_counts(status: DataFrame) -> DataFrame:
+    """total_units, reachable, unreachable and unknown_reachability of (id, status)."""
+    return status.agg(F.count("*").alias("total_units"), *(F.count_if(F.coalesce(F.col("status") == s, F.lit(False))).alias(name) for s, name in (("reachable", "reachable"), ("unreachable", "unreachable"), ("unknown", "unknown_reachability"))))
+
+
 def tally(records: DataFrame, positive: str, negative: str) -> DataFrame:
     """One row of a stage's own counts: skipped runs are not attempted; blocked ones are, and inconclusive."""
     run, d = F.coalesce("execution_state", F.lit("failed")), F.coalesce("decision", F.lit("inconclusive"))
@@ -89,32 +134,60 @@ def metric_errors(metrics_row: DataFrame) -> DataFrame:
     return metrics_row.select(F.explode(F.array(*(F.struct(F.lit(k).alias("rule"), ok.alias("ok")) for k, ok in rules.items()))).alias("r")).select("r.*")
 
 
-def state_errors(findings: DataFrame) -> DataFrame:
-    """(unit_id, rule): findings whose state contradicts their stages."""
-    s = F.col("final_state")
+def state_errors(findings: DataFrame, known_evidence: DataFrame | None = None) -> DataFrame:
+    """(unit_id, rule): findings whose state contradicts their stages, or that cite evidence (evidence_id) which isn't known."""
+    s, s2, dyn = F.col("final_state"), F.coalesce("s2", F.lit("")), F.coalesce("dyn", F.lit(""))
+    known = F.coalesce(s.isin(*verdicts.STATES), F.lit(False))
     rules = {
-        "unknown_state": ~s.isin(*verdicts.STATES), "reproduced_but_rejected": (s == "reproduced") & (F.col("s2") == "rejected"),
-        "confirmed_without_stage2": s.startswith("confirmed") & F.coalesce(F.col("s2") != "confirmed", F.lit(True)), "reproduced_without_run": (s == "reproduced") & F.coalesce(F.col("dyn") != "reproduced", F.lit(True)),
+        "unknown_state": ~known, "reproduced_without_run": (s == "reproduced") & ((dyn != "reproduced") | (F.coalesce("dyn_run", F.lit("")) != "succeeded")), "reproduced_without_confirmation": (s == "reproduced") & (s2 != "confirmed"),
+        "rejected_but_confirmed": s.isin(*CONFIRMED_STATES) & (s2 == "rejected"), "not_reproduced_without_run": (s == "confirmed_not_reproduced") & (dyn != "not_reproduced"),
+        "legacy_safe": known & ((F.coalesce("s1", F.lit("")) == "safe") | (s2 == "safe") | (dyn == "safe")),
     }
     named = F.array_compact(F.array(*(F.when(F.coalesce(test, F.lit(False)), F.lit(k)) for k, test in rules.items())))
-    return findings.select("unit_id", F.explode(named).alias("rule"))
+    out = findings.select("unit_id", F.explode(named).alias("rule"))
+    if known_evidence is None:
+        return out
+    cited = findings.where(known).select("unit_id", F.explode("evidence_ids").alias("evidence_id"))
+    lost = cited.join(known_evidence.select("evidence_id").distinct(), "evidence_id", "left_anti")
+    return out.unionAll(lost.select("unit_id", F.lit("unresolved_evidence").alias("rule")))
+
+
+def artifact_errors(findings: DataFrame, metrics_row: DataFrame, buckets: DataFrame, summary: DataFrame, known_evidence: DataFrame, partial: bool = False) -> DataFrame:
+    """(rule, n): all checks of a finished artifact, n the rows (or 1) that break each; no row, no error.
+
+    buckets: (state, n) of the lists of candidates, rejected, inconclusive and error findings;
+    summary: one row of total_units, reachable, unreachable, unknown_reachability; partial: the
+    reachability stage said that its counts are incomplete, which excuses their sum."""
+    broken = state_errors(findings, known_evidence).groupBy("rule").agg(F.count("*").alias("n"))
+    counts = findings.agg(*(_count(F.col("final_state") == s, f"f_{s}") for s in verdicts.STATES))
+    lists = buckets.agg(*(F.coalesce(F.max(F.when(F.col("state") == s, F.col("n"))), F.lit(0)).alias(f"b_{s}") for s in ("candidate", "rejected", "inconclusive", "error")))
+    row = metrics_row.crossJoin(counts).crossJoin(lists).crossJoin(summary.select(*(F.col(c).alias(f"u_{c}") for c in ("total_units", "reachable", "unreachable", "unknown_reachability"))))  # single rows
+    reach = lambda p: F.col(f"{p}reachable") + F.col(f"{p}unreachable") + F.col(f"{p}unknown_reachability")
+    tests = {f"bucket_{s}": F.col(f"b_{s}") != F.col(f"f_{s}") for s in ("candidate", "rejected", "inconclusive", "error")}
+    tests |= {
+        "stage1_sum": F.col("stage1_candidates") + F.col("stage1_no_finding") + F.col("stage1_inconclusive") + F.col("stage1_errors") > F.col("total_units"),
+        "not_reproduced_exceeds": (F.col("dynamic_not_reproduced") > 0) & (F.col("f_confirmed_not_reproduced") > F.col("dynamic_not_reproduced")), "reproduced_differs": F.col("dynamic_reproduced") != F.col("f_reproduced"),
+    }
+    if not partial:
+        tests |= {"reachability_sum": reach("") != F.col("total_units"), "summary_sum": (F.col("u_total_units") > 0) & (reach("u_") != F.col("u_total_units"))}
+    one = row.select(F.explode(F.array(*(F.struct(F.lit(k).alias("rule"), F.when(test, 1).otherwise(0).cast("bigint").alias("n")) for k, test in tests.items()))).alias("r")).select("r.*").where("n > 0")
+    return broken.unionByName(one)
 
 
 def csv_rows(findings: DataFrame) -> DataFrame:
-    """Report rows with the fixed columns, nulls empty; `rank` and unit_id give their order."""
+    """Report rows with the fixed columns, nulls empty, evidence ids joined by semicolons; `rank`, `section` and `pos` give their order."""
     label = F.element_at(F.create_map(*(F.lit(x) for pair in verdicts.STATES.items() for x in pair)), F.col("final_state"))
-    at = texts.split_id(F.col("unit_id").cast("string"))
     empty = lambda c: F.coalesce(c, F.lit(""))
     return findings.select(
-        verdicts.state_rank(F.col("final_state")).alias("rank"), "final_state", label.alias("section_label"), F.col("finding_id").cast("string").alias("finding_id"), F.col("unit_id").cast("string").alias("unit_id"),
-        at["file"].alias("file"), at["function"].alias("function"), empty(F.col("s1")).alias("stage1_decision"), empty(F.col("s2")).alias("stage2_decision"), empty(F.col("s2_run")).alias("stage2_execution_state"),
-        empty(F.col("dyn")).alias("dynamic_decision"), empty(F.col("dyn_run")).alias("dynamic_execution_state"),
+        verdicts.state_rank(F.col("final_state")).alias("rank"), "section", "pos", "final_state", label.alias("section_label"), "finding_id", "unit_id", "file", "function", empty(F.col("s1")).alias("stage1_decision"),
+        empty(F.col("s2")).alias("stage2_decision"), empty(F.col("s2_run")).alias("stage2_execution_state"), empty(F.col("dyn")).alias("dynamic_decision"), empty(F.col("dyn_run")).alias("dynamic_execution_state"),
+        F.array_join("evidence_ids", ";").alias("evidence_ids"),
     )
 
 
 def section_numbers(findings: DataFrame) -> DataFrame:
-    """The findings with their number in the report and in their section, by state and unit."""
-    placed = numbered(findings.withColumn("rank", verdicts.state_rank(F.col("final_state"))), [F.col("rank"), F.col("unit_id")])
+    """The findings with their number in the report and in their section: by state, then in the order of the merge."""
+    placed = numbered(findings.withColumn("rank", verdicts.state_rank(F.col("final_state"))), [F.col("rank"), F.col("section"), F.col("pos"), F.col("unit_id")])
     begins = placed.groupBy("rank").agg(F.min("number").alias("begin"))  # one row for each state
     return placed.join(F.broadcast(begins), "rank").withColumn("in_section", F.col("number") - F.col("begin") + 1).drop("begin", "rank")
 

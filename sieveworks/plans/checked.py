@@ -93,10 +93,13 @@ def oracle_decisions(t):
     return t["events"].select("event_id", *(made[c].alias(c) for c in ("execution_state", "decision", "reason")))
 
 
-@query("SELECT event_id, event_type IN ('click') AS rate_limited, event_type IN ('click', 'signup') OR event_type = 'error' AND status >= 500 AS retryable FROM {failures} WHERE kind IS NOT NULL")
+@query(
+    """SELECT event_id, CASE WHEN kind IS NULL THEN event_id % 3 = 0 ELSE event_type IN ('click') END AS rate_limited, CASE WHEN kind IS NULL THEN event_id % 3 < 2 ELSE event_type IN ('click', 'signup') OR event_type = 'error' AND status >= 500 END AS retryable FROM {failures}"""
+)
 def failure_predicates(t):
-    rows = t["failures"].where("kind is not null")
-    return rows.select("event_id", verdicts.is_rate_limited(F.col("kind"), F.lit(None).cast("string")).alias("rate_limited"), verdicts.is_retryable(F.col("kind"), F.col("status")).alias("retryable"))
+    k = F.col("event_id") % 3  # the text that is looked at where there is no kind
+    rows = t["failures"].withColumn("text", F.when(k == 0, "a RATE_LIMIT was hit").when(k == 1, "status 503, try again").otherwise("no such file"))
+    return rows.select("event_id", verdicts.is_rate_limited(F.col("kind"), F.col("text")).alias("rate_limited"), verdicts.is_retryable(F.col("kind"), F.col("status"), F.col("text")).alias("retryable"))
 
 
 @query("SELECT event_id, event_id % 5 = 3 AS truncated FROM {answers}")

@@ -25,6 +25,14 @@ DERIVED = {
         CASE WHEN f = n THEN 'reproduced' WHEN f % 3 = 1 THEN 'not_reproduced' ELSE 'inconclusive' END AS decision,
         CASE WHEN f < n AND f % 3 = 0 THEN 'blocked' WHEN unit_id % 41 = 0 THEN 'skipped' ELSE 'succeeded' END AS execution_state
         FROM {line_counts} WHERE f > 0""",
+    # records as stages write them: without a unit or a finding, twice, by the second stage alone, skipped
+    "found1": """SELECT CASE WHEN unit_id % 19 = 0 THEN NULL ELSE concat('src/f', unit_id % 50, '.py:fn', unit_id) END AS unit_id, CASE WHEN unit_id % 31 = 0 THEN '' ELSE finding_id END AS finding_id, pos, decision,
+        CASE WHEN unit_id % 3 = 0 THEN concat('lib/g', unit_id % 40, '.py') ELSE '' END AS file, CASE WHEN unit_id % 2 = 0 THEN 'h' ELSE '' END AS function, concat('e', unit_id % 7, ',e', unit_id % 5) AS cited FROM {stage1} WHERE unit_id % 23 <> 0
+        UNION ALL SELECT concat('src/f', unit_id % 50, '.py:fn', unit_id), finding_id, pos + 1000000000, 'candidate', '', '', 'e1' FROM {stage1} WHERE unit_id % 29 = 0""",
+    "found2": """SELECT CASE WHEN unit_id % 17 = 0 THEN NULL ELSE concat('src/f', unit_id % 50, '.py:fn', unit_id) END AS unit_id, CASE WHEN unit_id % 13 = 0 THEN NULL ELSE finding_id END AS finding_id, pos, decision, execution_state, concat('e', unit_id % 5, ',e', unit_id % 11) AS cited FROM {stage2}
+        UNION ALL SELECT concat('src/f', unit_id % 50, '.py:fn', unit_id), finding_id, pos + 2000000000, 'inconclusive', 'skipped', 'e0' FROM {stage1} WHERE decision = 'no_finding' AND unit_id % 4 = 0
+        UNION ALL SELECT concat('only/s2.py:u', unit_id), concat('F', unit_id), pos + 3000000000, 'confirmed', 'succeeded', 'e2,e2' FROM {stage1} WHERE unit_id % 47 = 0""",
+    "found3": """SELECT CASE WHEN unit_id IS NULL THEN NULL ELSE concat('src/f', unit_id % 50, '.py:fn', unit_id) END AS unit_id, finding_id, pos, decision, execution_state, concat('e', pos % 3) AS cited FROM {dynamic}""",
     "nodes": """SELECT p_partkey AS id, concat('fn', p_partkey % 40) AS name, concat('pkg', p_size % 4, '.fn', p_partkey % 40) AS qualified_name,
         concat('src/', p_brand, '/m', p_partkey % 3, '.py') AS file_path, concat('src/', p_brand) AS folder,
         CASE WHEN p_size % 9 = 0 THEN 'module_level' WHEN p_size % 9 = 1 THEN 'lambda' ELSE 'function' END AS kind,
@@ -35,19 +43,19 @@ DERIVED = {
     "unresolved": """SELECT p_partkey AS caller, CASE WHEN p_size % 5 = 0 THEN '<lambda>' ELSE concat('x.fn', p_partkey * 3 % 40) END AS callee_name,
         CASE WHEN p_size % 3 = 0 THEN 'dynamic' WHEN p_size % 3 = 1 THEN 'external' ELSE 'ambiguous' END AS reason FROM {part} WHERE p_size % 11 = 0""",
     "spans": "SELECT concat(l_orderkey, ':', l_partkey, ':', l_suppkey, ':', l_linenumber, ':', cast(l_quantity AS int)) AS id, concat('file', l_partkey % 500) AS file, CASE WHEN l_suppkey % 20 = 0 THEN NULL ELSE l_linenumber * 10 END AS lo, CASE WHEN l_suppkey % 20 = 0 THEN NULL ELSE l_linenumber * 10 + cast(l_quantity AS int) END AS hi FROM {lineitem}",
-    "hunks": "SELECT concat('file', p_partkey % 600) AS file, p_size AS start, p_size + p_partkey % 4 AS stop FROM {part} WHERE p_partkey % 3 = 0",
+    "hunks": "SELECT concat('file', p_partkey % 600) AS file, p_size AS start, p_size + p_partkey % 4 AS stop FROM {part}",
     "sources": "SELECT concat('S', p_partkey) AS id, concat('F', p_partkey) AS finding_id, concat('s', p_size % 3) AS source, CASE WHEN p_partkey % 50 = 0 THEN '' ELSE p_type END AS sink FROM {part}",
     "source_edges": "SELECT concat('S', caller) AS caller, concat('S', callee) AS callee FROM {edges} UNION ALL SELECT concat('S', caller) AS caller, concat('S', callee) AS callee FROM {edges} WHERE caller % 13 = 0",
     "cited": "SELECT DISTINCT concat('S', l_partkey) AS id, concat('e', l_suppkey % 50) AS evidence_id FROM {lineitem}",
     "evidence": "SELECT substr(split_part(text, chr(10), 1), 1, 40) AS evidence_id, doc_id AS pos, text AS content, CASE WHEN doc_id % 10 = 0 THEN 'bad' WHEN doc_id % 10 = 1 THEN repeat('a', 64) ELSE NULL END AS content_hash FROM {documents}",
     "routes": """SELECT d.doc_id, d.source, concat('src/', d.source, '.py:', CASE WHEN d.doc_id % 4 = 0 THEN '_get_default_' WHEN d.doc_id % 4 = 1 THEN 'build_' WHEN d.doc_id % 4 = 2 THEN 'Cls.' ELSE '__' END, 'fn', d.doc_id % 3) AS route,
-        CASE WHEN quality * 2 + toxic = 0 THEN ' Vuln ' WHEN quality * 2 + toxic = 1 THEN 'uncertain' WHEN quality * 2 + toxic = 2 THEN 'SAFE' ELSE 'bogus' END AS verdict FROM {documents} d JOIN {labels} l ON d.doc_id = l.doc_id""",
+        CASE WHEN quality * 2 + toxic = 0 THEN 'Vulnerable' WHEN quality * 2 + toxic = 1 THEN 'bypassable' WHEN quality * 2 + toxic = 2 THEN 'SAFE' ELSE 'protected' END AS verdict FROM {documents} d JOIN {labels} l ON d.doc_id = l.doc_id""",
     "failures": """SELECT event_id, event_type, CASE WHEN event_type = 'error' THEN 'api_status' WHEN event_type = 'click' THEN 'rate_limit' WHEN event_type = 'view' THEN 'bad_request' WHEN event_type = 'signup' THEN 'timeout' ELSE NULL END AS kind,
         450 + cast(replace(replace(props, '{{"k": ', ''), '}}', '') AS int) AS status FROM {events}""",
     "calls": "SELECT concat('m-', role) AS model, length(text) AS input_tokens, turn * 7 AS output_tokens FROM {conversations}",
-    "packages": "SELECT p_partkey AS part, 'PyPI' AS ecosystem, concat('Pkg_', p_partkey % 10) AS name, concat(p_size % 5, '.', p_partkey % 10, CASE WHEN p_size % 3 = 0 THEN '.0' ELSE '' END) AS version FROM {part}",
-    "advisories": """SELECT concat('A', p_partkey) AS id, concat('pkg-', p_partkey % 10) AS package, concat(p_size % 3) AS introduced,
-        CASE WHEN p_partkey % 3 = 0 THEN concat(p_size % 4, '.5') ELSE NULL END AS fixed, CASE WHEN p_partkey % 3 = 1 THEN concat(p_size % 4) ELSE NULL END AS last_affected FROM {part} WHERE p_partkey < 20""",
+    "packages": "SELECT p_partkey AS part, 'PyPI' AS ecosystem, concat('Pkg_', p_partkey - p_partkey % 10) AS name, concat(p_size % 5, '.', p_partkey % 10, CASE WHEN p_size % 3 = 0 THEN '.0' ELSE '' END) AS version FROM {part}",
+    "advisories": """SELECT concat('A', p_partkey) AS id, concat('pkg-', p_partkey - p_partkey % 10) AS package, concat(p_size % 3) AS introduced,
+        CASE WHEN p_partkey % 3 = 0 THEN concat(p_size % 4, '.5') ELSE NULL END AS fixed, CASE WHEN p_partkey % 3 = 1 THEN concat(p_size % 4) ELSE NULL END AS last_affected FROM {part}""",
     "answers": """SELECT event_id, CASE WHEN event_id % 5 = 0 THEN props WHEN event_id % 5 = 1 THEN concat('```json', chr(10), props, chr(10), '```') WHEN event_id % 5 = 2 THEN concat('Answer: ', props, ' done')
         WHEN event_id % 5 = 3 THEN substr(props, 1, 4) ELSE 'none' END AS answer FROM {events}""",
     "words": "SELECT o_orderkey AS id, CASE WHEN o_orderkey % 6 = 0 THEN ' Vuln ' WHEN o_orderkey % 6 = 1 THEN 'bypass' WHEN o_orderkey % 6 = 2 THEN 'SAFE' WHEN o_orderkey % 6 = 3 THEN NULL WHEN o_orderkey % 6 = 4 THEN 'odd' ELSE 'uncertain' END AS a, CASE WHEN o_orderstatus = 'F' THEN 'vulnerable' WHEN o_orderstatus = 'P' THEN 'bypassable' ELSE NULL END AS b, CASE WHEN o_custkey % 3 = 0 THEN NULL ELSE o_custkey % 3 = 1 END AS agrees, CASE WHEN o_custkey % 4 = 0 THEN 'Confirmed' WHEN o_custkey % 4 = 1 THEN 'rejected' WHEN o_custkey % 4 = 2 THEN NULL ELSE 'agreed' END AS stage2, CASE WHEN o_custkey % 5 = 0 THEN 'confirmed' WHEN o_custkey % 5 = 1 THEN 'BLOCKED' ELSE NULL END AS dyn FROM {orders}",

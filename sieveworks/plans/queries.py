@@ -19,10 +19,20 @@ def _joined(c) -> F.Column:
 
 
 # The oracle's own statement of the merge and of the states.
-_MERGED = """SELECT s1.unit_id, s1.decision AS d1, s2.decision AS d2, s2.execution_state AS e2, coalesce(du.decision, df.decision) AS dd, coalesce(du.execution_state, df.execution_state) AS ed
-    FROM {stage1} s1 LEFT JOIN (SELECT * FROM {stage2} QUALIFY row_number() OVER (PARTITION BY unit_id ORDER BY pos DESC) = 1) s2 ON s1.unit_id = s2.unit_id
-    LEFT JOIN {dynamic} du ON s1.unit_id = du.unit_id LEFT JOIN {dynamic} df ON df.finding_id = s2.finding_id AND du.unit_id IS NULL"""
-_STATES = f"""SELECT unit_id, d1, d2, e2, dd, ed, CASE WHEN d1 = 'error' OR e2 = 'failed' OR ed = 'failed' THEN 'error' WHEN dd = 'reproduced' AND ed = 'succeeded' THEN 'reproduced'
+_KEY_OF = "coalesce(nullif(unit_id, ''), nullif(finding_id, ''))"
+_LAST = "SELECT *, min(pos) OVER (PARTITION BY key) AS at FROM (SELECT {k} AS key, * FROM {t}) x WHERE key IS NOT NULL QUALIFY row_number() OVER (PARTITION BY key ORDER BY pos DESC) = 1"
+_MERGED = f"""WITH a AS ({_LAST.format(k=_KEY_OF, t="{found1}")}), b AS ({_LAST.format(k=_KEY_OF, t="{found2}")}), d AS ({_LAST.format(k=_KEY_OF, t="{found3}")}),
+    df AS (SELECT * FROM {{found3}} WHERE finding_id <> '' QUALIFY row_number() OVER (PARTITION BY finding_id ORDER BY pos DESC) = 1),
+    l AS (SELECT * FROM a WHERE decision IN ('candidate', 'inconclusive', 'error')),
+    one AS (SELECT l.key, 0 AS section, l.at AS pos, l.finding_id AS f1, b.finding_id AS f2, l.decision AS d1, b.decision AS d2, b.execution_state AS e2, coalesce(d.decision, df.decision) AS dd, coalesce(d.execution_state, df.execution_state) AS ed, l.file, l.function, l.cited AS c1, b.cited AS c2, coalesce(d.cited, df.cited) AS c3
+        FROM l LEFT JOIN b ON b.key = l.key LEFT JOIN d ON d.key = l.key LEFT JOIN df ON d.key IS NULL AND df.finding_id = b.finding_id),
+    two AS (SELECT b.key, 1, b.at, a.finding_id, b.finding_id, a.decision, b.decision, b.execution_state, d.decision, d.execution_state, a.file, a.function, a.cited, b.cited, d.cited
+        FROM b LEFT JOIN a ON a.key = b.key LEFT JOIN d ON d.key = b.key WHERE b.key NOT IN (SELECT key FROM l)),
+    m AS (SELECT * FROM one UNION ALL SELECT * FROM two)
+    SELECT key AS unit_id, section, pos, coalesce(nullif(f2, ''), nullif(f1, ''), key) AS finding_id, d1, d2, e2, dd, ed,
+    CASE WHEN file <> '' THEN file WHEN position(':' IN key) > 0 THEN regexp_extract(key, '^(.*):([^:]*)$', 1) ELSE '' END AS file, CASE WHEN file <> '' THEN function WHEN position(':' IN key) > 0 THEN regexp_extract(key, '^(.*):([^:]*)$', 2) ELSE coalesce(function, '') END AS function,
+    list_concat(coalesce(string_split(c1, ','), []), coalesce(string_split(c2, ','), []), coalesce(string_split(c3, ','), [])) AS cited FROM m"""
+_STATES = f"""SELECT *, CASE WHEN d1 = 'error' OR e2 = 'failed' OR ed = 'failed' THEN 'error' WHEN dd = 'reproduced' AND ed = 'succeeded' THEN 'reproduced'
     WHEN d2 = 'rejected' AND e2 = 'succeeded' THEN 'rejected' WHEN d2 = 'confirmed' AND e2 = 'succeeded' AND dd = 'not_reproduced' AND ed = 'succeeded' THEN 'confirmed_not_reproduced'
     WHEN d2 = 'confirmed' AND e2 = 'succeeded' AND (ed IS NULL OR ed IN ('skipped', 'blocked')) THEN 'confirmed_not_dynamically_tested' WHEN d2 = 'confirmed' AND e2 = 'succeeded' AND dd = 'inconclusive' THEN 'inconclusive'
     WHEN d1 = 'candidate' AND d2 IS NULL THEN 'candidate' WHEN d1 = 'inconclusive' OR d2 = 'inconclusive' OR dd = 'inconclusive' THEN 'inconclusive' WHEN d1 = 'candidate' THEN 'candidate' ELSE 'inconclusive' END AS final_state
@@ -33,8 +43,12 @@ _METRICS = """SELECT a.*, b.*, c.* FROM (SELECT count(*) FILTER (decision = 'can
     (SELECT count(*) FILTER (execution_state = 'failed') AS dynamic_failed, count(*) FILTER (execution_state = 'blocked') AS dynamic_blocked, count(*) FILTER (execution_state = 'skipped') AS dynamic_skipped, count(*) FILTER (decision = 'reproduced' AND execution_state = 'succeeded') AS dynamic_reproduced, count(*) FILTER (decision = 'not_reproduced' AND execution_state = 'succeeded') AS dynamic_not_reproduced, count(*) FILTER (decision = 'inconclusive' AND execution_state NOT IN ('failed', 'blocked', 'skipped')) AS dynamic_inconclusive FROM {dynamic}) c"""
 
 
+def _found(t: Tables, name: str) -> DataFrame:
+    return t[name].withColumn("evidence_ids", F.split("cited", ","))
+
+
 def _findings(t: Tables) -> DataFrame:
-    return stages.merged(t["stage1"], t["stage2"], t["dynamic"])
+    return stages.merged(_found(t, "found1"), _found(t, "found2"), _found(t, "found3"))
 
 
 @query(f"SELECT s.final_state, count(x.unit_id) AS n FROM (VALUES ('reproduced'), ('confirmed_not_dynamically_tested'), ('confirmed_not_reproduced'), ('candidate'), ('rejected'), ('inconclusive'), ('error')) s(final_state) LEFT JOIN ({_STATES}) x ON s.final_state = x.final_state GROUP BY s.final_state")
@@ -67,43 +81,82 @@ def threshold_gate(t):
     return stages.gates(stages.metrics(t["stage1"], t["stage2"], t["dynamic"]), _findings(t))
 
 
+_IDS = "array_to_string(list_filter(cited, lambda x, i: list_position(cited, x) = i), ';')"
+
+
 @query(
-    f"""SELECT {_ORDER} AS rank, final_state, CASE final_state WHEN 'reproduced' THEN 'Reproduced' WHEN 'confirmed_not_dynamically_tested' THEN 'Confirmed, not dynamically tested' WHEN 'confirmed_not_reproduced' THEN 'Confirmed, not reproduced' WHEN 'candidate' THEN 'Candidate' WHEN 'rejected' THEN 'Rejected' WHEN 'inconclusive' THEN 'Inconclusive' ELSE 'Error' END AS section_label,
-    concat('F', unit_id) AS finding_id, cast(unit_id AS varchar) AS unit_id, '' AS file, '' AS function, coalesce(d1, '') AS stage1_decision, coalesce(d2, '') AS stage2_decision, coalesce(e2, '') AS stage2_execution_state, coalesce(dd, '') AS dynamic_decision, coalesce(ed, '') AS dynamic_execution_state FROM ({_STATES}) x"""
+    f"""SELECT {_ORDER} AS rank, section, pos, final_state, CASE final_state WHEN 'reproduced' THEN 'Reproduced' WHEN 'confirmed_not_dynamically_tested' THEN 'Confirmed, not dynamically tested' WHEN 'confirmed_not_reproduced' THEN 'Confirmed, not reproduced' WHEN 'candidate' THEN 'Candidate' WHEN 'rejected' THEN 'Rejected' WHEN 'inconclusive' THEN 'Inconclusive' ELSE 'Error' END AS section_label,
+    finding_id, unit_id, file, function, coalesce(d1, '') AS stage1_decision, coalesce(d2, '') AS stage2_decision, coalesce(e2, '') AS stage2_execution_state, coalesce(dd, '') AS dynamic_decision, coalesce(ed, '') AS dynamic_execution_state, {_IDS} AS evidence_ids FROM ({_STATES}) x"""
 )
 def csv_rows(t):
     return stages.csv_rows(_findings(t))
 
 
-@query(f"SELECT unit_id, final_state, row_number() OVER (ORDER BY {_ORDER}, unit_id) AS number, row_number() OVER (PARTITION BY final_state ORDER BY unit_id) AS in_section FROM ({_STATES}) x")
+@query(f"SELECT unit_id, final_state, row_number() OVER (ORDER BY {_ORDER}, section, pos, unit_id) AS number, row_number() OVER (PARTITION BY final_state ORDER BY section, pos, unit_id) AS in_section FROM ({_STATES}) x")
 def section_numbers(t):
-    return stages.section_numbers(_findings(t).select("unit_id", "final_state"))
+    return stages.section_numbers(_findings(t)).select("unit_id", "final_state", "number", "in_section")
 
 
 @query(
     f"""SELECT CASE w WHEN 1 THEN 'reproduced' WHEN 2 THEN 'confirmed_not_dynamically_tested' WHEN 3 THEN 'confirmed_not_reproduced' WHEN 4 THEN 'candidate' WHEN 5 THEN 'rejected' WHEN 6 THEN 'inconclusive' ELSE 'error' END AS final_state, count(*) AS files
-    FROM (SELECT o_custkey, min({_ORDER}) AS w FROM ({_STATES}) x JOIN {{orders}} o ON o.o_orderkey = x.unit_id GROUP BY o_custkey) y GROUP BY w"""
+    FROM (SELECT file, min({_ORDER}) AS w FROM ({_STATES}) x GROUP BY file) y GROUP BY w"""
 )
 def state_per_file_worst(t):
-    files = t["orders"].select(F.col("o_orderkey").alias("unit_id"), "o_custkey")
-    return stages.worst_state_per_file(_findings(t).join(files, "unit_id"), "o_custkey")
+    return stages.worst_state_per_file(_findings(t), "file")
 
 
-@query("SELECT 'reachability_sum' AS rule, true AS ok UNION ALL SELECT 'stage1_sum', true UNION ALL SELECT 'not_negative', true")
-def metric_checks(t):
+def _all_status(t):
     # every unit that the graph or the first stage knows is a node
     units = t["nodes"].select("id").unionAll(t["stage1"].select("unit_id"))
-    status = graph.reachability(units, t["edges"], t["roots"])
-    reach = status.agg(F.count("*").alias("total_units"), F.count_if(F.col("status") == "reachable").alias("reachable"), F.count_if(F.col("status") == "unreachable").alias("unreachable"), F.count_if(F.col("status") == "unknown").alias("unknown_reachability"))
-    return stages.metric_errors(reach.crossJoin(stages.metrics(t["stage1"], t["stage2"], t["dynamic"])))  # two single rows
+    return graph.reachability(units, t["edges"], t["roots"])
+
+
+_STEPS = "SELECT caller, callee, coalesce(confidence, 'exact') = 'exact' AS exact FROM {edges} WHERE caller <> callee"
+_COUNTED = f"""WITH RECURSIVE steps AS ({_STEPS}), known AS (SELECT id FROM {{nodes}} UNION SELECT unit_id FROM {{stage1}}), r(id) AS (SELECT id FROM {{roots}} UNION SELECT s.callee FROM r JOIN steps s ON s.caller = r.id WHERE s.exact),
+    u(id) AS (SELECT s.callee FROM r JOIN steps s ON s.caller = r.id UNION SELECT s.callee FROM u JOIN steps s ON s.caller = u.id),
+    n AS (SELECT count(*) AS total_units, count(*) FILTER (id IN (SELECT id FROM r)) AS reachable, count(*) FILTER (id NOT IN (SELECT id FROM r) AND id NOT IN (SELECT id FROM u)) AS unreachable, count(*) FILTER (id NOT IN (SELECT id FROM r) AND id IN (SELECT id FROM u)) AS unknown_reachability FROM known)
+    SELECT n.*, m.* FROM n, ({_METRICS}) m"""
+
+
+@query(_COUNTED)
+def analysis_metrics(t):
+    return stages.full_metrics(stages.reach_counts(_all_status(t)), t["stage1"], t["stage2"], t["dynamic"])
+
+
+@query(
+    _COUNTED.replace("SELECT n.*, m.* FROM n,", "SELECT rule, ok FROM (SELECT n.*, m.* FROM n,")
+    + """) z, LATERAL (VALUES ('reachability_sum', reachable + unreachable + unknown_reachability = total_units), ('stage1_sum', stage1_candidates + stage1_no_finding + stage1_inconclusive + stage1_errors <= total_units),
+    ('not_negative', least(total_units, reachable, unreachable, unknown_reachability, stage1_candidates, stage2_failed, stage2_confirmed, dynamic_failed, dynamic_blocked) >= 0)) v(rule, ok)"""
+)
+def metric_checks(t):
+    return stages.metric_errors(stages.full_metrics(stages.reach_counts(_all_status(t)), t["stage1"], t["stage2"], t["dynamic"]))
 
 
-@query(f"SELECT unit_id, 'reproduced_but_rejected' AS rule FROM ({_STATES}) x WHERE final_state = 'reproduced' AND d2 = 'rejected'")
+_BROKEN = f"""SELECT unit_id, unnest(list_filter([CASE WHEN final_state = 'reproduced' AND NOT (coalesce(dd, '') = 'reproduced' AND coalesce(ed, '') = 'succeeded') THEN 'reproduced_without_run' END, CASE WHEN final_state = 'reproduced' AND coalesce(d2, '') <> 'confirmed' THEN 'reproduced_without_confirmation' END,
+    CASE WHEN (final_state = 'reproduced' OR final_state LIKE 'confirmed%') AND d2 = 'rejected' THEN 'rejected_but_confirmed' END, CASE WHEN final_state = 'confirmed_not_reproduced' AND dd IS DISTINCT FROM 'not_reproduced' THEN 'not_reproduced_without_run' END], lambda x: x IS NOT NULL)) AS rule FROM ({_STATES}) x"""
+
+
+@query(_BROKEN)
 def state_violations(t):
     return stages.state_errors(_findings(t))
 
 
-_STEPS = "SELECT caller, callee, coalesce(confidence, 'exact') = 'exact' AS exact FROM {edges} WHERE caller <> callee"
+@query(
+    f"""WITH x AS ({_STATES}), metrics AS ({_METRICS.replace("{stage1}", "{found1}").replace("{stage2}", "{found2}").replace("{dynamic}", "{found3}")}), broken AS ({_BROKEN} UNION ALL SELECT unit_id, 'unresolved_evidence' FROM (SELECT DISTINCT unit_id, unnest(cited) AS e FROM x) c WHERE e IN ('e5', 'e9'))
+    SELECT rule, count(*) AS n FROM broken GROUP BY rule UNION ALL SELECT 'bucket_rejected', 1 UNION ALL SELECT 'bucket_inconclusive', 1 WHERE (SELECT count(*) FROM x WHERE final_state = 'inconclusive') > 0 UNION ALL SELECT 'bucket_error', 1
+    UNION ALL SELECT 'reproduced_differs', 1 FROM metrics WHERE dynamic_reproduced <> (SELECT count(*) FROM x WHERE final_state = 'reproduced')
+    UNION ALL SELECT 'not_reproduced_exceeds', 1 FROM metrics WHERE dynamic_not_reproduced > 0 AND dynamic_not_reproduced < (SELECT count(*) FROM x WHERE final_state = 'confirmed_not_reproduced') UNION ALL SELECT 'summary_sum', 1"""
+)
+def artifact_violations(t):
+    """An artifact whose lists lack rejected, inconclusive and error findings, and whose summary doesn't add up."""
+    found = _findings(t)
+    reach = t["stage1"].agg(F.count("*").alias("total_units")).select((F.col("total_units") * 3).alias("total_units"), (F.col("total_units") * 3).alias("reachable"), F.lit(0).alias("unreachable"), F.lit(0).alias("unknown_reachability"))
+    buckets = found.where("final_state = 'candidate'").agg(F.lit("candidate").alias("state"), F.count("*").alias("n"))
+    known = t.spark.range(11).select(F.concat(F.lit("e"), "id").alias("evidence_id")).where("evidence_id not in ('e5', 'e9')")
+    summary = reach.withColumn("unreachable", F.lit(1))
+    return stages.artifact_errors(found, stages.full_metrics(reach, _found(t, "found1"), _found(t, "found2"), _found(t, "found3")), buckets, summary, known)
+
+
 _REACH = f"""WITH RECURSIVE steps AS ({_STEPS}), r(id) AS (SELECT id FROM {{roots}} UNION SELECT s.callee FROM r JOIN steps s ON s.caller = r.id WHERE s.exact),
     u(id) AS (SELECT s.callee FROM r JOIN steps s ON s.caller = r.id UNION SELECT s.callee FROM u JOIN steps s ON s.caller = u.id)
     SELECT n.id, CASE WHEN n.id IN (SELECT id FROM r) THEN 'reachable' WHEN n.id IN (SELECT id FROM u) THEN 'unknown' ELSE 'unreachable' END AS status FROM {{nodes}} n"""
@@ -200,25 +253,45 @@ def unresolved_by_reason(t):
     return t["unresolved"].groupBy("reason").agg(F.count("*").alias("n"))
 
 
-_OVERLAP = "SELECT DISTINCT s.id, s.file, s.lo, s.hi FROM {spans} s JOIN {hunks} h ON s.file = h.file WHERE s.lo IS NULL OR (s.lo <= h.stop AND s.hi >= h.start)"
+_MEETS = "SELECT DISTINCT s.id FROM {spans} s JOIN {hunks} h ON s.file = h.file WHERE s.lo <= h.stop AND s.hi >= h.start"
 
 
-@query(_OVERLAP)
+@query(f"SELECT DISTINCT s.id, s.file, s.lo, s.hi FROM {{spans}} s WHERE s.id IN ({_MEETS})")
 def interval_overlap_semijoin(t):
     return matching.overlapping(t["spans"].distinct(), t["hunks"].withColumnRenamed("stop", "end"))
 
 
-@query(f"SELECT count(*) AS total, count(*) FILTER (id IN (SELECT id FROM ({_OVERLAP}) o)) AS selected, count(*) FILTER (lo IS NULL AND id IN (SELECT id FROM ({_OVERLAP}) o)) AS fallback FROM (SELECT DISTINCT * FROM {{spans}}) s")
+def _manifest(t):
+    """The hunks, and changed files without any."""
+    bare = t["part"].select(F.concat(F.lit("./file"), F.col("p_partkey") % 1000).alias("file"), F.lit(None).cast("int").alias("start"), F.lit(None).cast("int").alias("end")).distinct()
+    return t["hunks"].withColumnRenamed("stop", "end").unionByName(bare)
+
+
+_CALLS = "SELECT DISTINCT s.id, (SELECT min(id) FROM {spans} m WHERE m.file = s.file) AS callee FROM {spans} s"
+
+
+@query(
+    f"""WITH u AS (SELECT DISTINCT * FROM {{spans}}), f AS (SELECT file FROM {{hunks}} UNION SELECT concat('file', p_partkey % 1000) FROM {{part}}), fb AS (SELECT id FROM u WHERE lo IS NULL AND file IN (SELECT file FROM f)),
+    ch AS ({_MEETS}), sel AS (SELECT id FROM fb UNION SELECT id FROM ch), ca AS (SELECT DISTINCT c.id FROM ({_CALLS}) c WHERE c.callee IN (SELECT id FROM sel) AND c.id NOT IN (SELECT id FROM sel))
+    SELECT (SELECT count(*) FROM u) AS total, (SELECT count(*) FROM sel) + (SELECT count(*) FROM ca) AS selected, (SELECT count(*) FROM fb) AS fallback, (SELECT count(*) FROM ca) AS callers_added, (SELECT count(*) FROM f) AS changed_files"""
+)
 def diff_stats(t):
-    units = t["spans"].distinct().withColumn("direct_calls", F.array().cast("array<string>"))
-    marked = matching.diff_selection(units, t["hunks"].withColumnRenamed("stop", "end"))
-    return marked.agg(F.count("*").alias("total"), F.count_if("diff_selected").alias("selected"), F.count_if(F.col("diff_selected") & F.col("lo").isNull()).alias("fallback"))
+    units = t["spans"].distinct()
+    least = units.groupBy("file").agg(F.array(F.min("id")).alias("direct_calls"))
+    manifest = _manifest(t)
+    return matching.diff_statistics(matching.diff_selection(units.join(least, "file"), manifest, "callers"), manifest)
 
 
-@query("SELECT DISTINCT p.p_partkey AS point_id, s.id FROM {part} p JOIN {spans} s ON s.file = concat('file', p.p_partkey % 500) AND s.lo IS NOT NULL AND (p.p_size BETWEEN s.lo AND s.hi OR p.p_size + 30 BETWEEN s.lo AND s.hi) WHERE p.p_partkey % 4 = 0")
+# an ending of the path is the file, or of the file the path; the first file (by its first span) counts
+@query(
+    """WITH f AS (SELECT file, min(id) AS pos FROM {spans} WHERE lo IS NOT NULL GROUP BY file), p AS (SELECT p_partkey AS point_id, concat(CASE WHEN p_partkey % 2 = 0 THEN 'repo/src/file' ELSE 'ile' END, p_partkey % 500) AS path, p_size AS a, p_size + 30 AS b FROM {part}),
+    m AS (SELECT path, arg_min(file, pos) AS file FROM (SELECT DISTINCT path FROM p) q JOIN f ON ends_with(q.path, f.file) OR ends_with(f.file, q.path) GROUP BY path)
+    SELECT DISTINCT p.point_id, s.id FROM p JOIN m ON m.path = p.path JOIN {spans} s ON s.file = m.file AND (p.a BETWEEN s.lo AND s.hi OR p.b BETWEEN s.lo AND s.hi)"""
+)
 def endpoint_in_range_join(t):
-    points = t["part"].where("p_partkey % 4 = 0").select(F.col("p_partkey").alias("point_id"), F.concat(F.lit("repo/src/file"), F.col("p_partkey") % 500).alias("path"), F.col("p_size").alias("start"), (F.col("p_size") + 30).alias("end"))
-    return matching.containing(points, t["spans"].where("lo is not null").distinct())
+    head = F.when(F.col("p_partkey") % 2 == 0, "repo/src/file").otherwise("ile")
+    points = t["part"].select(F.col("p_partkey").alias("point_id"), F.concat(head, F.col("p_partkey") % 500).alias("path"), F.col("p_size").alias("start"), (F.col("p_size") + 30).alias("end"))
+    return matching.containing(points, t["spans"].where("lo is not null").distinct().withColumn("pos", F.col("id")))
 
 
 @query("SELECT DISTINCT e.caller AS id FROM {edges} e JOIN {roots} r ON r.id = e.callee WHERE e.caller NOT IN (SELECT id FROM {roots})")
@@ -302,7 +375,7 @@ def confusion_metrics(t):
 
 @query(
     """SELECT pattern, count(*) AS members, array_to_string(list_sort(list(DISTINCT v)), ',') AS verdicts FROM (SELECT concat(source, '.py:', CASE WHEN doc_id % 4 = 2 THEN '*.' ELSE '*_' END, 'fn', doc_id % 3) AS pattern,
-    CASE verdict WHEN ' Vuln ' THEN 'vulnerable' WHEN 'uncertain' THEN 'inconclusive' WHEN 'SAFE' THEN 'safe' ELSE 'error' END AS v FROM {routes}) x GROUP BY pattern HAVING count(*) >= 2 AND count(DISTINCT v) > 1"""
+    CASE upper(verdict) WHEN 'BYPASSABLE' THEN 'VULNERABLE' WHEN 'PROTECTED' THEN 'SAFE' ELSE upper(verdict) END AS v FROM {routes}) x GROUP BY pattern HAVING count(*) >= 2 AND count(DISTINCT v) > 1"""
 )
 def group_consistency(t):
     return records.inconsistent_groups(t["routes"], texts.signature_pattern(F.col("route")), F.col("verdict")).withColumn("verdicts", F.array_join("verdicts", ","))

@@ -75,7 +75,7 @@ def route_lookup(t):
     return summaries.routed(units, routes).select("id", "route", "unit_type")
 
 
-@query("SELECT ecosystem, concat('pkg-', part % 10) AS package, arg_max(version, part) AS version FROM {packages} GROUP BY ALL")
+@query("SELECT ecosystem, concat('pkg-', part - part % 10) AS package, arg_max(version, part) AS version FROM {packages} GROUP BY ALL")
 def packages_last_wins(t):
     return summaries.last_packages(t["packages"], package_name(F.col("name")), "part")
 
