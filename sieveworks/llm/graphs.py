@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import written
+from .shared import forget, written
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -32,7 +32,9 @@ def components(edges: DataFrame) -> DataFrame:
     now = written(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     state = None
     while True:
-        now = written(_star(_star(now, True), False))
+        after = written(_star(_star(now, True), False))
+        forget(now)
+        now = after
         seen = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if seen == state:
             return now.select("u", F.col("v").alias("component"))

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from . import blocks as B
 from .graphs import components
-from .shared import written
+from .shared import forget, keyed_join, written
 
 SHINGLE = 5
 PERCENT = 75
@@ -32,6 +32,8 @@ BANDS, ROWS = 85, 6
 #: four bits of each place make a sketch; it estimates a similarity of 0.75 with a deviation of
 #: 0.0204, so that one at the threshold falls six of these below in one of a billion cases
 SKETCH_SLACK = 0.123
+#: open members of a bucket that one task compares with its others; those of a larger bucket are dealt to several
+TOGETHER = 500
 _CHUNK = 1 << 14
 
 SIGNED = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set_a", pa.int64()), ("set_b", pa.int64()), ("bands", pa.list_(pa.int64())), ("sketch", pa.list_(pa.int64()))])
@@ -177,35 +179,48 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_
     signed = written(_signed(rows))
     key = ["n_shingles", "set_a", "set_b"]
     # documents with equal sets: one stands for all
-    sets = written(signed.where("n_shingles > 0 and doc_id is not null").groupBy(*key).agg(F.min_by("bands", "doc_id").alias("bands"), F.min_by("sketch", "doc_id").alias("sketch"), F.min("doc_id").alias("rep")))
+    sets = written(
+        signed.where("n_shingles > 0 and doc_id is not null").groupBy(*key).agg(F.min_by("bands", "doc_id").alias("bands"), F.min_by("sketch", "doc_id").alias("sketch"), F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
+    )
     spread = written(sets.select("rep", "n_shingles", F.posexplode("bands").alias("band", "bucket")))
     shared = written(spread.groupBy("band", "bucket").agg(F.min("rep").alias("least"), F.max("rep").alias("most"), F.count("*").alias("size")).where("least <> most").select("band", "bucket", "size"))
     # members of buckets with two documents or more; a document that meets many others is a good pivot
-    members = written(spread.join(shared.hint("merge"), ["band", "bucket"]))
+    members = written(keyed_join(spread, shared, ["band", "bucket"], "size"))
+    forget(spread, shared)
     scores = written(members.groupBy("rep").agg(F.sum("size").alias("score")))
     scored = written(members.join(scores.hint("merge"), "rep").select("rep", "n_shingles", "band", "bucket", F.struct("score", (-F.col("rep")).alias("minus")).alias("rank")))
-    pivots = written(scored.groupBy("band", "bucket").agg(F.max("rank").alias("best")))
-    wanted = scored.join(pivots.hint("merge"), ["band", "bucket"]).groupBy("rep").agg(F.max("best").alias("best"), F.first("n_shingles").alias("n_shingles"))
+    pivots = written(scored.groupBy("band", "bucket").agg(F.max("rank").alias("best"), F.count("*").alias("size")))
+    wanted = keyed_join(scored, pivots, ["band", "bucket"], "size").groupBy("rep").agg(F.max("best").alias("best"), F.first("n_shingles").alias("n_shingles"))
     wanted = written(wanted.select("rep", "n_shingles", (-F.col("best.minus")).alias("pivot")))
+    forget(scores, scored, pivots)
     texts = written(rows.join(wanted.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi"))
     tried = wanted.where("rep <> pivot").select(F.greatest("rep", "pivot").alias("u"), F.least("rep", "pivot").alias("v")).distinct()
     first = written(_confirmed(tried, texts, percent))
-    near = components(first)
+    near = written(components(first))
     # second round: buckets that still hold several components
     placed = written(members.join(near.select(F.col("u").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep")).select("rep", "n_shingles", "band", "bucket", "component"))
-    mixed = placed.groupBy("band", "bucket").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b").select("band", "bucket")
-    sizes = placed.join(mixed, ["band", "bucket"]).groupBy("band", "bucket", "component").agg(F.count("*").alias("n"))
-    main = written(sizes.groupBy("band", "bucket").agg(F.max_by("component", F.struct("n", "component")).alias("main")))
-    open_ = written(placed.join(main, ["band", "bucket"]).join(sets.select("rep", "sketch", "bands").hint("merge"), "rep"))
-    rest = open_.where("component <> main").select("band", "bucket", F.col("rep").alias("x"), F.col("component").alias("cx"), F.col("n_shingles").alias("nx"), F.col("sketch").alias("sx"), F.col("bands").alias("bx"))
-    other = open_.select("band", "bucket", F.col("rep").alias("y"), F.col("component").alias("cy"), F.col("n_shingles").alias("ny"), F.col("main").alias("my"), F.col("sketch").alias("sy"), F.col("bands").alias("by"))
+    forget(first, members)
+    mixed = placed.groupBy("band", "bucket").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.count("*").alias("size")).where("a <> b").select("band", "bucket", "size")
+    mixed = written(mixed)
+    inside = written(keyed_join(placed, mixed, ["band", "bucket"], "size"))
+    forget(placed, mixed)
+    sizes = inside.groupBy("band", "bucket", "component").agg(F.count("*").alias("n"))
+    main = written(sizes.groupBy("band", "bucket").agg(F.max_by("component", F.struct("n", "component")).alias("main"), (F.sum("n") - F.max("n")).alias("rest"), F.sum("n").alias("size")))
+    open_ = written(keyed_join(inside.drop("size"), main, ["band", "bucket"], "size").drop("size").join(sets.select("rep", "sketch", "bands").hint("merge"), "rep"))
+    forget(inside, main)
+    # a bucket's members outside its largest component meet its others; those of a large bucket are dealt to
+    # several tasks, each of which gets all others, so a task never compares more than TOGETHER with a bucket
+    deals = F.ceil(F.col("rest") / TOGETHER).cast("int")
+    rest = open_.where("component <> main").select("band", "bucket", F.pmod(F.xxhash64("rep"), deals).cast("int").alias("deal"), F.col("rep").alias("x"), F.col("component").alias("cx"), F.col("n_shingles").alias("nx"), F.col("sketch").alias("sx"), F.col("bands").alias("bx"))
+    other = open_.select("band", "bucket", F.explode(F.sequence(F.lit(0), deals - 1)).alias("deal"), F.col("rep").alias("y"), F.col("component").alias("cy"), F.col("n_shingles").alias("ny"), F.col("main").alias("my"), F.col("sketch").alias("sy"), F.col("bands").alias("by"))
     fits = (100 * F.least("nx", "ny") >= percent * F.greatest("nx", "ny")) & (F.col("cx") != F.col("cy")) & ((F.col("cy") == F.col("my")) | (F.col("x") < F.col("y")))
     # sketches rule out most pairs whose similarity is clearly too low
     fits &= differing_places(F.col("sx"), F.col("sy")) <= int((1 - (percent / 100 - SKETCH_SLACK)) * PLACES * 15 / 16)
     # a pair that meets in several bands counts in the first of them
     fits &= ~F.exists(F.slice(F.zip_with("bx", "by", lambda a, b: a == b), F.lit(1), F.col("band")), lambda same: same)
-    cross = rest.join(other, ["band", "bucket"]).where(fits).select(F.greatest("x", "y").alias("u"), F.least("x", "y").alias("v")).distinct()
+    cross = rest.join(other, ["band", "bucket", "deal"]).where(fits).select(F.greatest("x", "y").alias("u"), F.least("x", "y").alias("v")).distinct()
     second = written(_confirmed(cross.join(tried, ["u", "v"], "left_anti"), texts, percent))
+    forget(texts, wanted, open_)
     # links between components join these
     label = near.select(F.col("u").alias("id"), "component")
     joined = (
@@ -213,8 +228,10 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_
     )
     top = components(joined)
     whole = written(
-        sets.select(*key, "rep").join(label.withColumnRenamed("id", "rep"), "rep", "left").withColumn("near", F.coalesce("component", "rep")).drop("component")
-        .join(top.select(F.col("u").alias("near"), F.col("component").alias("top")), "near", "left").select(*key, F.coalesce("top", "near").alias("component_id"))
+        sets.select(*key, "rep", "copies").join(label.withColumnRenamed("id", "rep"), "rep", "left").withColumn("near", F.coalesce("component", "rep")).drop("component")
+        .join(top.select(F.col("u").alias("near"), F.col("component").alias("top")), "near", "left").select(*key, F.coalesce("top", "near").alias("component_id"), "copies")
     )
-    own = signed.select("doc_id", *key).join(whole, key, "left").withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")))
-    return own.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
+    forget(second, near, sets)
+    alone = signed.where("n_shingles = 0 or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    own = keyed_join(signed.where("n_shingles > 0 and doc_id is not null").select("doc_id", *key), whole, key, "copies").select("doc_id", "n_shingles", "component_id")
+    return own.unionByName(alone).select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))

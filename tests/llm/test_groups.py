@@ -64,6 +64,20 @@ def test_near_duplicates(spark, sf_dir, tmp_path):
     assert found(queries.op5_minhash_near_dups(spark, str(tmp_path))) == components(rows)
 
 
+def test_large_buckets_are_dealt(spark, monkeypatch):
+    from sieveworks.llm import shared
+
+    monkeypatch.setattr(near_dups, "TOGETHER", 3)
+    monkeypatch.setattr(shared, "HOT_LEAST", 20)
+    rng = random.Random(6)
+    base = [f"t{k}" for k in range(60)]
+    rows = []
+    for k in range(150):  # a template with different ends: alike, but most pairs not enough
+        rows.append((k, " ".join(base[: 60 - rng.randrange(25)] + [f"x{rng.randrange(40)}" for _ in range(12)])))
+    rows += [(1000 + k, rows[k % 7][1]) for k in range(60)]
+    assert found(near_dups.near_duplicates(spark.createDataFrame(rows, DDL))) == components(rows)
+
+
 def test_near_duplicates_at_the_threshold(spark):
     # seven words, and the same with one more: 3 of 4 shingles
     texts = [" ".join(f"p{k}x{j}" for j in range(n)) for k in range(6000) for n in (7, 8)]
