@@ -57,6 +57,12 @@ class TokenCounter:
         return [known[p] for p in pretokens]
 
 
+def _packed(lengths: list[int], counts: list[int]) -> bytes:
+    """Lengths, then counts, in a byte each if they fit, else in four; the first bytes tell which, by their number."""
+    width, kind = (1, np.uint8) if max(lengths, default=0) < 256 and max(counts, default=0) < 256 else (4, np.int32)
+    return bytes([width] * width) + np.array([lengths, counts], kind).tobytes()
+
+
 class Leaf:
     """Some pre-tokens: their text, and their lengths and counts, which are unpacked when they are needed."""
 
@@ -71,13 +77,12 @@ class Leaf:
 
     def opened(self) -> tuple[list[int], list[int]]:
         if self.rows is None:
-            both = np.frombuffer(self.packed, np.int32).reshape(2, -1).tolist()
+            both = np.frombuffer(self.packed, np.uint8 if self.packed[0] == 1 else np.int32, offset=self.packed[0]).reshape(2, -1).tolist()
             self.rows = both[0], both[1]
         return self.rows
 
     def as_row(self) -> dict:
-        packed = self.packed if self.packed is not None else np.array(self.rows, np.int32).tobytes()
-        return {"text": self.text, "chars": self.chars, "tokens": self.tokens, "pretokens": self.pretokens, "packed": packed}
+        return {"text": self.text, "chars": self.chars, "tokens": self.tokens, "pretokens": self.pretokens, "packed": self.packed if self.packed is not None else _packed(*self.rows)}
 
 
 class TokenTree:

@@ -31,7 +31,7 @@ def folder(spark: SparkSession) -> str:
 def written(df: DataFrame) -> DataFrame:
     """The rows as a table in the shared folder: a restart point that outlives executors."""
     spark, path = df.sparkSession, folder(df.sparkSession)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.written_to = path
     return out
