@@ -126,6 +126,8 @@ def _repeated_words(block: B.Block, hashes: np.ndarray, firsts: np.ndarray) -> n
 
 def _repeated_lines(block: B.Block, word_starts: np.ndarray) -> np.ndarray:
     """Per document, lines with a word that equal an earlier line."""
+    if not len(block.buf):
+        return np.zeros(len(block), np.int64)
     cut = np.flatnonzero(block.buf == 10)
     starts = np.union1d(block.off[:-1], cut + 1)
     starts = starts[starts < len(block.buf)]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import counts, leaks, licenses, near_dups, pieces, pii, quality, repeats, secrets, shared, warc
+from . import counts, leaks, licenses, near_dups, oracles, pieces, pii, quality, repeats, secrets, shared, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,7 +40,7 @@ def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     found = leaks.benchmark_hits(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), with_text=False)
     items = F.array_sort(F.array_distinct("items"))
     return found.select(
-        "doc_id", "n_words", "n_hit", F.size(items).cast("bigint").alias("n_items"), F.sha2(F.array_join(items, ",").cast("binary"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"), "spans"
+        "doc_id", "n_words", "n_hit", F.size(items).cast("bigint").alias("n_items"), F.sha2(F.array_join(items, ",").cast("binary"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated")
     )
 
 
@@ -86,9 +86,35 @@ def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.repeated_passages(_table(spark, sf_dir, "documents"), with_text=False).drop("removed", "clean_text")
 
 
+def personal_data_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op2's columns that don't depend on training."""
+    return op2_personal_data(spark, sf_dir).drop("spans")
+
+
+def license_scan_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op4's exact phrases."""
+    return op4_license_scan(spark, sf_dir).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")
+
+
+def secret_scan_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op8's fixed shapes."""
+    return op8_secret_scan(spark, sf_dir).drop("spans")
+
+
+def quality_rules_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op9's counts of the whole text."""
+    return op9_quality_rules(spark, sf_dir).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(oracles.SQL)
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_warc_salvage, op2_personal_data, op3_benchmark_decontamination, op4_license_scan, op5_minhash_near_dups, op6_edit_aware_counts, op7_sentencepiece, op8_secret_scan, op9_quality_rules, op10_suffix_array_dedup)}
+    return {
+        f.__name__: f
+        for f in (
+            op1_warc_salvage, op2_personal_data, op3_benchmark_decontamination, op4_license_scan, op5_minhash_near_dups, op6_edit_aware_counts, op7_sentencepiece, op8_secret_scan, op9_quality_rules,
+            op10_suffix_array_dedup, personal_data_base, license_scan_base, secret_scan_base, quality_rules_base,
+        )
+    }

@@ -192,6 +192,27 @@ def test_benchmark_in_parts_and_cut(spark, monkeypatch):
     assert leaks.benchmark_hits(frames[0].limit(0), frames[1]).count() == 0 and leaks.benchmark_hits(frames[0], frames[1].limit(0)).where("n_hit > 0").count() == 0
 
 
+def test_tables_of_empty_repeated_and_long_texts(spark):
+    from sieveworks.llm import near_dups, pieces, pii, repeats
+
+    bench = spark.createDataFrame([(1, "some item")], "item_id bigint, text string")
+    scans = {
+        "licenses": licenses.license_scan, "secrets": secrets.secret_scan, "quality": quality.quality_rules, "pii": pii.personal_data, "near": near_dups.near_duplicates, "repeats": repeats.repeated_passages,
+        "pieces": pieces.encode_pieces, "leaks": lambda d: leaks.benchmark_hits(d, bench),
+    }
+    long = "one two three " * 40_000
+    for name, scan in scans.items():
+        blank = spark.createDataFrame([(1, ""), (2, None)], "doc_id bigint, text string").repartition(1)
+        assert sorted(r.doc_id for r in scan(blank).select("doc_id").collect()) == [1, 2], name
+        rows = [(1, "a text twice."), (1, "a text twice."), (None, "a text twice."), (3, long)]
+        got = scan(spark.createDataFrame(rows, "doc_id bigint, text string"))
+        same = [c for c in got.columns if c in ("n_words", "n_pieces", "ids", "base_labels", "spans", "n_lines", "n_shingles", "n_bytes")]
+        seen = {}
+        for r in got.select("doc_id", *same).collect():
+            seen.setdefault(r.doc_id, []).append(tuple(map(str, r[1:])))
+        assert len(seen[1]) == 2 and seen[1][0] == seen[1][1] == seen[None][0] and len(seen[3]) == 1, name
+
+
 def test_clashing_columns_and_empty_tables(spark):
     clash = spark.createDataFrame([(1, "text of a kind", "x", 5)], "doc_id bigint, text string, spans string, n_words int")
     for scan in (licenses.license_scan, secrets.secret_scan, quality.quality_rules):
