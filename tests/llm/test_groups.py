@@ -1,5 +1,6 @@
 """Near-duplicates, tokens and the whole pipeline against brute-force versions."""
 
+import hashlib
 import random
 import re
 
@@ -7,7 +8,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from sieveworks.llm import counts, near_dups, pieces, queries
+from sieveworks.llm import counts, near_dups, pieces, pii, quality, queries
 
 INK = re.compile(r"[^\x20\x09-\x0D]+")
 DDL = "doc_id bigint, text string"
@@ -204,20 +205,136 @@ def test_pieces(spark, sf_dir, tmp_path):
     assert all(r.round_trip for r in queries.op7_sentencepiece(spark, str(tmp_path)).collect())
 
 
+def brute_pieces(text, vocabulary):
+    """Piece ids by a plain search over each word; of equal scores, the longest last piece."""
+    out = []
+    for word in pieces.marked_words(text):
+        best, back = [0.0], [0]
+        for end in range(1, len(word) + 1):
+            top, begin = float("-inf"), end - 1
+            for a in range(max(0, end - vocabulary.longest), end):
+                if word[a:end] in vocabulary.pieces and best[a] + vocabulary.pieces[word[a:end]][1] > top:
+                    top, begin = best[a] + vocabulary.pieces[word[a:end]][1], a
+            if word[end - 1] not in vocabulary.pieces and best[end - 1] + vocabulary.fallback > top:
+                top, begin = best[end - 1] + vocabulary.fallback, end - 1
+            best.append(top)
+            back.append(begin)
+        own, end = [], len(word)
+        while end:
+            piece = word[back[end] : end]
+            if piece in vocabulary.pieces:
+                own.append([vocabulary.pieces[piece][0]])
+            else:
+                own.append([vocabulary.byte_ids[b] for b in piece.replace(pieces._OWN_MARK, pieces.MARK).encode()])
+            end = back[end]
+        out += [i for ids in reversed(own) for i in ids]
+    return out
+
+
+def test_pieces_query(spark, sf_dir, tmp_path):
+    texts = [r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("text").collect()[:60]] + ["", None, "  a  b ", "▁x ▁", "é漢\U0001f600\n\t", "x" * 3000, "\x00", "word " * 5000]
+    ids = [*range(len(texts) - 2), 0, None]
+    spark.createDataFrame([(i, t, 1) for i, t in zip(ids, texts, strict=True)], DDL + ", n_pieces int").write.parquet(f"{tmp_path}/documents.parquet")
+    vocabulary, want = pieces.load_vocabulary(), []
+    for i, text in zip(ids, texts, strict=True):
+        found = brute_pieces(text or "", vocabulary)
+        want.append((i, len(found), sum(k in vocabulary.byte_ids for k in found), hashlib.sha256(np.array(found, np.int32).tobytes()).hexdigest(), True))
+    got = [(r.doc_id, r.n_pieces, r.n_byte_pieces, r.ids_sha256, r.round_trip) for r in queries.op7_sentencepiece(spark, str(tmp_path)).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)
+    assert pieces.encode_pieces(spark.createDataFrame([], DDL)).count() == 0
+
+
+WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+
+
+def cleaned(text):
+    """What the quality stage leaves of a text, or None."""
+    words, rules = INK.findall(text), quality.Rules()
+    windows = [tuple(words[k : k + 3]) for k in range(len(words) - 2)]
+    hit = {k + j for k, w in enumerate(windows) if windows.count(w) > 1 for j in range(3)} if len(set(windows)) < len(windows) else set()
+    lines = text.split("\n")
+    kept = [x for k, x in enumerate(lines) if not quality.line_fails(x, k == 0 and len(lines) > 1, rules)[1]]
+    left = sum(len(INK.findall(x)) for x in kept)
+    return "\n".join(kept) if len(words) >= 50 and 100 * len(hit) <= 50 * len(words) and 2 * left >= len(words) else None
+
+
+def decontaminated(text, patterns):
+    """The text without words inside a benchmark window, or None if no word is left."""
+    folded = text.translate({c: c + 32 for c in range(65, 91)})
+    places = [m.span() for m in WORD.finditer(folded)]
+    low = [folded[a:b] for a, b in places]
+    hit = set()
+    for n in {len(p) for p in patterns}:
+        for k in range(len(low) - n + 1):
+            if tuple(low[k : k + n]) in patterns:
+                hit |= set(range(k, k + n))
+    if hit and len(hit) == len(places):
+        return None
+    out, at = [], 0
+    for k in sorted(hit):
+        if k - 1 not in hit:
+            out.append(text[at : places[k][0]])
+        at = places[k][1]
+    return "".join([*out, text[at:]])
+
+
 def test_pipeline(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    columns = docs.columns
-    counts_, before = [], docs
-    for name, stage in corpus_pipeline.STAGES[:-1]:
-        after = corpus_pipeline.shared.written(stage(spark, before, sf_dir))
-        assert after.columns == columns and after.where("n_chars <> length(text)").count() == 0, name
-        counts_.append(after.count())
-        if name == "near-duplicates":
-            rows = [(r.doc_id, r.text) for r in before.collect()]
-            assert {r.doc_id for r in after.collect()} == {i for i, (_, _, kept) in components(rows).items() if kept}
-        if name == "personal data":
-            assert after.where(r"text rlike '[0-9]@[a-z0-9]+[.]example|[+]1 [(][0-9]{3}[)]'").count() == 0
-        before = after
-    assert counts_ == sorted(counts_, reverse=True) and counts_[0] < docs.count()
-    got = corpus_pipeline.run(spark, sf_dir)
-    assert got.count() == counts_[-1] and got.where("not round_trip").count() == 0
+    stages = dict(corpus_pipeline.STAGES)
+    texts = {r.doc_id: r.text for r in docs.collect()}
+
+    def stage(name, before):
+        after = corpus_pipeline.shared.written(stages[name](spark, before, sf_dir))
+        if name != "sentencepiece encoding":
+            assert after.columns == docs.columns and after.where("n_chars <> length(text)").count() == 0, name
+            others = {r.doc_id: (r.lang, r.source) for r in docs.collect()}
+            assert all((r.lang, r.source) == others[r.doc_id] for r in after.collect()), name
+        return after
+
+    one = stage("quality rules", docs)
+    texts = {i: c for i, t in texts.items() if (c := cleaned(t or "")) is not None}
+    assert {r.doc_id: r.text for r in one.collect()} == texts and len(texts) < docs.count()
+    two = stage("near-duplicates", one)
+    texts = {i: texts[i] for i, (_, _, kept) in components(list(texts.items())).items() if kept}
+    assert {r.doc_id: r.text for r in two.collect()} == texts
+    three = stage("benchmark decontamination", two)
+    patterns = set()
+    for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect():
+        words = WORD.findall((r.text or "").translate({c: c + 32 for c in range(65, 91)}))
+        patterns |= {tuple(words[k : k + 10]) for k in range(max(1, len(words) - 9) if words else 0)}
+    texts = {i: c for i, t in texts.items() if (c := decontaminated(t, patterns)) is not None}
+    assert {r.doc_id: r.text for r in three.collect()} == texts
+    four = stage("personal data", three)
+    for r in pii.personal_data(three).collect():
+        text, out, at = texts[r.doc_id], [], 0
+        for s in sorted(r.spans, key=lambda s: (s.start, s.rank)):
+            if s.start >= at:
+                out += [text[at : s.start], f"[{s.kind.upper()}]"]
+            at = max(at, s.end)
+        texts[r.doc_id] = "".join([*out, text[at:]])
+    assert {r.doc_id: r.text for r in four.collect()} == texts
+    assert four.where(r"text rlike '[0-9]@[a-z0-9]+[.]example|[+]1 [(][0-9]{3}[)]'").count() == 0
+    five = corpus_pipeline.run(spark, sf_dir).collect()
+    vocabulary = pieces.load_vocabulary()
+    assert {r.doc_id: r.ids for r in five} == {i: brute_pieces(t, vocabulary) for i, t in texts.items()} and all(r.round_trip for r in five)
+
+
+def test_pipeline_stages_take_odd_rows(spark, tmp_path):
+    ddl = "doc_id bigint, text string, lang string, source string, n_chars bigint, spans string, kept int"
+    body = " ".join(f"Word{k} follows word{k + 1}." for k in range(60))
+    rows = [(1, body, "en", None, 1, "x", 0), (1, body, "en", None, 1, "x", 0), (None, body, None, "s", None, None, None), (2, None, "en", "s", 0, "", 1), (3, "", "en", "s", 0, "", 1), (4, body + " extra words here.", "en", "s", 5, "", 1)]
+    spark.createDataFrame([(1, None), (None, "an item of words")], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    odd = spark.createDataFrame(rows, ddl)
+    for name, stage in corpus_pipeline.STAGES:
+        got, empty = stage(spark, odd, str(tmp_path)), stage(spark, odd.limit(0), str(tmp_path))
+        assert empty.count() == 0, name
+        ids = sorted((r.doc_id for r in got.collect()), key=str)
+        want = {"quality rules": [1, 1, 4, None], "near-duplicates": [1, 2, 3, None]}.get(name, [1, 1, 2, 3, 4, None])
+        assert ids == want, name
+
+
+def test_repeated_ids_keep_one_row(spark):
+    text = " ".join(f"w{k}" for k in range(30))
+    rows = [(1, text, "en", "b", 9), (1, text, "en", "a", 9), (2, text, "en", "a", 9), (3, "other words", "en", "a", 9)]
+    got = corpus_pipeline.near_dups_stage(spark, spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint"), "").collect()
+    assert sorted((r.doc_id, r.source) for r in got) == [(1, "a"), (3, "a")]
