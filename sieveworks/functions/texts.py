@@ -14,6 +14,12 @@ NAME_LIMIT = 233
 LANGUAGE_OF = {"py": "python", "js": "javascript", "jsx": "javascript", "mjs": "javascript", "ts": "javascript", "tsx": "javascript", "go": "go", "c": "c", "h": "c", "cc": "c", "cpp": "c", "hpp": "c"}
 
 
+# Symbols of currencies, other names of languages, and languages by ending where a unit's is inferred.
+CURRENCY_SYMBOLS = {"USD": "$", "CNY": "¥", "EUR": "€"}
+LANGUAGE_NAMES = {"c++": "cpp", "cxx": "cpp", "py": "python", "golang": "go", "js": "javascript", "ts": "typescript", "node": "javascript"}
+ENDING_LANGUAGES = {"c": "c", "cc": "cpp", "cpp": "cpp", "cxx": "cpp", "py": "python", "go": "go", "js": "javascript", "jsx": "javascript", "ts": "typescript", "tsx": "typescript"}
+
+
 def version_parts(version: Column) -> Column:
     """The first four numbers of a version, padded with zeros; null without a number."""
     numbers = F.slice(F.regexp_extract_all(version, F.lit(r"([0-9]+)"), F.lit(1)), 1, VERSION_PARTS)
@@ -125,8 +131,46 @@ def fingerprint(**fields: Column) -> Column:
     return F.sha2(F.to_json(made, {"ignoreNullFields": "false"}).cast("binary"), 256)
 
 
-def evidence_id(kind: Column, content: Column) -> Column:
-    return F.concat(F.lit("ev_"), kind, F.lit("_"), F.left(F.sha2(content.cast("binary"), 256), F.lit(16)))
+def spaced_json(*fields: tuple[str, Column]) -> Column:
+    """Canonical JSON with blanks after commas and colons, of named JSON values (see json_text), keys sorted."""
+    inner = F.concat_ws(", ", *(F.concat(F.lit(f'"{k}": '), v) for k, v in sorted(fields, key=lambda f: f[0])))
+    return F.concat(F.lit("{"), inner, F.lit("}"))
+
+
+def json_text(value: Column, kind: str = "string") -> Column:
+    """A value as JSON: a string, a number or boolean, or a list of strings; null is null."""
+    quoted = lambda x: F.get(F.split(F.to_json(F.struct(x.alias("v"))), '^\\{"v":'), F.lit(1))
+    if kind == "list":
+        return F.coalesce(F.concat(F.lit("["), F.array_join(F.transform(value, lambda x: F.regexp_replace(quoted(x), r"\}$", "")), ", "), F.lit("]")), F.lit("null"))
+    text = F.regexp_replace(quoted(value), r"\}$", "") if kind == "string" else value.cast("string")
+    return F.when(value.isNull(), "null").otherwise(text)
+
+
+def evidence_id(kind: Column, source: Column, tool: Column, content_hash: Column) -> Column:
+    """An id that follows from the kind, the source, the tool and the whole content's hash."""
+    text = F.concat_ws("|", kind, source, F.coalesce(tool, F.lit("")), content_hash)
+    return F.concat(F.lit("ev_"), kind, F.lit("_"), F.left(F.sha2(text.cast("binary"), 256), F.lit(16)))
+
+
+def dynamic_evidence_id(kind: Column, content: Column) -> Column:
+    """The id of a run's evidence: its content's JSON, hashed."""
+    return F.concat(F.lit("ev_dyn_"), kind, F.lit("_"), F.left(F.sha2(content.cast("binary"), 256), F.lit(16)))
+
+
+def finding_id(unit_id: Column, input_fingerprint: Column, candidate: dict[str, Column], evidence_ids: Column, location: Column) -> Column:
+    """A finding's id: the hash of its unit, of what the first stage saw, and of the candidate's body.  candidate: its
+    decision, candidate_type, cwe_id (a number), source, propagation, sink and impact; location: JSON of its place."""
+    body = [(k, json_text(v, "number" if k == "cwe_id" else "string")) for k, v in candidate.items()]
+    core = spaced_json(*body, ("evidence_ids", json_text(F.coalesce(evidence_ids, F.array().cast("array<string>")), "list")), ("location", F.coalesce(location, F.lit("{}"))))
+    whole = spaced_json(("unit_id", json_text(unit_id)), ("detection_input_fingerprint", json_text(input_fingerprint)), ("stage1_candidate", core))
+    return F.sha2(whole.cast("binary"), 256)
+
+
+def stage_fingerprint(stage: str, versions: dict[str, str], **fields: Column) -> Column:
+    """A stage's memo key: the hash of its input's fields with the versions of its record, prompt and tools, and its model
+    and settings, so that a change of any of these makes old results unusable.  Nulls count."""
+    fixed = {"stage": F.lit(stage), **{f"{k}_version": F.lit(v) for k, v in versions.items()}}
+    return fingerprint(**fixed, **fields)
 
 
 def language_of(path: Column) -> Column:
@@ -144,6 +188,16 @@ def cost(input_tokens: Column, output_tokens: Column, input_price: Column, outpu
     return F.bround((input_tokens * input_price + output_tokens * output_price) / 1_000_000, 6)
 
 
+def cost_text(amount: Column, currency: Column | None = None) -> Column:
+    """An amount for people: four places below a cent, else two, thousands apart from ten on; with the currency's symbol,
+    or its name behind where it has none."""
+    code = F.lit("USD") if currency is None else F.coalesce(F.nullif(F.upper(currency), F.lit("")), F.lit("USD"))
+    symbol = F.element_at(F.create_map(*(F.lit(x) for pair in CURRENCY_SYMBOLS.items() for x in pair)), code)
+    number, large = F.format_string("%.2f", amount.cast("double")), F.format_string("%,.2f", amount.cast("double"))
+    small = F.when(amount < 0.01, F.format_string("%.4f", amount.cast("double"))).otherwise(number)
+    return F.when(symbol.isNull(), F.concat(small, F.lit(" "), code)).when(amount >= 10, F.concat(symbol, large)).otherwise(F.concat(symbol, small))
+
+
 def duration(seconds: Column) -> Column:
     whole = F.floor(seconds).cast("int")
     return (
@@ -158,13 +212,43 @@ def remaining_seconds(elapsed: Column, done: Column, total: Column) -> Column:
 
 
 def short_sha(sha: Column) -> Column:
-    return F.left(sha, F.lit(7))
+    return F.left(F.coalesce(sha, F.lit("")), F.lit(8))
 
 
 def is_valid_ref(ref: Column) -> Column:
     return F.coalesce(ref.rlike(r"^[A-Za-z0-9_][A-Za-z0-9._/-]*$") & ~ref.contains(".."), F.lit(False))
 
 
+def diff_range(base: Column, head: Column) -> Column:
+    """`base..head` in short hashes."""
+    return F.concat(short_sha(base), F.lit(".."), short_sha(head))
+
+
+def file_url(repository: Column, sha: Column, file: Column) -> Column:
+    """A link to a file in a hosted repository; empty without a repository or hash."""
+    base = F.regexp_replace(F.regexp_replace(repository, "/+$", ""), r"\.git$", "")
+    return F.when((repository != "") & (sha != ""), F.concat(base, F.lit("/blob/"), sha, F.lit("/"), file)).otherwise("")
+
+
+def is_valid_run_id(run_id: Column) -> Column:
+    """Letters, digits, dots, dashes and underscores, at most 128, beginning with a letter or digit; blanks around it don't count."""
+    return F.coalesce(F.trim(run_id).rlike(r"^[A-Za-z0-9][A-Za-z0-9._-]{0,127}$"), F.lit(False))
+
+
+def language_hint(explicit: Column, route: Column, code: Column) -> Column:
+    """A unit's language: what is said, else its file's ending, else what its code looks like, else unknown."""
+    said = F.lower(F.trim(F.coalesce(explicit, F.lit(""))))
+    table = lambda d: F.create_map(*(F.lit(x) for pair in d.items() for x in pair))
+    said = F.coalesce(F.element_at(table(LANGUAGE_NAMES), said), F.nullif(said, F.lit("")), F.lit("unknown"))
+    ending = F.regexp_extract(F.lower(F.substring_index(F.coalesce(route, F.lit("")), ":", 1)), r"\.([a-z]+)$", 1)
+    code = F.coalesce(code, F.lit(""))
+    looks = (
+        F.when(code.rlike(r"(?m)^\s*package\s+\w+"), "go").when(code.rlike(r"(?m)^\s*(?:def|class)\s+\w+"), "python").when(code.rlike(r"\b(?:const|let|var)\s+\w+|=>|require\s*\("), "javascript")
+        .when(code.rlike(r"#\s*include|std::|(?:^|\s)(?:char|void|int)\s+\w+\s*\("), F.when(code.contains("std::"), "cpp").otherwise("c")).otherwise("unknown")
+    )
+    return F.when(said != "unknown", said).otherwise(F.coalesce(F.element_at(table(ENDING_LANGUAGES), ending), looks))
+
+
 def attack_vector(source: Column, sink: Column, impact: Column) -> Column:
     return F.concat_ws(" → ", *(F.nullif(c, F.lit("")) for c in (source, sink, impact)))
 

@@ -132,7 +132,7 @@ def text_views(t):
     return t["documents"].select("doc_id", texts.preview(F.col("text")).alias("preview"), at["file"].alias("file"), at["function"].alias("function"), vector.alias("vector"))
 
 
-@query("SELECT id, k NOT IN (1, 2) AS valid, left(ref, 7) AS short FROM (SELECT o_orderkey AS id, o_orderkey % 4 AS k, CASE o_orderkey % 4 WHEN 0 THEN 'main' WHEN 1 THEN '-x' WHEN 2 THEN 'a..b' ELSE 'release/1.2-rc' END AS ref FROM {orders}) x")
+@query("SELECT id, k NOT IN (1, 2) AS valid, left(ref, 8) AS short FROM (SELECT o_orderkey AS id, o_orderkey % 4 AS k, CASE o_orderkey % 4 WHEN 0 THEN 'main' WHEN 1 THEN '-x' WHEN 2 THEN 'a..b' ELSE 'release/1.2-rc' END AS ref FROM {orders}) x")
 def ref_checks(t):
     k = F.col("o_orderkey") % 4
     ref = F.when(k == 0, "main").when(k == 1, "-x").when(k == 2, "a..b").otherwise("release/1.2-rc")

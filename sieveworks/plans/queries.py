@@ -9,48 +9,24 @@ from pyspark.sql import functions as F
 
 from ..functions import html, texts, verdicts
 from ..operators import graph, matching, records, stages
-from . import checked, summed  # noqa: F401  they register theirs
+from . import checked, reported, summed  # noqa: F401  they register theirs
 from .derived import Tables
 from .registry import ORACLES, QUERIES, query
+from .shown import FOUND_ORDER as _ORDER
+from .shown import FOUND_STATES as _STATES
+from .shown import found as _found
+from .shown import merged_findings as _findings
 
 
 def _joined(c) -> F.Column:
     return F.array_join(F.transform(c, lambda x: x.cast("string")), ",")
 
 
-# The oracle's own statement of the merge and of the states.
-_KEY_OF = "coalesce(nullif(unit_id, ''), nullif(finding_id, ''))"
-_LAST = "SELECT *, min(pos) OVER (PARTITION BY key) AS at FROM (SELECT {k} AS key, * FROM {t}) x WHERE key IS NOT NULL QUALIFY row_number() OVER (PARTITION BY key ORDER BY pos DESC) = 1"
-_MERGED = f"""WITH a AS ({_LAST.format(k=_KEY_OF, t="{found1}")}), b AS ({_LAST.format(k=_KEY_OF, t="{found2}")}), d AS ({_LAST.format(k=_KEY_OF, t="{found3}")}),
-    df AS (SELECT * FROM {{found3}} WHERE finding_id <> '' QUALIFY row_number() OVER (PARTITION BY finding_id ORDER BY pos DESC) = 1),
-    l AS (SELECT * FROM a WHERE decision IN ('candidate', 'inconclusive', 'error')),
-    one AS (SELECT l.key, 0 AS section, l.at AS pos, l.finding_id AS f1, b.finding_id AS f2, l.decision AS d1, b.decision AS d2, b.execution_state AS e2, coalesce(d.decision, df.decision) AS dd, coalesce(d.execution_state, df.execution_state) AS ed, l.file, l.function, l.cited AS c1, b.cited AS c2, coalesce(d.cited, df.cited) AS c3
-        FROM l LEFT JOIN b ON b.key = l.key LEFT JOIN d ON d.key = l.key LEFT JOIN df ON d.key IS NULL AND df.finding_id = b.finding_id),
-    two AS (SELECT b.key, 1, b.at, a.finding_id, b.finding_id, a.decision, b.decision, b.execution_state, d.decision, d.execution_state, a.file, a.function, a.cited, b.cited, d.cited
-        FROM b LEFT JOIN a ON a.key = b.key LEFT JOIN d ON d.key = b.key WHERE b.key NOT IN (SELECT key FROM l)),
-    m AS (SELECT * FROM one UNION ALL SELECT * FROM two)
-    SELECT key AS unit_id, section, pos, coalesce(nullif(f2, ''), nullif(f1, ''), key) AS finding_id, d1, d2, e2, dd, ed,
-    CASE WHEN file <> '' THEN file WHEN position(':' IN key) > 0 THEN regexp_extract(key, '^(.*):([^:]*)$', 1) ELSE '' END AS file, CASE WHEN file <> '' THEN function WHEN position(':' IN key) > 0 THEN regexp_extract(key, '^(.*):([^:]*)$', 2) ELSE coalesce(function, '') END AS function,
-    list_concat(coalesce(string_split(c1, ','), []), coalesce(string_split(c2, ','), []), coalesce(string_split(c3, ','), [])) AS cited FROM m"""
-_STATES = f"""SELECT *, CASE WHEN d1 = 'error' OR e2 = 'failed' OR ed = 'failed' THEN 'error' WHEN dd = 'reproduced' AND ed = 'succeeded' THEN 'reproduced'
-    WHEN d2 = 'rejected' AND e2 = 'succeeded' THEN 'rejected' WHEN d2 = 'confirmed' AND e2 = 'succeeded' AND dd = 'not_reproduced' AND ed = 'succeeded' THEN 'confirmed_not_reproduced'
-    WHEN d2 = 'confirmed' AND e2 = 'succeeded' AND (ed IS NULL OR ed IN ('skipped', 'blocked')) THEN 'confirmed_not_dynamically_tested' WHEN d2 = 'confirmed' AND e2 = 'succeeded' AND dd = 'inconclusive' THEN 'inconclusive'
-    WHEN d1 = 'candidate' AND d2 IS NULL THEN 'candidate' WHEN d1 = 'inconclusive' OR d2 = 'inconclusive' OR dd = 'inconclusive' THEN 'inconclusive' WHEN d1 = 'candidate' THEN 'candidate' ELSE 'inconclusive' END AS final_state
-    FROM ({_MERGED}) m"""
-_ORDER = "CASE final_state WHEN 'reproduced' THEN 1 WHEN 'confirmed_not_dynamically_tested' THEN 2 WHEN 'confirmed_not_reproduced' THEN 3 WHEN 'candidate' THEN 4 WHEN 'rejected' THEN 5 WHEN 'inconclusive' THEN 6 ELSE 7 END"
 _METRICS = """SELECT a.*, b.*, c.* FROM (SELECT count(*) FILTER (decision = 'candidate') AS stage1_candidates, count(*) FILTER (decision = 'no_finding') AS stage1_no_finding, count(*) FILTER (decision = 'inconclusive') AS stage1_inconclusive, count(*) FILTER (decision = 'error') AS stage1_errors FROM {stage1}) a,
     (SELECT count(*) FILTER (execution_state = 'failed') AS stage2_failed, count(*) FILTER (decision = 'confirmed' AND execution_state = 'succeeded') AS stage2_confirmed, count(*) FILTER (decision = 'rejected' AND execution_state = 'succeeded') AS stage2_rejected, count(*) FILTER (decision = 'inconclusive' AND execution_state <> 'failed') AS stage2_inconclusive FROM {stage2}) b,
     (SELECT count(*) FILTER (execution_state = 'failed') AS dynamic_failed, count(*) FILTER (execution_state = 'blocked') AS dynamic_blocked, count(*) FILTER (execution_state = 'skipped') AS dynamic_skipped, count(*) FILTER (decision = 'reproduced' AND execution_state = 'succeeded') AS dynamic_reproduced, count(*) FILTER (decision = 'not_reproduced' AND execution_state = 'succeeded') AS dynamic_not_reproduced, count(*) FILTER (decision = 'inconclusive' AND execution_state NOT IN ('failed', 'blocked', 'skipped')) AS dynamic_inconclusive FROM {dynamic}) c"""
 
 
-def _found(t: Tables, name: str) -> DataFrame:
-    return t[name].withColumn("evidence_ids", F.split("cited", ","))
-
-
-def _findings(t: Tables) -> DataFrame:
-    return stages.merged(_found(t, "found1"), _found(t, "found2"), _found(t, "found3"))
-
-
 @query(f"SELECT s.final_state, count(x.unit_id) AS n FROM (VALUES ('reproduced'), ('confirmed_not_dynamically_tested'), ('confirmed_not_reproduced'), ('candidate'), ('rejected'), ('inconclusive'), ('error')) s(final_state) LEFT JOIN ({_STATES}) x ON s.final_state = x.final_state GROUP BY s.final_state")
 def final_state_rollup(t):
     return stages.count_by_state(_findings(t))
