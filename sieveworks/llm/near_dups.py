@@ -6,9 +6,10 @@ beyond the signature's largest entry.  The places' values are correlated, which
 variance of their share of matches.
 
 Documents with equal shingle sets collapse first.  Representatives meet in the buckets of
-their bands; every member is compared with the pivot that meets the most others first, and only members of a bucket
-that are then still in different components, and at least one of them outside the bucket's
-largest, are compared in a second round.  So large groups of copies never expand into all
+their bands; every member is compared with the pivot that meets the most others first.  In a few
+rounds more, members outside their bucket's largest component are compared with another member of it.
+Only members that are then still in different components, and at least one of them outside the
+largest, are compared with each other.  So large groups of copies never expand into all
 pairs, and yet every pair of a bucket is either compared or known to be connected.
 """
 
@@ -32,6 +33,9 @@ BANDS, ROWS = 85, 6
 #: four bits of each place make a sketch; it estimates a similarity of 0.75 with a deviation of
 #: 0.0204, so that one at the threshold falls six of these below in one of a billion cases
 SKETCH_SLACK = 0.123
+#: rounds in which a bucket's open members are compared with one member of its largest component, before all that are
+#: still open are compared with each other
+PIVOT_ROUNDS = 3
 #: open members of a bucket that one task compares with its others; those of a larger bucket are dealt to several
 TOGETHER = 500
 _CHUNK = 1 << 14
@@ -166,6 +170,33 @@ def _column(part: pa.RecordBatch, k: int) -> tuple[np.ndarray, np.ndarray]:
     return buf[off[0] : off[-1]], off - off[0]
 
 
+def _unlike(a, b, percent: int):
+    """Whether two sketches differ in more places than those of documents that are similar enough."""
+    return differing_places(a, b) > int((1 - (percent / 100 - SKETCH_SLACK)) * PLACES * 15 / 16)
+
+
+def _likely(pairs: DataFrame, sketched: DataFrame, percent: int) -> DataFrame:
+    """The pairs (u, v) without those that their sketches rule out."""
+    for end in ("u", "v"):
+        pairs = pairs.join(sketched.select(F.col("rep").alias(end), F.col("sketch").alias(f"sketch_{end}")), end)
+    return pairs.where(~_unlike(F.col("sketch_u"), F.col("sketch_v"), percent)).select("u", "v")
+
+
+def _all_pairs(open_: DataFrame, percent: int) -> DataFrame:
+    """Pairs of a bucket's members in different components, at least one outside its largest, that sketches don't rule out.
+
+    The members outside are dealt to several tasks in a large bucket, each of which gets all others, so a
+    task never compares more than TOGETHER with a bucket."""
+    deals = F.ceil(F.col("rest") / TOGETHER).cast("int")
+    rest = open_.where("component <> main").select("band", "bucket", F.pmod(F.xxhash64("rep"), deals).cast("int").alias("deal"), F.col("rep").alias("x"), F.col("component").alias("cx"), F.col("n_shingles").alias("nx"), F.col("sketch").alias("sx"), F.col("bands").alias("bx"))
+    other = open_.select("band", "bucket", F.explode(F.sequence(F.lit(0), deals - 1)).alias("deal"), F.col("rep").alias("y"), F.col("component").alias("cy"), F.col("n_shingles").alias("ny"), F.col("main").alias("my"), F.col("sketch").alias("sy"), F.col("bands").alias("by"))
+    fits = (100 * F.least("nx", "ny") >= percent * F.greatest("nx", "ny")) & (F.col("cx") != F.col("cy")) & ((F.col("cy") == F.col("my")) | (F.col("x") < F.col("y")))
+    fits &= ~_unlike(F.col("sx"), F.col("sy"), percent)
+    # a pair that meets in several bands counts in the first of them
+    fits &= ~F.exists(F.slice(F.zip_with("bx", "by", lambda a, b: a == b), F.lit(1), F.col("band")), lambda same: same)
+    return rest.join(other, ["band", "bucket", "deal"]).where(fits).select(F.greatest("x", "y").alias("u"), F.least("x", "y").alias("v"))
+
+
 def near_duplicates(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: its set's size, the least id that it is linked with, and whether
     it is that one (kept).
@@ -195,43 +226,43 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_
     forget(scores, scored, pivots)
     texts = written(rows.join(wanted.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi"))
     tried = wanted.where("rep <> pivot").select(F.greatest("rep", "pivot").alias("u"), F.least("rep", "pivot").alias("v")).distinct()
+    tried = written(tried)
     first = written(_confirmed(tried, texts, percent))
-    near = written(components(first))
-    # second round: buckets that still hold several components
-    placed = written(members.join(near.select(F.col("u").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep")).select("rep", "n_shingles", "band", "bucket", "component"))
-    forget(first, members)
-    mixed = placed.groupBy("band", "bucket").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.count("*").alias("size")).where("a <> b").select("band", "bucket", "size")
-    mixed = written(mixed)
-    inside = written(keyed_join(placed, mixed, ["band", "bucket"], "size"))
-    forget(placed, mixed)
-    sizes = inside.groupBy("band", "bucket", "component").agg(F.count("*").alias("n"))
-    main = written(sizes.groupBy("band", "bucket").agg(F.max_by("component", F.struct("n", "component")).alias("main"), (F.sum("n") - F.max("n")).alias("rest"), F.sum("n").alias("size")))
-    open_ = written(keyed_join(inside.drop("size"), main, ["band", "bucket"], "size").drop("size").join(sets.select("rep", "sketch", "bands").hint("merge"), "rep"))
-    forget(inside, main)
-    # a bucket's members outside its largest component meet its others; those of a large bucket are dealt to
-    # several tasks, each of which gets all others, so a task never compares more than TOGETHER with a bucket
-    deals = F.ceil(F.col("rest") / TOGETHER).cast("int")
-    rest = open_.where("component <> main").select("band", "bucket", F.pmod(F.xxhash64("rep"), deals).cast("int").alias("deal"), F.col("rep").alias("x"), F.col("component").alias("cx"), F.col("n_shingles").alias("nx"), F.col("sketch").alias("sx"), F.col("bands").alias("bx"))
-    other = open_.select("band", "bucket", F.explode(F.sequence(F.lit(0), deals - 1)).alias("deal"), F.col("rep").alias("y"), F.col("component").alias("cy"), F.col("n_shingles").alias("ny"), F.col("main").alias("my"), F.col("sketch").alias("sy"), F.col("bands").alias("by"))
-    fits = (100 * F.least("nx", "ny") >= percent * F.greatest("nx", "ny")) & (F.col("cx") != F.col("cy")) & ((F.col("cy") == F.col("my")) | (F.col("x") < F.col("y")))
-    # sketches rule out most pairs whose similarity is clearly too low
-    fits &= differing_places(F.col("sx"), F.col("sy")) <= int((1 - (percent / 100 - SKETCH_SLACK)) * PLACES * 15 / 16)
-    # a pair that meets in several bands counts in the first of them
-    fits &= ~F.exists(F.slice(F.zip_with("bx", "by", lambda a, b: a == b), F.lit(1), F.col("band")), lambda same: same)
-    cross = rest.join(other, ["band", "bucket", "deal"]).where(fits).select(F.greatest("x", "y").alias("u"), F.least("x", "y").alias("v")).distinct()
-    second = written(_confirmed(cross.join(tried, ["u", "v"], "left_anti"), texts, percent))
-    forget(texts, wanted, open_)
-    # links between components join these
-    label = near.select(F.col("u").alias("id"), "component")
-    joined = (
-        second.join(label.withColumnRenamed("id", "u").withColumnRenamed("component", "cu"), "u", "left").join(label.withColumnRenamed("id", "v").withColumnRenamed("component", "cv"), "v", "left").select(F.coalesce("cu", "u").alias("u"), F.coalesce("cv", "v").alias("v"))
-    )
-    top = components(joined)
-    whole = written(
-        sets.select(*key, "rep", "copies").join(label.withColumnRenamed("id", "rep"), "rep", "left").withColumn("near", F.coalesce("component", "rep")).drop("component")
-        .join(top.select(F.col("u").alias("near"), F.col("component").alias("top")), "near", "left").select(*key, F.coalesce("top", "near").alias("component_id"), "copies")
-    )
-    forget(second, near, sets)
+    near, done = written(components(first)), [tried]
+    forget(first)
+    sketched = sets.select("rep", "sketch")
+    for k in range(PIVOT_ROUNDS + 1):
+        # buckets that still hold several components
+        placed = written(members.join(near.select(F.col("u").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep")).select("rep", "n_shingles", "band", "bucket", "component"))
+        mixed = placed.groupBy("band", "bucket").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.count("*").alias("size")).where("a <> b").select("band", "bucket", "size")
+        mixed = written(mixed)
+        inside = written(keyed_join(placed, mixed, ["band", "bucket"], "size").drop("size"))
+        forget(placed, mixed)
+        picked = F.max(F.struct(F.xxhash64("rep", F.lit(k)).alias("by"), "rep", "n_shingles")).alias("picked")
+        sizes = inside.groupBy("band", "bucket", "component").agg(F.count("*").alias("n"), picked)
+        main = written(sizes.groupBy("band", "bucket").agg(F.max(F.struct("n", "component", "picked")).alias("m"), F.sum("n").alias("size")).select("band", "bucket", F.col("m.component").alias("main"), (F.col("size") - F.col("m.n")).alias("rest"), "m.picked", "size"))
+        marked = keyed_join(inside, main, ["band", "bucket"], "size").drop("size")
+        if k < PIVOT_ROUNDS:
+            alike = 100 * F.least("n_shingles", "picked.n_shingles") >= percent * F.greatest("n_shingles", "picked.n_shingles")
+            pairs = marked.where("component <> main").where(alike).select(F.greatest("rep", "picked.rep").alias("u"), F.least("rep", "picked.rep").alias("v"))
+        else:
+            pairs = _all_pairs(written(marked.join(sets.select("rep", "sketch", "bands").hint("merge"), "rep")), percent)
+        pairs = pairs.distinct()
+        for seen in done:
+            pairs = pairs.join(seen, ["u", "v"], "left_anti")
+        pairs = written(_likely(pairs, sketched, percent) if k < PIVOT_ROUNDS else pairs)
+        more = written(_confirmed(pairs, texts, percent))
+        forget(inside, main)
+        if more.isEmpty():
+            continue
+        star = near.select("u", F.col("component").alias("v")).unionByName(more)
+        joined = written(components(star))
+        forget(near, more)
+        near = joined
+        done.append(pairs)
+    forget(members, texts, wanted, *done)
+    whole = written(sets.select(*key, "rep", "copies").join(near.select(F.col("u").alias("rep"), "component"), "rep", "left").select(*key, F.coalesce("component", "rep").alias("component_id"), "copies"))
+    forget(near, sets)
     alone = signed.where("n_shingles = 0 or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     own = keyed_join(signed.where("n_shingles > 0 and doc_id is not null").select("doc_id", *key), whole, key, "copies").select("doc_id", "n_shingles", "component_id")
     return own.unionByName(alone).select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
