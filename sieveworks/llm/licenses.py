@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_right
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import ahocorasick
@@ -80,7 +81,8 @@ class NoticeFinder:
         """(start, end, notice, edits) of each notice in a text of words joined by blanks.
 
         Pieces repeat in ordinary prose; a place is verified only if enough of the notice's
-        words lie around it (each edit spoils two words at most)."""
+        words lie around it: each edit spoils two words at most, and the first and the last word
+        may be part of longer ones."""
         windows: dict[int, list[list[int]]] = {}
         for end, (length, seeds) in self.seeds.iter(text):
             for s in seeds:
@@ -91,7 +93,7 @@ class NoticeFinder:
         out = []
         for n, places in windows.items():
             words, k = set(self.notices[n][0].split()), self.edits[n]
-            need, places = len(words) - 2 * k, sorted(places)
+            need, places = len(words) - 2 * k - 2, sorted(places)
             merged: list[list[int]] = []
             for a, b in places:
                 if merged and a <= merged[-1][1]:
@@ -101,11 +103,23 @@ class NoticeFinder:
             for a, b in merged:
                 if need > 0 and len(words.intersection(text[a:b].split(" "))) < need:
                     continue
-                for m in self.patterns[n].finditer(text, a, b):
-                    out.append((m.start(), m.end(), n, sum(m.fuzzy_counts)))
+                out += [(*m.span(), n, sum(m.fuzzy_counts)) for m in _matches(self.patterns[n], text, a, b)]
         return sorted(out)
 
 
+def _matches(pattern: regex.Pattern, text: str, a: int, b: int) -> Iterator[regex.Match]:
+    """The matches in text[a:b], none over another.  The library gives the best one first, wherever it is, so
+    what lies before that is searched too."""
+    todo = [(a, b)]
+    while todo:
+        a, b = todo.pop()
+        if m := pattern.search(text, a, b):
+            yield m
+            todo += [(a, m.start()), (max(m.end(), m.start() + 1), b)]
+
+
+
+
 def license_scan(docs: DataFrame, phrases: dict[str, str] = PHRASES, notices: dict[str, str] = NOTICES, chars_per_edit: int = 12, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: its exact phrases, its notices with their edits, all labels.
 
@@ -128,9 +142,10 @@ def license_scan(docs: DataFrame, phrases: dict[str, str] = PHRASES, notices: di
                 padded = f" {line} "
                 starts, labels = [], set()
                 for phrase, label in split:
-                    at = padded.find(f" {phrase} ")
+                    at, word, counted = padded.find(f" {phrase} "), 0, 0
                     while at >= 0:
-                        starts.append(padded.count(" ", 0, at))
+                        word, counted = word + padded.count(" ", counted, at), at
+                        starts.append(word)
                         labels.add(label)
                         at = padded.find(f" {phrase} ", at + 1)
                 found, best, near = [], 1.0 if starts else 0.0, set()

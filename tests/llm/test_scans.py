@@ -62,6 +62,12 @@ def test_edited_notices_are_found(spark):
     assert text[row.notices[0].start : row.notices[0].end].startswith("Permision") and row.notices[0].edits == 3
 
 
+def test_every_copy_of_a_notice_is_found(spark):
+    text = "relaesed under the mit license released under the mit license and unreleased under the mit licenses"
+    row = licenses.license_scan(spark.createDataFrame([(1, text)], "doc_id bigint, text string")).first()
+    assert [(n.label, n.edits, n.start) for n in row.notices] == [("mit-notice", 2, 0), ("mit-notice", 0, 31), ("mit-notice", 0, 66)]
+
+
 def secret_row(text):
     text = text or ""
     found = [(m.start(), 0, "assign", m.end()) for m in re.finditer(r"""((?:[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY]))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text) if len(m[2]) >= 12]
