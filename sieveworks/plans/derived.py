@@ -59,6 +59,8 @@ DERIVED = {
     "answers": """SELECT event_id, CASE WHEN event_id % 5 = 0 THEN props WHEN event_id % 5 = 1 THEN concat('```json', chr(10), props, chr(10), '```') WHEN event_id % 5 = 2 THEN concat('Answer: ', props, ' done')
         WHEN event_id % 5 = 3 THEN substr(props, 1, 4) ELSE 'none' END AS answer FROM {events}""",
     "words": "SELECT o_orderkey AS id, CASE WHEN o_orderkey % 6 = 0 THEN ' Vuln ' WHEN o_orderkey % 6 = 1 THEN 'bypass' WHEN o_orderkey % 6 = 2 THEN 'SAFE' WHEN o_orderkey % 6 = 3 THEN NULL WHEN o_orderkey % 6 = 4 THEN 'odd' ELSE 'uncertain' END AS a, CASE WHEN o_orderstatus = 'F' THEN 'vulnerable' WHEN o_orderstatus = 'P' THEN 'bypassable' ELSE NULL END AS b, CASE WHEN o_custkey % 3 = 0 THEN NULL ELSE o_custkey % 3 = 1 END AS agrees, CASE WHEN o_custkey % 4 = 0 THEN 'Confirmed' WHEN o_custkey % 4 = 1 THEN 'rejected' WHEN o_custkey % 4 = 2 THEN NULL ELSE 'agreed' END AS stage2, CASE WHEN o_custkey % 5 = 0 THEN 'confirmed' WHEN o_custkey % 5 = 1 THEN 'BLOCKED' ELSE NULL END AS dyn FROM {orders}",
+    "sources_py": """SELECT concat('m', p_partkey, '.py') AS path, concat('import m', p_partkey + 1, ' as nxt', chr(10), 'from m', p_partkey + 2, ' import f', p_partkey + 2, chr(10), chr(10), 'def f', p_partkey, '(a):', chr(10), '    return g', p_partkey, '(a)', chr(10), chr(10), chr(10),
+        CASE WHEN p_size % 2 = 0 THEN '@router.get("/x")' ELSE '# plain' END, chr(10), 'def g', p_partkey, '(b, *c):', chr(10), '    nxt.f', p_partkey + 1, '(b)', chr(10), '    f', p_partkey + 2, '(c)', chr(10), '    return h(b)', chr(10)) AS text, p_partkey AS k, p_size FROM {part}""",
     "manifest_lines": "SELECT concat('./src/f', p_partkey % 50, '.py') AS file, concat('@@ -', p_size, CASE WHEN p_size % 2 = 0 THEN ',3' ELSE '' END, ' +', p_partkey % 90 + 1, CASE WHEN p_size % 3 = 0 THEN ',0' WHEN p_size % 3 = 1 THEN ',4' ELSE '' END, ' @@ def f():') AS line, p_partkey % 90 + 1 AS first, p_size % 3 AS k FROM {part}",
 }
 _NAME = re.compile(r"(?<!\{)\{(\w+)\}(?!\})")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import texts
-from ..operators import normalize, packages, reports, stages
+from ..operators import code, normalize, packages, reports, stages, units
 from .registry import query
 from .shown import FOUND_ORDER, FOUND_STATES, found, merged_findings
 
@@ -152,3 +152,56 @@ def stable_ids(t):
     made = texts.finding_id(F.col("source"), F.lit("fp"), candidate, F.array(F.lit("a"), F.col("lang")), F.lit(None).cast("string"))
     sha = lambda c: F.sha2(F.col(c).cast("binary"), 256)
     return t["documents"].select("doc_id", texts.evidence_id(F.lit("code"), F.col("source"), F.lit(None).cast("string"), content).alias("evidence_id"), made.alias("finding_id"), texts.cost_text(F.col("n_chars").cast("double")).alias("cost"), texts.diff_range(sha("lang"), sha("source")).alias("range"))
+
+
+@query(
+    """SELECT concat(path, ':f', k) AS id, 'function' AS unit_type, 4 AS start_line, 5 AS end_line, 'a' AS parameters FROM {sources_py} UNION ALL SELECT concat(path, ':g', k), CASE WHEN p_size % 2 = 0 THEN 'route_handler' ELSE 'function' END, CASE WHEN p_size % 2 = 0 THEN 8 ELSE 9 END, 12, 'b,c' FROM {sources_py}"""
+)
+def code_functions(t):
+    return code.functions(t["sources_py"]).select("id", "unit_type", "start_line", "end_line", F.array_join("parameters", ",").alias("parameters"))
+
+
+@query("SELECT path, 'nxt' AS name, concat('m', k + 1) AS target FROM {sources_py} UNION ALL SELECT path, concat('f', k + 2), concat('m', k + 2, '.f', k + 2) FROM {sources_py}")
+def code_imports(t):
+    return code.imports(t["sources_py"])
+
+
+@query("SELECT path, '/x' AS rule, 'GET' AS methods, concat('g', k) AS handler FROM {sources_py} WHERE p_size % 2 = 0")
+def code_routes(t):
+    return code.routes(t["sources_py"]).select("path", "rule", F.array_join("methods", ",").alias("methods"), "handler")
+
+
+@query(
+    """SELECT concat(path, ':f', k) AS caller, concat(path, ':g', k) AS callee, 'exact' AS confidence FROM {sources_py} UNION ALL SELECT concat(a.path, ':g', a.k), concat(b.path, ':f', b.k), 'exact' FROM {sources_py} a JOIN {sources_py} b ON b.k IN (a.k + 1, a.k + 2)"""
+)
+def code_graph(t):
+    edges, _ = code.call_graph(code.functions(t["sources_py"]), code.imports(t["sources_py"]))
+    return edges.select("caller", "callee", "confidence")
+
+
+@query(
+    """SELECT caller, callee_name, reason, count(*) AS n FROM (SELECT 'g' AS caller, 'h' AS callee_name, 'unresolved' AS reason FROM {sources_py} UNION ALL SELECT 'g', 'f', 'import_failed' FROM {sources_py} a WHERE NOT EXISTS (SELECT 1 FROM {sources_py} b WHERE b.k = a.k + 1)
+    UNION ALL SELECT 'g', 'f', 'import_failed' FROM {sources_py} a WHERE NOT EXISTS (SELECT 1 FROM {sources_py} b WHERE b.k = a.k + 2) UNION ALL SELECT 'g', 'get', 'dynamic' FROM {sources_py} WHERE p_size % 2 = 0) x GROUP BY ALL"""
+)
+def code_unresolved(t):
+    _, open_ = code.call_graph(code.functions(t["sources_py"]), code.imports(t["sources_py"]))
+    head = lambda c: F.regexp_extract(c, "([a-z]+)[0-9]*$", 1).alias(c)
+    return open_.select(head("caller"), head("callee_name"), "reason").groupBy("caller", "callee_name", "reason").agg(F.count("*").alias("n"))
+
+
+_NEAR = """WITH RECURSIVE up(seed, id, depth) AS (SELECT id, id, 0 FROM {nodes} UNION SELECT w.seed, e.callee, w.depth + 1 FROM up w JOIN {edges} e ON e.caller = w.id WHERE w.depth < 2), pairs AS (SELECT DISTINCT seed, id FROM up WHERE seed <> id AND id IN (SELECT id FROM {nodes})),
+    n AS (SELECT x.id, (SELECT count(*) FROM pairs WHERE seed = x.id) AS u, (SELECT count(*) FROM pairs p WHERE p.id = x.id) AS d FROM {nodes} x)"""
+
+
+@query(_NEAR + " SELECT count(*) AS units, count(*) FILTER (u > 0) AS with_up, count(*) FILTER (d > 0) AS with_down, count(*) FILTER (u > 0 OR d > 0) AS enhanced, round_even(sum(u) / count(*), 2) AS mean_up, round_even(sum(d) / count(*), 2) AS mean_down FROM n")
+def unit_totals(t):
+    nodes = t["nodes"].withColumn("code", F.concat(F.lit("code "), F.col("id").cast("string")))
+    return units.unit_totals(units.assembled(nodes, units.neighbours(nodes.select("id"), nodes, t["edges"], 2)))
+
+
+@query(
+    """SELECT n.id, coalesce((SELECT array_to_string(list_sort(list(DISTINCT callee)), ',') FROM {edges} e WHERE e.caller = n.id), '') AS calls, coalesce((SELECT array_to_string(list_sort(list(DISTINCT caller)), ',') FROM {edges} e WHERE e.callee = n.id), '') AS callers FROM {nodes} n"""
+)
+def graph_lists(t):
+    lists = units.graph_lists(t["nodes"], t["edges"])
+    return lists.select("id", F.array_join("calls", ",").alias("calls"), F.array_join("callers", ",").alias("callers"))

@@ -12,10 +12,13 @@ _ROW_BITS = (1 << 33) - 1
 
 def settled(df: DataFrame) -> DataFrame:
     """The rows, written to the folder in spark.checkpoint.dir, which executors share; its lineage
-    ends there.  Only a session that names no folder (tests on one machine) gets a temporary one."""
+    ends there.  Where a session names none, one machine gets a temporary folder, a cluster an error."""
     context = df.sparkSession.sparkContext
     if not context.getCheckpointDir():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='sieveworks-')}")
+        base = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not base and not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(base or f"file://{tempfile.mkdtemp(prefix='sieveworks-')}")
     return df.checkpoint()
 
 
