@@ -6,11 +6,12 @@ beyond the signature's largest entry.  The places' values are correlated, which
 variance of their share of matches.
 
 Documents with equal shingle sets collapse first.  Representatives meet in the buckets of
-their bands; every member is compared with the pivot that meets the most others first.  In a few
-rounds more, members outside their bucket's largest component are compared with another member of it.
-Only members that are then still in different components, and at least one of them outside the
-largest, are compared with each other.  So large groups of copies never expand into all
-pairs, and yet every pair of a bucket is either compared or known to be connected.
+their bands; every member is compared with the pivot that meets the most others first.  Only members
+of a bucket that are then still in different components, and at least one of them outside the bucket's
+largest, are compared in a second round.  There, a block of open members stays in a task and the
+bucket's others stream by: first their sketches, to find the rows that have a likely partner, then the
+shingle sets of these.  So large groups of copies never expand into rows of pairs, and yet every pair
+of a bucket is either compared or known to be connected.
 """
 
 from __future__ import annotations
@@ -33,11 +34,8 @@ BANDS, ROWS = 85, 6
 #: four bits of each place make a sketch; it estimates a similarity of 0.75 with a deviation of
 #: 0.0204, so that one at the threshold falls six of these below in one of a billion cases
 SKETCH_SLACK = 0.123
-#: rounds in which a bucket's open members are compared with one member of its largest component, before all that are
-#: still open are compared with each other
-PIVOT_ROUNDS = 3
-#: open members of a bucket that one task compares with its others; those of a larger bucket are dealt to several
-TOGETHER = 500
+#: open members of a bucket, and shingles of them, that one task holds; those of a larger bucket are dealt to several
+TOGETHER, HELD_SHINGLES = 500, 4_000_000
 _CHUNK = 1 << 14
 
 SIGNED = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set_a", pa.int64()), ("set_b", pa.int64()), ("bands", pa.list_(pa.int64())), ("sketch", pa.list_(pa.int64()))])
@@ -106,17 +104,6 @@ def sketches(signatures: np.ndarray) -> np.ndarray:
     return np.bitwise_or.reduce((bits << shifts).reshape(len(bits), -1, 16), axis=2).view(np.int64)
 
 
-def differing_places(a, b, numbers: int = PLACES // 16):
-    """Places in which two sketches differ."""
-    total = F.lit(0)
-    for k in range(numbers):
-        d = F.get(a, F.lit(k)).bitwiseXOR(F.get(b, F.lit(k)))
-        for step in (1, 2):
-            d = d.bitwiseOR(F.shiftrightunsigned(d, step))
-        total = total + F.bit_count(d.bitwiseAND(F.lit(0x1111111111111111)))
-    return total
-
-
 def _signed(docs: DataFrame) -> DataFrame:
     def run(batches):
         for part, block in B.blocks(batches):
@@ -170,31 +157,123 @@ def _column(part: pa.RecordBatch, k: int) -> tuple[np.ndarray, np.ndarray]:
     return buf[off[0] : off[-1]], off - off[0]
 
 
-def _unlike(a, b, percent: int):
-    """Whether two sketches differ in more places than those of documents that are similar enough."""
-    return differing_places(a, b) > int((1 - (percent / 100 - SKETCH_SLACK)) * PLACES * 15 / 16)
+LIKELY = pa.schema([("band", pa.int32()), ("bucket", pa.int64()), ("deal", pa.int32()), ("side", pa.int32()), ("rep", pa.int64()), ("component", pa.int64()), ("main", pa.int64())])
+LIKELY_DDL = "band int, bucket bigint, deal int, side int, rep bigint, component bigint, main bigint"
 
 
-def _likely(pairs: DataFrame, sketched: DataFrame, percent: int) -> DataFrame:
-    """The pairs (u, v) without those that their sketches rule out."""
-    for end in ("u", "v"):
-        pairs = pairs.join(sketched.select(F.col("rep").alias(end), F.col("sketch").alias(f"sketch_{end}")), end)
-    return pairs.where(~_unlike(F.col("sketch_u"), F.col("sketch_v"), percent)).select("u", "v")
+def _dealt(open_: DataFrame) -> DataFrame:
+    """A bucket's members as blocks: those outside its largest component (side 0) dealt to one or several, and all members for each (side 1)."""
+    deals = F.greatest(F.ceil(F.col("rest") / TOGETHER), F.ceil(F.col("s") / HELD_SHINGLES)).cast("int")
+    columns = ["band", "bucket", "deal", "side", "rep", "component", "main", "n_shingles", "sketch", "bands"]
+    held = open_.where("component <> main").withColumns({"deal": F.pmod(F.xxhash64("rep"), deals).cast("int"), "side": F.lit(0)})
+    others = open_.withColumns({"deal": F.explode(F.sequence(F.lit(0), deals - 1)), "side": F.lit(1)})
+    return held.select(*columns).unionByName(others.select(*columns))
 
 
-def _all_pairs(open_: DataFrame, percent: int) -> DataFrame:
-    """Pairs of a bucket's members in different components, at least one outside its largest, that sketches don't rule out.
+def _in_blocks(rows: DataFrame, compare, ddl: str) -> DataFrame:
+    """compare(held, some) for each block's held members and slices of its others, as they stream by."""
 
-    The members outside are dealt to several tasks in a large bucket, each of which gets all others, so a
-    task never compares more than TOGETHER with a bucket."""
-    deals = F.ceil(F.col("rest") / TOGETHER).cast("int")
-    rest = open_.where("component <> main").select("band", "bucket", F.pmod(F.xxhash64("rep"), deals).cast("int").alias("deal"), F.col("rep").alias("x"), F.col("component").alias("cx"), F.col("n_shingles").alias("nx"), F.col("sketch").alias("sx"), F.col("bands").alias("bx"))
-    other = open_.select("band", "bucket", F.explode(F.sequence(F.lit(0), deals - 1)).alias("deal"), F.col("rep").alias("y"), F.col("component").alias("cy"), F.col("n_shingles").alias("ny"), F.col("main").alias("my"), F.col("sketch").alias("sy"), F.col("bands").alias("by"))
-    fits = (100 * F.least("nx", "ny") >= percent * F.greatest("nx", "ny")) & (F.col("cx") != F.col("cy")) & ((F.col("cy") == F.col("my")) | (F.col("x") < F.col("y")))
-    fits &= ~_unlike(F.col("sx"), F.col("sy"), percent)
-    # a pair that meets in several bands counts in the first of them
-    fits &= ~F.exists(F.slice(F.zip_with("bx", "by", lambda a, b: a == b), F.lit(1), F.col("band")), lambda same: same)
-    return rest.join(other, ["band", "bucket", "deal"]).where(fits).select(F.greatest("x", "y").alias("u"), F.least("x", "y").alias("v"))
+    def run(batches):
+        key, parts, held = None, [], None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            marks = np.stack([np.asarray(batch.column(k)) for k in range(4)], 1)
+            cuts = [0, *(np.flatnonzero((marks[1:] != marks[:-1]).any(1)) + 1).tolist(), len(marks)]
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                this, side, part = tuple(marks[a, :3]), marks[a, 3], batch.slice(a, b - a)
+                if side == 0:
+                    if this != key:
+                        key, parts = this, []
+                    parts.append(part)
+                    held = None
+                elif this == key:
+                    if held is None:
+                        held = Held(pa.Table.from_batches(parts).combine_chunks().to_batches()[0])
+                    for at in range(0, part.num_rows, 64):
+                        yield from compare(held, part.slice(at, 64))
+
+    return rows.repartition("band", "bucket", "deal").sortWithinPartitions("band", "bucket", "deal", "side", "rep").mapInArrow(run, ddl)
+
+
+def _matrix(column: pa.Array) -> np.ndarray:
+    """Lists of one length as rows of a matrix."""
+    return np.asarray(column.flatten()).view(np.uint64).reshape(len(column), -1)
+
+
+class Held:
+    """A block's open members, and what is worked out for them once."""
+
+    def __init__(self, part: pa.RecordBatch):
+        self.part, self.told = part, np.zeros(part.num_rows, bool)
+        self.rep, self.component = np.asarray(part.column("rep")), np.asarray(part.column("component"))
+        if "shingles" in part.schema.names:
+            lists = part.column("shingles")
+            values, self.sizes = np.asarray(lists.flatten()), np.asarray(lists.value_lengths()).astype(np.int64)
+            order = np.argsort(values, kind="stable")
+            self.values, self.owners = values[order], np.repeat(np.arange(part.num_rows), self.sizes)[order]
+        else:
+            self.sizes, self.sketch, self.bands = np.asarray(part.column("n_shingles")), _matrix(part.column("sketch")), _matrix(part.column("bands"))
+
+    def comparable(self, part: pa.RecordBatch) -> np.ndarray:
+        """(held, other) pairs that are to be compared: of different components, and each once."""
+        rep, component, main = (np.asarray(part.column(c)) for c in ("rep", "component", "main"))
+        return (self.component[:, None] != component) & ((component == main) | (self.rep[:, None] < rep))
+
+
+def _likely_rows(percent: int):
+    """Rows that have a partner which their sketches don't rule out, in the first band that the two share."""
+    most = int((1 - (percent / 100 - SKETCH_SLACK)) * PLACES * 15 / 16)
+
+    def compare(held: Held, part: pa.RecordBatch):
+        n = np.asarray(part.column("n_shingles"))
+        small, large = np.minimum(held.sizes[:, None], n), np.maximum(held.sizes[:, None], n)
+        x, y = np.nonzero(held.comparable(part) & (100 * small >= percent * large))
+        if not len(x):
+            return
+        sketch, bands, band = _matrix(part.column("sketch")), _matrix(part.column("bands")), int(np.asarray(part.column("band"))[0])
+        d = held.sketch[x] ^ sketch[y]
+        d |= d >> np.uint64(1)
+        d |= d >> np.uint64(2)
+        good = np.bitwise_count(d & np.uint64(0x1111111111111111)).sum(1) <= most
+        good &= ~(held.bands[x, :band] == bands[y, :band]).any(1)
+        mine = np.zeros(held.part.num_rows, bool)
+        mine[x[good]] = True
+        for rows, mask in ((held.part, mine & ~held.told), (part, np.isin(np.arange(part.num_rows), y[good]))):
+            if mask.any():
+                yield pa.RecordBatch.from_arrays([rows.column(c).filter(pa.array(mask)) for c in LIKELY.names], schema=LIKELY)
+        held.told |= mine
+
+    return compare
+
+
+def _elements(batches):
+    """The shingle set of each text."""
+    for part, block in B.blocks(batches):
+        elements, firsts = shingle_sets(block)
+        lists = pa.ListArray.from_arrays(pa.array(firsts.astype(np.int32)), pa.array(elements.view(np.int64)))
+        yield pa.RecordBatch.from_arrays([part.column(0), lists], names=["rep", "shingles"])
+
+
+def _block_links(percent: int):
+    """The pairs of a block whose full shingle sets are similar enough."""
+
+    def compare(held: Held, part: pa.RecordBatch):
+        wanted, lists = held.comparable(part), part.column("shingles")
+        values, ends = np.asarray(lists.flatten()), np.cumsum(np.asarray(lists.value_lengths()))
+        rep, found = np.asarray(part.column("rep")), []
+        low, high = np.searchsorted(held.values, values, "left"), np.searchsorted(held.values, values, "right")
+        for y, end in enumerate(ends.tolist()):
+            begin = int(ends[y - 1]) if y else 0
+            n = high[begin:end] - low[begin:end]
+            places = np.arange(n.sum()) + np.repeat(low[begin:end] - np.cumsum(n) + n, n)
+            both = np.bincount(held.owners[places], minlength=len(held.rep))
+            good = np.flatnonzero(wanted[:, y] & (both > 0) & (100 * both >= percent * (held.sizes + (end - begin) - both)))
+            found += [(max(int(held.rep[x]), int(rep[y])), min(int(held.rep[x]), int(rep[y]))) for x in good]
+        if found:
+            yield B.batch(LINKS, *map(list, zip(*found, strict=True)))
+
+    return compare
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -226,41 +305,25 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_
     forget(scores, scored, pivots)
     texts = written(rows.join(wanted.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi"))
     tried = wanted.where("rep <> pivot").select(F.greatest("rep", "pivot").alias("u"), F.least("rep", "pivot").alias("v")).distinct()
-    tried = written(tried)
     first = written(_confirmed(tried, texts, percent))
-    near, done = written(components(first)), [tried]
-    forget(first)
-    sketched = sets.select("rep", "sketch")
-    for k in range(PIVOT_ROUNDS + 1):
-        # buckets that still hold several components
-        placed = written(members.join(near.select(F.col("u").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep")).select("rep", "n_shingles", "band", "bucket", "component"))
-        mixed = placed.groupBy("band", "bucket").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.count("*").alias("size")).where("a <> b").select("band", "bucket", "size")
-        mixed = written(mixed)
-        inside = written(keyed_join(placed, mixed, ["band", "bucket"], "size").drop("size"))
-        forget(placed, mixed)
-        picked = F.max(F.struct(F.xxhash64("rep", F.lit(k)).alias("by"), "rep", "n_shingles")).alias("picked")
-        sizes = inside.groupBy("band", "bucket", "component").agg(F.count("*").alias("n"), picked)
-        main = written(sizes.groupBy("band", "bucket").agg(F.max(F.struct("n", "component", "picked")).alias("m"), F.sum("n").alias("size")).select("band", "bucket", F.col("m.component").alias("main"), (F.col("size") - F.col("m.n")).alias("rest"), "m.picked", "size"))
-        marked = keyed_join(inside, main, ["band", "bucket"], "size").drop("size")
-        if k < PIVOT_ROUNDS:
-            alike = 100 * F.least("n_shingles", "picked.n_shingles") >= percent * F.greatest("n_shingles", "picked.n_shingles")
-            pairs = marked.where("component <> main").where(alike).select(F.greatest("rep", "picked.rep").alias("u"), F.least("rep", "picked.rep").alias("v"))
-        else:
-            pairs = _all_pairs(written(marked.join(sets.select("rep", "sketch", "bands").hint("merge"), "rep")), percent)
-        pairs = pairs.distinct()
-        for seen in done:
-            pairs = pairs.join(seen, ["u", "v"], "left_anti")
-        pairs = written(_likely(pairs, sketched, percent) if k < PIVOT_ROUNDS else pairs)
-        more = written(_confirmed(pairs, texts, percent))
-        forget(inside, main)
-        if more.isEmpty():
-            continue
-        star = near.select("u", F.col("component").alias("v")).unionByName(more)
-        joined = written(components(star))
-        forget(near, more)
-        near = joined
-        done.append(pairs)
-    forget(members, texts, wanted, *done)
+    near = written(components(first))
+    # second round: buckets that still hold several components
+    placed = written(members.join(near.select(F.col("u").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep")).select("rep", "n_shingles", "band", "bucket", "component"))
+    forget(first, members)
+    mixed = written(placed.groupBy("band", "bucket").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.count("*").alias("size")).where("a <> b").select("band", "bucket", "size"))
+    inside = written(keyed_join(placed, mixed, ["band", "bucket"], "size").drop("size"))
+    forget(placed, mixed)
+    sizes = inside.groupBy("band", "bucket", "component").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("s"))
+    main = written(sizes.groupBy("band", "bucket").agg(F.max_by("component", F.struct("n", "component")).alias("main"), (F.sum("n") - F.max("n")).alias("rest"), F.sum("s").alias("s"), F.sum("n").alias("size")))
+    open_ = written(keyed_join(inside, main, ["band", "bucket"], "size").drop("size").join(sets.select("rep", "sketch", "bands").hint("merge"), "rep"))
+    forget(inside, main)
+    likely = written(_in_blocks(_dealt(open_), _likely_rows(percent), LIKELY_DDL))
+    elements = written(texts.join(likely.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").mapInArrow(_elements, "rep bigint, shingles array<bigint>"))
+    links = _in_blocks(likely.join(elements, "rep").select("band", "bucket", "deal", "side", "rep", "component", "main", "shingles"), _block_links(percent), "u bigint, v bigint").distinct()
+    second = written(near.select("u", F.col("component").alias("v")).unionByName(links))
+    forget(texts, wanted, open_, likely, elements, near)
+    near = written(components(second))
+    forget(second)
     whole = written(sets.select(*key, "rep", "copies").join(near.select(F.col("u").alias("rep"), "component"), "rep", "left").select(*key, F.coalesce("component", "rep").alias("component_id"), "copies"))
     forget(near, sets)
     alone = signed.where("n_shingles = 0 or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
