@@ -140,9 +140,10 @@ def root_kind(name: Column, kind: Column, code: Column, exported: Column, visibi
 
 
 def structural_roots(nodes: DataFrame) -> DataFrame:
-    """(id, kind) of the nodes that are roots by their own columns."""
-    cols = ("name", "kind", "code", "is_exported", "visibility", "package", "file_path", "language")
-    return nodes.select("id", root_kind(*(F.coalesce(F.col(c), F.lit("")) if c == "name" else F.col(c) for c in cols)).alias("kind")).where("kind is not null")
+    """(id, kind) of the nodes that are roots by their own columns; a node without a kind has its unit type's."""
+    kind = F.coalesce(F.nullif("kind", F.lit("")), F.col("unit_type")) if "unit_type" in nodes.columns else F.col("kind")
+    cols = {"name": F.coalesce("name", F.lit("")), "kind": kind} | {c: F.col(c) for c in ("code", "is_exported", "visibility", "package", "file_path", "language")}
+    return nodes.select("id", root_kind(*cols.values()).alias("kind")).where("kind is not null")
 
 
 def scoped_candidates(unresolved: DataFrame, nodes: DataFrame, language: str | None = None) -> DataFrame:

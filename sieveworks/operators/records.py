@@ -73,10 +73,21 @@ def unit_statistics(units: DataFrame, kind: str, up: Column, down: Column) -> Da
     return units.groupBy(kind).agg(F.count("*").alias("units"), F.bround(F.sum(up) / F.count("*"), 2).alias("mean_up"), F.bround(F.sum(down) / F.count("*"), 2).alias("mean_down"))
 
 
-def most_common(rows: DataFrame, value: Column) -> DataFrame:
-    """(value, n): the value with the most rows; of equal ones the least; rows without one don't vote."""
-    counts = rows.where(value.isNotNull()).groupBy(value.alias("value")).agg(F.count("*").alias("n"))
-    return counts.orderBy(F.desc("n"), "value").limit(1)
+def most_common(rows: DataFrame, value: Column, first: Column | None = None) -> DataFrame:
+    """(value, n): the value with the most rows; of equal ones that which comes first by `first`, else the least; rows
+    without one don't vote."""
+    at = F.lit(0) if first is None else first
+    counts = rows.where(value.isNotNull()).groupBy(value.alias("value")).agg(F.count("*").alias("n"), F.min(at).alias("_at"))
+    return counts.orderBy(F.desc("n"), "_at", "value").limit(1).drop("_at")
+
+
+def main_language(files: DataFrame) -> DataFrame:
+    """(value, n): the language of most of the files (path), by their endings; of equal ones that of the first path.  Folders
+    that scans leave out don't count; no row if no file has a known language."""
+    from ..sources.files import SKIPPED_FOLDERS
+
+    own = files.where(~F.arrays_overlap(F.split("path", "/"), F.array(*map(F.lit, SKIPPED_FOLDERS))))
+    return most_common(own, texts.language_of(F.col("path")), F.col("path"))
 
 
 def ordered_text(rows: DataFrame, key: str, order: str, text: Column, boundary: str) -> DataFrame:

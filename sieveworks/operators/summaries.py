@@ -38,10 +38,22 @@ def growth(rows: DataFrame, before: Column, after: Column) -> DataFrame:
     return row.withColumn("percent", F.when(F.col("before") > 0, F.bround((F.col("after") / F.col("before") - 1) * 100, 1)).otherwise(0.0))
 
 
-def challenge_summary(rows: DataFrame, truth: Column, predicted: Column, overturned: Column) -> DataFrame:
-    """(kind, n, overturned): wrong verdicts by kind, and how many a second look took back."""
-    kind = F.when((truth == "TN") & verdicts.is_actionable(predicted), "false_positive").when((truth == "TP") & verdicts.is_safe(predicted), "false_negative")
-    return rows.withColumn("kind", kind).where("kind is not null").groupBy("kind").agg(F.count("*").alias("n"), F.count_if(F.coalesce(overturned, F.lit(False))).alias("overturned"))
+def challenge_summary(rows: DataFrame, vulnerable: Column, verdict: Column, arbitration: Column) -> DataFrame:
+    """(kind, challenged, model_correct, ground_truth_correct, uncertain) of false positives and false negatives.
+
+    A VULNERABLE verdict on what the truth calls safe is the one, a SAFE one on what it calls vulnerable the other;
+    rows without a truth aren't challenged, and any other arbitration than the two verdicts is uncertain."""
+    said = F.coalesce(arbitration, F.lit(""))
+    kinds = {"false_positive": (verdict == "VULNERABLE") & ~vulnerable, "false_negative": (verdict == "SAFE") & vulnerable}
+    outcomes = {"challenged": F.lit(True), "model_correct": said == "MODEL_CORRECT", "ground_truth_correct": said == "GROUND_TRUTH_CORRECT", "uncertain": ~said.isin("MODEL_CORRECT", "GROUND_TRUTH_CORRECT")}
+    one = rows.agg(*(F.count_if(F.coalesce(test & outcome, F.lit(False))).alias(f"{k}_{o}") for k, test in kinds.items() for o, outcome in outcomes.items()))
+    return one.select(F.explode(F.array(*(F.struct(F.lit(k).alias("kind"), *(F.col(f"{k}_{o}").alias(o) for o in outcomes)) for k in kinds))).alias("r")).select("r.*")
+
+
+def sarif_summary(findings: DataFrame) -> DataFrame:
+    """(dimension, value, n): findings by level and by rule, and the number of their files."""
+    files = findings.agg(F.lit("files").alias("dimension"), F.lit("distinct").alias("value"), F.count_distinct("file").alias("n"))
+    return counts_by(findings, ["level", "rule"]).unionByName(files)
 
 
 def last_by_step(reports: DataFrame, step: str, order: list[str], values: list[str]) -> DataFrame:

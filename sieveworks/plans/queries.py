@@ -447,9 +447,15 @@ def ordered_distinct_union(t):
     return matching.first_by(parts[0].unionAll(parts[1]), ["source", "lang"]).select("source", "lang", "pos")
 
 
-@query("SELECT lang AS value, count(*) AS n FROM {documents} GROUP BY lang ORDER BY n DESC, lang LIMIT 1")
+@query(
+    """SELECT value, count(*) AS n FROM (SELECT concat('s/', lpad(cast(p_partkey AS varchar), 9, '0')) AS path, CASE p_partkey % 5 WHEN 0 THEN 'python' WHEN 1 THEN 'javascript' WHEN 2 THEN 'python' WHEN 3 THEN 'javascript' END AS value FROM {part}) x WHERE value IS NOT NULL GROUP BY value ORDER BY n DESC, min(path) LIMIT 1"""
+)
 def language_vote(t):
-    return records.most_common(t["documents"], F.col("lang"))
+    k = F.col("p_partkey") % 5
+    ending = F.when(k == 0, ".py").when(k == 1, ".tsx").when(k == 2, ".PY").when(k == 3, ".js").otherwise(".txt")
+    files = t["part"].select(F.concat(F.lit("s/"), F.lpad(F.col("p_partkey").cast("string"), 9, "0"), ending).alias("path"))
+    hidden = t["part"].select(F.concat(F.lit("node_modules/"), F.col("p_partkey"), F.lit(".js")).alias("path"))
+    return records.main_language(files.unionAll(hidden))
 
 
 @query("SELECT unit_type, count(*) AS units, round_even(sum(id % 7) / count(*), 2) AS mean_up, round_even(sum(id % 5) / count(*), 2) AS mean_down FROM {nodes} GROUP BY unit_type")

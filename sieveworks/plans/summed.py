@@ -35,13 +35,18 @@ def text_growth(t):
 
 
 @query(
-    """SELECT kind, count(*) AS n, count(*) FILTER (agrees = false) AS overturned FROM (SELECT agrees, CASE WHEN id % 2 = 0 AND id % 6 IN (0, 1) THEN 'false_positive' WHEN id % 2 = 0 THEN NULL WHEN id % 6 = 2 THEN 'false_negative' END AS kind FROM {words}
-    UNION ALL SELECT agrees, CASE WHEN id % 6 = 2 THEN 'false_negative' END FROM {words} WHERE id % 2 = 0) x WHERE kind IS NOT NULL GROUP BY kind"""
+    """SELECT kind, count(*) AS challenged, count(*) FILTER (outcome = 0) AS model_correct, count(*) FILTER (outcome = 1) AS ground_truth_correct, count(*) FILTER (outcome > 1) AS uncertain
+    FROM (SELECT CASE WHEN id % 3 = 0 AND id % 2 = 1 THEN 'false_positive' WHEN id % 3 = 1 AND id % 2 = 0 THEN 'false_negative' END AS kind, id % 5 AS outcome FROM {words}) x WHERE kind IS NOT NULL GROUP BY kind"""
 )
 def challenge_summary(t):
-    rows = t["words"].withColumn("truth", F.when(F.col("id") % 2 == 0, "TN"))
-    rows = rows.unionAll(t["words"].where("id % 2 = 0").withColumn("truth", F.lit("TP")))
-    return summaries.challenge_summary(rows, F.col("truth"), F.col("a"), ~F.col("agrees"))
+    k = F.col("id")
+    outcome = F.when(k % 5 == 0, "MODEL_CORRECT").when(k % 5 == 1, "GROUND_TRUTH_CORRECT").when(k % 5 == 2, "UNCERTAIN")
+    return summaries.challenge_summary(t["words"], k % 2 == 0, F.when(k % 3 == 0, "VULNERABLE").when(k % 3 == 1, "SAFE"), outcome)
+
+
+@query("SELECT 'level' AS dimension, event_type AS value, count(*) AS n FROM {events} GROUP BY event_type UNION ALL SELECT 'rule', concat('r', user_id % 7), count(*) FROM {events} GROUP BY 2 UNION ALL SELECT 'files', 'distinct', count(DISTINCT user_id) FROM {events}")
+def sarif_summary(t):
+    return summaries.sarif_summary(t["events"].select(F.col("event_type").alias("level"), F.concat(F.lit("r"), F.col("user_id") % 7).alias("rule"), F.col("user_id").alias("file")))
 
 
 @query("SELECT event_type AS step, event_id, value AS seconds FROM {events} QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id DESC) = 1")

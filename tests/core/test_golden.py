@@ -164,3 +164,27 @@ def test_reach_summary_sources(spark):
     assert tuple(reports.reach_summary(meta.limit(0), units, known).first()) == (3, 1, 0, 2, False)
     assert tuple(reports.reach_summary(meta.limit(0), units.where("false"), known).first()) == (7, 1, 2, 4, False)
     assert tuple(reports.reach_summary(meta.limit(0), units.where("false"), none).first()) == (3, 0, 0, 0, True)
+
+
+STATUS = "stage1 string, verified boolean, explanation string, agree boolean, correct string, has_path boolean, sink boolean, broken string, control string"
+STATUSES = [
+    (("vulnerable", True, "Max iterations reached", None, "", False, None, None, None), "max_iterations"), (("safe", True, " a Timeout here ", True, "safe", False, None, None, None), "timeout"),
+    (("safe", False, None, None, "", False, None, None, None), "protected"), (("vulnerable", False, None, None, "vulnerable", False, None, None, None), "uncertain"), (("vulnerable", True, "", False, "protected", False, None, None, None), "protected"),
+    (("vulnerable", True, "", False, "vulnerable", False, None, None, None), "disagreed"), (("vulnerable", True, "", True, "vulnerable", True, False, None, "full"), "likely"), (("safe", True, "", True, "vulnerable", True, True, "guard", "full"), "protected"),
+    (("vulnerable", True, "", True, "vulnerable", True, True, None, "full"), "confirmed"), (("vulnerable", True, "", True, "vulnerable", True, True, "", "unknown"), "likely"), (("vulnerable", True, "", True, "inconclusive", False, None, None, None), "likely"),
+    (("vulnerable", True, "", None, "vulnerable", True, True, None, "full"), "uncertain"), (("bypassable", True, "", None, "vulnerable", True, True, None, "none"), "likely"),
+]
+
+
+def test_verification_status(spark):
+    df = spark.createDataFrame([(k, *row) for k, (row, _) in enumerate(STATUSES)], "k int, " + STATUS)
+    columns = ("stage1", "verified", "explanation", "agree", "correct", "has_path", "sink", "broken", "control")
+    got = df.select("k", verdicts.verification_status(*(F.col(c) for c in columns)).alias("s")).orderBy("k").collect()
+    assert [r.s for r in got] == [s for _, s in STATUSES]
+
+
+def test_roots_without_a_kind(spark):
+    rows = spark.createDataFrame([("a", "f", None, "module_level"), ("b", "main", "", "function"), ("c", "g", "lambda", "module_level")], "id string, name string, kind string, unit_type string")
+    none = {c: F.lit(None).cast("string") for c in ("code", "visibility", "package", "file_path")}
+    got = graph.structural_roots(rows.withColumns(none | {"is_exported": F.lit(False), "language": F.lit("python")}))
+    assert {r.id: r.kind for r in got.collect()} == {"a": "module_init", "b": "program_entry"}
