@@ -42,9 +42,13 @@ def forget(*tables: DataFrame) -> None:
 
     Only for tables that no later step reads: what was made of them must be written by then."""
     for df in tables:
-        spark = df.sparkSession
-        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df.written_to)
-        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+        remove(df.sparkSession, df.written_to)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Removes a folder by the file system that Spark uses for its path."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def keyed_join(rows: DataFrame, keyed: DataFrame, on: list[str], weight: str) -> DataFrame:
