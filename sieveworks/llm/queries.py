@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import alignment, counts, leaks, licenses, near_dups, oracles, pieces, pii, quality, repeats, secrets, shared, token_files, warc
+from . import alignment, conversations, counts, leaks, licenses, near_dups, oracles, pieces, pii, quality, repeats, secrets, shared, token_files, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -90,6 +90,11 @@ def op11_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.align_tokens(_table(spark, sf_dir, "documents"), with_groups=False).drop("groups")
 
 
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table = _table(spark, sf_dir, "conversations")
+    return conversations.repaired(conversations.damaged(table), ids=table, times=F.col("times"))[0]
+
+
 def op13_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The files are removed once what was read from them is a table."""
     path = shared.folder(spark)
@@ -128,6 +133,6 @@ def queries() -> dict:
         f.__name__: f
         for f in (
             op1_warc_salvage, op2_personal_data, op3_benchmark_decontamination, op4_license_scan, op5_minhash_near_dups, op6_edit_aware_counts, op7_sentencepiece, op8_secret_scan, op9_quality_rules,
-            op10_suffix_array_dedup, op11_tokenizer_alignment, op13_token_files, personal_data_base, license_scan_base, secret_scan_base, quality_rules_base,
+            op10_suffix_array_dedup, op11_tokenizer_alignment, op12_conversation_repair, op13_token_files, personal_data_base, license_scan_base, secret_scan_base, quality_rules_base,
         )
     }

@@ -44,5 +44,5 @@ def test_equals_sql(spark, odd, name):
 def test_registered_names(sf_dir):
     import __spark_entry__
 
-    assert {f"op{k}" for k in range(1, 11)} == {n.split("_")[0] for n in queries.queries() if n.startswith("op")} and set(queries.oracle_sql()) <= set(queries.queries())
+    assert {f"op{k}" for k in range(1, 14)} == {n.split("_")[0] for n in queries.queries() if n.startswith("op")} and set(queries.oracle_sql()) <= set(queries.queries())
     assert "pipeline" in __spark_entry__.queries()
