@@ -167,7 +167,9 @@ class FileReader:
         end, size = int(self.ends[k]), int(self.sizes[k])
         begin = int(self.ends[k - 1]) if k else 0
         try:
-            content = zstandard.ZstdDecompressor().decompress(self.data[begin:end], max_output_size=size)
+            if zstandard.frame_content_size(self.data[begin:end]) != size:  # before memory is taken for it
+                raise DamagedFile(f"frame {k}: size does not fit")
+            content = zstandard.ZstdDecompressor().decompress(self.data[begin:end])
         except zstandard.ZstdError as e:
             raise DamagedFile(f"frame {k}: {e}") from e
         if len(content) != size or xxhash.xxh64_intdigest(content) & 0xFFFFFFFF != int(self.sums[k]):
