@@ -16,6 +16,8 @@ and counts nowhere.
 from __future__ import annotations
 
 import hashlib
+import pickle
+import zlib
 from functools import lru_cache
 
 import numpy as np
@@ -35,13 +37,20 @@ BLOCK = 8 << 20
 #: segments that are tokenised at a time
 _AT_ONCE = 50_000
 
-BLOCKS = pa.schema([("block", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("ends", pa.list_(pa.int64())), ("spots", pa.list_(pa.int32())), ("segments", pa.list_(pa.string())), ("counts", pa.list_(pa.int64()))])
-BLOCKS_DDL = "block bigint, doc_ids array<bigint>, ends array<bigint>, spots array<int>, segments array<string>, counts array<bigint>"
+#: id pairs that are broadcast at most; beyond, the links meet their counts by a shuffle
+MOST_PAIRS = 2_000_000
+#: joined rows that a task packs by block at a time
+_PACKED = 400_000
+
+BLOCKS = pa.schema([("block", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("ends", pa.list_(pa.int64())), ("spots", pa.binary()), ("segments", pa.list_(pa.string())), ("counts", pa.list_(pa.int64()))])
+BLOCKS_DDL = "block bigint, doc_ids array<bigint>, ends array<bigint>, spots binary, segments array<string>, counts array<bigint>"
+COUNTED = pa.schema([("segment", pa.string()), ("groups", pa.string()), ("n_best", pa.int64()), ("count_sum", pa.int64())])
+COUNTED_DDL = "segment string, groups string, n_best bigint, count_sum bigint"
+PACKED = pa.schema([("of_block", pa.int64()), ("rows", pa.binary())])
 ALIGNED = pa.schema([
-    ("segment_id", pa.int64()), ("segment", pa.string()), ("n", pa.int64()), ("blocks", pa.int64()), ("valid", pa.bool_()), ("n_a", pa.int32()), ("n_b", pa.int32()), ("groups", pa.string()),
-    ("link_a", pa.list_(pa.int32())), ("link_b", pa.list_(pa.int32())),
+    ("segment_id", pa.int64()), ("segment", pa.string()), ("n", pa.int64()), ("groups", pa.string()), ("link_a", pa.list_(pa.int32())), ("link_b", pa.list_(pa.int32())),
 ])
-ALIGNED_DDL = "segment_id bigint, segment string, n bigint, blocks bigint, valid boolean, n_a int, n_b int, groups string, link_a array<int>, link_b array<int>"
+ALIGNED_DDL = "segment_id bigint, segment string, n bigint, groups string, link_a array<int>, link_b array<int>"
 SPOILED = pa.schema([("segment", pa.string()), ("lost", pa.int64())])
 COMPOSED = pa.schema([(c, pa.int64()) for c in ("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")] + [("groups_sha256", pa.string()), ("groups", pa.string())])
 COMPOSED_DDL = "doc_id bigint, n_a bigint, n_b bigint, n_groups bigint, n_links bigint, n_best bigint, count_sum bigint, groups_sha256 string, groups string"
@@ -72,26 +81,17 @@ class Pair:
         a = [e.ids for e in self.a.encode_batch_fast(segments, add_special_tokens=False)]
         return a, [ids if own else ids[self.anchor :] for ids, own in zip(b, blank, strict=True)]
 
-    def align(self, segments: list[str]) -> tuple[list, ...]:
-        """For each segment: whether both join to it, numbers of tokens, groups as text, linked ids."""
+    def align(self, segments: list[str]) -> tuple[list[str | None], list, list]:
+        """For each segment: its groups as text (null if a tokenizer's tokens don't join to it), and the linked ids."""
         a, b = self.tokens(segments)
-        a_flat, b_flat = (np.fromiter((i for ids in t for i in ids), np.int64, sum(map(len, t))) for t in (a, b))
         raw = [s.encode() for s in segments]
-        valid = [True] * len(raw)
+        a_flat, b_flat = (np.fromiter((i for ids in t for i in ids), np.int64, sum(map(len, t))) for t in (a, b))
         whole = b"".join(raw)
         if any(b"".join([table[i] for i in flat.tolist()]) != whole for table, flat in ((self.a_bytes, a_flat), (self.b_bytes, b_flat))):
             valid = [b"".join([self.a_bytes[i] for i in x]) == s == b"".join([self.b_bytes[i] for i in y]) for x, y, s in zip(a, b, raw, strict=True)]
-            kept = [k for k, good in enumerate(valid) if good]
-            if not kept:
-                n = len(raw)
-                return valid, [0] * n, [0] * n, [""] * n, [[] for _ in raw], [[] for _ in raw]
-            if len(kept) < len(raw):
-                part = self.align([segments[k] for k in kept])
-                full = [[0] * len(raw), [0] * len(raw), [""] * len(raw), [[] for _ in raw], [[] for _ in raw]]
-                for column, found in zip(full, part[1:], strict=True):
-                    for k, value in zip(kept, found, strict=True):
-                        column[k] = value
-                return valid, *full
+            if not all(valid):
+                found = iter(zip(*self.align([s for s, good in zip(segments, valid, strict=True) if good]), strict=True))
+                return tuple(zip(*(next(found) if good else (None, [], []) for good in valid), strict=True))
         a_ends, b_ends = np.cumsum(self.a_sizes[a_flat]), np.cumsum(self.b_sizes[b_flat])
         _, a_at, b_at = np.intersect1d(a_ends, b_ends, assume_unique=True, return_indices=True)
         first = np.searchsorted(a_at, np.cumsum([0, *map(len, a)]))
@@ -100,7 +100,17 @@ class Pair:
         groups = [",".join(a_text[i:j]) + "|" + ",".join(b_text[k:m]) for i, j, k, m in zip([0, *a_stops[:-1]], a_stops, [0, *b_stops[:-1]], b_stops, strict=True)]
         cuts = list(zip(first[:-1].tolist(), first[1:].tolist(), strict=True))
         a_links, b_links = a_flat[a_at].tolist(), b_flat[b_at].tolist()
-        return valid, list(map(len, a)), list(map(len, b)), [";".join(groups[i:j]) for i, j in cuts], [a_links[i:j] for i, j in cuts], [b_links[i:j] for i, j in cuts]
+        return [";".join(groups[i:j]) for i, j in cuts], [a_links[i:j] for i, j in cuts], [b_links[i:j] for i, j in cuts]
+
+
+def packed(values: np.ndarray) -> bytes:
+    """Whole numbers below 2**31 by their bytes' places, compressed; high bytes are mostly zero."""
+    return zlib.compress(values.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes(), 1)
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    flat = np.frombuffer(zlib.decompress(data), np.uint8)
+    return np.ascontiguousarray(flat.reshape(4, -1).T).view("<u4").reshape(-1).astype(np.int64)
 
 
 @lru_cache(maxsize=2)
@@ -121,7 +131,7 @@ def _listed(docs: DataFrame, table: np.ndarray) -> DataFrame:
             spots = coded.indices.to_numpy(zero_copy_only=False)
             ends = np.searchsorted(starts, spaced.off[1:])
             counts = np.bincount(spots, minlength=len(coded.dictionary))
-            yield B.batch(BLOCKS, [base + k], [part.column(0).to_pylist()], [ends], [spots], pa.array([coded.dictionary.cast(pa.string()).to_pylist()], pa.list_(pa.string())), [counts])
+            yield B.batch(BLOCKS, [base + k], [part.column(0).to_pylist()], [ends], [packed(spots)], pa.array([coded.dictionary.cast(pa.string()).to_pylist()], pa.list_(pa.string())), [counts])
             k += 1
 
     return docs.mapInArrow(run, BLOCKS_DDL)
@@ -144,7 +154,7 @@ def _lost(blocks: DataFrame, bad: DataFrame) -> DataFrame:
     def run(batches):
         for part in batches:
             for ends, spots, segments, marked in zip(*(part.column(k) for k in range(4)), strict=True):
-                ends, spots = (np.array(x.values) for x in (ends, spots))
+                ends, spots = np.array(ends.values), unpacked(spots.as_py())
                 wrong = np.isin(spots, np.array(marked.values))
                 sums = np.append(0, np.cumsum(wrong))
                 begins = np.append(0, ends[:-1])
@@ -158,17 +168,88 @@ def _lost(blocks: DataFrame, bad: DataFrame) -> DataFrame:
     return hit.mapInArrow(run, "segment string, lost bigint").groupBy("segment").agg(F.sum("lost").alias("lost"))
 
 
+def _counted(aligned: DataFrame, counted: DataFrame) -> DataFrame:
+    """(segment, groups, n_best, count_sum) of all segments; counted: valid ones, with their numbers in valid documents."""
+    links = counted.select("segment_id", "n", F.explode(F.arrays_zip("link_a", "link_b")).alias("link")).select("segment_id", "n", F.col("link.link_a").alias("a"), F.col("link.link_b").alias("b"))
+    counts = written(links.groupBy("a", "b").agg(F.sum("n").alias("pair_count"), F.count("*").alias("met")))
+    best = counts.groupBy("b").agg(F.max("pair_count").alias("most"))  # a row for each B id at most: bounded by the vocabulary
+    pairs = counts.join(F.broadcast(best), "b").select("a", "b", "met", "pair_count", (F.col("pair_count") == F.col("most")).cast("bigint").alias("best"))
+    if counts.count() <= MOST_PAIRS:
+        table = pairs.select(F.shiftleft(F.col("a").cast("bigint"), 32).bitwiseOR(F.col("b").cast("bigint")).alias("key"), "pair_count", "best").toArrow().sort_by("key")
+        known = aligned.sparkSession.sparkContext.broadcast([table[c].to_numpy() for c in ("key", "pair_count", "best")])
+
+        def run(batches):
+            keys, sums, tops = known.value
+            for part in batches:
+                lists = part.column(2)
+                off = np.asarray(lists.offsets) - lists.offsets[0].as_py()
+                at = np.searchsorted(keys, np.asarray(lists.flatten()).astype(np.int64) << 32 | np.asarray(part.column(3).flatten()))
+                by_link = (np.append(0, np.cumsum(x[at])) for x in (tops, sums))
+                yield B.batch(COUNTED, part.column(0), part.column(1), *(x[off[1:]] - x[off[:-1]] for x in by_link))
+
+        return aligned.select("segment", "groups", "link_a", "link_b").mapInArrow(run, COUNTED_DDL)
+    sums = keyed_join(links.drop("n"), pairs, ["a", "b"], "met").groupBy("segment_id").agg(F.sum("best").alias("n_best"), F.sum("pair_count").alias("count_sum"))
+    zero = F.lit(0).cast("bigint")
+    return aligned.join(sums, "segment_id", "left").select("segment", "groups", F.coalesce("n_best", zero).alias("n_best"), F.coalesce("count_sum", zero).alias("count_sum"))
+
+
+def _by_block(batches):
+    """Rows of a block's segments, packed together as far as a task meets them, so that few and dense rows are shuffled."""
+
+    def flushed(parts):
+        table = pa.Table.from_batches(parts).sort_by("of_block").combine_chunks()
+        blocks = table["of_block"].to_numpy()
+        cuts = [0, *(np.flatnonzero(np.diff(blocks)) + 1).tolist(), len(blocks)]
+        spots, best, sums = (table[c].to_numpy() for c in ("spot", "n_best", "count_sum"))
+        groups = table["groups"].to_pylist()
+        rows = [zlib.compress(pickle.dumps((packed(spots[i:j]), groups[i:j], packed(best[i:j]), sums[i:j])), 1) for i, j in zip(cuts, cuts[1:], strict=False)]
+        return B.batch(PACKED, blocks[cuts[:-1]], rows)
+
+    held, n = [], 0
+    for part in batches:
+        if part.num_rows:
+            held.append(part)
+            n += part.num_rows
+        if n > _PACKED:
+            yield flushed(held)
+            held, n = [], 0
+    if held:
+        yield flushed(held)
+
+
+def _sides(groups: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Tokens of A, tokens of B and groups of each text of groups."""
+    text = np.frombuffer((";".join(groups) + ";").encode(), np.uint8)
+    side = np.cumsum((text == 0x7C).astype(np.int8) - (text == 0x3B).astype(np.int8), dtype=np.int64)
+    ends = np.cumsum(np.array([len(g) + 1 for g in groups], np.int64)) - 1
+    comma = text == 0x2C
+
+    def upto(mask):
+        return np.diff(np.append(0, np.cumsum(mask)[ends]))
+
+    n = upto(text == 0x3B)
+    return upto(comma & (side == 0)) + n, upto(comma & (side == 1)) + n, n
+
+
 def _composed(with_groups: bool):
-    """Documents of a block from its list and the rows of its distinct segments."""
+    """Documents of a block from its list and the packed rows of its distinct segments."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        rows = right.sort_by("spot").combine_chunks() if right.num_rows else right
-        numbers = {c: rows[c].to_numpy() for c in ("n_a", "n_b", "n_links", "n_best", "count_sum")}
-        bad, groups = ~rows["valid"].to_numpy(zero_copy_only=False).astype(bool), rows["groups"].to_pylist()
-        n_groups = np.array([g.count(";") + 1 for g in groups], np.int64)
+        spot, groups, best, sums = [], [], [], []
+        for row in right["rows"]:
+            one, texts, n, count = pickle.loads(zlib.decompress(row.as_py()))
+            spot.append(unpacked(one))
+            groups += texts
+            best.append(unpacked(n))
+            sums.append(count)
+        order = np.argsort(np.concatenate(spot)) if spot else np.zeros(0, np.int64)
+        best, sums = (np.concatenate(x)[order] if x else np.zeros(0, np.int64) for x in (best, sums))
+        groups = [groups[k] for k in order.tolist()]
+        bad = np.array([g is None for g in groups], bool)
+        n_a, n_b, n_groups = _sides(["" if g is None else g for g in groups])
         out = []
         for ids, ends, spots in zip(left["doc_ids"], left["ends"], left["spots"], strict=True):
-            ends, spots = (np.array(x.values) for x in (ends, spots))
+            ends, spots = np.array(ends.values), unpacked(spots.as_py())
             begin = 0
             for doc_id, end in zip(ids.as_py(), ends.tolist(), strict=True):
                 at = spots[begin:end]
@@ -177,8 +258,8 @@ def _composed(with_groups: bool):
                     out.append((doc_id, 0, 0, 0, 0, 0, 0, "", None if not with_groups else ""))
                     continue
                 text = ";".join([groups[k] for k in at.tolist()])
-                n = {c: int(v[at].sum()) for c, v in numbers.items()}
-                out.append((doc_id, n["n_a"], n["n_b"], int(n_groups[at].sum()), n["n_links"], n["n_best"], n["count_sum"], hashlib.sha256(text.encode()).hexdigest(), text if with_groups else None))
+                n = int(n_groups[at].sum())  # every group ends with one link
+                out.append((doc_id, int(n_a[at].sum()), int(n_b[at].sum()), n, n, int(best[at].sum()), int(sums[at].sum()), hashlib.sha256(text.encode()).hexdigest(), text if with_groups else None))
         return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), COMPOSED, strict=True)], schema=COMPOSED) if out else COMPOSED.empty_table()
 
     return run
@@ -204,25 +285,18 @@ def align_tokens(docs: DataFrame, bpe: str = S.BPE, pieces: str = PIECES, id_col
         for part in batches:
             for at in range(0, part.num_rows, _AT_ONCE):
                 rows = part.slice(at, _AT_ONCE)
-                yield B.batch(ALIGNED, np.arange(base + k, base + k + rows.num_rows), *rows.columns, *own.align(rows.column(0).to_pylist()))
+                yield B.batch(ALIGNED, np.arange(base + k, base + k + rows.num_rows), *rows.columns, *map(list, own.align(rows.column(0).to_pylist())))
                 k += rows.num_rows
 
-    distinct = listed.groupBy("segment").agg(F.sum("n").alias("n"), F.count("*").alias("blocks"))
+    distinct = listed.groupBy("segment").agg(F.sum("n").alias("n"))
     aligned = written(distinct.mapInArrow(run, ALIGNED_DDL))
-    bad = aligned.where("not valid").select("segment")
-    counted = aligned
+    bad = aligned.where("groups is null").select("segment")
+    counted = aligned.where("groups is not null")
     if not bad.isEmpty():
-        counted = aligned.join(_lost(blocks, bad), "segment", "left").withColumn("n", F.col("n") - F.coalesce("lost", F.lit(0))).drop("lost")
-    links = counted.where("valid").select("segment_id", "n", F.explode(F.arrays_zip("link_a", "link_b")).alias("link")).select("segment_id", "n", F.col("link.link_a").alias("a"), F.col("link.link_b").alias("b"))
-    counts = written(links.groupBy("a", "b").agg(F.sum("n").alias("pair_count"), F.count("*").alias("met")))
-    best = counts.groupBy("b").agg(F.max("pair_count").alias("most"))  # a row for each B id at most: bounded by the vocabulary
-    pairs = counts.join(F.broadcast(best), "b").select("a", "b", "met", "pair_count", (F.col("pair_count") == F.col("most")).cast("bigint").alias("best"))
-    sums = keyed_join(links.drop("n"), pairs, ["a", "b"], "met").groupBy("segment_id").agg(F.count("*").alias("n_links"), F.sum("best").alias("n_best"), F.sum("pair_count").alias("count_sum"))
-    zero = F.lit(0).cast("bigint")
-    stats = aligned.join(sums, "segment_id", "left").select("segment", "blocks", "valid", "n_a", "n_b", "groups", *(F.coalesce(c, zero).alias(c) for c in ("n_links", "n_best", "count_sum")))
-    stats = written(stats)
-    back = keyed_join(listed.select(F.col("block").alias("of_block"), "spot", "segment"), stats, ["segment"], "blocks").drop("segment", "blocks")
+        counted = counted.join(_lost(blocks, bad), "segment", "left").withColumn("n", F.col("n") - F.coalesce("lost", F.lit(0))).drop("lost")
+    # a segment has a row in each block that holds it, which is a small part of all rows for any segment
+    back = listed.select(F.col("block").alias("of_block"), "spot", "segment").join(_counted(aligned, counted).hint("merge"), "segment").select("of_block", "spot", "groups", "n_best", "count_sum").mapInArrow(_by_block, "of_block bigint, rows binary")
     left = blocks.select("block", "doc_ids", "ends", "spots").groupBy("block")
     out = written(left.cogroup(back.groupBy("of_block")).applyInArrow(_composed(with_groups), COMPOSED_DDL))
-    forget(blocks, aligned, counts, stats)
+    forget(blocks, aligned)
     return out

@@ -87,7 +87,10 @@ def rows_of(spark, folder):
     return [tuple(r) for r in spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text").collect()]
 
 
-def test_alignment_equals_whole_texts(spark, folder):
+@pytest.mark.parametrize("most", [A.MOST_PAIRS, 0])
+def test_alignment_equals_whole_texts(spark, folder, monkeypatch, most):
+    """With the pairs' counts broadcast, and met by a shuffle."""
+    monkeypatch.setattr(A, "MOST_PAIRS", most)
     got = [tuple(r[c] for c in COLUMNS) for r in queries.op11_tokenizer_alignment(spark, folder).collect()]
     assert by_text(got) == by_text(brute_alignment(rows_of(spark, folder)))
     assert sum(r[-1] == "" for r in got) >= 4
