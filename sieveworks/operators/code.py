@@ -1,7 +1,6 @@
-"""Functions, imports and calls of Python sources, as tables, and the call graph that their resolution gives.
+"""Functions, imports, calls and routes of Python sources, as tables; `resolve` makes a call graph of them.
 
-Parsing a file needs its whole text and the syntax tree, so it runs on Arrow batches, a file at a time; all
-resolution across files is joins.
+Parsing a file needs its whole text and the syntax tree, so it runs on Arrow batches, a file at a time.
 """
 
 from __future__ import annotations
@@ -10,11 +9,14 @@ import ast
 import re
 import textwrap
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..tables import stored
+
 FUNCTIONS = pa.schema([
     ("id", pa.string()), ("name", pa.string()), ("qualified_name", pa.string()), ("class_name", pa.string()), ("parent_id", pa.string()), ("file_path", pa.string()), ("start_line", pa.int32()), ("end_line", pa.int32()),
     ("is_async", pa.bool_()), ("decorators", pa.list_(pa.string())), ("parameters", pa.list_(pa.string())), ("docstring", pa.string()), ("code", pa.string()),
@@ -22,8 +24,10 @@ FUNCTIONS = pa.schema([
 FUNCTIONS_DDL = (
     "id string, name string, qualified_name string, class_name string, parent_id string, file_path string, start_line int, end_line int, is_async boolean, decorators array<string>, parameters array<string>, docstring string, code string"
 )
-CALLS = pa.schema([("caller", pa.string()), ("kind", pa.string()), ("name", pa.string()), ("receiver", pa.string()), ("types", pa.list_(pa.string()))])
-CALLS_DDL = "caller string, kind string, name string, receiver string, types array<string>"
+IMPORTS = pa.schema([("path", pa.string()), ("name", pa.string()), ("target", pa.string()), ("pos", pa.int32())])
+IMPORTS_DDL = "path string, name string, target string, pos int"
+CALLS = pa.schema([("caller", pa.string()), ("file", pa.string()), ("own_class", pa.string()), ("kind", pa.string()), ("name", pa.string()), ("receiver", pa.string()), ("types", pa.list_(pa.string()))])
+CALLS_DDL = "caller string, file string, own_class string, kind string, name string, receiver string, types array<string>"
 _DEFINED = (ast.FunctionDef, ast.AsyncFunctionDef)
 _CALL_TEXT = re.compile(r"\b([a-zA-Z_][a-zA-Z0-9_]*)\s*\(")
 
@@ -145,8 +149,10 @@ def _imports_of(path: str, source: str | None) -> Iterator[dict]:
 
 def imports(files: DataFrame) -> DataFrame:
     """(path, name, target): what each name stands for in a file (path, text) that imports it; the last import of a name counts."""
-    schema = pa.schema([("path", pa.string()), ("name", pa.string()), ("target", pa.string()), ("pos", pa.int32())])
-    rows = _mapped(files.select(F.col("path").cast("string"), F.col("text").cast("string")), _imports_of, schema, "path string, name string, target string, pos int")
+    return _last_import(_mapped(files.select(F.col("path").cast("string"), F.col("text").cast("string")), _imports_of, IMPORTS, IMPORTS_DDL))
+
+
+def _last_import(rows: DataFrame) -> DataFrame:
     return rows.groupBy("path", "name").agg(F.max_by("target", "pos").alias("target"))
 
 
@@ -167,9 +173,12 @@ def _types_of(tree: ast.AST) -> dict[str, set[str]]:
     return out
 
 
-def _calls_of(caller: str, code: str | None) -> Iterator[dict]:
+def _calls_of(caller: str, file: str | None, own_class: str | None, code: str | None) -> Iterator[dict]:
     tree = _tree(textwrap.dedent(code or ""))
-    row = lambda kind, name, receiver=None, types=(): {"caller": caller, "kind": kind, "name": name, "receiver": receiver, "types": sorted(types)}
+
+    def row(kind, name, receiver=None, types=()):
+        return {"caller": caller, "file": file, "own_class": own_class, "kind": kind, "name": name, "receiver": receiver, "types": sorted(types)}
+
     if tree is None:
         yield row("parse_failure", "<parse>")
         yield from (row("text", name) for name in sorted(set(_CALL_TEXT.findall(code))))
@@ -177,85 +186,66 @@ def _calls_of(caller: str, code: str | None) -> Iterator[dict]:
     local = _types_of(tree)
     seen = set()
     for node in ast.walk(tree):
-        if isinstance(node, ast.Call):
-            f = node.func
-            if isinstance(f, ast.Name):
-                made = row("name", f.id)
-            elif isinstance(f, ast.Attribute):
-                receiver = ast.unparse(f.value)
-                made = row("attribute", f.attr, receiver, local.get(receiver, ()))
-            else:
-                made = row("dynamic", "<callable>")
-            if (key := (made["kind"], made["name"], made["receiver"])) not in seen:
-                seen.add(key)
-                yield made
+        if not isinstance(node, ast.Call):
+            continue
+        f = node.func
+        on = f.value if isinstance(f, ast.Attribute) else None
+        if isinstance(f, ast.Name):
+            made = row("name", f.id)
+        elif on is None:
+            made = row("dynamic", "<callable>")
+        elif isinstance(on, ast.Name):
+            made = row("own" if on.id in ("self", "cls") else "attribute", f.attr, on.id, local.get(on.id, ()))
+        elif isinstance(on, ast.Call) and isinstance(on.func, ast.Name) and on.func.id == "super":
+            made = row("own", f.attr, "super()")
+        else:
+            made = row("chained", f.attr)
+        if (key := (made["kind"], made["name"], made["receiver"])) not in seen:
+            seen.add(key)
+            yield made
 
 
 def calls(rows: DataFrame) -> DataFrame:
-    """(caller, kind, name, receiver, types): the different calls of each function (id, code).
-
-    kind: name, attribute (on a receiver, with the classes that it may hold by local assignments), dynamic, and of code that
-    can't be parsed parse_failure and text, which is what a pattern finds there."""
-    return _mapped(rows.select("id", "code"), _calls_of, CALLS, CALLS_DDL)
-
-
-def resolved_imports(imported: DataFrame, rows: DataFrame) -> DataFrame:
-    """(path, name, target, function): the function that an imported name is, where it is one of the tables'.
-
-    The target's longest beginning that is a file counts: there, `Class.name` or the name itself; without such a file,
-    a function of the target's last name in a file whose module ends in the rest of the target, or the other way round."""
-    parts = F.split("target", r"\.")
-    heads = imported.select("path", "name", "target", F.posexplode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.struct(F.concat(F.array_join(F.slice(parts, 1, n), "/"), F.lit(".py")).alias("file"), F.get(parts, n).alias("rest"), n.alias("n")))).alias("_k", "h")).select("path", "name", "target", "h.*")
-    known = rows.select(F.col("id").alias("function"))
-    wanted = F.array_compact(F.array(F.when(F.col("rest").isNotNull(), F.concat("file", F.lit(":"), "rest", F.lit("."), "name")), F.concat("file", F.lit(":"), F.col("name")), F.when(F.col("rest").isNotNull(), F.concat("file", F.lit(":"), "rest"))))
-    by_file = heads.select("path", "name", "target", "n", F.posexplode(wanted).alias("k", "function")).join(known, "function")
-    one = by_file.groupBy("path", "name", "target").agg(F.min_by("function", F.struct(-F.col("n"), "k")).alias("function"))
-    last, module = F.element_at(parts, -1), F.array_join(F.slice(parts, 1, F.size(parts) - 1), ".")
-    left = imported.join(one.select("path", "name"), ["path", "name"], "left_anti").select("path", "name", "target", last.alias("last"), module.alias("module"))
-    named = rows.where("parent_id is null").select(F.col("name").alias("last"), F.col("id").alias("function"), F.regexp_replace(F.translate("file_path", "/", "."), r"\.py", "").alias("own"))
-    by_module = left.join(named, "last").where(F.col("own").endswith(F.col("module")) | F.col("module").endswith(F.col("own"))).groupBy("path", "name", "target").agg(F.min("function").alias("function"))
-    return one.unionByName(by_module)
-
-
-def call_graph(rows: DataFrame, imported: DataFrame, builtins: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
-    """(edges, unresolved) of functions and the imports of their files.
-
-    A plain name is the one function of that name in the caller's file that is in no class (if there are several, the one
-    that isn't nested), else what the file imports by it.  An attribute of self or cls is the class's own method; of a local name
-    with one possible class, that class's method in the file or by import; of an imported module, that module's function.
-    What stays open is unresolved, with a reason and the functions that it may be.  Edges are exact, but for those that a pattern
-    found in code that can't be parsed (low).  Calls of oneself and of builtins are left out."""
-    made = calls(rows).where(~F.col("name").isin(*builtins) if builtins else F.lit(True))
-    at = rows.select(F.col("id").alias("caller"), F.col("file_path").alias("file"), F.col("class_name").alias("own_class"))
-    asked = made.join(at, "caller")
-    free = rows.where("class_name is null").groupBy(F.col("file_path").alias("file"), "name").agg(F.collect_list(F.struct(F.col("parent_id").isNotNull().alias("nested"), "id")).alias("all"))
-    top = F.filter("all", lambda f: ~f["nested"])
-    only = F.when(F.size("all") == 1, F.get("all", F.lit(0))["id"]).when(F.size(top) == 1, F.get(top, F.lit(0))["id"])
-    found = resolved_imports(imported, rows).select(F.col("path").alias("file"), "name", F.col("function").alias("by_import"))
-    named = asked.where("kind = 'name'").join(free, ["file", "name"], "left").join(found, ["file", "name"], "left").join(imported.select(F.col("path").alias("file"), "name", F.lit(True).alias("imported")), ["file", "name"], "left")
-    named = named.select("caller", "name", F.when(F.col("all").isNotNull(), only).otherwise(F.col("by_import")).alias("callee"), F.when(F.size("all") > 1, "ambiguous").when(F.col("imported"), "import_failed").otherwise("unresolved").alias("reason"), F.transform("all", lambda f: f["id"]).alias("own"))
-    methods = rows.where("class_name is not null and parent_id is null").select("file_path", "class_name", "name", "id")
-    of_self = asked.where("kind = 'attribute' and receiver in ('self', 'cls')").join(methods.select(F.col("file_path").alias("file"), F.col("class_name").alias("own_class"), "name", F.col("id").alias("callee")), ["file", "own_class", "name"], "left")
-    of_self = of_self.select("caller", "name", "callee", F.lit("unresolved").alias("reason"))
-    typed = asked.where("kind = 'attribute' and receiver not in ('self', 'cls') and size(types) > 0").withColumn("class_name", F.when(F.size("types") == 1, F.get("types", F.lit(0))))
-    here = methods.select(F.col("file_path").alias("file"), "class_name", "name", F.col("id").alias("callee"))
-    by_type = typed.join(here, ["file", "class_name", "name"], "left").select("caller", "name", "callee", F.when(F.size("types") > 1, "ambiguous").otherwise("unresolved").alias("reason"))
-    modules = asked.where("kind = 'attribute' and receiver not in ('self', 'cls') and size(types) = 0").join(imported.select(F.col("path").alias("file"), F.col("name").alias("receiver"), "target"), ["file", "receiver"], "left")
-    paths = modules.withColumn("wanted", F.concat(F.translate("target", ".", "/"), F.lit(".py:"), "name")).join(rows.select(F.col("id").alias("wanted"), F.col("id").alias("callee")), "wanted", "left")
-    by_module = paths.select("caller", "name", "callee", F.when(F.col("target").isNotNull(), "import_failed").otherwise("dynamic").alias("reason"))
-    dynamic = asked.where("kind in ('dynamic', 'parse_failure')").select("caller", "name", F.lit(None).cast("string").alias("callee"), F.when(F.col("kind") == "dynamic", "dynamic").otherwise("parse_failure").alias("reason"))
-    by_text = asked.where("kind = 'text'").join(rows.groupBy(F.col("file_path").alias("file"), "name").agg(F.collect_set("id").alias("own")), ["file", "name"], "left").withColumn("own", F.array_except(F.coalesce("own", F.array().cast("array<string>")), F.array("caller")))
-    rest = [x.withColumn("own", F.lit(None).cast("array<string>")) for x in (of_self, by_type, by_module, dynamic)]
-    every = named
-    for x in rest:
-        every = every.unionByName(x)
-    every = every.withColumn("confidence", F.lit("exact")).unionByName(by_text.select("caller", "name", F.when(F.size("own") == 1, F.get("own", F.lit(0))).alias("callee"), F.lit("regex_fallback").alias("reason"), "own", F.lit("low").alias("confidence")))
-    edges = every.where("callee is not null and callee <> caller").groupBy("caller", "callee").agg(F.min("confidence").alias("confidence")).select("caller", "callee", F.lit("call").alias("kind"), "confidence")
-    anywhere = rows.where("class_name is null").groupBy("name").agg(F.array_sort(F.collect_set("id")).alias("any"))
-    open_ = every.where("callee is null").join(anywhere, "name", "left")
-    may = F.when(F.col("reason").isin("ambiguous", "regex_fallback"), F.array_sort("own")).when(F.col("reason").isin("import_failed", "unresolved"), F.col("any"))
-    reason = F.when((F.col("reason") == "unresolved") & (F.size("any") > 1), "ambiguous").otherwise(F.col("reason"))
-    return edges, open_.select("caller", F.col("name").alias("callee_name"), reason.alias("reason"), F.coalesce(may, F.array().cast("array<string>")).alias("candidates")).distinct()
+    """(caller, file, own_class, kind, name, receiver, types): the different calls of each function (id, file_path, class_name, code).
+
+    kind: name; own, on self, cls or super(); attribute, on another name, with the classes that it may hold by local
+    assignments; chained, on anything else; dynamic; and of code that can't be parsed parse_failure and text, which is what a
+    pattern finds there."""
+    return _mapped(rows.select("id", "file_path", "class_name", "code"), _calls_of, CALLS, CALLS_DDL)
+
+
+class Sources(NamedTuple):
+    """What Python files hold, for resolve.call_graph."""
+
+    functions: DataFrame
+    imports: DataFrame
+    calls: DataFrame
+
+
+_ALL = pa.schema([("function", pa.struct(list(FUNCTIONS))), ("import", pa.struct(list(IMPORTS))), ("call", pa.struct(list(CALLS)))])
+
+
+def _all_of(path: str, source: str | None) -> Iterator[dict]:
+    last = {row["id"]: row for row in _functions_of(path, source)}
+    for row in last.values():
+        yield {"function": row, "import": None, "call": None}
+        yield from ({"function": None, "import": None, "call": c} for c in _calls_of(row["id"], path, row["class_name"], row["code"]))
+    yield from ({"function": None, "import": i, "call": None} for i in _imports_of(path, source))
+
+
+def sources(files: DataFrame) -> Sources:
+    """Functions, imports and calls of Python files (path, text), each file read once; they are tables, so no step after reads it again.
+
+    Of a name that a file defines twice the last one counts.  A file that can't be parsed has none of the three."""
+    ddl = f"function struct<{_fields(FUNCTIONS_DDL)}>, import struct<{_fields(IMPORTS_DDL)}>, call struct<{_fields(CALLS_DDL)}>"
+    every = stored(_mapped(files.select(F.col("path").cast("string"), F.col("text").cast("string")), _all_of, _ALL, ddl))
+    made, imported, called = (every.where(F.col(c).isNotNull()).select(f"{c}.*") for c in ("function", "import", "call"))
+    kind = unit_type(F.col("name"), F.col("decorators"), F.col("class_name"), F.col("file_path"), F.col("parent_id"))
+    return Sources(made.withColumn("unit_type", kind), _last_import(imported), called)
+
+
+def _fields(ddl: str) -> str:
+    return ", ".join(f"{name}: {kind}" for name, kind in (part.split(" ") for part in ddl.split(", ")))
 
 
 _ROUTE = re.compile(r"^(?:\w+\.)*(route|get|post|put|delete|patch|head|options|websocket|api_route)$")

@@ -90,9 +90,12 @@ def closure(start: DataFrame, steps: DataFrame) -> DataFrame:
     return _fixpoint(start.select("id", F.lit(1).alias("rank")), steps.select("at", "id", F.lit(1).alias("top"))).select("id")
 
 
-def reachability(nodes: DataFrame, edges: DataFrame, roots: DataFrame, unresolved: DataFrame | None = None) -> DataFrame:
+def reachability(nodes: DataFrame, edges: DataFrame, roots: DataFrame, unresolved: DataFrame | None = None, named: DataFrame | None = None) -> DataFrame:
     """(id, status): reachable, unknown or unreachable, for every node.
 
+    named: (name, id), what the open_name of an unresolved call may mean besides its candidates; a name is a step
+    on the way to its nodes, so that calls and nodes of one name are not paired.
+
     Exact edges carry `reachable`; other edges from a reachable node, all edges from an unknown
     one, and the candidates (caller, candidates) of a visited node's unresolved calls carry
     `unknown`.  A visited node's unresolved call without candidates makes unknown all that is
@@ -109,6 +112,12 @@ def reachability(nodes: DataFrame, edges: DataFrame, roots: DataFrame, unresolve
         open_calls = unresolved.select(F.col("caller").alias("at"), F.coalesce("candidates", F.array().cast(unresolved.schema["candidates"].dataType)).alias("candidates"))
         maybe = open_calls.select("at", F.explode("candidates").alias("id")).join(ids, "id", "left_semi").select("at", "id", F.lit(1).alias("top"))
         steps = steps.unionAll(maybe)
+    if named is not None:
+        mark = lambda c: F.concat(F.lit("name "), F.col(c))
+        asked = unresolved.where("open_name is not null").select(F.col("caller").alias("at"), mark("open_name").alias("id"), F.lit(1).alias("top")).distinct()
+        meant = named.join(ids, "id", "left_semi").select(mark("name").alias("at"), "id", F.lit(1).alias("top"))
+        steps = steps.unionAll(asked).unionAll(meant)
+        open_calls = unresolved.where("open_name is null or size(candidates) > 0").select(F.col("caller").alias("at"), "candidates")
     steps = settled(steps.groupBy("at", "id").agg(F.max("top").alias("top")))
     state = _fixpoint(start.select("id", F.lit(2).alias("rank")), steps)
     least = 0

@@ -61,6 +61,28 @@ DERIVED = {
     "words": "SELECT o_orderkey AS id, CASE WHEN o_orderkey % 6 = 0 THEN ' Vuln ' WHEN o_orderkey % 6 = 1 THEN 'bypass' WHEN o_orderkey % 6 = 2 THEN 'SAFE' WHEN o_orderkey % 6 = 3 THEN NULL WHEN o_orderkey % 6 = 4 THEN 'odd' ELSE 'uncertain' END AS a, CASE WHEN o_orderstatus = 'F' THEN 'vulnerable' WHEN o_orderstatus = 'P' THEN 'bypassable' ELSE NULL END AS b, CASE WHEN o_custkey % 3 = 0 THEN NULL ELSE o_custkey % 3 = 1 END AS agrees, CASE WHEN o_custkey % 4 = 0 THEN 'Confirmed' WHEN o_custkey % 4 = 1 THEN 'rejected' WHEN o_custkey % 4 = 2 THEN NULL ELSE 'agreed' END AS stage2, CASE WHEN o_custkey % 5 = 0 THEN 'confirmed' WHEN o_custkey % 5 = 1 THEN 'BLOCKED' ELSE NULL END AS dyn FROM {orders}",
     "sources_py": """SELECT concat('m', p_partkey, '.py') AS path, concat('import m', p_partkey + 1, ' as nxt', chr(10), 'from m', p_partkey + 2, ' import f', p_partkey + 2, chr(10), chr(10), 'def f', p_partkey, '(a):', chr(10), '    return g', p_partkey, '(a)', chr(10), chr(10), chr(10),
         CASE WHEN p_size % 2 = 0 THEN '@router.get("/x")' ELSE '# plain' END, chr(10), 'def g', p_partkey, '(b, *c):', chr(10), '    nxt.f', p_partkey + 1, '(b)', chr(10), '    f', p_partkey + 2, '(c)', chr(10), '    return h(b)', chr(10)) AS text, p_partkey AS k, p_size FROM {part}""",
+    # modules with classes: their functions, imports and calls as tables, and the text that says the same
+    "py_keys": "SELECT p_partkey AS k, concat('p', p_partkey % 7, '/m', p_partkey, '.py') AS path FROM {part}",
+    "py_functions": """SELECT path, concat(path, ':C', k, '.only') AS id, 'only' AS name, concat('C', k) AS class_name FROM {py_keys} UNION ALL SELECT path, concat(path, ':C', k, '.run'), 'run', concat('C', k) FROM {py_keys}
+        UNION ALL SELECT path, concat(path, ':D', k, '.run'), 'run', concat('D', k) FROM {py_keys} UNION ALL SELECT path, concat(path, ':D', k, '.only'), 'only', concat('D', k) FROM {py_keys} WHERE k % 4 = 1
+        UNION ALL SELECT path, concat(path, ':f', k), concat('f', k), NULL FROM {py_keys} UNION ALL SELECT path, concat(path, ':shared', k % 3), concat('shared', k % 3), NULL FROM {py_keys} WHERE k % 100 = 7""",
+    "py_imports": """SELECT path, concat('C', k + 1) AS name, concat('p', (k + 1) % 7, '.m', k + 1, '.C', k + 1) AS target FROM {py_keys} UNION ALL SELECT path, 'nxt', concat('p', (k + 2) % 7, '.m', k + 2) FROM {py_keys}
+        UNION ALL SELECT path, 'h', concat('p', (k + 3) % 7, '.m', k + 3, '.f', k + 3) FROM {py_keys} UNION ALL SELECT path, 'json', 'json' FROM {py_keys}""",
+    "py_calls": """SELECT path, concat(path, ':C', k, '.run') AS caller, concat('C', k) AS own_class, 'own' AS kind, 'only' AS name, 'self' AS receiver, NULL AS type FROM {py_keys}
+        UNION ALL SELECT path, concat(path, ':D', k, '.run'), concat('D', k), 'super', 'run', 'super()', NULL FROM {py_keys}
+        UNION ALL SELECT path, concat(path, ':f', k), NULL, kind, replace(replace(replace(replace(name, '<0>', concat(k)), '<1>', concat(k + 1)), '<2>', concat(k + 2)), '<3>', concat(k % 3)), replace(receiver, '<1>', concat(k + 1)), replace(replace(type, '<0>', concat(k)), '<1>', concat(k + 1))
+        FROM {py_keys} JOIN (SELECT 0 AS v, 'name' AS kind, 'C<1>' AS name, NULL AS receiver, NULL AS type UNION ALL SELECT 0, 'attribute', 'run', 'x', 'C<1>' UNION ALL SELECT 1, 'name', 'C<0>', NULL, NULL UNION ALL SELECT 1, 'name', 'D<0>', NULL, NULL
+        UNION ALL SELECT 1, 'attribute', 'only', 'y', 'C<0>' UNION ALL SELECT 1, 'attribute', 'only', 'y', 'D<0>' UNION ALL SELECT 2, 'name', 'C<1>', NULL, NULL UNION ALL SELECT 2, 'name', 'D<0>', NULL, NULL UNION ALL SELECT 2, 'attribute', 'run', 'y', 'C<1>'
+        UNION ALL SELECT 2, 'attribute', 'run', 'y', 'D<0>' UNION ALL SELECT 3, 'attribute', 'f<2>', 'nxt', NULL UNION ALL SELECT 3, 'name', 'h', NULL, NULL UNION ALL SELECT 3, 'attribute', 'loads', 'json', NULL UNION ALL SELECT 3, 'name', 'print', NULL, NULL
+        UNION ALL SELECT 3, 'name', 'len', NULL, NULL UNION ALL SELECT 4, 'attribute', 'run', 'C<1>', NULL UNION ALL SELECT 4, 'attribute', 'strip', 'a', NULL UNION ALL SELECT 4, 'chained', 'go', NULL, NULL UNION ALL SELECT 4, 'attribute', 'go', 'z', NULL
+        UNION ALL SELECT 4, 'name', 'shared<3>', NULL, NULL UNION ALL SELECT 5, 'name', 'make', NULL, NULL UNION ALL SELECT 5, 'attribute', 'run', 'w', 'C<0>' UNION ALL SELECT 5, 'attribute', 'run', 'w', 'make' UNION ALL SELECT 5, 'attribute', 'nothing', 'nxt', NULL) t ON v = k % 6""",
+    "py_texts": """SELECT path, concat('import json', chr(10), 'from p', (k + 1) % 7, '.m', k + 1, ' import C', k + 1, chr(10), 'import p', (k + 2) % 7, '.m', k + 2, ' as nxt', chr(10), 'from p', (k + 3) % 7, '.m', k + 3, ' import f', k + 3, ' as h', chr(10), chr(10), chr(10),
+        'class C', k, ':', chr(10), '    def only(self):', chr(10), '        pass', chr(10), chr(10), '    def run(self):', chr(10), '        return self.only()', chr(10), chr(10), chr(10),
+        'class D', k, ':', chr(10), CASE WHEN k % 4 = 1 THEN concat('    def only(self):', chr(10), '        pass', chr(10), chr(10)) ELSE '' END, '    def run(self):', chr(10), '        return super().run()', chr(10), chr(10), chr(10),
+        CASE WHEN k % 100 = 7 THEN concat('def shared', k % 3, '():', chr(10), '    pass', chr(10), chr(10), chr(10)) ELSE '' END, 'def f', k, '(a, z=None):', chr(10),
+        CASE WHEN k % 6 = 0 THEN concat('    x = C', k + 1, '()', chr(10), '    x.run()', chr(10)) WHEN k % 6 = 1 THEN concat('    y = C', k, '()', chr(10), '    y = D', k, '()', chr(10), '    return y.only()', chr(10))
+        WHEN k % 6 = 2 THEN concat('    y = C', k + 1, '()', chr(10), '    if a:', chr(10), '        y = D', k, '()', chr(10), '    y.run()', chr(10)) WHEN k % 6 = 3 THEN concat('    print(len(json.loads(a)))', chr(10), '    return h(nxt.f', k + 2, '(a))', chr(10))
+        WHEN k % 6 = 4 THEN concat('    C', k + 1, '.run(a.strip())', chr(10), '    a.b.go()', chr(10), '    z.go()', chr(10), '    shared', k % 3, '()', chr(10)) ELSE concat('    w: C', k, ' = make()', chr(10), '    w.run()', chr(10), '    nxt.nothing()', chr(10)) END) AS text FROM {py_keys}""",
     "manifest_lines": "SELECT concat('./src/f', p_partkey % 50, '.py') AS file, concat('@@ -', p_size, CASE WHEN p_size % 2 = 0 THEN ',3' ELSE '' END, ' +', p_partkey % 90 + 1, CASE WHEN p_size % 3 = 0 THEN ',0' WHEN p_size % 3 = 1 THEN ',4' ELSE '' END, ' @@ def f():') AS line, p_partkey % 90 + 1 AS first, p_size % 3 AS k FROM {part}",
 }
 _NAME = re.compile(r"(?<!\{)\{(\w+)\}(?!\})")

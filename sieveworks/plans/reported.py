@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import texts
-from ..operators import code, normalize, packages, reports, stages, units
+from ..operators import code, normalize, packages, reports, resolve, stages, units
 from .registry import query
 from .shown import FOUND_ORDER, FOUND_STATES, found, merged_findings
 
@@ -175,20 +175,55 @@ def code_routes(t):
     """SELECT concat(path, ':f', k) AS caller, concat(path, ':g', k) AS callee, 'exact' AS confidence FROM {sources_py} UNION ALL SELECT concat(a.path, ':g', a.k), concat(b.path, ':f', b.k), 'exact' FROM {sources_py} a JOIN {sources_py} b ON b.k IN (a.k + 1, a.k + 2)"""
 )
 def code_graph(t):
-    edges, _ = code.call_graph(code.functions(t["sources_py"]), code.imports(t["sources_py"]))
-    return edges.select("caller", "callee", "confidence")
+    return resolve.call_graph(*code.sources(t["sources_py"])).edges.select("caller", "callee", "confidence")
 
 
 @query(
     """SELECT caller, callee_name, reason, count(*) AS n FROM (SELECT 'g' AS caller, 'h' AS callee_name, 'unresolved' AS reason FROM {sources_py} UNION ALL SELECT 'g', 'f', 'import_failed' FROM {sources_py} a WHERE NOT EXISTS (SELECT 1 FROM {sources_py} b WHERE b.k = a.k + 1)
-    UNION ALL SELECT 'g', 'f', 'import_failed' FROM {sources_py} a WHERE NOT EXISTS (SELECT 1 FROM {sources_py} b WHERE b.k = a.k + 2) UNION ALL SELECT 'g', 'get', 'dynamic' FROM {sources_py} WHERE p_size % 2 = 0) x GROUP BY ALL"""
+    UNION ALL SELECT 'g', 'f', 'import_failed' FROM {sources_py} a WHERE NOT EXISTS (SELECT 1 FROM {sources_py} b WHERE b.k = a.k + 2)) x GROUP BY ALL"""
 )
 def code_unresolved(t):
-    _, open_ = code.call_graph(code.functions(t["sources_py"]), code.imports(t["sources_py"]))
+    open_ = resolve.call_graph(*code.sources(t["sources_py"])).unresolved
     head = lambda c: F.regexp_extract(c, "([a-z]+)[0-9]*$", 1).alias(c)
     return open_.select(head("caller"), head("callee_name"), "reason").groupBy("caller", "callee_name", "reason").agg(F.count("*").alias("n"))
 
 
+# what calls mean, from the tables of functions, imports and calls; the queries read the same out of the texts
+_MEANT = """WITH f AS (SELECT *, replace(replace(path, '/', '.'), '.py', '') AS module FROM {py_functions}), c AS (SELECT * FROM {py_calls} WHERE NOT (kind = 'name' AND name IN ('print', 'len'))),
+    free AS (SELECT c.caller, c.name, c.name AS shown, 'name' AS how, f.id AS callee FROM c JOIN f ON f.path = c.path AND f.name = c.name AND f.class_name IS NULL WHERE c.kind = 'name'),
+    own AS (SELECT c.caller, c.name, concat(c.receiver, '.', c.name) AS shown, 'own' AS how, f.id AS callee FROM c JOIN f ON f.path = c.path AND f.name = c.name AND f.class_name = c.own_class WHERE c.kind = 'own'),
+    imported AS (SELECT c.caller, c.name, c.name AS shown, 'name' AS how, i.target FROM c JOIN {py_imports} i ON i.path = c.path AND i.name = c.name WHERE c.kind = 'name' AND NOT EXISTS (SELECT 1 FROM free WHERE free.caller = c.caller AND free.name = c.name)
+        UNION ALL SELECT c.caller, c.name, concat(c.receiver, '.', c.name), 'module', i.target FROM c JOIN {py_imports} i ON i.path = c.path AND i.name = c.receiver WHERE c.kind = 'attribute' AND c.receiver <> 'json'
+        UNION ALL SELECT c.caller, c.name, concat(c.receiver, '.', c.name), 'type', i.target FROM c JOIN {py_imports} i ON i.path = c.path AND i.name = c.type WHERE c.kind = 'attribute'),
+    typed AS (SELECT c.caller, c.name, concat(c.receiver, '.', c.name) AS shown, 'type' AS how, f.id AS callee FROM c JOIN f ON f.path = c.path AND f.name = c.name AND f.class_name = c.type WHERE c.kind = 'attribute'),
+    asks AS (SELECT DISTINCT target, name FROM imported), heads AS (SELECT target, name, string_split(target, '.') AS parts, unnest(range(1, len(string_split(target, '.')) + 1)) AS n FROM asks),
+    tried AS (SELECT target, name, n, 0 AS j, concat(array_to_string(parts[1:n], '/'), '.py:', parts[n + 1], '.', name) AS id FROM heads WHERE n < len(parts) UNION ALL SELECT target, name, n, 1, concat(array_to_string(parts[1:n], '/'), '.py:', name) FROM heads),
+    by_file AS (SELECT target, name, arg_min(id, 2 * (100 - n) + j) AS id FROM tried SEMI JOIN f USING (id) GROUP BY target, name),
+    by_end AS (SELECT a.target, a.name, min(f.id) AS id FROM asks a JOIN f ON f.name = string_split(a.target, '.')[-1] AND (ends_with(f.module, left(a.target, length(a.target) - length(f.name) - 1)) OR ends_with(left(a.target, length(a.target) - length(f.name) - 1), f.module))
+        WHERE (a.target, a.name) NOT IN (SELECT (target, name) FROM by_file) GROUP BY a.target, a.name),
+    found AS (SELECT * FROM by_file UNION ALL SELECT * FROM by_end), hits AS (SELECT * FROM free UNION ALL SELECT * FROM own UNION ALL SELECT * FROM typed UNION ALL SELECT caller, i.name, shown, how, id FROM imported i JOIN found USING (target, name)),
+    one AS (SELECT caller, name, shown, list_sort(list(DISTINCT callee)) AS hits FROM hits GROUP BY caller, name, shown)"""
+
+
+@query(_MEANT + " SELECT DISTINCT caller, hits[1] AS callee, 'exact' AS confidence FROM one WHERE len(hits) = 1 AND hits[1] <> caller")
+def code_class_graph(t):
+    return resolve.call_graph(*code.sources(t["py_texts"])).edges.select("caller", "callee", "confidence")
+
+
+@query(
+    _MEANT
+    + """, every AS (SELECT caller, name, CASE WHEN kind IN ('name', 'chained') THEN name ELSE concat(receiver, '.', name) END AS shown, kind, path, receiver, list_sort(list(DISTINCT type) FILTER (type IS NOT NULL)) AS types FROM c
+        WHERE kind <> 'own' AND NOT (kind = 'attribute' AND receiver = 'json') AND NOT (kind = 'attribute' AND type IS NULL AND name = 'strip') GROUP BY ALL)
+    SELECT caller, shown AS callee_name, CASE WHEN len(hits) > 1 THEN 'ambiguous' WHEN kind = 'chained' THEN 'dynamic' WHEN kind = 'super' THEN 'no_type' WHEN kind = 'attribute' AND EXISTS (SELECT 1 FROM {py_imports} i WHERE i.path = e.path AND i.name = receiver) THEN 'import_failed'
+        WHEN kind = 'attribute' THEN 'no_type' WHEN EXISTS (SELECT 1 FROM {py_imports} i WHERE i.path = e.path AND i.name = e.name) THEN 'import_failed' WHEN (SELECT count(*) FROM f WHERE f.name = e.name AND class_name IS NULL) > 1 THEN 'ambiguous' ELSE 'unresolved' END AS reason,
+        CASE WHEN len(hits) > 1 THEN array_to_string(hits, ',') WHEN kind = 'attribute' THEN coalesce(array_to_string(types, ','), '') WHEN kind = 'name' THEN coalesce((SELECT array_to_string(list_sort(list(id)), ',') FROM f WHERE f.name = e.name AND class_name IS NULL), '') ELSE '' END AS candidates
+    FROM every e LEFT JOIN one USING (caller, name, shown) WHERE coalesce(len(hits), 0) <> 1"""
+)
+def code_class_unresolved(t):
+    open_ = resolve.with_candidates(resolve.call_graph(*code.sources(t["py_texts"])))
+    return open_.withColumn("candidates", F.array_join("candidates", ","))
+
+
 _NEAR = """WITH RECURSIVE up(seed, id, depth) AS (SELECT id, id, 0 FROM {nodes} UNION SELECT w.seed, e.callee, w.depth + 1 FROM up w JOIN {edges} e ON e.caller = w.id WHERE w.depth < 2), pairs AS (SELECT DISTINCT seed, id FROM up WHERE seed <> id AND id IN (SELECT id FROM {nodes})),
     n AS (SELECT x.id, (SELECT count(*) FROM pairs WHERE seed = x.id) AS u, (SELECT count(*) FROM pairs p WHERE p.id = x.id) AS d FROM {nodes} x)"""
 

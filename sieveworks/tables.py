@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _ROW_BITS = (1 << 33) - 1
@@ -13,13 +14,25 @@ _ROW_BITS = (1 << 33) - 1
 def settled(df: DataFrame) -> DataFrame:
     """The rows, written to the folder in spark.checkpoint.dir, which executors share; its lineage
     ends there.  Where a session names none, one machine gets a temporary folder, a cluster an error."""
-    context = df.sparkSession.sparkContext
+    _shared_folder(df.sparkSession)
+    return df.checkpoint()
+
+
+def _shared_folder(spark: SparkSession) -> str:
+    context = spark.sparkContext
     if not context.getCheckpointDir():
-        base = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        base = spark.conf.get("spark.checkpoint.dir", None)
         if not base and not context.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         context.setCheckpointDir(base or f"file://{tempfile.mkdtemp(prefix='sieveworks-')}")
-    return df.checkpoint()
+    return context.getCheckpointDir()
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """The rows as a Parquet table in the same folder: like `settled`, for tables of which later steps read some columns."""
+    path = f"{_shared_folder(df.sparkSession)}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def numbered(df: DataFrame, order: list[Column], name: str = "number") -> DataFrame:

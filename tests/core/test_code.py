@@ -1,6 +1,6 @@
 """Python sources to functions, calls and a graph; units of them."""
 
-from sieveworks.operators import code, units
+from sieveworks.operators import code, graph, resolve, units
 
 APP = '''"""An app."""
 import os
@@ -69,8 +69,7 @@ def test_imports_and_routes(spark):
 
 
 def test_call_graph(spark):
-    rows = code.functions(files(spark))
-    edges, open_ = code.call_graph(rows, code.imports(files(spark)))
+    edges, open_, _ = resolve.call_graph(*code.sources(files(spark)))
     got = {(r.caller, r.callee): r.confidence for r in edges.collect()}
     assert got == {
         ("app.py:index", "app.py:index.inner"): "exact", ("app.py:index", "lib/util.py:helper"): "exact", ("app.py:index", "app.py:_private"): "exact", ("app.py:index.inner", "lib/util.py:helper"): "exact", ("app.py:_private", "app.py:Box.open"): "exact",
@@ -80,16 +79,147 @@ def test_call_graph(spark):
     assert lost[("app.py:_private", "unknown")] == "unresolved" and lost[("app.py:Box.open", "<callable>")] == "dynamic" and lost[("app.py:_private", "Box")] == "unresolved"
 
 
+ONE = '''import json
+import lib.two as two
+from lib.two import Foo, make as build
+from nowhere import gone
+
+
+class Bar:
+    def only(self):
+        return self.size() + self.missing()
+
+    @property
+    def size(self):
+        return 1
+
+    @size.setter
+    def size(self, x):
+        super().size(x)
+
+    def both(self):
+        pass
+
+
+class Baz:
+    def both(self):
+        def only():
+            pass
+
+
+def twice():
+    pass
+
+
+def imported_class():
+    Foo.bar()
+    Foo.nothing()
+    two.free()
+    two.Foo()
+    json.loads("1")
+    print(len("a"))
+
+
+def typed_by_import(z):
+    x = Foo()
+    x.bar()
+    x.join()
+    x.nothing()
+    z.go()
+    z.strip()
+    z.a.go()
+    z.a.strip()
+    (lambda: 0)()
+
+
+def union(u):
+    y = Foo()
+    y = Bar()
+    y.only()
+    y.both()
+    y = Baz()
+    y.both()
+    w: Foo = build()
+    w.bar()
+    self.x()
+    gone()
+    twice()
+    common()
+
+
+def outer():
+    def twice():
+        pass
+    return twice()
+'''
+TWO = "class Foo:\n    def bar(self):\n        pass\n\n\ndef free():\n    def common():\n        pass\n\n\ndef make():\n    return Foo()\n"
+THREE = "def common():\n    pass\n\n\nclass K:\n    def common(self):\n        cls.common()\n"
+
+
+def classes(spark):
+    return spark.createDataFrame([("app/one.py", ONE), ("lib/two.py", TWO), ("three.py", THREE)], "path string, text string")
+
+
+def test_classes_and_unions(spark):
+    """Imported classes, local names by import, unions with one method, builtins and common methods, reasons and shown names."""
+    found = resolve.call_graph(*code.sources(classes(spark)))
+    got = {(r.caller.split(":")[1], r.callee) for r in found.edges.collect()}
+    assert got == {
+        ("Bar.only", "app/one.py:Bar.size"), ("imported_class", "lib/two.py:Foo.bar"), ("imported_class", "lib/two.py:free"), ("typed_by_import", "lib/two.py:Foo.bar"), ("union", "lib/two.py:make"), ("union", "app/one.py:twice"), ("outer", "app/one.py:twice"),
+    }
+    open_ = {(r.caller.split(":")[1], r.callee_name): (r.reason, list(r.candidates)) for r in resolve.with_candidates(found).collect()}
+    both = ["app/one.py:Bar.both", "app/one.py:Baz.both"]
+    assert open_ == {
+        ("Bar.size", "super().size"): ("no_type", []), ("imported_class", "Foo.nothing"): ("import_failed", []), ("imported_class", "two.Foo"): ("import_failed", []),
+        ("typed_by_import", "x.join"): ("no_type", ["Foo"]), ("typed_by_import", "x.nothing"): ("no_type", ["Foo"]), ("typed_by_import", "z.go"): ("no_type", []), ("typed_by_import", "go"): ("dynamic", []),
+        ("typed_by_import", "<callable>"): ("dynamic", []), ("typed_by_import", "Foo"): ("import_failed", []), ("union", "y.both"): ("ambiguous", both), ("union", "w.bar"): ("ambiguous", ["lib/two.py:Foo.bar", "lib/two.py:make"]), ("union", "y.only"): ("ambiguous", ["app/one.py:Bar.only", "app/one.py:Baz.both.only"]),
+        ("union", "Foo"): ("import_failed", []), ("union", "Bar"): ("unresolved", []), ("union", "Baz"): ("unresolved", []), ("union", "self.x"): ("no_type", []), ("union", "gone"): ("import_failed", []),
+        ("union", "common"): ("ambiguous", ["lib/two.py:free.common", "three.py:common"]), ("make", "Foo"): ("unresolved", []),
+    }
+
+
+def test_one_method_over_a_union(spark):
+    """The methods are asked, not the classes: one method over two classes is an edge."""
+    text = "from b import Foo\n\nclass Baz:\n    def only(self):\n        pass\n\ndef f():\n    y = Foo()\n    y = Baz()\n    y.only()\n    y.far()\n"
+    rows = spark.createDataFrame([("a.py", text), ("b.py", "class Foo:\n    def far(self):\n        pass\n")], "path string, text string")
+    edges, open_, _ = resolve.call_graph(*code.sources(rows))
+    assert {(r.caller, r.callee) for r in edges.collect()} == {("a.py:f", "a.py:Baz.only"), ("a.py:f", "b.py:Foo.far")}
+    assert {r.callee_name for r in open_.collect()} == {"Foo", "Baz"}
+
+
+def test_import_paths(spark):
+    """The longest file wins, then the module's ending; names that are imported as they are or under another name."""
+    rows = spark.createDataFrame([("a/b.py:C.m", "m", "a/b.py"), ("a/b.py:f", "f", "a/b.py"), ("a.py:b.m", "m", "a.py"), ("x/deep/mod.py:g", "g", "x/deep/mod.py"), ("os.py:sep", "sep", "os.py"), ("z.py:solo", "solo", "z.py")], "id string, name string, file_path string")
+    asks = [("a.b.C", "m"), ("a.b.f", "f"), ("a.b", "f"), ("a.b", "m"), ("deep.mod.g", "h"), ("mod.g", "h"), ("far.x.deep.mod.g", "h"), ("od.g", "h"), ("other.g", "h"), ("solo", "x"), ("q.f", "q")]
+    made = {(r.target, r.name): r.callee for r in resolve.resolved_targets(spark.createDataFrame(asks, "target string, name string"), rows).collect()}
+    assert made == {
+        ("a.b.C", "m"): "a/b.py:C.m", ("a.b.f", "f"): "a/b.py:f", ("a.b", "f"): "a/b.py:f", ("a.b", "m"): "a.py:b.m", ("deep.mod.g", "h"): "x/deep/mod.py:g", ("mod.g", "h"): "x/deep/mod.py:g", ("far.x.deep.mod.g", "h"): "x/deep/mod.py:g",
+        ("od.g", "h"): "x/deep/mod.py:g", ("solo", "x"): "z.py:solo",
+    }
+
+
+def test_open_names_are_one_relation(spark):
+    """A visited node's open call by name makes unknown what bears the name, and no more."""
+    found = resolve.call_graph(*code.sources(classes(spark)))
+    nodes = code.sources(classes(spark)).functions.select("id")
+    roots = spark.createDataFrame([("app/one.py:union",)], "id string")
+    by_name = found.unresolved.where("callee_name = 'common'")
+    status = {r.id: r.status for r in graph.reachability(nodes, found.edges, roots, by_name, found.named).collect()}
+    assert status["three.py:common"] == status["lib/two.py:free.common"] == "unknown" and status["lib/two.py:make"] == "reachable" and status["three.py:K.common"] == "unreachable" and set(status) == {r.id for r in nodes.collect()}
+    listed = resolve.with_candidates(found).where("callee_name = 'common'")
+    assert {r.id: r.status for r in graph.reachability(nodes, found.edges, roots, listed).collect()} == status
+
+
 def test_unparsable_code_gives_low_edges(spark):
-    rows = spark.createDataFrame([("a.py:f", "f", None, None, "a.py", "def f(:\n g()\n h()"), ("a.py:g", "g", None, None, "a.py", "def g():\n pass")], "id string, name string, class_name string, parent_id string, file_path string, code string")
-    edges, open_ = code.call_graph(rows, code.imports(rows.selectExpr("file_path as path", "'' as text")))
+    rows = spark.createDataFrame([("a.py:f", "f", None, None, "a.py", 1, "def f(:\n g()\n h()"), ("a.py:g", "g", None, None, "a.py", 9, "def g():\n pass")], "id string, name string, class_name string, parent_id string, file_path string, start_line int, code string")
+    edges, open_, _ = resolve.call_graph(rows, code.imports(rows.selectExpr("file_path as path", "'' as text")), code.calls(rows))
     assert [(r.caller, r.callee, r.confidence) for r in edges.collect()] == [("a.py:f", "a.py:g", "low")]
     assert sorted((r.callee_name, r.reason) for r in open_.collect()) == [("<parse>", "parse_failure"), ("f", "regex_fallback"), ("h", "regex_fallback")]
 
 
 def test_units(spark):
-    rows = code.functions(files(spark))
-    edges, open_ = code.call_graph(rows, code.imports(files(spark)))
+    rows, imported, made = code.sources(files(spark))
+    edges, open_, _ = resolve.call_graph(rows, imported, made)
     tables = units.graph_tables(rows, "python", edges=edges, unresolved=open_)
     nodes = {r.id: r for r in tables["nodes"].collect()}
     assert nodes["app.py:index"].visibility == "public" and nodes["app.py:_private"].visibility == "private" and nodes["app.py:Box.open"].kind == "method" and nodes["app.py:__module__"].kind == "module_init"
