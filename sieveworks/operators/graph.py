@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..tables import settled
@@ -60,6 +60,77 @@ def within(seeds: DataFrame, edges: DataFrame, depth: int = 3, reverse: bool = F
     return found if found is not None else seen.limit(0).withColumn("depth", F.lit(0))
 
 
+def steps_of(edges: DataFrame, reverse: bool = False) -> DataFrame:
+    """(at, place, id): the neighbours of each node with their place among them, for searches whose order counts.
+
+    edges: caller, callee, and place (of the callee in the caller's list) or, in reverse, caller_place; without such a column
+    neighbours come by their id.  A neighbour that is listed twice has its first place."""
+    key, other, place = ("callee", "caller", "caller_place") if reverse else ("caller", "callee", "place")
+    return edges.groupBy(F.col(key).alias("at"), F.col(other).alias("id")).agg(F.min(F.col(place if place in edges.columns else other)).alias("place")).select("at", "place", "id")
+
+
+def steps_of_lists(lists: DataFrame) -> DataFrame:
+    """The same of adjacency lists (id, neighbours) that are in order."""
+    return lists.select(F.col("id").alias("at"), F.posexplode("neighbours").alias("place", "to")).groupBy("at", F.col("to").alias("id")).agg(F.min("place").alias("place")).select("at", "place", "id")
+
+
+def discovered(seeds: DataFrame, steps: DataFrame, depth: int = 3) -> DataFrame:
+    """(seed, id, depth, path): what each seed (id) reaches in at most `depth` steps (at, place, id), without itself.
+
+    A breadth-first search comes to a node by its earliest neighbour, at its earliest place.  The places on that way are the
+    node's path, and nodes of one depth are found in the order of their paths: so (depth, path) is the order of discovery, and
+    no search needs a queue or a number from a task that sees all of a seed's nodes."""
+    steps = settled(steps)
+    front = settled(seeds.select(F.col("id").alias("seed"), "id").distinct())
+    way = F.array().cast(f"array<{steps.schema['place'].dataType.simpleString()}>")
+    seen, front, found = front, front.withColumn("path", way), []
+    for k in range(1, depth + 1):
+        ways = front.select("seed", F.col("id").alias("at"), "path").join(steps, "at").select("seed", "id", F.array_append("path", F.col("place")).alias("path"))
+        front = settled(ways.join(seen, ["seed", "id"], "left_anti").groupBy("seed", "id").agg(F.min("path").alias("path")))
+        found.append(front.withColumn("depth", F.lit(k)))
+        if k < depth:
+            seen = settled(seen.unionAll(front.select("seed", "id")))
+    if not found:
+        return front.limit(0).select("seed", "id", F.lit(0).alias("depth"), "path")
+    return reduce(DataFrame.unionAll, found).select("seed", "id", "depth", "path")
+
+
+def depth_first(seeds: DataFrame, steps: DataFrame, depth: int = 3) -> DataFrame:
+    """(seed, ref, id, path): a depth-first search from each seed (id), over steps (at, place, id) and, if they have it, ref.
+
+    What a seed's search has met by its ref (the id, if there is none) it doesn't meet again, on whatever branch; a step
+    without an id is met and leads nowhere.  The seed itself counts as met unless steps have refs of their own.  A path has
+    `depth` places at most.  In the order of their paths nodes come as the search comes to them.
+
+    The path of a node is the least one over all steps from a node at its own path: exactly one choice of paths fits that
+    for all nodes, as the least path where two choices differed would have to differ before.  So all paths of all seeds are
+    worked out again from the last round's until none changes; each round is a join and a minimum."""
+    own = "ref" in steps.columns
+    steps = settled(steps.select("at", "place", "id", F.col("ref" if own else "id").alias("ref")))
+    kind = steps.schema["ref"].dataType.simpleString()
+    way = F.array().cast(f"array<{steps.schema['place'].dataType.simpleString()}>")
+    start = settled(seeds.select(F.col("id").alias("seed"), (F.lit(None).cast(kind) if own else F.col("id")).alias("ref"), "id", way.alias("path")).distinct())
+    known = start
+    while True:
+        last = known.where((F.size("path") < depth) & F.col("id").isNotNull()).select("seed", F.col("id").alias("at"), "path")
+        ways = last.join(steps, "at").select("seed", "ref", "id", F.array_append("path", F.col("place")).alias("path"), F.lit(True).alias("new"))
+        both = ways.unionAll(start.withColumn("new", F.lit(True))).unionAll(known.withColumn("new", F.lit(False)))
+        least = lambda new: F.min(F.when(F.col("new") == new, F.struct("path", "id")))
+        made = settled(both.groupBy("seed", "ref").agg(least(True).alias("best"), least(False).alias("was")))
+        known = made.where("best is not null").select("seed", "ref", "best.id", "best.path")
+        if made.where("not (best <=> was)").isEmpty():
+            return known.where(F.size("path") > 0)
+
+
+def first_visits(visits: DataFrame, budget: int, seed_counts: bool = True) -> DataFrame:
+    """The first visits of each seed's search until its budget is used up, with their number.
+
+    A search that visits no more than so many nodes visits the first ones of the whole search.  seed_counts: the seed is
+    one of them.  Only `budget` rows of a seed leave each task that holds some of its visits."""
+    number = F.row_number().over(Window.partitionBy("seed").orderBy("path"))
+    return visits.withColumn("number", number).where(F.col("number") <= budget - seed_counts)
+
+
 #: steps that one round of a closure takes before it is written and compared with what is known
 HOPS = 4
 

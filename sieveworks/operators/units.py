@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .graph import adjacency, structural_roots, to_edges, within
+from .graph import adjacency, depth_first, discovered, first_visits, steps_of, structural_roots, to_edges
 
 # Marks between the texts of different files, by the comment sign of the language.
 BOUNDARIES = {"python": "\n\n# ========== File Boundary ==========\n\n", "javascript": "\n\n// ========== File Boundary ==========\n\n"}
@@ -66,32 +66,61 @@ def graph_statistics(tables: dict[str, DataFrame]) -> DataFrame:
     return out
 
 
-def neighbours(seeds: DataFrame, nodes: DataFrame, edges: DataFrame, depth: int = 3) -> DataFrame:
-    """(seed, side, depth, id, name, code, file_path): what each seed calls (up) and what calls it (down), with the nodes' own columns; ids without a node go."""
-    sides = [within(seeds, edges, depth, reverse).withColumn("side", F.lit(side)) for side, reverse in (("up", False), ("down", True))]
-    return sides[0].unionByName(sides[1]).join(nodes.select("id", "name", "code", "file_path"), "id").select("seed", "side", "depth", "id", "name", "code", "file_path")
+def neighbours(seeds: DataFrame, nodes: DataFrame, edges: DataFrame, depth: int = 3, ups: DataFrame | None = None, downs: DataFrame | None = None) -> DataFrame:
+    """(seed, side, depth, path, id, name, file_path): what each seed calls (up) and what calls it (down), with the nodes' own
+    columns; ids without a node go.  By depth and path they are in the order in which a breadth-first search finds them.
+
+    ups, downs: the steps of both sides (`graph.steps_of`), where a parser has lists of its own for them."""
+    steps = {"up": steps_of(edges) if ups is None else ups, "down": steps_of(edges, reverse=True) if downs is None else downs}
+    sides = [discovered(seeds, rows, depth).withColumn("side", F.lit(side)) for side, rows in steps.items()]
+    return sides[0].unionByName(sides[1]).join(nodes.select("id", "name", "file_path"), "id").select("seed", "side", "depth", "path", "id", "name", "file_path")
+
+
+def _placed(near: DataFrame) -> DataFrame:
+    return near.select("seed", F.struct(F.when(F.col("side") == "up", 0).otherwise(1).alias("s"), "depth", "path").alias("order"), "id", "file_path", "side")
+
+
+def unit_pieces(nodes: DataFrame, near: DataFrame, style: str = "python") -> DataFrame:
+    """(seed, order, id, file_path, code): the texts of each unit in order: the function's own, then its callees', then its
+    callers', each text once.  go takes callees alone and repeats equal texts.
+
+    A text is a row, so a function with very many callers has many rows and not one long one; of equal texts the first is
+    kept by their digest, and texts are joined to what is kept alone."""
+    used = _placed(near.where("side = 'up'") if style == "go" else near)
+    none = F.lit(None).cast(used.schema["order"].dataType)
+    every = nodes.select(F.col("id").alias("seed"), none.alias("order"), "id").unionAll(used.select("seed", "order", "id"))
+    digests = nodes.select("id", F.sha2(F.coalesce("code", F.lit("")), 256).alias("of"), (F.coalesce("code", F.lit("")) == "").alias("blank"))
+    known = every.join(digests, "id").where("order is null or not blank")
+    if style != "go":
+        known = known.groupBy("seed", "of").agg(F.min(F.struct("order", "id")).alias("m")).select("seed", "m.order", "m.id")
+    return known.join(nodes.select("id", "file_path", F.coalesce("code", F.lit("")).alias("code")), "id").select("seed", "order", "id", "file_path", "code")
+
+
+def unit_sizes(nodes: DataFrame, near: DataFrame) -> DataFrame:
+    """(id, unit_type, total_up, total_down): how many neighbours each node has, without their texts."""
+    up, down = F.count_if(F.col("side") == "up"), F.count_if(F.col("side") == "down")
+    counts = near.groupBy(F.col("seed").alias("id")).agg(up.alias("total_up"), down.alias("total_down"))
+    return nodes.select("id", "unit_type").join(counts, "id", "left").select("id", "unit_type", *(F.coalesce(c, F.lit(0).cast("bigint")).alias(c) for c in ("total_up", "total_down")))
 
 
 def assembled(nodes: DataFrame, near: DataFrame, style: str = "python") -> DataFrame:
-    """The units: id, code (the function's, then its callees', then its callers', each text once, with a mark between),
-    files, total_up, total_down, original_length, enhanced_length.
+    """The units in a row each: id, unit_type, code (the texts of `unit_pieces` with a mark between), files, total_up, total_down,
+    original_length, enhanced_length.
 
-    style: python sorts the files; javascript keeps them in the order in which they come; go takes callees alone and repeats equal
-    texts.  Neighbours come by depth, then id.  A seed's neighbours are bounded by depth; they are one row each before."""
+    style: python sorts the files; javascript keeps them in the order in which they come; go takes callees alone and repeats
+    equal texts.  A row holds all of a unit's texts, as its readers want it; for graphs with hubs use `unit_pieces`."""
     boundary = BOUNDARIES.get("python" if style == "python" else "javascript")
-    order = F.struct(F.when(F.col("side") == "up", 0).otherwise(1).alias("s"), "depth", "id", "code", "file_path")
-    used = near.where("side = 'up'") if style == "go" else near
-    listed = used.groupBy("seed").agg(F.array_sort(F.collect_list(order)).alias("l"))
-    sides = near.groupBy("seed").agg(F.count_if(F.col("side") == "up").alias("total_up"), F.count_if(F.col("side") == "down").alias("total_down"))
-    out = nodes.join(listed, nodes["id"] == listed["seed"], "left").drop("seed").join(sides, nodes["id"] == sides["seed"], "left").drop("seed")
-    rest = F.coalesce("l", F.array().cast(listed.schema["l"].dataType))
-    parts = F.concat(F.array(F.coalesce("code", F.lit(""))), F.filter(F.transform(rest, lambda x: x["code"]), lambda c: F.coalesce(c != "", F.lit(False))))
-    files = F.array_distinct(F.concat(F.array("file_path"), F.filter(F.transform(rest, lambda x: x["file_path"]), lambda f: F.coalesce(f != "", F.lit(False)))))
-    text = F.array_join(parts if style == "go" else F.array_distinct(parts), boundary)
-    made = out.select(
-        "id", "unit_type", text.alias("enhanced"), (F.array_sort(files) if style == "python" else files).alias("files"), F.coalesce("total_up", F.lit(0)).alias("total_up"), F.coalesce("total_down", F.lit(0)).alias("total_down"), F.length("code").alias("original_length")
-    )
-    return made.withColumnRenamed("enhanced", "code").withColumn("enhanced_length", F.length("code"))
+    pieces = unit_pieces(nodes, near, style).groupBy(F.col("seed").alias("id")).agg(F.array_sort(F.collect_list(F.struct("order", "code"))).alias("l"))
+    used = _placed(near.where("side = 'up'") if style == "go" else near).where("file_path <> ''")
+    first = used.groupBy(F.col("seed").alias("id"), "file_path").agg(F.min("order").alias("order"))
+    files = first.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("order", "file_path"))), lambda x: x["file_path"]).alias("near_files"))
+    both = nodes.select("id", "file_path", F.length("code").alias("original_length")).join(pieces, "id").join(files, "id", "left").join(unit_sizes(nodes, near), "id")
+    every = F.array_distinct(F.concat(F.array("file_path"), F.coalesce("near_files", F.array().cast("array<string>"))))
+    # array_sort puts a null order, the function's own text, last
+    texts = F.concat(F.filter("l", lambda x: x["order"].isNull()), F.filter("l", lambda x: x["order"].isNotNull()))
+    text = F.array_join(F.transform(texts, lambda x: x["code"]), boundary)
+    made = both.select("id", "unit_type", text.alias("code"), (F.array_sort(every) if style == "python" else every).alias("files"), "total_up", "total_down", "original_length")
+    return made.withColumn("enhanced_length", F.length("code"))
 
 
 def unit_totals(units: DataFrame, style: str = "python") -> DataFrame:
@@ -104,9 +133,9 @@ def unit_totals(units: DataFrame, style: str = "python") -> DataFrame:
 
 
 def bundle(seeds: DataFrame, nodes: DataFrame, edges: DataFrame, depth: int = 3) -> DataFrame:
-    """(seed, dependencies): the functions that each seed reaches, as (depth, id, name, file_path, code), by depth, then id; a seed without any has an empty list."""
-    near = neighbours(seeds, nodes, edges, depth).where("side = 'up'")
-    listed = near.groupBy("seed").agg(F.array_sort(F.collect_list(F.struct("depth", "id", "name", "file_path", "code"))).alias("dependencies"))
+    """(seed, dependencies): the functions that each seed reaches, as (depth, path, id, name, file_path, code), in the order of discovery; a seed without any has an empty list."""
+    near = discovered(seeds, steps_of(edges), depth).join(nodes.select("id", "name", "file_path", "code"), "id")
+    listed = near.groupBy("seed").agg(F.array_sort(F.collect_list(F.struct("depth", "path", "id", "name", "file_path", "code"))).alias("dependencies"))
     return seeds.select(F.col("id").alias("seed")).distinct().join(listed, "seed", "left").withColumn("dependencies", F.coalesce("dependencies", F.array().cast(listed.schema["dependencies"].dataType)))
 
 
@@ -120,10 +149,40 @@ def degree_texts(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return row.crossJoin(kinds).select("nodes", "edges", fixed("mean_out"), fixed("mean_in"), "max_out", "max_in", "isolated", "by_type")  # two single rows
 
 
-def import_closure(seeds: DataFrame, imports: DataFrame, depth: int = 3) -> DataFrame:
-    """(seed, path, depth): the files that each file (id) draws in by imports (path, imported), to a depth; each once, at the least depth."""
-    edges = imports.select(F.col("path").alias("caller"), F.col("imported").alias("callee"))
-    return within(seeds, edges, depth).select("seed", F.col("id").alias("path"), "depth")
+def import_closure(seeds: DataFrame, imports: DataFrame, depth: int = 5, budget: int = 20) -> DataFrame:
+    """(seed, number, path): the files that each file (id) draws in by imports (path, imported, and place in the file), depth first.
+
+    A file is visited once, and its own imports right after it; `depth` imports lie between the seed and a file at most, and
+    each seed visits `budget` files at most, itself among them, as number 0."""
+    place = "place" if "place" in imports.columns else "imported"
+    steps = imports.groupBy(F.col("path").alias("at"), F.col("imported").alias("id")).agg(F.min(place).alias("place"))
+    visits = first_visits(depth_first(seeds, steps, depth), budget)
+    own = seeds.select(F.col("id").alias("seed"), F.lit(0).alias("number"), F.col("id").alias("path")).distinct()
+    return own.unionAll(visits.select("seed", "number", F.col("id").alias("path")))
+
+
+def imported_dependencies(seeds: DataFrame, refs: DataFrame, functions: DataFrame, depth: int = 4) -> DataFrame:
+    """(seed, path, ref, id, file_path, appended): the functions that each seed draws in by the names that it calls, depth first.
+
+    refs: (at, place, ref, id): what a function calls by which name, and the imported function that this is, if it is known.
+    A name is followed once for each seed, on whatever branch it comes first, in path order.  appended: the first
+    dependency of its file, other than the seed's own file: only those texts are put behind the seed's."""
+    found = depth_first(seeds, refs, depth).where("id is not null").join(functions.select("id", "file_path"), "id")
+    home = functions.select(F.col("id").alias("seed"), F.col("file_path").alias("home"))
+    first = found.groupBy("seed", "file_path").agg(F.min("path").alias("path"), F.lit(True).alias("first"))
+    told = found.join(first, ["seed", "file_path", "path"], "left").join(home, "seed", "left")
+    return told.select("seed", "path", "ref", "id", "file_path", (F.coalesce("first", F.lit(False)) & ~F.col("file_path").eqNullSafe(F.col("home"))).alias("appended"))
+
+
+def with_dependencies(seeds: DataFrame, functions: DataFrame, found: DataFrame) -> DataFrame:
+    """(id, combined, files): each seed's text and the appended ones, every file with its name above, in order."""
+    titled = lambda file, code: F.concat(F.lit("# File: "), file, F.lit("\n"), F.coalesce(code, F.lit("")))
+    texts = functions.select("id", "file_path", "code")
+    more = found.where("appended").select("seed", "path", "id").join(texts, "id").groupBy(F.col("seed").alias("id")).agg(F.array_sort(F.collect_list(F.struct("path", "file_path", "code"))).alias("l"))
+    rest = F.coalesce("l", F.array().cast(more.schema["l"].dataType))
+    one = seeds.select("id").distinct().join(texts, "id").join(more, "id", "left")
+    combined = F.array_join(F.concat(F.array(titled(F.col("file_path"), F.col("code"))), F.transform(rest, lambda x: titled(x["file_path"], x["code"]))), "\n\n")
+    return one.select("id", combined.alias("combined"), F.concat(F.array("file_path"), F.transform(rest, lambda x: x["file_path"])).alias("files"))
 
 
 def analyzer_rows(functions: DataFrame, language: str) -> DataFrame:

@@ -61,6 +61,9 @@ DERIVED = {
     "words": "SELECT o_orderkey AS id, CASE WHEN o_orderkey % 6 = 0 THEN ' Vuln ' WHEN o_orderkey % 6 = 1 THEN 'bypass' WHEN o_orderkey % 6 = 2 THEN 'SAFE' WHEN o_orderkey % 6 = 3 THEN NULL WHEN o_orderkey % 6 = 4 THEN 'odd' ELSE 'uncertain' END AS a, CASE WHEN o_orderstatus = 'F' THEN 'vulnerable' WHEN o_orderstatus = 'P' THEN 'bypassable' ELSE NULL END AS b, CASE WHEN o_custkey % 3 = 0 THEN NULL ELSE o_custkey % 3 = 1 END AS agrees, CASE WHEN o_custkey % 4 = 0 THEN 'Confirmed' WHEN o_custkey % 4 = 1 THEN 'rejected' WHEN o_custkey % 4 = 2 THEN NULL ELSE 'agreed' END AS stage2, CASE WHEN o_custkey % 5 = 0 THEN 'confirmed' WHEN o_custkey % 5 = 1 THEN 'BLOCKED' ELSE NULL END AS dyn FROM {orders}",
     "sources_py": """SELECT concat('m', p_partkey, '.py') AS path, concat('import m', p_partkey + 1, ' as nxt', chr(10), 'from m', p_partkey + 2, ' import f', p_partkey + 2, chr(10), chr(10), 'def f', p_partkey, '(a):', chr(10), '    return g', p_partkey, '(a)', chr(10), chr(10), chr(10),
         CASE WHEN p_size % 2 = 0 THEN '@router.get("/x")' ELSE '# plain' END, chr(10), 'def g', p_partkey, '(b, *c):', chr(10), '    nxt.f', p_partkey + 1, '(b)', chr(10), '    f', p_partkey + 2, '(c)', chr(10), '    return h(b)', chr(10)) AS text, p_partkey AS k, p_size FROM {part}""",
+    # calls in an order that isn't that of ids, with several ways to a node
+    "placed_calls": """SELECT cast(floor(p_partkey / 3) AS bigint) AS caller, p_partkey AS callee, p_partkey * 7919 % 1000003 AS place, cast(floor(p_partkey / 3) AS bigint) * 7907 % 1000003 AS caller_place FROM {part} WHERE p_partkey > 0
+        UNION ALL SELECT a.p_partkey, b.p_partkey, b.p_partkey * 7919 % 1000003, a.p_partkey * 7907 % 1000003 FROM {part} a JOIN {part} b ON b.p_partkey = a.p_partkey + 2 + a.p_size % 9 WHERE a.p_partkey % 4 <> 1""",
     # modules with classes: their functions, imports and calls as tables, and the text that says the same
     "py_keys": "SELECT p_partkey AS k, concat('p', p_partkey % 7, '/m', p_partkey, '.py') AS path FROM {part}",
     "py_functions": """SELECT path, concat(path, ':C', k, '.only') AS id, 'only' AS name, concat('C', k) AS class_name FROM {py_keys} UNION ALL SELECT path, concat(path, ':C', k, '.run'), 'run', concat('C', k) FROM {py_keys}

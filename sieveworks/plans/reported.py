@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import texts
-from ..operators import code, normalize, packages, reports, resolve, stages, units
+from ..operators import code, graph, normalize, packages, reports, resolve, stages, units
 from .registry import query
 from .shown import FOUND_ORDER, FOUND_STATES, found, merged_findings
 
@@ -231,7 +231,49 @@ _NEAR = """WITH RECURSIVE up(seed, id, depth) AS (SELECT id, id, 0 FROM {nodes}
 @query(_NEAR + " SELECT count(*) AS units, count(*) FILTER (u > 0) AS with_up, count(*) FILTER (d > 0) AS with_down, count(*) FILTER (u > 0 OR d > 0) AS enhanced, round_even(sum(u) / count(*), 2) AS mean_up, round_even(sum(d) / count(*), 2) AS mean_down FROM n")
 def unit_totals(t):
     nodes = t["nodes"].withColumn("code", F.concat(F.lit("code "), F.col("id").cast("string")))
-    return units.unit_totals(units.assembled(nodes, units.neighbours(nodes.select("id"), nodes, t["edges"], 2)))
+    return units.unit_totals(units.unit_sizes(nodes, units.neighbours(nodes.select("id"), nodes, t["edges"], 2)))
+
+
+# all ways of two steps; the first node found by the least of its ways
+_FOUND = """WITH RECURSIVE w(seed, side, id, path) AS (SELECT caller, 'up', callee, [place] FROM {placed_calls} UNION ALL SELECT callee, 'down', caller, [caller_place] FROM {placed_calls}
+        UNION ALL SELECT w.seed, w.side, CASE WHEN w.side = 'up' THEN e.callee ELSE e.caller END, list_append(w.path, CASE WHEN w.side = 'up' THEN e.place ELSE e.caller_place END) FROM w JOIN {placed_calls} e ON (w.side = 'up' AND e.caller = w.id) OR (w.side = 'down' AND e.callee = w.id) WHERE len(w.path) < 2),
+    l AS (SELECT seed, side, id, min(len(path)) AS depth, arg_min(path, (len(path), path)) AS path FROM w WHERE seed <> id GROUP BY ALL),
+    n AS (SELECT id, file_path, concat('code ', id % 50) AS code FROM {nodes}), x AS (SELECT seed, CASE side WHEN 'up' THEN 0 ELSE 1 END AS s, depth, path, n.* FROM l JOIN n USING (id)),
+    one AS (SELECT seed, code, min((s, depth, path)) AS o FROM x GROUP BY ALL)"""
+
+
+@query(
+    _FOUND
+    + """ SELECT n.id, sha256(concat(n.code, coalesce((SELECT string_agg(concat(chr(10), chr(10), '# ========== File Boundary ==========', chr(10), chr(10), one.code), '' ORDER BY o) FROM one WHERE one.seed = n.id AND one.code <> n.code), ''))) AS text,
+    array_to_string(list_sort(list_distinct(list_append(coalesce((SELECT list(x.file_path) FROM x WHERE x.seed = n.id), []), n.file_path))), ',') AS files FROM n"""
+)
+def unit_texts(t):
+    nodes = t["nodes"].withColumn("code", F.concat(F.lit("code "), (F.col("id") % 50).cast("string")))
+    made = units.assembled(nodes, units.neighbours(nodes.select("id"), nodes, t["placed_calls"], 2))
+    return made.select("id", F.sha2(F.col("code").cast("binary"), 256).alias("text"), F.array_join("files", ",").alias("files"))
+
+
+# a search with a stack, a row for each seed and step: what is on top is visited, unless it was, and its callees go on top
+_STACKED = """WITH RECURSIVE a AS (SELECT caller, list(callee ORDER BY place) AS l FROM {{placed_calls}} GROUP BY caller),
+    s(seed, stack, seen) AS (SELECT p_partkey, [(p_partkey, 0)], [] :: bigint[] FROM {{part}} UNION ALL SELECT seed, CASE WHEN list_contains(seen, stack[1][1]) OR len(seen) >= {budget} THEN stack[2:] WHEN stack[1][2] >= {depth} THEN stack[2:]
+        ELSE list_concat(coalesce(list_transform(a.l, lambda c: (c, s.stack[1][2] + 1)), []), stack[2:]) END, CASE WHEN list_contains(seen, stack[1][1]) OR len(seen) >= {budget} THEN seen ELSE list_append(seen, stack[1][1]) END
+        FROM s LEFT JOIN a ON a.caller = s.stack[1][1] WHERE len(stack) > 0)
+    SELECT seed, array_to_string(seen, ',') AS visited FROM s WHERE len(stack) = 0"""
+
+
+@query(_STACKED.format(budget=1_000_000, depth=4))
+def depth_first_orders(t):
+    found = graph.depth_first(t["part"].select(F.col("p_partkey").alias("id")), graph.steps_of(t["placed_calls"]), 4)
+    listed = found.groupBy("seed").agg(F.array_sort(F.collect_list(F.struct("path", "id"))).alias("l"))
+    ids = F.transform(F.coalesce("l", F.array().cast(listed.schema["l"].dataType)), lambda x: x["id"])
+    return t["part"].select(F.col("p_partkey").alias("seed")).join(listed, "seed", "left").select("seed", F.array_join(F.concat(F.array("seed"), ids), ",").alias("visited"))
+
+
+@query(_STACKED.format(budget=7, depth=5))
+def import_budget(t):
+    files = t["placed_calls"].select(F.col("caller").alias("path"), F.col("callee").alias("imported"), "place")
+    found = units.import_closure(t["part"].select(F.col("p_partkey").alias("id")), files, 5, 7)
+    return found.groupBy("seed").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("number", "path"))), lambda x: x["path"]), ",").alias("visited"))
 
 
 @query(

@@ -236,6 +236,7 @@ def test_units(spark):
     assert units.degree_texts(tables["nodes"], tables["edges"]).first().mean_out == "1.00"
     lists = {r.id: (list(r.calls), list(r.callers)) for r in units.graph_lists(tables["nodes"], tables["edges"]).collect()}
     assert lists["app.py:__module__"] == ([], []) and lists["lib/util.py:free"] == (["lib/util.py:helper"], ["app.py:_private"])
-    closure = units.import_closure(spark.createDataFrame([("a",)], "id string"), spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "d"), ("d", "e"), ("b", "a")], "path string, imported string"))
-    assert sorted(map(tuple, closure.collect())) == [("a", "b", 1), ("a", "c", 2), ("a", "d", 3)]
+    closure = units.import_closure(spark.createDataFrame([("a",)], "id string"), spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "d"), ("d", "e"), ("b", "a")], "path string, imported string"), 3)
+    assert sorted(map(tuple, closure.collect())) == [("a", 0, "a"), ("a", 1, "b"), ("a", 2, "c"), ("a", 3, "d")]
+    assert units.import_closure(spark.createDataFrame([("a",)], "id string"), spark.createDataFrame([("a", "b"), ("a", "c")], "path string, imported string"), 3, 2).count() == 2
     assert all(r.isExported for r in units.analyzer_rows(rows, "python").collect())
