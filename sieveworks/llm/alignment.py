@@ -16,12 +16,11 @@ and counts nowhere.
 from __future__ import annotations
 
 import hashlib
-import pickle
-import zlib
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -46,7 +45,8 @@ BLOCKS = pa.schema([("block", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("
 BLOCKS_DDL = "block bigint, doc_ids array<bigint>, ends array<bigint>, spots binary, segments array<string>, counts array<bigint>"
 COUNTED = pa.schema([("segment", pa.string()), ("groups", pa.string()), ("n_best", pa.int64()), ("count_sum", pa.int64())])
 COUNTED_DDL = "segment string, groups string, n_best bigint, count_sum bigint"
-PACKED = pa.schema([("of_block", pa.int64()), ("rows", pa.binary())])
+PACKED = pa.schema([("of_block", pa.int64()), *[(c, pa.binary()) for c in ("spots", "groups", "best", "sums")]])
+PACKED_DDL = "of_block bigint, spots binary, groups binary, best binary, sums binary"
 ALIGNED = pa.schema([
     ("segment_id", pa.int64()), ("segment", pa.string()), ("n", pa.int64()), ("groups", pa.string()), ("link_a", pa.list_(pa.int32())), ("link_b", pa.list_(pa.int32())),
 ])
@@ -104,13 +104,17 @@ class Pair:
 
 
 def packed(values: np.ndarray) -> bytes:
-    """Whole numbers below 2**31 by their bytes' places, compressed; high bytes are mostly zero."""
-    return zlib.compress(values.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes(), 1)
+    """Whole numbers from 0 on by their bytes' places, compressed; high bytes are mostly zero."""
+    import zstandard
+
+    return zstandard.compress(values.astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes(), 3)
 
 
 def unpacked(data: bytes) -> np.ndarray:
-    flat = np.frombuffer(zlib.decompress(data), np.uint8)
-    return np.ascontiguousarray(flat.reshape(4, -1).T).view("<u4").reshape(-1).astype(np.int64)
+    import zstandard
+
+    flat = np.frombuffer(zstandard.decompress(data), np.uint8)
+    return np.ascontiguousarray(flat.reshape(8, -1).T).view("<i8").reshape(-1)
 
 
 @lru_cache(maxsize=2)
@@ -194,16 +198,19 @@ def _counted(aligned: DataFrame, counted: DataFrame) -> DataFrame:
 
 
 def _by_block(batches):
-    """Rows of a block's segments, packed together as far as a task meets them, so that few and dense rows are shuffled."""
+    """Rows of a block's segments, packed together as far as a task meets them, so that few and dense rows are shuffled.
+
+    A segment that isn't valid has no groups."""
+    import zstandard
 
     def flushed(parts):
-        table = pa.Table.from_batches(parts).sort_by("of_block").combine_chunks()
-        blocks = table["of_block"].to_numpy()
+        table = pa.Table.from_batches(parts).sort_by([("of_block", "ascending"), ("spot", "ascending")]).combine_chunks()
+        blocks, spots, best, sums = (table[c].to_numpy() for c in ("of_block", "spot", "n_best", "count_sum"))
+        groups = pc.fill_null(table["groups"], "").to_pylist()
         cuts = [0, *(np.flatnonzero(np.diff(blocks)) + 1).tolist(), len(blocks)]
-        spots, best, sums = (table[c].to_numpy() for c in ("spot", "n_best", "count_sum"))
-        groups = table["groups"].to_pylist()
-        rows = [zlib.compress(pickle.dumps((packed(spots[i:j]), groups[i:j], packed(best[i:j]), sums[i:j])), 1) for i, j in zip(cuts, cuts[1:], strict=False)]
-        return B.batch(PACKED, blocks[cuts[:-1]], rows)
+        spans = list(zip(cuts, cuts[1:], strict=False))
+        texts = [zstandard.compress("\n".join(groups[i:j]).encode(), 3) for i, j in spans]
+        return B.batch(PACKED, blocks[cuts[:-1]], [packed(np.diff(spots[i:j], prepend=0)) for i, j in spans], texts, *([packed(x[i:j]) for i, j in spans] for x in (best, sums)))
 
     held, n = [], 0
     for part in batches:
@@ -233,20 +240,20 @@ def _sides(groups: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def _composed(with_groups: bool):
     """Documents of a block from its list and the packed rows of its distinct segments."""
+    import zstandard
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        spot, groups, best, sums = [], [], [], []
-        for row in right["rows"]:
-            one, texts, n, count = pickle.loads(zlib.decompress(row.as_py()))
-            spot.append(unpacked(one))
-            groups += texts
+        spot, groups, best, sums = [np.zeros(0, np.int64)], [], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for one, texts, n, count in zip(*(right[c].to_pylist() for c in ("spots", "groups", "best", "sums")), strict=True):
+            spot.append(np.cumsum(unpacked(one)))
+            groups += zstandard.decompress(texts).decode().split("\n")
             best.append(unpacked(n))
-            sums.append(count)
-        order = np.argsort(np.concatenate(spot)) if spot else np.zeros(0, np.int64)
-        best, sums = (np.concatenate(x)[order] if x else np.zeros(0, np.int64) for x in (best, sums))
+            sums.append(unpacked(count))
+        order = np.argsort(np.concatenate(spot))
+        best, sums = np.concatenate(best)[order], np.concatenate(sums)[order]
         groups = [groups[k] for k in order.tolist()]
-        bad = np.array([g is None for g in groups], bool)
-        n_a, n_b, n_groups = _sides(["" if g is None else g for g in groups])
+        bad = np.array([not g for g in groups], bool)
+        n_a, n_b, n_groups = _sides(groups)
         out = []
         for ids, ends, spots in zip(left["doc_ids"], left["ends"], left["spots"], strict=True):
             ends, spots = np.array(ends.values), unpacked(spots.as_py())
@@ -295,7 +302,7 @@ def align_tokens(docs: DataFrame, bpe: str = S.BPE, pieces: str = PIECES, id_col
     if not bad.isEmpty():
         counted = counted.join(_lost(blocks, bad), "segment", "left").withColumn("n", F.col("n") - F.coalesce("lost", F.lit(0))).drop("lost")
     # a segment has a row in each block that holds it, which is a small part of all rows for any segment
-    back = listed.select(F.col("block").alias("of_block"), "spot", "segment").join(_counted(aligned, counted).hint("merge"), "segment").select("of_block", "spot", "groups", "n_best", "count_sum").mapInArrow(_by_block, "of_block bigint, rows binary")
+    back = listed.select(F.col("block").alias("of_block"), "spot", "segment").join(_counted(aligned, counted).hint("merge"), "segment").select("of_block", "spot", "groups", "n_best", "count_sum").mapInArrow(_by_block, PACKED_DDL)
     left = blocks.select("block", "doc_ids", "ends", "spots").groupBy("block")
     out = written(left.cogroup(back.groupBy("of_block")).applyInArrow(_composed(with_groups), COMPOSED_DDL))
     forget(blocks, aligned)
