@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import html, texts, verdicts
 from ..operators import graph, matching, records, stages
-from . import checked, reported, summed  # noqa: F401  they register theirs
+from . import called, checked, reported, summed  # noqa: F401  they register theirs
 from .derived import Tables
 from .registry import ORACLES, QUERIES, query
 from .shown import FOUND_ORDER as _ORDER
