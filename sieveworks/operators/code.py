@@ -106,12 +106,18 @@ def _mapped(rows: DataFrame, each, schema: pa.Schema, ddl: str) -> DataFrame:
     return rows.mapInArrow(run, ddl)
 
 
+def _dealt(files: DataFrame) -> DataFrame:
+    """Paths and texts, dealt by path: to parse a file takes far longer than to move it, and files may come in few partitions."""
+    parts = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return files.select(F.col("path").cast("string").alias("path"), F.col("text").cast("string").alias("text")).repartition(parts, "path")
+
+
 def functions(files: DataFrame) -> DataFrame:
     """The functions, methods, nested functions and module code of Python files (path, text), with their unit_type.
 
     Ids are `path:qualified name`; a file that can't be parsed has none.  Null texts count as empty; of a
     name that a file defines twice, both rows are given (see last_defined)."""
-    made = _mapped(files.select(F.col("path").cast("string"), F.col("text").cast("string")), _functions_of, FUNCTIONS, FUNCTIONS_DDL)
+    made = _mapped(_dealt(files), _functions_of, FUNCTIONS, FUNCTIONS_DDL)
     return made.withColumn("unit_type", unit_type(F.col("name"), F.col("decorators"), F.col("class_name"), F.col("file_path"), F.col("parent_id")))
 
 
@@ -149,7 +155,7 @@ def _imports_of(path: str, source: str | None) -> Iterator[dict]:
 
 def imports(files: DataFrame) -> DataFrame:
     """(path, name, target): what each name stands for in a file (path, text) that imports it; the last import of a name counts."""
-    return _last_import(_mapped(files.select(F.col("path").cast("string"), F.col("text").cast("string")), _imports_of, IMPORTS, IMPORTS_DDL))
+    return _last_import(_mapped(_dealt(files), _imports_of, IMPORTS, IMPORTS_DDL))
 
 
 def _last_import(rows: DataFrame) -> DataFrame:
@@ -238,7 +244,7 @@ def sources(files: DataFrame) -> Sources:
 
     Of a name that a file defines twice the last one counts.  A file that can't be parsed has none of the three."""
     ddl = f"function struct<{_fields(FUNCTIONS_DDL)}>, import struct<{_fields(IMPORTS_DDL)}>, call struct<{_fields(CALLS_DDL)}>"
-    every = stored(_mapped(files.select(F.col("path").cast("string"), F.col("text").cast("string")), _all_of, _ALL, ddl))
+    every = stored(_mapped(_dealt(files), _all_of, _ALL, ddl))
     made, imported, called = (every.where(F.col(c).isNotNull()).select(f"{c}.*") for c in ("function", "import", "call"))
     kind = unit_type(F.col("name"), F.col("decorators"), F.col("class_name"), F.col("file_path"), F.col("parent_id"))
     return Sources(made.withColumn("unit_type", kind), _last_import(imported), called)
@@ -275,4 +281,4 @@ def _routes_of(path: str, source: str | None) -> Iterator[dict]:
 def routes(files: DataFrame) -> DataFrame:
     """(path, framework, methods, rule, handler, line): the routes that Python files (path, text) register, by decorators, URL lists or router calls."""
     schema = pa.schema([("path", pa.string()), ("framework", pa.string()), ("methods", pa.list_(pa.string())), ("rule", pa.string()), ("handler", pa.string()), ("line", pa.int32())])
-    return _mapped(files.select(F.col("path").cast("string"), F.col("text").cast("string")), _routes_of, schema, "path string, framework string, methods array<string>, rule string, handler string, line int")
+    return _mapped(_dealt(files), _routes_of, schema, "path string, framework string, methods array<string>, rule string, handler string, line int")
