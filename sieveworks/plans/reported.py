@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import texts
-from ..operators import code, graph, normalize, packages, reports, resolve, stages, units
+from ..operators import code, graph, nested, normalize, packages, reports, resolve, stages, units
 from .registry import query
 from .shown import FOUND_ORDER, FOUND_STATES, found, merged_findings
 
@@ -234,6 +234,20 @@ def unit_totals(t):
     return units.unit_totals(units.unit_sizes(nodes, units.neighbours(nodes.select("id"), nodes, t["edges"], 2)))
 
 
+_FREE = """SELECT o_orderkey AS id, concat('{{"z" : [', o_orderkey, ', ', o_custkey, '.50, {{"verdict": true, "b": "', o_orderpriority, '", "a": []}}], "k', o_orderkey % 3, '": {{"severity": "high", "n": null, "m": {{"decision": [1], "e": 1e', o_orderkey % 30, '}}}}, "Z": "x ', o_orderstatus, '"}}') AS text FROM {orders}"""
+_POWER = "CASE WHEN o_orderkey % 30 < 16 THEN concat('1', repeat('0', cast(o_orderkey % 30 AS int)), '.0') ELSE concat('1e+', o_orderkey % 30) END"
+
+
+@query(f"""SELECT o_orderkey AS id, sha256(concat('{{{{"Z":"x ', o_orderstatus, '","k', o_orderkey % 3, '":{{{{"m":{{{{"decision":[1],"e":', {_POWER}, '}}}},"n":null,"severity":"high"}}}},"z":[', o_orderkey, ',', o_custkey, '.5,{{{{"a":[],"b":"', o_orderpriority, '","verdict":true}}}}]}}}}')) AS sha256 FROM {{orders}}""")
+def nested_digests(t):
+    return nested.digests(t.spark.sql(_FREE, orders=t["orders"]))
+
+
+@query(f"""SELECT o_orderkey AS id, concat('{{{{"Z":"x ', o_orderstatus, '","k', o_orderkey % 3, '":{{{{"m":{{{{"e":', {_POWER}, '}}}},"n":null}}}},"z":[', o_orderkey, ',', o_custkey, '.5,{{{{"a":[],"b":"', o_orderpriority, '"}}}}]}}}}') AS text FROM {{orders}}""")
+def stripped_texts(t):
+    return nested.without_conclusions(t.spark.sql(_FREE, orders=t["orders"]))
+
+
 # all ways of two steps; the first node found by the least of its ways
 _FOUND = """WITH RECURSIVE w(seed, side, id, path) AS (SELECT caller, 'up', callee, [place] FROM {placed_calls} UNION ALL SELECT callee, 'down', caller, [caller_place] FROM {placed_calls}
         UNION ALL SELECT w.seed, w.side, CASE WHEN w.side = 'up' THEN e.callee ELSE e.caller END, list_append(w.path, CASE WHEN w.side = 'up' THEN e.place ELSE e.caller_place END) FROM w JOIN {placed_calls} e ON (w.side = 'up' AND e.caller = w.id) OR (w.side = 'down' AND e.callee = w.id) WHERE len(w.path) < 2),
