@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.published import KeyedStore
+
 
 def first_results(results: DataFrame, keys: list[str], time: str, late: str = "1 hour") -> DataFrame:
     """The first row of each key (id, fingerprint), so that a repeated result isn't taken twice;
@@ -22,19 +24,10 @@ def windowed_counts(results: DataFrame, time: str, keys: list[str], width: str =
     return results.withWatermark(time, late).groupBy(F.window(time, width), *keys).agg(F.count("*").alias("results")).select("window.start", "window.end", *keys, "results")
 
 
-def upsert_batches(results: DataFrame, path: str, checkpoint: str, key: str = "id", order: str = "ts"):
-    """Writes each micro-batch's last row a key to its own folder by batch id, so that a repeated
-    batch overwrites itself; `read_latest` merges them."""
+def upsert_batches(results: DataFrame, store: KeyedStore, checkpoint: str):
+    """Puts each micro-batch into a keyed store, once: a batch is known by the stream's id, which its checkpoint keeps, and its number."""
 
     def put(batch: DataFrame, number: int) -> None:
-        rest = [c for c in batch.columns if c not in (key, order)]
-        last = batch.groupBy(key).agg(F.max(F.struct(order, *rest)).alias("r")).select(key, "r.*")
-        last.write.mode("overwrite").parquet(f"{path}/batch={number}")
+        store.upsert(batch, batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId"), number)
 
     return results.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint)
-
-
-def read_latest(spark, path: str, key: str = "id") -> DataFrame:
-    rows = spark.read.parquet(path)
-    rest = [c for c in rows.columns if c not in (key, "batch")]
-    return rows.groupBy(key).agg(F.max(F.struct("batch", *rest)).alias("r")).select(key, "r.*").drop("batch")

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sieveworks.operators import reports
-from sieveworks.sources import files
+from sieveworks.sources import files, published
 from sieveworks.streaming import live
 
 
@@ -122,5 +122,55 @@ def test_streams(spark, tmp_path):
     assert {r.id: (r.results, r.errors) for r in drained(live.running_counts(stream, ["id"]), "complete", tmp_path, "counts").collect()} == {"a": (3, 0), "b": (2, 1), "c": (1, 0)}
     windows = drained(live.windowed_counts(stream, "ts", ["id"]), "append", tmp_path, "windows").collect()
     assert {(r.id, r.results) for r in windows} >= {("a", 3), ("b", 1)}
-    live.upsert_batches(stream, f"{tmp_path}/out", f"{tmp_path}/cp").trigger(availableNow=True).start().awaitTermination()
-    assert {r.id: (r.fingerprint, r.status) for r in live.read_latest(spark, f"{tmp_path}/out").collect()} == {"a": ("1", "ok"), "b": ("2", "ok"), "c": ("1", "ok")}
+    # the second run has a checkpoint of its own and counts its batches from 0: nothing is lost, and older rows don't win
+    store = published.KeyedStore(spark, f"{tmp_path}/out", buckets=4)
+    for checkpoint in ("cp", "cp", "cp2"):
+        live.upsert_batches(stream, store, f"{tmp_path}/{checkpoint}").trigger(availableNow=True).start().awaitTermination()
+        assert {r.id: (r.fingerprint, r.status) for r in store.read().collect()} == {"a": ("1", "ok"), "b": ("2", "ok"), "c": ("1", "ok")}
+    spark.createDataFrame([("d", "9", "ok", at(1))], "id string, fingerprint string, status string, ts timestamp").write.mode("append").parquet(f"{tmp_path}/in")
+    live.upsert_batches(stream, store, f"{tmp_path}/cp3").trigger(availableNow=True).start().awaitTermination()
+    assert {r.id for r in store.read().collect()} == {"a", "b", "c", "d"}
+
+
+def test_keyed_store(spark, tmp_path):
+    """Only touched buckets are written; a batch counts once; replaced folders go when they are cleaned."""
+    table = lambda rows: spark.createDataFrame(rows, "id bigint, v string, ts bigint")
+    store = published.KeyedStore(spark, f"file://{tmp_path}/s", buckets=8)
+    assert store.read() is None and store.cleaned() == 0
+    first = store.upsert(table([(k, "a", 1) for k in range(200)] + [(None, "null", 1)]), "s1", 0)
+    assert first == list(range(8)) and store.read().count() == 201
+    before = store.read()
+    touched = store.upsert(table([(3, "b", 2), (3, "c", 3), (4, "old", 0), (None, "null2", 1)]), "s1", 1)
+    assert len(touched) <= 3 and before.where("id = 3").first().v == "a"  # who began to read goes on with the old rows
+    now = {r.id: r.v for r in store.read().collect()}
+    assert now[3] == "c" and now[4] == "a" and now[None] == "null2" and len(now) == 201
+    assert store.upsert(table([(3, "again", 9)]), "s1", 1) == [] and store.upsert(table([(3, "other", 9)]), "s2", 0) != [] and store.read().where("id = 3").first().v == "other"
+    assert published.KeyedStore(spark, f"file://{tmp_path}/s", buckets=99).buckets == 8 and store.upsert(table([])) == []
+    assert store.cleaned() > 0 and store.cleaned() == 0 and store.read().count() == 201
+
+
+def test_published_artifacts(spark, tmp_path):
+    """What doesn't hold never replaces what does; a changed file is found."""
+    table = lambda rows: spark.createDataFrame(rows, "id bigint, v string")
+    path, seen = f"file://{tmp_path}/a", []
+
+    def check(tables):
+        seen.append(tables["t"].count())
+        return tables["t"].where("v is null").agg(F.count("*").alias("n")).select(F.lit("null_value").alias("rule"), "n")
+
+    said = spark.createDataFrame([("u", "f", "1")], "table string, file string, sha256 string")
+    assert published.published(spark, path) is None
+    assert published.publish({"t": table([(1, None)]), "e": table([])}, path, [check]) == [("null_value", 1)] and published.published(spark, path) is None
+    assert published.publish({"t": table([(1, "a")]), "e": table([])}, path, [check], (said, said)) == []
+    old = published.published(spark, path)
+    assert published.publish({"t": table([(2, None), (3, None)])}, path, [check], (said, said.withColumn("sha256", F.lit("2")))) == [("null_value", 2), ("upstream_hash", 1)]
+    again = published.published(spark, path)
+    assert again.folder == old.folder and [tuple(r) for r in again.tables["t"].collect()] == [(1, "a")] and again.tables["e"].count() == 0
+    assert len(list((tmp_path / "a").glob("version-*"))) == 1 and seen == [1, 1, 2]
+    assert published.publish({"t": table([(2, "b")])}, path, [check]) == []
+    new = published.published(spark, path)
+    assert new.tables["t"].first().v == "b" and old.tables["t"].first().v == "a" and set(new.tables) == {"t"} and not list((tmp_path / "a").glob("draft-*"))
+    file, *_ = [f for f in (tmp_path / "a" / new.folder.rsplit("/", 1)[1] / "t").glob("part-*") if f.stat().st_size]
+    file.write_bytes(file.read_bytes() + b" ")
+    with pytest.raises(ValueError, match="differ from its manifest"):
+        published.published(spark, path)
