@@ -18,7 +18,9 @@ def op1_warc_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared.folder(spark)
     pages = _table(spark, sf_dir, "pages").select("page_id", "url", "html", (F.col("page_id") % 50 == 0).alias("torn"))
     warc.write_archives(pages, path, torn_col="torn")
-    return warc.with_revisits(warc.read_archives(spark, path, with_payload=False), extra=("gap_before",)).withColumnRenamed("gap_before", "after_gap")
+    found = warc.with_revisits(warc.read_archives(spark, path, with_payload=False), extra=("gap_before",)).withColumnRenamed("gap_before", "after_gap")
+    shared.remove(spark, path)  # with_revisits has written what it read
+    return found
 
 
 def _joined(spans):

@@ -35,8 +35,8 @@ GZIP = b"\x1f\x8b\x08"
 EMPTY_MEMBER = bytes.fromhex("1f8b08000000000000ff03000000000000000000")
 #: bytes of records after which the writer begins a new file; a reader's task takes a file whole
 FILE_BYTES = 128 << 20
-#: a header with more bytes than this is none, so a false version line costs no more to reject
-HEADER_BYTES = 1 << 16
+#: a header with more lines than this is none, so a false version line costs no more lines to reject; a line has any length
+HEADER_LINES = 1000
 _END = b"\r\n\r\n"
 _VERSION = re.compile(rb"WARC/[0-9]+\.[0-9]+\r\n")
 _NEXT = re.compile(rb"\x1f\x8b\x08[\x00-\x1f]|WARC/[0-9]+\.[0-9]+\r\n")
@@ -163,10 +163,10 @@ def _parse(data: bytes, at: int) -> tuple[Found | None, str]:
     """The plain record at this place, or why there is none."""
     if not (head := _VERSION.match(data, at)):
         return None, "no version line"
-    headers, line_at = {}, head.end()
+    headers, line_at, lines = {}, head.end(), 0
     while True:
-        stop = data.find(b"\r\n", line_at, at + HEADER_BYTES)
-        if stop < 0:
+        stop, lines = data.find(b"\r\n", line_at), lines + 1
+        if stop < 0 or lines > HEADER_LINES:
             return None, "header without end"
         if stop == line_at:
             break

@@ -89,6 +89,14 @@ def test_records_inside_a_member():
     assert [f.headers is not None for f in cut] == [True] * 3 + [False] + [True] * 5 and cut[3].problem
 
 
+def test_urls_of_any_length(spark, tmp_path):
+    """A header's lines may be long, in the first record and behind a torn one."""
+    rows = [(k, "http://a/" + "x" * n, f"<p>{k}</p>", k % 2 == 0) for k, n in enumerate((70_000, 65_535, 3_000_000, 10))]
+    warc.write_archives(spark.createDataFrame(rows, "page_id bigint, url string, html string, torn boolean").coalesce(1), f"{tmp_path}/long", torn_col="torn")
+    got = {int(r.record_id): (r.target_uri, r.payload.decode(), r.gap_before) for r in warc.read_archives(spark, f"{tmp_path}/long").where("problem is null").collect()}
+    assert got == {k: (url, html, torn) for k, url, html, torn in rows}
+
+
 def test_false_version_lines_cost_linear_time():
     began = time.time()
     found = list(warc.salvage(b"WARC/1.0\r\n" * 1_000_000 + warc.record(1, None, b"x") + b"\r\n\r\n"))
