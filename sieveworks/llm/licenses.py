@@ -39,6 +39,36 @@ NOTICES = {
     "licensed under a creative commons attribution": "cc-notice",
     "released into the public domain": "public-domain",
     "released under the mit license": "mit-notice",
+    "you may not use this file except in compliance with the license": "apache-text",
+    "unless required by applicable law or agreed to in writing software": "apache-warranty",
+    "the software is provided as is without warranty of any kind express or implied": "mit-warranty",
+    "redistributions of source code must retain the above copyright notice": "bsd-source",
+    "neither the name of the copyright holder nor the names of its contributors may be used": "bsd-3",
+    "you should have received a copy of the gnu general public license along with this program": "gpl-copy",
+    "under the terms of the gnu affero general public license": "agpl",
+    "under the terms of the gnu free documentation license": "gfdl",
+    "made available under the terms of the eclipse public license": "epl",
+    "common development and distribution license": "cddl",
+    "boost software license version 1 0": "bsl",
+    "this is free and unencumbered software released into the public domain": "unlicense",
+    "permission to use copy modify and or distribute this software for any purpose": "isc-text",
+    "this software is provided as is without any express or implied warranty": "zlib-text",
+    "licensed under the open software license": "osl",
+    "under the terms of the artistic license": "artistic",
+    "under the academic free license": "afl",
+    "the python software foundation license": "psf",
+    "the open database license": "odbl",
+    "the microsoft public license": "ms-pl",
+    "the european union public licence": "eupl",
+    "the sil open font license": "ofl",
+    "university of illinois ncsa open source license": "ncsa",
+    "creative commons attribution sharealike": "cc-by-sa",
+    "creative commons attribution noncommercial": "cc-by-nc",
+    "creative commons attribution noderivatives": "cc-by-nd",
+    "creative commons zero public domain dedication": "cc0",
+    "unauthorized copying of this file is strictly prohibited": "proprietary",
+    "the server side public license": "sspl",
+    "the business source license": "busl",
 }
 _WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 _FOLD = {c: c + 32 for c in range(0x41, 0x5B)}
@@ -67,6 +97,7 @@ class NoticeFinder:
         self.notices = list(notices.items())
         self.edits = [len(text) // chars_per_edit for text, _ in self.notices]
         self.patterns = [regex.compile(f"(?b)(?:{regex.escape(text)}){{e<={k}}}") for (text, _), k in zip(self.notices, self.edits, strict=True)]
+        self.words = [set(text.split()) for text, _ in self.notices]
         self.seeds = ahocorasick.Automaton()
         found: dict[str, list[Seed]] = {}
         for n, ((text, _), k) in enumerate(zip(self.notices, self.edits, strict=True)):
@@ -80,44 +111,39 @@ class NoticeFinder:
     def spans(self, text: str) -> list[tuple[int, int, int, int]]:
         """(start, end, notice, edits) of each notice in a text of words joined by blanks.
 
+        A piece of a notice that stands in the text unedited says where the notice would begin, give or take its edits, so
+        each place is searched in a window of the notice's length and a few letters, and the work grows with the pieces found.
         Pieces repeat in ordinary prose; a place is verified only if enough of the notice's
         words lie around it: each edit spoils two words at most, and the first and the last word
         may be part of longer ones."""
-        windows: dict[int, list[list[int]]] = {}
+        windows: set[tuple[int, int, int]] = set()
         for end, (length, seeds) in self.seeds.iter(text):
             for s in seeds:
                 size, k = len(self.notices[s.notice][0]), self.edits[s.notice]
                 a = max(0, end + 1 - length - s.offset - k)
-                b = min(len(text), a + size + 3 * k)
-                windows.setdefault(s.notice, []).append([a, b])
-        out = []
-        for n, places in windows.items():
-            words, k = set(self.notices[n][0].split()), self.edits[n]
-            need, places = len(words) - 2 * k - 2, sorted(places)
-            merged: list[list[int]] = []
-            for a, b in places:
-                if merged and a <= merged[-1][1]:
-                    merged[-1][1] = max(b, merged[-1][1])
-                else:
-                    merged.append([a, b])
-            for a, b in merged:
-                if need > 0 and len(words.intersection(text[a:b].split(" "))) < need:
-                    continue
-                out += [(*m.span(), n, sum(m.fuzzy_counts)) for m in _matches(self.patterns[n], text, a, b)]
-        return sorted(out)
-
-
-def _matches(pattern: regex.Pattern, text: str, a: int, b: int) -> Iterator[regex.Match]:
-    """The matches in text[a:b], none over another.  The library gives the best one first, wherever it is, so
-    what lies before that is searched too."""
-    todo = [(a, b)]
-    while todo:
-        a, b = todo.pop()
-        if m := pattern.search(text, a, b):
-            yield m
-            todo += [(a, m.start()), (max(m.end(), m.start() + 1), b)]
-
-
+                windows.add((s.notice, a, min(len(text), a + size + 3 * k)))
+        found = set()
+        for n, a, b in windows:
+            words, k = self.words[n], self.edits[n]
+            need = len(words) - 2 * k - 2
+            if need > 0 and len(words.intersection(text[a:b].split(" "))) < need:
+                continue
+            if m := self.patterns[n].search(text, a, b):
+                found.add((n, sum(m.fuzzy_counts), *m.span()))
+        return sorted(_apart(found))
+
+
+def _apart(found: set[tuple[int, int, int, int]]) -> Iterator[tuple[int, int, int, int]]:
+    """Of each notice's matches (notice, edits, start, end) those with fewest edits, from left to right, none over another."""
+    taken: list[tuple[int, int]] = []
+    now = None
+    for n, edits, start, end in sorted(found):
+        if n != now:
+            now, taken = n, []
+        at = bisect_right(taken, (start, end))
+        if (at == 0 or taken[at - 1][1] <= start) and (at == len(taken) or end <= taken[at][0]):
+            taken.insert(at, (start, end))
+            yield start, end, n, edits
 
 
 def license_scan(docs: DataFrame, phrases: dict[str, str] = PHRASES, notices: dict[str, str] = NOTICES, chars_per_edit: int = 12, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import time
 
 from sieveworks.llm import leaks, licenses, quality, queries, secrets
 
@@ -223,3 +224,13 @@ def test_clashing_columns_and_empty_tables(spark):
     clash = spark.createDataFrame([(1, "text of a kind", "x", 5)], "doc_id bigint, text string, spans string, n_words int")
     for scan in (licenses.license_scan, secrets.secret_scan, quality.quality_rules):
         assert scan(clash).count() == 1 and scan(clash.limit(0)).count() == 0
+
+
+def test_many_edited_notices_cost_linear_time():
+    """Each of many notices with an edit is found, next to one another, in time that grows with the text."""
+    finder = licenses.NoticeFinder()
+    began = time.process_time()
+    for n in (50, 20_000):
+        spans = finder.spans(" ".join(["relaesed under the mit license"] * n))
+        assert [s[:2] for s in spans] == [(31 * k, 31 * k + 30) for k in range(n)] and {s[3] for s in spans} == {2}
+    assert time.process_time() - began < 30
