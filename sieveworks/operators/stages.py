@@ -48,16 +48,19 @@ def merged(stage1: DataFrame, stage2: DataFrame, dynamic: DataFrame) -> DataFram
     own = lambda s: F.when(F.col("stage") == s, F.col("record"))
     units = rows.groupBy("key").agg(*(F.max(own(s)).alias(s) for s in ("one", "two", "dyn")), *(F.min(own(s)["pos"]).alias(f"{s}_at") for s in ("one", "two")))
     listed = F.coalesce(F.col("one.decision").isin(*LISTED), F.lit(False))
-    any_listed = units.agg(F.coalesce(F.max(listed), F.lit(False)).alias("any_listed"))
+    # of the first stage alone, so that the units are worked out once
+    last = rows.where("stage = 'one'").groupBy("key").agg(F.max("record").alias("one"))
+    any_listed = last.agg(F.coalesce(F.max(F.col("one.decision").isin(*LISTED)), F.lit(False)).alias("any_listed"))
     first = listed | (~F.col("any_listed") & F.col("one").isNotNull() & ~F.coalesce(F.col("one.decision") == "no_finding", F.lit(False)))
     units = units.crossJoin(F.broadcast(any_listed)).withColumn("first", first).where("first or two is not null")  # with a single row
-    # the few that look for a dynamic record by the second stage's finding
+    # units that look for a dynamic record by the second stage's finding; the others get a key of their own that meets nothing
     looks = F.col("first") & F.col("dyn").isNull() & F.coalesce(F.col("two.finding_id") != "", F.lit(False))
     by_finding = dynamic.where("finding_id <> ''").groupBy(F.col("finding_id").cast("string").alias("f")).agg(F.max(F.struct("pos", "decision", "execution_state", _optional(dynamic, "evidence_ids", _NO_IDS).alias("evidence_ids"))).alias("found"))
-    some = units.where(looks).withColumn("f", F.col("two.finding_id")).join(by_finding, "f", "left").drop("f")
+    both = units.withColumn("f", F.when(looks, F.concat(F.lit("f "), "two.finding_id")).otherwise(F.concat(F.lit("u "), "key"))).join(by_finding.withColumn("f", F.concat(F.lit("f "), "f")), "f", "left").drop("f")
     fields = ("decision", "execution_state", "evidence_ids")
-    taken = lambda c: F.struct(*(F.col(f"{c}.{f}").alias(f) for f in fields)).alias("dynamic")
-    both = some.select("key", "first", "one", "two", "one_at", "two_at", taken("found")).unionAll(units.where(~looks).select("key", "first", "one", "two", "one_at", "two_at", taken("dyn")))
+    taken = F.struct(*(F.coalesce(F.col(f"dyn.{f}"), F.col(f"found.{f}")).alias(f) for f in fields))
+    own_dyn = F.struct(*(F.col(f"dyn.{f}").alias(f) for f in fields))
+    both = both.withColumn("dynamic", F.when(F.col("dyn").isNotNull(), own_dyn).otherwise(taken))
     at = F.when(F.coalesce(F.col("one.file") != "", F.lit(False)), F.struct(F.col("one.file").alias("file"), F.coalesce("one.function", F.lit("")).alias("function")))
     by_id = F.when(F.col("key").contains(":"), texts.split_id(F.col("key")))
     place = F.coalesce(at, by_id, F.struct(F.lit("").alias("file"), F.coalesce("one.function", F.lit("")).alias("function")))

@@ -260,13 +260,13 @@ def diff_stats(t):
 
 # an ending of the path is the file, or of the file the path; the first file (by its first span) counts
 @query(
-    """WITH f AS (SELECT file, min(id) AS pos FROM {spans} WHERE lo IS NOT NULL GROUP BY file), p AS (SELECT p_partkey AS point_id, concat(CASE WHEN p_partkey % 2 = 0 THEN 'repo/src/file' ELSE 'ile' END, p_partkey % 500) AS path, p_size AS a, p_size + 30 AS b FROM {part}),
+    """WITH f AS (SELECT file, min(id) AS pos FROM {spans} WHERE lo IS NOT NULL GROUP BY file), p AS (SELECT p_partkey AS point_id, concat(CASE WHEN p_partkey % 2 = 0 THEN 'repo/src/file' ELSE 'ile' END, p_partkey - p_partkey % 3) AS path, p_size AS a, p_size + 30 AS b FROM {part}),
     m AS (SELECT path, arg_min(file, pos) AS file FROM (SELECT DISTINCT path FROM p) q JOIN f ON ends_with(q.path, f.file) OR ends_with(f.file, q.path) GROUP BY path)
     SELECT DISTINCT p.point_id, s.id FROM p JOIN m ON m.path = p.path JOIN {spans} s ON s.file = m.file AND (p.a BETWEEN s.lo AND s.hi OR p.b BETWEEN s.lo AND s.hi)"""
 )
 def endpoint_in_range_join(t):
     head = F.when(F.col("p_partkey") % 2 == 0, "repo/src/file").otherwise("ile")
-    points = t["part"].select(F.col("p_partkey").alias("point_id"), F.concat(head, F.col("p_partkey") % 500).alias("path"), F.col("p_size").alias("start"), (F.col("p_size") + 30).alias("end"))
+    points = t["part"].select(F.col("p_partkey").alias("point_id"), F.concat(head, F.col("p_partkey") - F.col("p_partkey") % 3).alias("path"), F.col("p_size").alias("start"), (F.col("p_size") + 30).alias("end"))
     return matching.containing(points, t["spans"].where("lo is not null").distinct().withColumn("pos", F.col("id")))
 
 
