@@ -253,7 +253,7 @@ def _composed(with_groups: bool):
         best, sums = np.concatenate(best)[order], np.concatenate(sums)[order]
         groups = [groups[k] for k in order.tolist()]
         bad = np.array([not g for g in groups], bool)
-        n_a, n_b, n_groups = _sides(groups)
+        n_a, n_b, n_groups = _sides([g or "|" for g in groups])  # one that isn't valid must not leave the others' sides off
         out = []
         for ids, ends, spots in zip(left["doc_ids"], left["ends"], left["spots"], strict=True):
             ends, spots = np.array(ends.values), unpacked(spots.as_py())
