@@ -93,10 +93,11 @@ def javascript_call_graph(t):
     pl AS (SELECT * FROM c WHERE receiver IS NULL AND q IS NULL), sf AS (SELECT pl.caller, pl.name, count(*) AS n, min(f.id) AS id FROM pl JOIN f ON f.file_path = pl.file AND f.name = pl.name AND f.class_name IS NULL GROUP BY ALL),
     sp AS (SELECT pl.caller, pl.name, count(*) AS n, min(f.id) AS id FROM pl JOIN f ON f.folder = pl.folder AND f.name = pl.name AND f.class_name IS NULL AND (f.package = '' OR pl.p = '' OR f.package = pl.p) GROUP BY ALL), b AS (SELECT name, count(DISTINCT id) AS n FROM f GROUP BY name),
     o AS (SELECT pl.caller, pl.name, coalesce(sf.n, sp.n) AS n, coalesce(sf.id, sp.id) AS id FROM pl LEFT JOIN sf USING (caller, name) LEFT JOIN sp USING (caller, name))
-    SELECT DISTINCT caller, 'edge' AS outcome, id AS what, 1 AS n FROM (SELECT caller, id FROM tr WHERE n = 1 UNION ALL SELECT caller, id FROM pk WHERE n = 1 UNION ALL SELECT caller, id FROM o WHERE n = 1) e WHERE id <> caller
-    UNION ALL SELECT caller, 'no_type', name, (SELECT count(*) FROM f WHERE class_name = x.type) FROM (SELECT DISTINCT caller, name, CASE WHEN direct THEN type END AS type FROM tr WHERE coalesce(n, 0) <> 1 AND (direct OR NOT bare)) x
-    UNION ALL SELECT DISTINCT caller, CASE WHEN n > 1 THEN 'ambiguous' ELSE 'import_failed' END, name, coalesce(n, 0) FROM c LEFT JOIN pk USING (caller, name, q) WHERE c.q IS NOT NULL AND coalesce(n, 0) <> 1
-    UNION ALL SELECT caller, CASE WHEN coalesce(o.n, b.n, 0) > 1 THEN 'ambiguous' ELSE 'unresolved' END, name, coalesce(o.n, b.n, 0) FROM o LEFT JOIN b USING (name) WHERE coalesce(o.n, 0) <> 1 UNION ALL SELECT DISTINCT caller, 'dynamic', name, 0 FROM c WHERE receiver = '~call_result~'"""
+    SELECT DISTINCT caller, 'edge' AS outcome, id AS what, 1 AS n FROM (SELECT caller, id FROM tr WHERE n = 1 UNION SELECT caller, id FROM pk WHERE n = 1 UNION SELECT caller, id FROM o WHERE n = 1) e WHERE id <> caller
+    UNION SELECT caller, 'no_type', name, (SELECT count(*) FROM f WHERE class_name = x.type) FROM (SELECT DISTINCT caller, name, CASE WHEN direct THEN type END AS type FROM tr WHERE coalesce(n, 0) <> 1 AND (direct OR NOT bare)) x
+    UNION SELECT DISTINCT caller, CASE WHEN n > 1 THEN 'ambiguous' ELSE 'import_failed' END, name, coalesce(n, 0) FROM c LEFT JOIN pk USING (caller, name, q) WHERE c.q IS NOT NULL AND coalesce(n, 0) <> 1
+    UNION SELECT caller, CASE WHEN coalesce(o.n, b.n, 0) > 1 THEN 'ambiguous' ELSE 'unresolved' END, name, coalesce(o.n, b.n, 0) FROM o LEFT JOIN b USING (name) WHERE coalesce(o.n, 0) <> 1 UNION SELECT DISTINCT caller, 'dynamic', name, 0 FROM c WHERE receiver = '~call_result~'"""
 )
 def go_call_graph(t):
-    return _rows(languages.go_graph(t["go_functions"], t["go_imports"], t["go_calls"]))
+    # a package's call and a plain one of the same name may mean the same functions
+    return _rows(languages.go_graph(t["go_functions"], t["go_imports"], t["go_calls"])).distinct()
