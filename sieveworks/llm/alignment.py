@@ -75,8 +75,9 @@ class Pair:
 
     def tokens(self, segments: list[str]) -> tuple[list[list[int]], list[list[int]]]:
         """Ids of A and B.  B puts a blank before a text: a segment gives its own first blank for it,
-        and one that begins with other white space stands behind a letter, whose token is left out."""
-        blank = [s.startswith(" ") for s in segments]
+        and one that begins with other white space, or is a single blank, which would leave B an empty
+        text without tokens, stands behind a letter, whose token is left out."""
+        blank = [s.startswith(" ") and s != " " for s in segments]
         b = self.b.encode([s[1:] if own else "a" + s for s, own in zip(segments, blank, strict=True)], num_threads=1)
         a = [e.ids for e in self.a.encode_batch_fast(segments, add_special_tokens=False)]
         return a, [ids if own else ids[self.anchor :] for ids, own in zip(b, blank, strict=True)]

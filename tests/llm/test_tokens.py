@@ -96,6 +96,14 @@ def test_alignment_equals_whole_texts(spark, folder, monkeypatch, most):
     assert sum(r[-1] == "" for r in got) >= 4
 
 
+def test_a_single_blank_ends_a_text(spark, tmp_path):
+    """Its last segment is that blank alone."""
+    texts = ["the end ", "a ", "x, \n", "two  ", "é ", "\t ", "日本 ", "b ▁ ", "same end ", "same end "]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = [tuple(r[c] for c in COLUMNS) for r in queries.op11_tokenizer_alignment(spark, str(tmp_path)).collect()]
+    assert by_text(got) == by_text(brute_alignment(list(enumerate(texts)))) and sum(r[-1] == "" for r in got) == 1
+
+
 def test_groups_join_to_the_texts(spark, folder):
     pair = A.pair_of(S.BPE, A.PIECES)
     docs = spark.read.parquet(f"{folder}/documents.parquet").where("doc_id < 20")
