@@ -82,3 +82,17 @@ def test_go(spark):
     assert {k[1]: v for k, v in lost.items() if k[1] not in ("Missing", "Do", "Go")} == {
         "near2": ("unresolved", ["a/y_test.go:near2"]), "twice": ("ambiguous", ["a/y.go:twice", "a/z.go:twice"]), "Both": ("ambiguous", ["c/q.go:Both", "d/q.go:Both"]), "None": ("import_failed", []), "far": ("unresolved", ["b/q.go:far"]), "gone": ("unresolved", []), "then": ("dynamic", []),
     }
+
+
+def test_ambiguous_calls_share_what_they_mean(spark):
+    """Calls that may mean the same functions name one set of them; no call has a list of its own."""
+    table = spark.createDataFrame
+    rows = [(f"u/f{k}.go:Both", "Both", None, "util", f"u/f{k}.go", None) for k in range(3)] + [(f"a/x{k}.go:Run{k}", f"Run{k}", None, "a", f"a/x{k}.go", None) for k in range(4)]
+    functions = table(rows, "id string, name string, class_name string, package string, file_path string, receiver string")
+    imports = table([(f"a/x{k}.go", "u", "example.com/util") for k in range(4)], "file string, alias string, path string")
+    calls = table([(f"a/x{k}.go:Run{k}", "Both", None, "u", False) for k in range(4)], "caller string, name string, receiver string, package string, is_method boolean")
+    graph = languages.go_graph(functions, imports, calls)
+    open_ = graph.unresolved.collect()
+    assert len(open_) == 4 and {(r.reason, tuple(r.candidates)) for r in open_} == {("ambiguous", ())}
+    (name,) = {r.open_name for r in open_}
+    assert sorted(r.id for r in graph.named.where(graph.named.name == name).collect()) == [f"u/f{k}.go:Both" for k in range(3)]
