@@ -188,3 +188,16 @@ def test_roots_without_a_kind(spark):
     none = {c: F.lit(None).cast("string") for c in ("code", "visibility", "package", "file_path")}
     got = graph.structural_roots(rows.withColumns(none | {"is_exported": F.lit(False), "language": F.lit("python")}))
     assert {r.id: r.kind for r in got.collect()} == {"a": "module_init", "b": "program_entry"}
+
+
+def test_calls_of_a_name_share_what_it_means(spark):
+    """One row for a node of a scope's name, however many calls ask for it; the caller itself is left aside."""
+    nodes = spark.createDataFrame([(k, "f", "m.f", "src/a.py" if k < 4 else "src/b.py" if k == 4 else "src/c.py", None) for k in range(6)], "id bigint, name string, qualified_name string, file_path string, package string")
+    asked = spark.createDataFrame([(k, "x.f") for k in range(6)], "caller bigint, callee_name string")
+    open_, named = graph.scoped_names(asked, nodes, "python")
+    names = {r.caller: r.open_name for r in open_.collect()}
+    assert len({names[k] for k in range(4)}) == 1 and names[4] == names[5] and None not in names.values()
+    assert named.groupBy("name", "id").count().where("count > 1").isEmpty() and named.count() == 4 + 1 + 1 + 6
+    roots, edges = spark.createDataFrame([(4,)], "id bigint"), spark.createDataFrame([], "caller bigint, callee bigint, confidence string")
+    calls = open_.where("caller = 4").selectExpr("*", "cast(array() AS array<bigint>) AS candidates")
+    assert {r.id: r.status for r in graph.reachability(nodes, edges, roots, calls, named).collect()} == {4: "reachable"} | {k: "unknown" for k in (0, 1, 2, 3, 5)}
