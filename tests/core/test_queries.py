@@ -5,7 +5,7 @@ import os
 import duckdb
 import pytest
 
-from sieveworks.plans import derived, queries
+from sieveworks.plans import derived, queries, registry
 
 TABLES = derived.BASE
 
@@ -60,3 +60,12 @@ def test_no_core_module_names_the_corpus_folder():
         for f in files:
             if f.endswith(".py"):
                 assert "llm" not in open(os.path.join(folder, f)).read()
+
+
+def test_joins_of_queries_gather_no_side_on_the_driver(spark, tmp_path):
+    """A file's size says little of its rows; the caller's own session stays as it is."""
+    spark.range(300_000).selectExpr("id", "id % 7 AS k").write.parquet(f"{tmp_path}/t")
+    plan = lambda s: (lambda t: t.join(t.selectExpr("id", "explode(sequence(0, 9)) AS x"), "id"))(s.read.parquet(f"{tmp_path}/t"))._jdf.queryExecution().executedPlan().toString()
+    own = registry.shuffling(spark)
+    assert "Broadcast" in plan(spark) and "Broadcast" not in plan(own)
+    assert own.conf.get("spark.sql.session.timeZone") == spark.conf.get("spark.sql.session.timeZone")
