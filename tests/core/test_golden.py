@@ -201,3 +201,13 @@ def test_calls_of_a_name_share_what_it_means(spark):
     roots, edges = spark.createDataFrame([(4,)], "id bigint"), spark.createDataFrame([], "caller bigint, callee bigint, confidence string")
     calls = open_.where("caller = 4").selectExpr("*", "cast(array() AS array<bigint>) AS candidates")
     assert {r.id: r.status for r in graph.reachability(nodes, edges, roots, calls, named).collect()} == {4: "reachable"} | {k: "unknown" for k in (0, 1, 2, 3, 5)}
+
+
+def test_ranges_that_overlap_are_one(spark):
+    """Merged ranges hold the same lines; what meets them is what meets any range, also where ends are the wrong way round."""
+    ranges = [("a", k, k + 3) for k in range(0, 30, 2)] + [("a", 100, 90), ("a", 50, 60), ("b", 5, 5), ("b", None, 7)]
+    units = [(f"{f}{lo}-{hi}", f, lo, hi) for f in "ab" for lo in range(0, 110, 5) for hi in (lo - 7, lo, lo + 4)]
+    table = spark.createDataFrame(ranges, "file string, start int, end int")
+    assert sorted(tuple(r) for r in matching.merged_ranges(table).select("file", "start", "end").collect()) == [("a", 0, 31), ("a", 50, 60), ("b", 5, 5)]
+    got = {r.id for r in matching.overlapping(spark.createDataFrame(units, "id string, file string, lo int, hi int"), table).collect()}
+    assert got == {i for i, f, lo, hi in units if any(f == g and s is not None and lo <= e and hi >= s for g, s, e in ranges)}
