@@ -155,10 +155,8 @@ def import_closure(seeds: DataFrame, imports: DataFrame, depth: int = 5, budget:
     A file is visited once, and its own imports right after it; `depth` imports lie between the seed and a file at most, and
     each seed visits `budget` files at most, itself among them, as number 0."""
     place = "place" if "place" in imports.columns else "imported"
-    steps = imports.groupBy(F.col("path").alias("at"), F.col("imported").alias("id")).agg(F.min(place).alias("place"))
-    visits = first_visits(depth_first(seeds, steps, depth), budget)
-    own = seeds.select(F.col("id").alias("seed"), F.lit(0).alias("number"), F.col("id").alias("path")).distinct()
-    return own.unionAll(visits.select("seed", "number", F.col("id").alias("path")))
+    steps = imports.select(F.col("path").alias("at"), F.col(place).alias("place"), F.col("imported").alias("id"))
+    return first_visits(seeds, steps, depth, max(budget, 1)).select("seed", "number", F.col("id").alias("path"))
 
 
 def imported_dependencies(seeds: DataFrame, refs: DataFrame, functions: DataFrame, depth: int = 4) -> DataFrame:
