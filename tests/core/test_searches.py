@@ -59,3 +59,22 @@ def test_budgeted_search_writes_a_row_for_each_seed(spark, written):
     found = units.import_closure(spark.createDataFrame([(0,)], "id int"), spark.createDataFrame(edges, "path int, imported int"), 4, 7).collect()
     assert [r.path for r in sorted(found, key=lambda r: r.number)] == [0, 1, 7, 43, 259, 260, 261]
     assert written[0] == 259 and max(written[1:]) == 1
+
+
+@pytest.mark.parametrize(("k", "depth"), [(1, 5), (6, 3), (7, 1)])
+def test_whole_search_is_that_of_a_stack(spark, k, depth):
+    lists, rows = random_graph(k)
+    steps = graph.steps_of(spark.createDataFrame(rows, "caller bigint, callee bigint, place int"))
+    found = {n: [] for n in range(16)}
+    for r in graph.depth_first(spark.createDataFrame([(n,) for n in range(16)], "id bigint"), steps, depth).collect():
+        found[r.seed].append((r.path, r.id))
+    assert {s: [s, *(i for _, i in sorted(v))] for s, v in found.items()} == {n: stacked(lists, n, depth, 10**6) for n in range(16)}
+
+
+def test_seeds_whose_search_is_done_are_set_aside(spark, written):
+    """Ninety seeds with one way each, and one whose way down is found anew four times."""
+    rows = [(n, n + 1, 0) for n in range(1000, 1180, 2)] + [(0, 1, 1), (0, 2, 0), (2, 1, 1), (2, 3, 0), (3, 1, 1), (3, 4, 0), (4, 1, 0), (1, 5, 0), (5, 6, 0)]
+    seeds = spark.createDataFrame([(0,)] + [(n,) for n in range(1000, 1180, 2)], "id bigint")
+    found = graph.depth_first(seeds, graph.steps_of(spark.createDataFrame(rows, "caller bigint, callee bigint, place int")), 5)
+    assert sorted((list(r.path), r.id) for r in found.where("seed = 0").collect()) == [([1], 2), ([1, 1], 3), ([1, 1, 1], 4), ([1, 1, 1, 1], 1), ([1, 1, 1, 1, 1], 5)]
+    assert found.count() == 95 and written[-1] < 90
