@@ -7,8 +7,11 @@ no 1), so a number is text with a mark before it until it is written out again.
 
 from __future__ import annotations
 
+import json
+import sys
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -127,12 +130,45 @@ def canonical(nodes: DataFrame) -> DataFrame:
     return below.select("id", "text")
 
 
+def _canonical_text(text: str | None, drop: frozenset[str], repeats: bool) -> str | None:
+    """One JSON text in canonical form without the keys in `drop`; None if it is broken."""
+
+    def members(pairs):
+        found = dict(pairs)
+        if len(found) < len(pairs) and not repeats:
+            raise ValueError("a key is repeated")
+        return {k: v for k, v in found.items() if k not in drop}
+
+    def constant(name):
+        raise ValueError(f"{name} is no JSON")
+
+    try:
+        made = json.dumps(json.loads(text, object_pairs_hook=members, parse_constant=constant), sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+    except (ValueError, TypeError, RecursionError):
+        return None
+    return made.encode("utf-8", "replace").decode()
+
+
+def canonical_texts(rows: DataFrame, drop: tuple[str, ...] = (), id_col: str = "id", text_col: str = "text") -> DataFrame:
+    """(id, text): what `canonical` of `json_nodes` makes of JSON texts, for whole texts that no step has to open as rows: a text goes
+    through alone, so nothing is shuffled or written.  Broken texts, and null ones, have a null; trailing text makes one broken."""
+    keys, repeats = frozenset(drop), rows.sparkSession.conf.get("spark.sql.variant.allowDuplicateKeys", "false") == "true"
+
+    def run(batches):
+        sys.set_int_max_str_digits(0)  # whole numbers of any size
+        for batch in batches:
+            made = pa.array([_canonical_text(t, keys, repeats) for t in batch.column(1).to_pylist()], pa.string())
+            yield pa.RecordBatch.from_arrays([batch.column(0), made], names=["id", "text"])
+
+    both = rows.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    return both.mapInArrow(run, both.schema)
+
+
 def digests(rows: DataFrame, id_col: str = "id", text_col: str = "text") -> DataFrame:
     """(id, sha256): the SHA-256 of JSON texts' canonical form; null where there is none."""
-    made = canonical(json_nodes(rows, (), id_col, text_col))
-    return rows.select(F.col(id_col).alias("id")).join(made, "id", "left").select("id", F.sha2(F.col("text").cast("binary"), 256).alias("sha256"))
+    return canonical_texts(rows, (), id_col, text_col).select("id", F.sha2(F.col("text").cast("binary"), 256).alias("sha256"))
 
 
 def without_conclusions(rows: DataFrame, drop: tuple[str, ...] = CONCLUSIONS, id_col: str = "id", text_col: str = "text") -> DataFrame:
-    """(id, text): JSON texts without the keys of conclusions, at any depth, in canonical form."""
-    return canonical(json_nodes(rows, drop, id_col, text_col))
+    """(id, text): JSON texts without the keys of conclusions, at any depth, in canonical form; broken texts have no row."""
+    return canonical_texts(rows, drop, id_col, text_col).where("text is not null")

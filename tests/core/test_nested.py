@@ -37,3 +37,15 @@ def test_keys_are_dropped_at_any_depth(spark):
 
 def test_empty_table(spark):
     assert nested.digests(table(spark, []).limit(0)).collect() == [] and nested.canonical(nested.json_nodes(table(spark, BROKEN))).collect() == []
+
+
+def test_whole_texts_are_neither_shuffled_nor_written(spark, monkeypatch):
+    """Texts go through alone, with what `canonical` makes of their nodes; repeated keys and trailing text are broken."""
+    odd = ['{"a": 1, "a": 2}', '{"a": 1} x', "Infinity", "[1" + "0" * 5000 + "]", "[" * 300 + "]" * 300, '{"verdict": 1, "verdict": 2}']
+    for f in ("settled", "stored"):
+        monkeypatch.setattr(nested, f, lambda df: 1 / 0)
+    made = nested.canonical_texts(table(spark, TEXTS + BROKEN + odd))
+    got = [r.text for r in made.orderBy("id").collect()]
+    assert got == [stable(json.loads(t)) for t in TEXTS] + [None] * (len(BROKEN) + 3) + [odd[3], odd[4], None]
+    assert "Exchange" not in nested.digests(table(spark, TEXTS))._jdf.queryExecution().executedPlan().toString()
+    assert [r.text for r in nested.without_conclusions(table(spark, odd)).collect()] == [odd[3], odd[4]]
