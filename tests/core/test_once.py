@@ -1,6 +1,8 @@
 """What is worked out once and not for each pair."""
 
-from sieveworks.operators import matching
+from pyspark.sql import functions as F
+
+from sieveworks.operators import matching, resolve
 
 
 def test_versions_are_read_before_packages_meet_advisories(spark):
@@ -11,3 +13,12 @@ def test_versions_are_read_before_packages_meet_advisories(spark):
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     above = plan.split("Join Inner")[0] + plan.split("Join Inner")[1].split("\n")[0]
     assert "exists(" in above and "regexp_extract_all" not in above
+
+
+def test_calls_of_a_common_name_are_listed_in_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr(resolve, "CALLS_A_LIST", 2)
+    calls = spark.createDataFrame([(f"c{k}", "common", "ambiguous", [], "common") for k in range(60)] + [("c", "x.y", "no_type", ["T"], None), ("d", "lone", "unresolved", [], "lone")], "caller string, callee_name string, reason string, candidates array<string>, open_name string")
+    named = spark.createDataFrame([("common", "b"), ("common", "a"), ("other", "o")], "name string, id string")
+    found = resolve.with_candidates(resolve.CallGraph(None, calls, named)).withColumn("task", F.spark_partition_id()).collect()
+    assert sorted((r.caller, list(r.candidates)) for r in found) == sorted([(f"c{k}", ["a", "b"]) for k in range(60)] + [("c", ["T"]), ("d", [])])
+    assert len({r.task for r in found if r.callee_name == "common"}) > 4
