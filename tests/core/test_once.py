@@ -1,8 +1,11 @@
 """What is worked out once and not for each pair."""
 
+import ast
+import textwrap
+
 from pyspark.sql import functions as F
 
-from sieveworks.operators import matching, resolve
+from sieveworks.operators import code, matching, resolve
 
 
 def test_versions_are_read_before_packages_meet_advisories(spark):
@@ -22,3 +25,40 @@ def test_calls_of_a_common_name_are_listed_in_many_tasks(spark, monkeypatch):
     found = resolve.with_candidates(resolve.CallGraph(None, calls, named)).withColumn("task", F.spark_partition_id()).collect()
     assert sorted((r.caller, list(r.candidates)) for r in found) == sorted([(f"c{k}", ["a", "b"]) for k in range(60)] + [("c", ["T"]), ("d", [])])
     assert len({r.task for r in found if r.callee_name == "common"}) > 4
+
+
+def test_a_file_is_parsed_once(monkeypatch):
+    """Functions, calls and imports come from one tree; a function's text is parsed by itself only where it may not parse to the same."""
+    parsed = []
+    real = ast.parse
+    monkeypatch.setattr(ast, "parse", lambda text, *a, **b: parsed.append(text) or real(text, *a, **b))
+    text = "from a import b\nimport c as b\n\nclass A:\n    @p(1)\n    def f(self):\n        def g():\n            k()\n        x = B()\n        x.m(self.g(h(1)))\n\nasync def z(q=w()):\n    return [y() for y in u() if v(y)]\n"
+    rows = list(code._all_of("m.py", text))
+    assert parsed == [text]
+    calls = {(r["call"]["caller"], r["call"]["kind"], r["call"]["name"], *r["call"]["types"]) for r in rows if r["what"] == "call"}
+    assert calls == {
+        *((f"m.py:A.f{g}", "name", "k") for g in ("", ".g")), ("m.py:A.f", "name", "p"), ("m.py:A.f", "name", "B"), ("m.py:A.f", "name", "h"), ("m.py:A.f", "attribute", "m", "B"), ("m.py:A.f", "own", "g"), *(("m.py:z", "name", n) for n in "wyuv"),
+    }
+    assert [(r["import"]["name"], r["import"]["target"]) for r in rows if r["what"] == "import"] == [("b", "c")]
+
+
+def test_texts_that_do_not_parse_alone_are_parsed_alone():
+    """A text whose lines aren't all as far in as its first, that ends in a line's continuation, or that begins inside its decorator, isn't that of the file's tree."""
+    for text in (
+        "class A:\n  def f(self):\n    x = '''\na'''\n    g(x)\n", "class A:\n  def f(self):\n    # c\n# low\n    g()\n", "def f():\n    return g() \\\n\n", "class A:\n  @(\n  b)\n  def f(self): self.g()\n", "class A:\n\tdef f(self):\n\t\tg()\n",
+        "class A:\n  def f(self):\n    x = '''\n\xa0\n'''\n    g()\n", "def f():\n  g()\r  h()\n", "\ufeffdef f():\n g()\n", "@(\na)\ndef f():\n  g()\n",
+    ):
+        rows = list(code._all_of("m.py", text))
+        for f in (r["function"] for r in rows if r["what"] == "function"):
+            again = list(code._calls_of(f["id"], "m.py", f["class_name"], f["code"]))
+            assert [r["call"] for r in rows if r["what"] == "call" and r["call"]["caller"] == f["id"]] == again, text
+            assert any(c["kind"] == "parse_failure" for c in again) == (code._tree(textwrap.dedent(f["code"])) is None)
+
+
+def test_import_paths_are_looked_up_once(spark):
+    """What no file has is known from one stored table, not by the search again for each step behind it."""
+    functions = spark.createDataFrame([("a/b.py:f", "f", "a/b.py"), ("x/mod.py:g", "g", "x/mod.py")], "id string, name string, file_path string")
+    asks = spark.createDataFrame([("a.b", "f"), ("mod.g", "h"), ("no.where", "z")], "target string, name string")
+    found = resolve.resolved_targets(asks, functions)
+    assert sorted(map(tuple, found.collect())) == [("a.b", "f", "a/b.py:f"), ("mod.g", "h", "x/mod.py:g")]
+    assert "posexplode" not in found._jdf.queryExecution().optimizedPlan().toString()
