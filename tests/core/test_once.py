@@ -62,3 +62,12 @@ def test_import_paths_are_looked_up_once(spark):
     found = resolve.resolved_targets(asks, functions)
     assert sorted(map(tuple, found.collect())) == [("a.b", "f", "a/b.py:f"), ("mod.g", "h", "x/mod.py:g")]
     assert "posexplode" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_marks_of_a_diff_are_worked_out_once(spark):
+    """Callers and the result read the marks from a table; ranges don't meet units again for each."""
+    units = spark.createDataFrame([("a:f", "a", 1, 5, ["a:g"]), ("a:g", "a", 7, 9, []), ("a:h", "a", None, None, []), ("b:k", "b", 1, 2, ["a:h", "a:g"]), ("b:m", "b", 5, 9, ["b:k"])], "id string, file string, lo int, hi int, direct_calls array<string>")
+    manifest = spark.createDataFrame([("a", 8, 8), ("a", 8, 20)], "file string, start int, end int")
+    found = matching.diff_selection(units, manifest, "callers")
+    assert {r.id: r.diff_reason for r in found.collect()} == {"a:f": "caller", "a:g": "changed", "a:h": "fallback", "b:k": "caller", "b:m": None}
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Generate explode") == 1
