@@ -6,6 +6,7 @@ import textwrap
 from pyspark.sql import functions as F
 
 from sieveworks.operators import code, matching, resolve
+from sieveworks.plans.queries import QUERIES
 
 
 def test_versions_are_read_before_packages_meet_advisories(spark):
@@ -71,3 +72,15 @@ def test_marks_of_a_diff_are_worked_out_once(spark):
     found = matching.diff_selection(units, manifest, "callers")
     assert {r.id: r.diff_reason for r in found.collect()} == {"a:f": "caller", "a:g": "changed", "a:h": "fallback", "b:k": "caller", "b:m": None}
     assert found._jdf.queryExecution().optimizedPlan().toString().count("Generate explode") == 1
+
+
+def test_a_reports_card_needs_no_numbers(spark, sf_dir):
+    """Its counts come from the findings' places; nothing is sorted, numbered or written for them."""
+    plan = QUERIES["report_stats"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert "LogicalRDD" not in plan and "candidate_type" not in plan
+
+
+def test_an_artifacts_findings_are_merged_once(spark, sf_dir):
+    """Its checks and its lists read the findings from a table."""
+    plan = QUERIES["artifact_violations"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftOuter" not in plan
