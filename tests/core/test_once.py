@@ -5,8 +5,9 @@ import textwrap
 
 from pyspark.sql import functions as F
 
-from sieveworks.operators import code, matching, resolve
+from sieveworks.operators import code, matching, reports, resolve
 from sieveworks.plans.queries import QUERIES
+from sieveworks.tables import numbered
 
 
 def test_versions_are_read_before_packages_meet_advisories(spark):
@@ -84,3 +85,24 @@ def test_an_artifacts_findings_are_merged_once(spark, sf_dir):
     """Its checks and its lists read the findings from a table."""
     plan = QUERIES["artifact_violations"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
     assert "LeftOuter" not in plan
+
+
+def test_rows_are_worked_out_once_to_be_numbered(spark):
+    """A sort by ranges reads its rows twice, for the bounds and to deal them; they are a table by then."""
+    seen = spark.sparkContext.accumulator(0)
+    marked = F.udf(lambda k: seen.add(1) or k, "bigint").asNondeterministic()
+    rows = numbered(spark.range(20, numPartitions=3).select(marked("id").alias("k")).repartition(2), [-F.col("k")])
+    assert {r.k: r.number for r in rows.collect()} == {k: 20 - k for k in range(20)}
+    assert seen.value == 20
+
+
+def test_a_sections_rows_are_bounded(spark, monkeypatch):
+    """A section of many findings is listed in several rows, in order, and what details say isn't asked for."""
+    monkeypatch.setattr(reports, "PAGE", 2)
+    findings = spark.createDataFrame([(f"a.py:f{k}", "candidate" if k else "error", 0, -k, "", "", ["e"]) for k in range(6)], "unit_id string, final_state string, section int, pos bigint, file string, function string, evidence_ids array<string>")
+    rows = reports.placed_rows(findings)
+    assert "evidence_ids" not in rows._jdf.queryExecution().optimizedPlan().toString()
+    found = sorted(reports.sections(rows).collect(), key=lambda r: (r.rank, r.page))
+    assert [(r.rank, r.page, r.label, r.n, r.open, [(f.in_section, f.function) for f in r.findings]) for r in found] == [
+        (4, 1, "Candidate", 2, True, [(1, "f5"), (2, "f4")]), (4, 2, "Candidate", 2, True, [(3, "f3"), (4, "f2")]), (4, 3, "Candidate", 1, True, [(5, "f1")]), (7, 1, "Error", 1, False, [(1, "f0")]),
+    ]
