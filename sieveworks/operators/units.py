@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..tables import stored
 from .graph import adjacency, depth_first, discovered, first_visits, steps_of, structural_roots, to_edges
 
 # Marks between the texts of different files, by the comment sign of the language.
@@ -80,20 +81,32 @@ def _placed(near: DataFrame) -> DataFrame:
     return near.select("seed", F.struct(F.when(F.col("side") == "up", 0).otherwise(1).alias("s"), "depth", "path").alias("order"), "id", "file_path", "side")
 
 
+def _digest(code: Column) -> Column:
+    return F.unhex(F.sha2(F.coalesce(code, F.lit("")), 256))
+
+
+def _marked(nodes: DataFrame, near: DataFrame) -> DataFrame:
+    """(seed, order, id, file_path, of): the neighbours with the digest of their text; blank texts have none."""
+    digests = nodes.select("id", F.when(F.col("code") != "", _digest(F.col("code"))).alias("of"))
+    return _placed(near).join(digests, "id", "left").select("seed", "order", "id", "file_path", "of")
+
+
+def _pieces(nodes: DataFrame, marked: DataFrame, style: str) -> DataFrame:
+    used = marked.where("of is not null" + (" and order.s = 0" if style == "go" else ""))
+    own = nodes.select(F.col("id").alias("seed"), F.lit(None).cast(used.schema["order"].dataType).alias("order"), "id", _digest(F.col("code")).alias("of"))
+    known = own.unionAll(used.select("seed", "order", "id", "of"))
+    if style != "go":
+        known = known.groupBy("seed", "of").agg(F.min(F.struct("order", "id")).alias("m")).select("seed", "m.order", "m.id")
+    return known.join(nodes.select("id", "file_path", F.coalesce("code", F.lit("")).alias("code")), "id").select("seed", "order", "id", "file_path", "code")
+
+
 def unit_pieces(nodes: DataFrame, near: DataFrame, style: str = "python") -> DataFrame:
     """(seed, order, id, file_path, code): the texts of each unit in order: the function's own, then its callees', then its
     callers', each text once.  go takes callees alone and repeats equal texts.
 
     A text is a row, so a function with very many callers has many rows and not one long one; of equal texts the first is
     kept by their digest, and texts are joined to what is kept alone."""
-    used = _placed(near.where("side = 'up'") if style == "go" else near)
-    none = F.lit(None).cast(used.schema["order"].dataType)
-    every = nodes.select(F.col("id").alias("seed"), none.alias("order"), "id").unionAll(used.select("seed", "order", "id"))
-    digests = nodes.select("id", F.sha2(F.coalesce("code", F.lit("")), 256).alias("of"), (F.coalesce("code", F.lit("")) == "").alias("blank"))
-    known = every.join(digests, "id").where("order is null or not blank")
-    if style != "go":
-        known = known.groupBy("seed", "of").agg(F.min(F.struct("order", "id")).alias("m")).select("seed", "m.order", "m.id")
-    return known.join(nodes.select("id", "file_path", F.coalesce("code", F.lit("")).alias("code")), "id").select("seed", "order", "id", "file_path", "code")
+    return _pieces(nodes, _marked(nodes, near), style)
 
 
 def unit_sizes(nodes: DataFrame, near: DataFrame) -> DataFrame:
@@ -110,16 +123,23 @@ def assembled(nodes: DataFrame, near: DataFrame, style: str = "python") -> DataF
     style: python sorts the files; javascript keeps them in the order in which they come; go takes callees alone and repeats
     equal texts.  A row holds all of a unit's texts, as its readers want it; for graphs with hubs use `unit_pieces`."""
     boundary = BOUNDARIES.get("python" if style == "python" else "javascript")
-    pieces = unit_pieces(nodes, near, style).groupBy(F.col("seed").alias("id")).agg(F.array_sort(F.collect_list(F.struct("order", "code"))).alias("l"))
-    used = _placed(near.where("side = 'up'") if style == "go" else near).where("file_path <> ''")
-    first = used.groupBy(F.col("seed").alias("id"), "file_path").agg(F.min("order").alias("order"))
-    files = first.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("order", "file_path"))), lambda x: x["file_path"]).alias("near_files"))
-    both = nodes.select("id", "file_path", F.length("code").alias("original_length")).join(pieces, "id").join(files, "id", "left").join(unit_sizes(nodes, near), "id")
+    marked = stored(_marked(nodes, near))  # two steps read it: texts, and files with counts
+    # nulls come first, and the function's own text has no order
+    pieces = _pieces(nodes, marked, style).groupBy(F.col("seed").alias("id")).agg(F.sort_array(F.collect_list(F.struct("order", "code")))["code"].alias("l"))
+    up, down = (F.count_if(F.col("order.s") == k) for k in (0, 1))
+    first = [] if style == "python" else [F.min("order").alias("order")]
+    by_file = marked.groupBy(F.col("seed").alias("id"), "file_path").agg(up.alias("up"), down.alias("down"), *first)
+    shown = (F.col("file_path") != "") & ((F.col("up") > 0) if style == "go" else F.lit(True))
+    named = F.sort_array(F.collect_list(F.when(shown, F.col("file_path") if style == "python" else F.struct("order", "file_path"))))
+    near_files = named if style == "python" else named["file_path"]
+    files = by_file.groupBy("id").agg(near_files.alias("near_files"), F.sum("up").alias("total_up"), F.sum("down").alias("total_down"))
+    both = nodes.select("id", "unit_type", "file_path", F.length("code").alias("original_length")).join(pieces, "id").join(files, "id", "left")
     every = F.array_distinct(F.concat(F.array("file_path"), F.coalesce("near_files", F.array().cast("array<string>"))))
-    # array_sort puts a null order, the function's own text, last
-    texts = F.concat(F.filter("l", lambda x: x["order"].isNull()), F.filter("l", lambda x: x["order"].isNotNull()))
-    text = F.array_join(F.transform(texts, lambda x: x["code"]), boundary)
-    made = both.select("id", "unit_type", text.alias("code"), (F.array_sort(every) if style == "python" else every).alias("files"), "total_up", "total_down", "original_length")
+    if style == "python":  # a missing name comes last
+        none = F.when(F.col("file_path").isNull(), F.array(F.lit(None).cast("string"))).otherwise(F.array().cast("array<string>"))
+        every = F.concat(F.sort_array(F.array_compact(every)), none)
+    counts = [F.coalesce(c, F.lit(0).cast("bigint")).alias(c) for c in ("total_up", "total_down")]
+    made = both.select("id", "unit_type", F.array_join("l", boundary).alias("code"), every.alias("files"), *counts, "original_length")
     return made.withColumn("enhanced_length", F.length("code"))
 
 

@@ -5,7 +5,7 @@ import textwrap
 
 from pyspark.sql import functions as F
 
-from sieveworks.operators import code, matching, reports, resolve
+from sieveworks.operators import code, matching, reports, resolve, units
 from sieveworks.plans.queries import QUERIES
 from sieveworks.tables import numbered
 
@@ -106,3 +106,17 @@ def test_a_sections_rows_are_bounded(spark, monkeypatch):
     assert [(r.rank, r.page, r.label, r.n, r.open, [(f.in_section, f.function) for f in r.findings]) for r in found] == [
         (4, 1, "Candidate", 2, True, [(1, "f5"), (2, "f4")]), (4, 2, "Candidate", 2, True, [(3, "f3"), (4, "f2")]), (4, 3, "Candidate", 1, True, [(5, "f1")]), (7, 1, "Error", 1, False, [(1, "f0")]),
     ]
+
+
+def test_a_units_neighbours_are_worked_out_once(spark):
+    """Texts, files and counts of units come from one table of them; own texts come first, files by name or in the order in which they come."""
+    nodes = spark.createDataFrame([(k, "function", f, f"t{k % 3}" if k else None) for k, f in enumerate(("b", "a", "c", "", None))], "id long, unit_type string, file_path string, code string")
+    seen = spark.sparkContext.accumulator(0)
+    marked = F.udf(lambda k: seen.add(1) or k, "bigint").asNondeterministic()
+    near = spark.createDataFrame([(1, s, 1, [p], i, None, f) for s, p, i, f in (("up", 2, 0, "b"), ("up", 1, 2, "c"), ("down", 1, 4, None), ("down", 2, 3, ""), ("up", 3, 3, ""))] + [(4, "down", 1, [1], 2, None, "c")], "seed long, side string, depth int, path array<int>, id long, name string, file_path string")
+    near = near.withColumn("seed", marked("seed"))
+    made = {s: {r.id: (r.code.split(units.BOUNDARIES["python" if s == "python" else "javascript"]), list(r.files), r.total_up, r.total_down) for r in units.assembled(nodes, near, s).collect()} for s in ("python", "javascript", "go")}
+    assert seen.value == 3 * 6
+    assert made["python"][1] == (["t1", "t2", "t0"], ["a", "b", "c"], 3, 2) and made["python"][4] == (["t1", "t2"], ["c", None], 0, 1)
+    assert made["javascript"][1] == (["t1", "t2", "t0"], ["a", "c", "b"], 3, 2) and made["javascript"][0] == ([""], ["b"], 0, 0)
+    assert made["go"][1] == (["t1", "t2", "t0"], ["a", "c", "b"], 3, 2) and made["go"][4] == (["t1"], [None], 0, 1)
