@@ -5,6 +5,7 @@ import textwrap
 
 from pyspark.sql import functions as F
 
+from sieveworks.functions import texts
 from sieveworks.operators import code, matching, reports, resolve, units
 from sieveworks.plans.queries import QUERIES
 from sieveworks.tables import numbered
@@ -120,3 +121,15 @@ def test_a_units_neighbours_are_worked_out_once(spark):
     assert made["python"][1] == (["t1", "t2", "t0"], ["a", "b", "c"], 3, 2) and made["python"][4] == (["t1", "t2"], ["c", None], 0, 1)
     assert made["javascript"][1] == (["t1", "t2", "t0"], ["a", "c", "b"], 3, 2) and made["javascript"][0] == ([""], ["b"], 0, 0)
     assert made["go"][1] == (["t1", "t2", "t0"], ["a", "c", "b"], 3, 2) and made["go"][4] == (["t1"], [None], 0, 1)
+
+
+def test_ids_are_cut_at_their_last_colon(spark):
+    ids = ["a:b", "a::b", ":x", "x:", ":", "none", "", "é:ü\n", "a\n:b:\r\n", "a\U0001f600:\U0001f600b", None]
+    cut = spark.createDataFrame([(i,) for i in ids], "i string").select("i", texts.split_id(F.col("i")).alias("at")).collect()
+    assert [(r["at"]["file"], r["at"]["function"]) for r in cut] == [tuple(r.i.rsplit(":", 1)) if r.i and ":" in r.i else ("", "") for r in cut]
+
+
+def test_a_reports_tables_ask_for_no_details(spark, sf_dir):
+    """Markdown shows places and states: behind the numbered findings nothing is joined to its lines."""
+    for name in ("report_markdown", "report_sections"):
+        assert not any("orders" in f for f in QUERIES[name](spark, sf_dir).inputFiles())
