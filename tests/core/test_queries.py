@@ -4,7 +4,9 @@ import os
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
+from sieveworks.functions import texts
 from sieveworks.plans import derived, queries, registry
 
 TABLES = derived.BASE
@@ -52,6 +54,29 @@ def test_metric_checks_count_all_units(spark, sf_dir, duck, monkeypatch):
     assert row.total_units == row.reachable + row.unreachable + row.unknown_reachability == total
 
 
+def test_stable_ids_of_empty_and_missing_values_equal_sql(spark, tmp_path):
+    docs = [(0, "", "en", "s", 0), (1, None, "en", "s", 0), (2, "t", "en", "s", 9), (3, "t", "en", "s", 10), (4, "t", "en", "s", 1_234_567), (-1, "t", "en", "s", -5), (-2, "t", "en", "s", -12345)]
+    docs += [(5, "t", None, "s", 1), (6, "t", "en", None, 1), (7, "t", None, None, 1), (8, "t", "en", "s", None), (None, "t", "en", "s", 1), (None,) * 5]
+    spark.createDataFrame(docs, "doc_id bigint, text string, lang string, source string, n_chars bigint").write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    df, out = queries.QUERIES["stable_ids"](spark, str(tmp_path)), con.execute(queries.ORACLES["stable_ids"])
+    want = rows([d[0] for d in out.description], out.fetchall())
+    assert rows(df.columns, df.collect()) == want and len(want) == len(docs)
+    assert {r.doc_id: r.cost for r in df.where("doc_id in (0, 8, -2)").collect()} == {0: "$0.00", 8: "$", -2: "$-12345.00"}
+
+
+def test_costs_keep_their_places(spark):
+    """Four below a cent, else two, unless places are said; null is no amount, and a missing hash keeps its place in an id."""
+    amounts = spark.createDataFrame([(0.0,), (0.004,), (5.0,), (1234.5,), (None,)], "a double")
+    shown = lambda *more, **kind: [r[0] for r in amounts.select(texts.cost_text(F.col("a"), *more, **kind)).collect()]
+    assert shown() == ["$0.0000", "$0.0040", "$5.00", "$1,234.50", None] and shown(places=2) == ["$0.00", "$0.00", "$5.00", "$1,234.50", None]
+    assert shown(places=3) == ["$0.000", "$0.004", "$5.000", "$1234.500", None] and shown(F.lit("GBP"), places=2) == ["0.00 GBP", "0.00 GBP", "5.00 GBP", "1234.50 GBP", None]
+    none, said = F.lit(None).cast("string"), lambda x: F.lit(x).cast("string")
+    ids = spark.range(1).select(texts.evidence_id(F.lit("code"), said("s"), none, none), texts.evidence_id(F.lit("code"), said("s"), said(""), said("")), texts.evidence_id(F.lit("code"), none, said("s"), said(""))).collect()[0]
+    assert ids[0] == ids[1] != ids[2]
+
+
 def test_no_core_module_names_the_corpus_folder():
     top = os.path.dirname(queries.__file__) + "/.."
     for folder, _, files in os.walk(top):
